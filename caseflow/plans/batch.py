@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.operators import correlate
+from caseflow.functions import rules, text
+from caseflow.functions.redact import redact_columns
+from caseflow.operators import correlate, lookup, memory, resolve, scoring, spans, usage, validate
 from caseflow.plans import mapping
+from caseflow.sources import notifications, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# --- correlation ------------------------------------------------------------------------------
+
+
 def velocity_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.velocity_alerts(mapping.signals(spark, sf_dir), mapping.locations(spark, sf_dir))
 
@@ -43,6 +49,283 @@ def recurring_payees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.recurring_payees(mapping.merchant_charges(spark, sf_dir))
 
 
+def claim_veracity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suspect = step_up_audit(spark, sf_dir).filter(F.col("compromise_likelihood") == "HIGH")
+    evidence = resolve.evidence_rows(
+        ("ledger_rows", mapping.transactions(spark, sf_dir)),
+        ("notices", mapping.travel_notices(spark, sf_dir)),
+        ("baseline_rows", mapping.signals(spark, sf_dir)),
+        ("suspect_replies", suspect),
+    )
+    return resolve.claim_veracity(
+        mapping.claims(spark, sf_dir), evidence, mapping.policies(spark, sf_dir), mapping.CLAIM_WORDS
+    )
+
+
+# --- text, rules, checks ----------------------------------------------------------------------
+
+
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    redacted = text.redact_text(F.col("text"))
+    return mapping.table(spark, sf_dir, "documents").select(
+        "doc_id", redacted.alias("redacted_text"), (redacted != F.col("text")).alias("was_changed")
+    )
+
+
+def redact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = "details"
+    return redact_columns(mapping.event_details(spark, sf_dir)).select(
+        "event_id",
+        F.col(f"{d}.PIN").alias("pin"),
+        F.col(f"{d}.note").alias("note"),
+        F.col(f"{d}.device.otp").alias("device_otp"),
+        F.col(f"{d}.device.label").alias("device_label"),
+        F.array_join(f"{d}.remarks", "|").alias("remarks"),
+        F.col(f"{d}.attributes")["Cvv"].alias("cvv"),
+        F.col(f"{d}.attributes")["memo"].alias("memo"),
+        F.col(f"{d}.amount").alias("amount"),
+    )
+
+
+def mask_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last4 = text.clean_last4(F.col("card_ending"))
+    return mapping.card_endings(spark, sf_dir).select(
+        "customer_id", last4.alias("last4"), text.mask_pan(last4).alias("masked_pan"), last4.isNotNull().alias("is_valid")
+    )
+
+
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        text.token_estimate(F.length("text")).alias("tokens"),
+        text.token_estimate(F.length("lang"), floor=None).alias("unfloored_tokens"),
+    )
+
+
+def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.tag_documents(
+        mapping.table(spark, sf_dir, "documents").select("doc_id", "text"), rules=mapping.TAG_WORDS
+    ).select("doc_id", "tags", "word_count")
+
+
+def route_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    intent = rules.route_intent(F.col("claim_text"), mapping.INTENT_WORDS)
+    audited = rules.needs_audit(F.col("claim_text"), mapping.AUDIT_WORDS)
+    return mapping.claims(spark, sf_dir).select(
+        "customer_id",
+        "turn",
+        intent.alias("intent"),
+        audited.alias("is_audited"),
+        rules.tools_used(intent, audited).alias("tools"),
+    )
+
+
+def claim_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.claims(spark, sf_dir).select(
+        "customer_id", "turn", rules.claim_scenario(F.col("claim_text"), mapping.CLAIM_WORDS).alias("scenario")
+    )
+
+
+def model_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.work_items(spark, sf_dir).select(
+        "event_id", rules.model_tier(F.col("task"), F.col("risk"), F.col("multi_hop")).alias("tier")
+    )
+
+
+def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = [
+        validate.blank("customer_id", "INVALID_CUSTOMER", fallback="card_status"),
+        validate.reserved_id("customer_id", fallback="card_status"),
+        validate.not_positive("amount", fallback="account_statement"),
+        validate.bad_last4("card_ending"),
+        validate.short_address("address"),
+    ]
+    return validate.checked(mapping.flawed_orders(spark, sf_dir), checks).select(
+        "transaction_id", "error_type", "error_message", "retryable", "fallback"
+    )
+
+
+def gate_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = rules.approval_gate(F.col("amount"), mapping.GATE_LIMIT, F.col("approved"), F.col("token"))
+    return mapping.disputable(spark, sf_dir).select("transaction_id", "amount", gate.alias("decision"))
+
+
+def normalise_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.normalise_logs(mapping.log_rows(spark, sf_dir))
+
+
+# --- lookups and searches ---------------------------------------------------------------------
+
+
+def account_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.account_statement(mapping.customers(spark, sf_dir), mapping.transactions(spark, sf_dir))
+
+
+def card_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.card_status(mapping.status_events(spark, sf_dir))
+
+
+def channel_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.channel_activity(mapping.signals(spark, sf_dir), "click")
+
+
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.memory_search(
+        mapping.searchable_documents(spark, sf_dir), mapping.memory_queries(spark, sf_dir)
+    )
+
+
+def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.policy_search(mapping.policies(spark, sf_dir), mapping.policy_queries(spark, sf_dir))
+
+
+# --- timelines --------------------------------------------------------------------------------
+
+
+def merge_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = mapping.event_fragments(spark, sf_dir).select(
+        F.concat(F.lit("event-"), F.col("fragment_id").cast("string")).alias("fragment_id"),
+        "customer_id",
+        "channel",
+        "ts",
+        "summary",
+        "severity",
+    )
+    return memory.append_fragments(events, mapping.chat_fragments(spark, sf_dir))
+
+
+def timeline_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.timeline_context(mapping.customers(spark, sf_dir), mapping.event_fragments(spark, sf_dir))
+
+
+def channel_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.channel_coverage(
+        mapping.customers(spark, sf_dir), mapping.event_fragments(spark, sf_dir), mapping.REQUIRED_CHANNELS
+    )
+
+
+def compact_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.compact_memory(mapping.customers(spark, sf_dir), mapping.event_fragments(spark, sf_dir))
+
+
+def compact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = mapping.document_fragments(spark, sf_dir)
+    return memory.compact_memory(documents.select("customer_id").distinct(), documents)
+
+
+# --- usage, spans, scores ---------------------------------------------------------------------
+
+
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.token_usage(mapping.turns(spark, sf_dir))
+
+
+def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.sessions(usage.session_records(mapping.signals(spark, sf_dir)), gap_minutes=60)
+
+
+def span_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_stats(mapping.spans(spark, sf_dir), limit_ms=100)
+
+
+def recent_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.recent_spans(mapping.spans(spark, sf_dir))
+
+
+def span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_pairs(mapping.spans(spark, sf_dir))
+
+
+def score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_rollup(mapping.quality_scores(spark, sf_dir))
+
+
+def eval_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.eval_scoring(*mapping.eval_inputs(spark, sf_dir))
+
+
+def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = mapping.table(spark, sf_dir, "documents").select("text", "source")
+    after = redact_columns(before)
+    return (
+        scoring.leak_audit(before, ["text", "source"], mapping.LEAK_PATTERNS)
+        .withColumn("stage", F.lit("before"))
+        .unionByName(
+            scoring.leak_audit(after, ["text", "source"], mapping.LEAK_PATTERNS).withColumn("stage", F.lit("after"))
+        )
+    )
+
+
+def risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.risk_summary(mapping.risk_alerts(spark, sf_dir))
+
+
+# --- case decisions ---------------------------------------------------------------------------
+
+
+def file_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.file_disputes(mapping.disputable(spark, sf_dir), mapping.GATE_LIMIT)
+
+
+def dispute_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.dispute_totals(file_disputes(spark, sf_dir))
+
+
+def resolve_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = resolve.resolve_cases(mapping.open_cases(spark, sf_dir), mapping.GATE_LIMIT, mapping.CARD_LIMIT)
+    return cases.select(
+        "case_id",
+        "customer_id",
+        "status",
+        "failed_step",
+        "old_card_action",
+        F.col("dispute.status").alias("dispute_status"),
+        F.col("dispute.case_id").alias("dispute_case_id"),
+        F.col("dispute.credit").alias("credit"),
+        F.col("virtual_card.vcn_id").alias("vcn_id"),
+        F.col("virtual_card.masked_pan").alias("masked_pan"),
+        F.col("virtual_card.spending_limit").alias("spending_limit"),
+        F.col("courier.tracking_number").alias("tracking_number"),
+        F.col("courier.address").alias("address"),
+        F.col("courier.estimated_delivery").alias("estimated_delivery"),
+        "billers_updated",
+        "trace_id",
+    )
+
+
+# --- ingest -----------------------------------------------------------------------------------
+
+
+def decode_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notifications.decoded(mapping.notifications(spark, sf_dir)).select(
+        "doc_id", "delivery", "bucket", "name", "time_created", "generation", "reject_reason"
+    )
+
+
+def attach_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable, _ = notifications.decode_notifications(mapping.notifications(spark, sf_dir))
+    return notifications.attach_content(usable, mapping.stored_objects(spark, sf_dir)).select(
+        "doc_id", "delivery", "name", "status", F.length("content").alias("chars"), F.md5("content").alias("content_md5")
+    )
+
+
+def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable, _ = notifications.decode_notifications(mapping.notifications(spark, sf_dir))
+    contents = notifications.attach_content(
+        notifications.one_per_object(usable), mapping.stored_objects(spark, sf_dir)
+    )
+    return notifications.metadata_rows(contents, mapping.TAG_WORDS, F.lit(mapping.NOW))
+
+
+def explode_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = mapping.nested_records(spark, sf_dir)
+    listed = records.explode_records(nested, "records", ["event_id"])
+    keyed = records.explode_records(nested, "props_map", ["event_id"]).select(
+        "event_id", F.col("key").alias("label"), F.col("value").cast("double").alias("amount")
+    )
+    return listed.withColumn("kind", F.lit("list")).unionByName(keyed.withColumn("kind", F.lit("map")))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -52,6 +335,44 @@ QUERIES: dict[str, Query] = {
         travel_coverage,
         incident_chain,
         status_asof,
+        claim_veracity,
         recurring_payees,
+        redact_documents,
+        redact_events,
+        mask_accounts,
+        token_estimate,
+        tag_documents,
+        route_intent,
+        claim_scenario,
+        model_tier,
+        validate_orders,
+        gate_disputes,
+        normalise_logs,
+        account_statement,
+        card_status,
+        channel_activity,
+        memory_search,
+        policy_search,
+        merge_channels,
+        timeline_context,
+        channel_coverage,
+        compact_memory,
+        compact_documents,
+        token_usage,
+        activity_sessions,
+        span_stats,
+        recent_spans,
+        span_pairs,
+        score_rollup,
+        eval_scoring,
+        leak_audit,
+        risk_summary,
+        file_disputes,
+        dispute_totals,
+        resolve_cases,
+        decode_notifications,
+        attach_content,
+        metadata_rows,
+        explode_props,
     )
 }

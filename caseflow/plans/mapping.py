@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.operators.ordered import micros
+from caseflow.functions import fixed_values as fixed
+from caseflow.functions.rules import needs_audit, route_intent, tools_used
+from caseflow.functions.text import CARD_NUMBER, IDENTITY_NUMBER, strip
+from caseflow.operators.correlate import recurring_payees, step_up_audit, velocity_alerts
 
 NOTICE_PRIORITY = "1-URGENT"
 NOTICE_DAYS = 14
@@ -230,3 +233,347 @@ def spans_from(events: DataFrame) -> DataFrame:
         "ts",
         F.col("value").alias("duration_ms"),
     )
+
+
+# --- words that occur in the given texts --------------------------------------------------------
+# The domain's own words do not, so the keyword queries add these to exercise every branch.
+
+TAG_WORDS = {
+    **fixed.DOCUMENT_TAGS,
+    "credential": ["token", "password", "@"],
+    "licence": ["license", "apache", "mit"],
+}
+INTENT_WORDS = [
+    (label, [*words, extra])
+    for (label, words), extra in zip(fixed.INTENT_RULES, ["with", "from", "und ", "que "])
+]
+AUDIT_WORDS = [*fixed.AUDIT_WORDS, "this", "der "]
+CLAIM_WORDS = [
+    (label, [*words, extra])
+    for (label, words), extra in zip(fixed.CLAIM_RULES, ["with", "from", "und ", "que "])
+]
+GATE_LIMIT = 250_000.0
+CARD_LIMIT = 9_000.0
+REQUIRED_CHANNELS = ["click", "error", "purchase", "signup"]
+NOW = "2026-01-01T00:00:00Z"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the sizes of the turn before (their context) and of the reply after.
+
+    Turn numbers are unique in a conversation, so the neighbours are fetched by equality.
+    """
+    text = table(spark, sf_dir, "conversations")
+    sized = text.select("conv_id", "turn", "role", F.length("text").alias("chars"))
+    before = sized.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("chars").alias("memory"))
+    after = sized.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("chars").alias("reply")
+    )
+    intent = route_intent(F.col("text"), INTENT_WORDS)
+    audited = needs_audit(F.col("text"), AUDIT_WORDS)
+    asked = text.filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.length(strip(F.col("text"))).alias("chars"), tools_used(intent, audited).alias("tools")
+    )
+    return (
+        asked.join(before, ["conv_id", "turn"], "left")
+        .join(after, ["conv_id", "turn"], "left")
+        .select(
+            F.col("conv_id").alias("session_id"),
+            "turn",
+            F.coalesce("memory", F.lit(0)).alias("memory_chars"),
+            F.col("chars").alias("message_chars"),
+            F.coalesce("reply", F.lit(0)).alias("reply_chars"),
+            "tools",
+        )
+    )
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as policies, titled by their item number."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("policy_id"),
+        F.col("item_id").alias("position"),
+        F.concat(F.lit("policy "), F.col("item_id").cast("string")).alias("title"),
+        F.col("text").alias("summary"),
+    )
+
+
+def policy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two queries per item: its first words, and a word no text has."""
+    words = F.split("text", " ")
+    ids = table(spark, sf_dir, "benchmark").select(
+        "item_id",
+        F.posexplode(
+            F.array(
+                F.concat_ws(" ", F.element_at(words, 1), F.concat(F.element_at(words, 2), F.lit("x"))),
+                F.concat(F.lit("qzx"), F.col("item_id").cast("string")),
+            )
+        ).alias("n", "query"),
+    )
+    return ids.select((F.col("item_id") * 2 + F.col("n")).alias("query_id"), "query")
+
+
+def memory_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search per benchmark item, for its second word, among one source's documents."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("customer_id"),
+        F.element_at(F.split("text", " "), 2).alias("query"),
+    )
+
+
+def searchable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("fragment_id"),
+        F.col("source").alias("customer_id"),
+        F.col("lang").alias("channel"),
+        F.col("text").alias("summary"),
+        F.create_map(F.lit("size"), F.col("n_chars").cast("string")).alias("metadata"),
+    )
+
+
+def chat_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.lit("chat"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("fragment_id"),
+        F.col("conv_id").alias("customer_id"),
+        F.concat(F.lit("chat_"), F.col("role")).alias("channel"),
+        F.col("text").alias("summary"),
+    )
+
+
+def disputable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as disputed transactions: some without a merchant, unapproved, or with a token."""
+    priority = F.col("priority")
+    return transactions(spark, sf_dir).select(
+        "transaction_id",
+        "customer_id",
+        "ts",
+        "amount",
+        F.when(priority == "4-NOT SPECIFIED", "  ").otherwise(priority).alias("merchant"),
+        (F.col("status") != "P").alias("approved"),
+        F.when(priority == "2-HIGH", "token").otherwise(F.lit(None)).alias("token"),
+    )
+
+
+def flawed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with every kind of input error, told by their own values."""
+    priority, status, amount = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("transaction_id"),
+        F.when(priority == "5-LOW", " Unknown ")
+        .when((priority == "4-NOT SPECIFIED") & (status == "P"), " \t")
+        .otherwise(F.col("o_custkey").cast("string"))
+        .alias("customer_id"),
+        F.when(amount > 450_000, float("nan")).when(amount < 50_000, -amount).otherwise(amount).alias("amount"),
+        F.when(
+            (priority == "3-MEDIUM") & (status == "F"), "ab12"
+        ).otherwise(F.concat(F.lit(" **"), F.lpad(F.col("o_orderkey").cast("string"), 4, "0"))).alias("card_ending"),
+        F.when((priority == "2-HIGH") & (status == "O"), " 12 ").otherwise(priority).alias("address"),
+    )
+
+
+def open_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as compromised-card cases, joined with their customer and recurring payees."""
+    billers = (
+        recurring_payees(merchant_charges(spark, sf_dir)).groupBy("customer_id").agg(F.count(F.lit(1)).alias("billers"))
+    )
+    holder = customers(spark, sf_dir).select(
+        "customer_id",
+        F.col("balance").alias("spending_limit"),
+        F.right("name", F.lit(4)).alias("card_last4"),
+        F.when(F.col("segment") == "FURNITURE", F.lit(" N/A ")).otherwise(F.col("name")).alias("address"),
+    )
+    return (
+        disputable(spark, sf_dir)
+        .withColumn("case_id", F.col("transaction_id"))
+        .withColumnRenamed("ts", "opened_at")
+        .join(holder, "customer_id", "left")
+        .join(billers, "customer_id", "left")
+    )
+
+
+def risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocity alerts and mismatched replies as rows of (customer_id, kind, ts)."""
+    moved = velocity_alerts(signals(spark, sf_dir), locations(spark, sf_dir))
+    asked = challenges(spark, sf_dir)
+    suspect = step_up_audit(asked, replies(spark, sf_dir)).filter(F.col("compromise_likelihood") == "HIGH")
+    return moved.select("customer_id", F.lit("VELOCITY").alias("kind"), "ts").unionByName(
+        suspect.join(asked.select("challenge_id", F.col("challenge_ts").alias("ts")), "challenge_id").select(
+            "customer_id", F.lit("STEP_UP_MISMATCH").alias("kind"), "ts"
+        )
+    )
+
+
+def notifications_from(documents: DataFrame) -> DataFrame:
+    """Documents as storage notifications: some broken in each possible way, some sent twice."""
+    doc, case = F.col("doc_id"), F.col("doc_id") % 10
+    created = F.date_format(F.timestamp_seconds(doc + 1_700_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    body = F.struct(
+        F.concat(F.lit("docs-"), F.col("lang")).alias("bucket"),
+        F.when(case != 5, object_name()).alias("name"),
+        F.when(doc % 7 != 0, created).alias("timeCreated"),
+        doc.cast("string").alias("generation"),
+    )
+    data = F.when(case == 4, F.base64(F.encode(F.lit("{oops"), "UTF-8"))).when(
+        case != 3, F.base64(F.encode(F.to_json(body), "UTF-8"))
+    )
+    message = F.struct(data.alias("data"), doc.cast("string").alias("messageId"), created.alias("publishTime"))
+    raw = (
+        F.when(case == 1, F.when(doc % 20 == 1, "").otherwise("{}"))
+        .when(case == 2, '{"subscription":"files"}')
+        .otherwise(F.to_json(F.struct(message.alias("message"), F.lit("files").alias("subscription"))))
+    )
+    copies = F.when(doc % 8 == 0, 2).otherwise(1)
+    return documents.select(
+        "doc_id",
+        raw.alias("raw"),
+        F.timestamp_seconds(doc + 1_700_000_000).alias("received_at"),
+        F.explode(F.sequence(F.lit(1), copies)).alias("delivery"),
+    )
+
+
+def object_name() -> Column:
+    return F.concat_ws("", F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notifications_from(table(spark, sf_dir, "documents"))
+
+
+def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in storage: documents that are longer than a stub."""
+    return (
+        table(spark, sf_dir, "documents")
+        .filter(F.col("n_chars") > 200)
+        .select(
+            F.concat(F.lit("docs-"), F.col("lang")).alias("bucket"),
+            object_name().alias("name"),
+            F.col("text").alias("content"),
+        )
+    )
+
+
+def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with nested details that hold card and identity numbers and secrets."""
+    key = F.col("event_id").cast("string")
+    card = F.concat(F.lit("4"), F.lpad(key, 15, "0"))
+    identity = F.concat(F.lit("123-45-"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"))
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.struct(
+            props_key().alias("PIN"),
+            F.concat_ws(" ", F.lit("card"), card, F.lit("of"), F.col("user_id").cast("string")).alias("note"),
+            F.struct(F.lit(None).cast("string").alias("otp"), F.col("event_type").alias("label")).alias("device"),
+            F.array(F.concat(F.lit("id "), identity), F.col("event_type")).alias("remarks"),
+            F.create_map(
+                F.lit("Cvv"), F.col("value").cast("string"), F.lit("memo"), F.concat(F.lit("paid with "), card)
+            ).alias("attributes"),
+            F.col("value").alias("amount"),
+        ).alias("details"),
+    )
+
+
+def card_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card endings as customers write them."""
+    ending = F.right("name", F.lit(4))
+    return customers(spark, sf_dir).select(
+        "customer_id",
+        F.when(F.col("segment") == "HOUSEHOLD", F.concat(F.lit(" **"), ending, F.lit(" \n")))
+        .when(F.col("segment") == "BUILDING", F.concat(F.lit("* "), ending))
+        .when(F.col("segment") == "FURNITURE", F.col("name"))
+        .otherwise(ending)
+        .alias("card_ending"),
+    )
+
+
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log lines; every second one lacks the service."""
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("event_type").alias("level"),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("svc-"), F.col("user_id").cast("string"))).alias("service"),
+        F.when(F.col("event_type") == "error", "gateway").alias("component"),
+        F.col("user_id").alias("trace_number"),
+        F.col("event_id").alias("span_number"),
+    )
+
+
+def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as work items: the kind of task from the event, the risk from its key."""
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(kind == "error", "VERACITY_AUDIT")
+        .when(kind == "click", "IVR_LOG_LOOKUP")
+        .when(kind == "signup", "WALLET_EVENT_LOOKUP")
+        .otherwise("CARD_OPS")
+        .alias("task"),
+        props_key().alias("risk"),
+        (F.col("value") > 200).alias("multi_hop"),
+    )
+
+
+def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a list of small records; views have an empty one."""
+    record = "array<struct<label:string,amount:double>>"
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(
+            F.col("event_type") != "view",
+            F.array(
+                F.struct(F.lit("k").alias("label"), props_key().cast("double").alias("amount")),
+                F.struct(F.col("event_type").alias("label"), F.col("value").alias("amount")),
+            ),
+        )
+        .otherwise(F.array().cast(record))
+        .alias("records"),
+        F.from_json("props", "map<string,int>").alias("props_map"),
+    )
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality labels as scores: the language is the set, the source the pillar."""
+    where = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return table(spark, sf_dir, "labels").join(where, "doc_id").select(
+        F.col("lang").alias("set"),
+        F.col("source").alias("pillar"),
+        (F.col("quality") * 19).cast("long").alias("score"),
+        F.lit(19).cast("long").alias("max_score"),
+    )
+
+
+EVAL_CASES = 40
+
+
+def eval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as cases, each asking for different checks, and documents as outputs."""
+    item = F.col("item_id")
+    first = F.element_at(F.split("text", " "), 1)
+    cases = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("set-"), (item % 5).cast("string")).alias("eval_set_id"),
+        item.alias("eval_id"),
+        F.when(item % 4 == 3, 4).otherwise(5).alias("weight_points"),
+        F.when(item % 2 == 0, F.array(first)).alias("expected_terms"),
+        F.array(F.lit("password"), F.lit("Full_Pan")).alias("forbidden_terms"),
+        F.when(item % 3 == 0, F.array(F.lit("[a-z]{4}"))).alias("required_patterns"),
+        F.array(F.lit("[0-9]{16}")).alias("forbidden_patterns"),
+        F.when(item % 5 == 0, F.lit("src1")).alias("expected_prefix"),
+        F.when(item % 2 == 1, F.lit(100.0)).alias("minimum"),
+        F.when(item % 4 == 1, F.lit(5000.0)).alias("maximum"),
+        F.when(item % 3 == 1, F.array(F.lit("en"))).alias("expected_members"),
+    )
+    outputs = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % EVAL_CASES).alias("eval_id"),
+        "text",
+        F.col("source").alias("trace_id"),
+        F.col("n_chars").cast("double").alias("value"),
+        F.array("lang", "source").alias("members"),
+    )
+    return cases, outputs
+
+
+LEAK_PATTERNS = {
+    "card_number": CARD_NUMBER,
+    "identity_number": IDENTITY_NUMBER,
+    **{word: word for word in fixed.FORBIDDEN_TELEMETRY_KEYS},
+}

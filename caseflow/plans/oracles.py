@@ -6,6 +6,11 @@ pick or a join), so that the two agree only if the rule is met.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from caseflow.functions import fixed_values as fixed
+from caseflow.plans import mapping
+
 _K = "CAST(regexp_extract(props, '[0-9]+') AS INTEGER)"
 
 _SIGNALS = f"""
@@ -72,6 +77,184 @@ payees AS (
   FROM charges GROUP BY customer_id, merchant_id HAVING count(DISTINCT date_trunc('month', ts)) >= 2
 )"""
 
+
+# The engine's regular expressions spell code points differently.
+_WS = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_CARD = fixed.CARD_NUMBER_PATTERN
+_IDENTITY = fixed.IDENTITY_NUMBER_PATTERN
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _strip(column: str) -> str:
+    return f"regexp_replace({column}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+def _any(column: str, words: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), {_quote(w)})" for w in words) + ")"
+
+
+def _first(column: str, rules, default) -> str:
+    def lit(v):
+        return _quote(v) if isinstance(v, str) else str(v)
+
+    whens = " ".join(f"WHEN {_any(column, words)} THEN {lit(label)}" for label, words in rules)
+    return f"CASE {whens} ELSE {lit(default)} END"
+
+
+def _redact(column: str) -> str:
+    cards = f"regexp_replace({column}, '{_CARD}', '{fixed.CARD_NUMBER_REPLACEMENT}', 'g')"
+    return f"regexp_replace({cards}, '{_IDENTITY}', '{fixed.IDENTITY_NUMBER_REPLACEMENT}', 'g')"
+
+
+def _stable_id(prefix: str, key: str, digits: int = 32) -> str:
+    return f"'{prefix}' || upper(left(sha256('{prefix}|' || {key}), {digits}))"
+
+
+def _even(value: str, by: int) -> str:
+    """Integer division rounded half to even."""
+    return (
+        f"({value}) // {by} + CASE WHEN ({value}) % {by} * 2 > {by} "
+        f"OR (({value}) % {by} * 2 = {by} AND (({value}) // {by}) % 2 = 1) THEN 1 ELSE 0 END"
+    )
+
+
+_INTENT = _first(_strip("text"), mapping.INTENT_WORDS, fixed.INTENT_DEFAULT)
+_AUDITED = _any(_strip("text"), mapping.AUDIT_WORDS)
+_SCENARIO = _first(_strip("text"), mapping.CLAIM_WORDS, fixed.CLAIM_DEFAULT)
+
+_ROUTED = f"""
+routed AS (
+  SELECT conv_id, turn, text, {_INTENT} AS intent, {_AUDITED} AS is_audited FROM conversations WHERE role = 'user'
+),
+tooled AS (
+  SELECT *, CAST(is_audited AS INTEGER) + CASE intent WHEN 'ONE_CLICK_RESOLUTION' THEN 2 WHEN 'DISPUTE_FILED' THEN 1
+                                                      WHEN 'VCN_PROVISIONED' THEN 1 ELSE 0 END AS tools
+  FROM routed
+)"""
+
+_FRAGMENTS = """
+fragments AS (
+  SELECT event_id AS fragment_id, user_id AS customer_id, event_type AS channel, ts,
+         strftime(ts, '%Y-%m-%d %H:%M') AS day_label,
+         event_type || ' value ' || CAST(CAST(value AS DECIMAL(12, 2)) AS VARCHAR) || ' props ' || props AS summary,
+         CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'purchase' THEN 'MEDIUM' ELSE 'INFO' END AS severity
+  FROM events
+)"""
+
+_COMPACTION = """
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY customer_id, channel ORDER BY
+            CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 0 END DESC, ts DESC, fragment_id DESC) AS rn
+  FROM fragments
+),
+packed AS (
+  SELECT customer_id, count(*) AS n, sum(length(summary)) AS chars,
+         string_agg('[' || channel || '] ' || summary, chr(10) ORDER BY channel) FILTER (rn = 1) AS compacted_summary
+  FROM ranked GROUP BY customer_id
+),
+tokens AS (
+  SELECT *, greatest(1, CAST(chars AS BIGINT) // 4) AS raw, length(compacted_summary) // 4 AS compact FROM packed
+)
+SELECT k.customer_id, CASE WHEN n IS NULL THEN 'NO_OP' ELSE 'COMPACTED' END AS status, coalesce(n, 0) AS source_fragments,
+       raw AS raw_tokens, compact AS compacted_tokens,
+       CAST(round_even(CAST(raw - compact AS DOUBLE) / raw * 100, 1) AS DOUBLE) AS reduction_pct,
+       CAST(round_even((raw - compact) * CAST(0.000002 AS DOUBLE), 5) AS DOUBLE) AS saved_usd,
+       CASE WHEN n IS NOT NULL THEN greatest(0, raw - compact) END AS tokens_saved, compacted_summary
+FROM holders k LEFT JOIN tokens USING (customer_id)"""
+
+_SPANS = f"""
+spans AS (
+  SELECT event_id AS span_id, user_id AS session_id, ts, value AS duration_ms, 'tool_' || ({_K} % 5) AS name,
+         CASE event_type WHEN 'click' THEN 'START' WHEN 'view' THEN 'COMPLETE' ELSE event_type END AS span_type
+  FROM events
+)"""
+
+_PAIRS_FROM = """
+marks AS (SELECT * FROM spans WHERE span_type IN ('START', 'COMPLETE')),
+linked AS (
+  SELECT *, lead(span_type) OVER w AS next_type, lead(span_id) OVER w AS next_id, lead(ts) OVER w AS next_ts,
+         lag(span_type) OVER w AS prev_type, lag(ts) OVER w AS prev_ts
+  FROM marks WINDOW w AS (PARTITION BY session_id, name ORDER BY ts, span_id)
+)"""
+
+
+def _pairs(timeout_us: int | None) -> str:
+    soon = "" if timeout_us is None else f" AND epoch_us(next_ts) - epoch_us(ts) <= {timeout_us}"
+    late = "false" if timeout_us is None else f"epoch_us(ts) - epoch_us(prev_ts) > {timeout_us}"
+    return f"""WITH {_SPANS}, {_PAIRS_FROM}
+SELECT session_id, name, span_id AS start_span_id, next_id AS complete_span_id,
+       (epoch_us(next_ts) - epoch_us(ts)) / CAST(1000 AS DOUBLE) AS duration_ms, 'PAIRED' AS pairing
+FROM linked WHERE span_type = 'START' AND next_type = 'COMPLETE'{soon}
+UNION ALL
+SELECT session_id, name, span_id, NULL, NULL, 'NO_COMPLETION'
+FROM linked WHERE span_type = 'START' AND NOT coalesce(next_type = 'COMPLETE'{soon}, false)
+UNION ALL
+SELECT session_id, name, NULL, span_id, 0.0, 'NO_START'
+FROM linked WHERE span_type = 'COMPLETE' AND (prev_type IS NULL OR prev_type = 'COMPLETE' OR {late})"""
+
+
+_DISPUTABLE = """
+txs AS (
+  SELECT o_orderkey AS transaction_id, o_custkey AS customer_id, o_totalprice AS amount, o_orderdate AS ts,
+         o_orderpriority = '4-NOT SPECIFIED' AS no_merchant, o_orderstatus <> 'P' AS approved,
+         o_orderpriority = '2-HIGH' AS has_token
+  FROM orders
+)"""
+
+_DISPUTES = f"""{_DISPUTABLE},
+decided AS (
+  SELECT *, CASE WHEN amount <= 0 OR no_merchant THEN 'ERROR'
+                 WHEN NOT approved OR (amount > 250000 AND NOT has_token) THEN 'APPROVAL_REQUIRED'
+                 ELSE 'PROVISIONAL_CREDIT_POSTED' END AS status
+  FROM txs
+),
+disputes AS (
+  SELECT transaction_id, customer_id, status,
+         CASE WHEN amount <= 0 THEN 'INVALID_AMOUNT' WHEN no_merchant THEN 'EMPTY_MERCHANT' END AS error_type,
+         CASE WHEN status LIKE 'PROV%' THEN {_stable_id("DSP-", "transaction_id")} END AS case_id,
+         CASE WHEN status LIKE 'PROV%' THEN amount END AS credit,
+         CASE WHEN status LIKE 'PROV%' THEN 10 END AS resolution_days
+  FROM decided
+)"""
+
+_NOTIFICATIONS = """
+copies AS (
+  SELECT *, unnest(CASE WHEN doc_id % 8 = 0 THEN [1, 2] ELSE [1] END) AS delivery, doc_id % 10 AS fault FROM documents
+),
+decoded AS (
+  SELECT *, CASE fault WHEN 1 THEN 'NO_PAYLOAD' WHEN 2 THEN 'INVALID_FORMAT' WHEN 3 THEN 'NO_DATA'
+                       WHEN 4 THEN 'DECODE_FAILED' WHEN 5 THEN 'MISSING_OBJECT' END AS reject_reason,
+         CASE WHEN fault NOT IN (1, 2, 3, 4) THEN 'docs-' || lang END AS bucket,
+         CASE WHEN fault NOT IN (1, 2, 3, 4, 5) THEN source || '/' || doc_id || '.txt' END AS name,
+         CASE WHEN fault NOT IN (1, 2, 3, 4) AND doc_id % 7 <> 0
+              THEN strftime(make_timestamp((doc_id + 1700000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS time_created,
+         CASE WHEN fault NOT IN (1, 2, 3, 4) THEN CAST(doc_id AS VARCHAR) END AS generation
+  FROM copies
+)"""
+
+_TAGS = (
+    "coalesce(nullif(array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN {_any('text', words)} THEN '{tag}' END" for tag, words in sorted(mapping.TAG_WORDS.items()))
+    + "], lambda t: t IS NOT NULL), ', '), ''), 'document')"
+)
+_WORDS = f"len(regexp_extract_all(text, '[^{_WS}]+'))"
+
+
+def _leaks(stage: str, column: str, value: str) -> str:
+    parts = []
+    for label, pattern in mapping.LEAK_PATTERNS.items():
+        found = f"len(regexp_extract_all({value}, '{pattern.removeprefix('(?U)')}'))"
+        parts.append(
+            f"SELECT '{stage}' AS stage, '{column}' AS column_name, '{label}' AS pattern, "
+            f"CAST(count(*) FILTER ({found} > 0) AS BIGINT) AS rows_with_match, CAST(sum({found}) AS BIGINT) AS matches "
+            f"FROM documents"
+        )
+    return " UNION ALL ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "velocity_alerts": f"WITH {_VELOCITY} SELECT * FROM velocity",
     "unfamiliar_high_value": f"""
@@ -130,4 +313,325 @@ pairs AS (
 SELECT charge_id, customer_id, ts, status_id, status, coalesce(status = 'LOCKED', false) AS explained_by_lock
 FROM pairs WHERE rn = 1""",
     "recurring_payees": f"WITH {_PAYEES} SELECT * FROM payees",
+    "claim_veracity": f"""
+WITH {_STEP_UP},
+claims AS (SELECT conv_id AS customer_id, turn, text AS claim_text, {_SCENARIO} AS scenario FROM conversations WHERE role = 'user'),
+ledger AS (SELECT o_custkey AS customer_id, count(*) AS ledger_rows, count(*) FILTER (o_orderpriority = '1-URGENT') AS notices
+           FROM orders GROUP BY 1),
+baseline AS (SELECT user_id AS customer_id, count(*) AS baseline_rows FROM events GROUP BY 1),
+suspect AS (SELECT customer_id, count(*) AS suspect_replies FROM step_up WHERE compromise_likelihood = 'HIGH' GROUP BY 1),
+support AS (
+  {" UNION ALL ".join(
+      f"SELECT {label} AS scenario, count(*) FILTER ({_any('text', words)} OR {_any(chr(39) + 'policy ' + chr(39) + ' || item_id', words)}) AS policies FROM benchmark"
+      for label, words in mapping.CLAIM_WORDS)}
+  UNION ALL SELECT 5, count(*) FROM benchmark
+),
+judged AS (
+  SELECT c.*, coalesce(ledger_rows, 0) AS ledger_rows, coalesce(notices, 0) AS notices,
+         coalesce(baseline_rows, 0) AS baseline_rows, coalesce(suspect_replies, 0) AS suspect_replies,
+         coalesce(policies, 0) AS policies,
+         CASE WHEN scenario = 4 THEN 'CONTRADICTED_BY_TELEMETRY'
+              WHEN scenario = 1 AND coalesce(notices, 0) = 0 THEN 'UNVERIFIED_PENDING' ELSE 'VERIFIED_TRUE' END AS status
+  FROM claims c LEFT JOIN ledger USING (customer_id) LEFT JOIN baseline USING (customer_id)
+       LEFT JOIN suspect USING (customer_id) LEFT JOIN support USING (scenario)
+),
+scored AS (
+  SELECT *, CAST(CASE WHEN status = 'UNVERIFIED_PENDING' THEN 0.65
+                      ELSE [0.99, 0.99, 0.98, 0.15, 0.92][scenario] END AS DOUBLE) AS confidence,
+         CASE WHEN status = 'UNVERIFIED_PENDING' THEN 0 ELSE [3, 4, 3, 0, 2][scenario] END AS signals,
+         CASE WHEN status LIKE 'CONTRA%' THEN 'FAIL' ELSE 'PASS' END AS verdict
+  FROM judged
+)
+SELECT customer_id, turn, claim_text, scenario, status, confidence, signals, verdict AS ledger_check,
+       verdict AS travel_check, 'PASS' AS baseline_check, 'PASS' AS consent_check, 'PASS' AS policy_check,
+       confidence < 0.8 AS needs_review, ledger_rows, notices, baseline_rows, suspect_replies, policies
+FROM scored""",
+    "redact_documents": f"""
+SELECT doc_id, {_redact('text')} AS redacted_text, {_redact('text')} <> text AS was_changed FROM documents""",
+    "redact_events": f"""
+WITH d AS (
+  SELECT event_id, event_type, value, 'card 4' || lpad(CAST(event_id AS VARCHAR), 15, '0') || ' of ' || user_id AS note,
+         'id 123-45-' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') || '|' || event_type AS remarks,
+         'paid with 4' || lpad(CAST(event_id AS VARCHAR), 15, '0') AS memo
+  FROM events
+)
+SELECT event_id, '***REDACTED_CVV***' AS pin, {_redact('note')} AS note, '***REDACTED_CVV***' AS device_otp,
+       event_type AS device_label, {_redact('remarks')} AS remarks, '***REDACTED_CVV***' AS cvv, {_redact('memo')} AS memo,
+       value AS amount
+FROM d""",
+    "mask_accounts": """
+WITH e AS (
+  SELECT c_custkey AS customer_id, CASE WHEN c_mktsegment IN ('FURNITURE', 'BUILDING') THEN NULL ELSE right(c_name, 4) END AS last4
+  FROM customer
+)
+SELECT customer_id, last4, '************' || last4 AS masked_pan, last4 IS NOT NULL AS is_valid FROM e""",
+    "token_estimate": """
+SELECT doc_id, greatest(1, length(text) // 4) AS tokens, length(lang) // 4 AS unfloored_tokens FROM documents""",
+    "tag_documents": f"SELECT doc_id, {_TAGS} AS tags, {_WORDS} AS word_count FROM documents",
+    "route_intent": f"""
+WITH {_ROUTED} SELECT conv_id AS customer_id, turn, intent, is_audited, tools FROM tooled""",
+    "claim_scenario": f"""
+SELECT conv_id AS customer_id, turn, {_SCENARIO} AS scenario FROM conversations WHERE role = 'user'""",
+    "model_tier": f"""
+SELECT event_id, CASE WHEN value > 200 OR {_K} >= 85 OR event_type = 'error' THEN 'pro'
+                      WHEN event_type IN ('click', 'signup') THEN 'lite' ELSE 'fast' END AS tier FROM events""",
+    "validate_orders": """
+WITH e AS (
+  SELECT o_orderkey AS transaction_id,
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P' THEN 1
+              WHEN o_orderpriority = '5-LOW' THEN 2
+              WHEN o_totalprice > 450000 OR o_totalprice < 50000 THEN 3
+              WHEN (o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'F') THEN 4
+              WHEN length(CAST(o_orderkey AS VARCHAR)) > 4 THEN 0
+              WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' THEN 5 ELSE 0 END AS e,
+         o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' AS short_address
+  FROM orders
+),
+f AS (SELECT transaction_id, CASE WHEN e = 0 AND short_address THEN 5 ELSE e END AS e FROM e)
+SELECT transaction_id,
+       ['INVALID_CUSTOMER', 'NOT_FOUND', 'INVALID_AMOUNT', 'INVALID_CARD_ENDING', 'INCOMPLETE_ADDRESS'][e] AS error_type,
+       ['customer_id must not be empty', 'customer_id is not on file', 'amount must be a number above zero',
+        'card_ending must have four digits', 'address is too short'][e] AS error_message,
+       [true, false, true, true, true][e] AS retryable,
+       ['card_status', 'card_status', 'account_statement', NULL, NULL][e] AS fallback
+FROM f""",
+    "gate_disputes": f"""
+WITH {_DISPUTABLE}
+SELECT transaction_id, amount, CASE WHEN amount <= 0 THEN 'ERROR'
+       WHEN NOT approved OR (amount > 250000 AND NOT has_token) THEN 'APPROVAL_REQUIRED' ELSE 'EXECUTE' END AS decision
+FROM txs""",
+    "normalise_logs": """
+SELECT event_id, upper(event_type) AS severity, CASE WHEN event_id % 2 = 0 THEN 'svc-' || user_id ELSE 'case-service' END AS service,
+       CASE WHEN event_type = 'error' THEN 'gateway' ELSE 'case-pipeline' END AS component,
+       lpad(lower(to_hex(user_id)), 32, '0') AS trace_id, lpad(lower(to_hex(event_id)), 16, '0') AS span_id
+FROM events""",
+    "account_statement": """
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS recency FROM orders
+),
+b AS (
+  SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM orders GROUP BY 1
+)
+SELECT c_custkey AS customer_id, coalesce(cents, 0) / CAST(100 AS DOUBLE) AS current_balance,
+       (2500000 - coalesce(cents, 0)) / CAST(100 AS DOUBLE) AS available_credit, coalesce(n, 0) AS transactions,
+       CAST(recency AS INTEGER) AS recency, o_orderkey AS transaction_id, o_orderdate AS ts, o_totalprice AS amount,
+       o_orderstatus AS status
+FROM customer LEFT JOIN b ON b.o_custkey = c_custkey LEFT JOIN t ON t.o_custkey = c_custkey AND recency <= 3""",
+    "card_status": """
+SELECT user_id AS customer_id, arg_max(CASE event_type WHEN 'error' THEN 'LOCKED' ELSE 'ACTIVE' END, (ts, event_id)) AS status,
+       CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'DECLINE_EVENT' END AS lock_reason,
+       max(ts) AS since, arg_max(event_id, (ts, event_id)) AS status_id, count(*) AS changes,
+       arg_max(event_type, (ts, event_id)) = 'error' AS replacement_eligible,
+       arg_max(event_type, (ts, event_id)) <> 'error' AS wallet_eligible
+FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id""",
+    "channel_activity": f"""
+SELECT user_id AS customer_id, count(*) AS records, min(ts) AS first_ts, max(ts) AS last_ts,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount_cents, count(DISTINCT {_K} % 25) AS locations,
+       'click' AS channel
+FROM events WHERE event_type = 'click' GROUP BY user_id""",
+    "memory_search": """
+WITH q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS customer_id, lower(split_part(text, ' ', 2)) AS q FROM benchmark),
+pairs AS (
+  SELECT query_id, customer_id, doc_id AS fragment_id,
+         contains(lower(text), q) OR contains(lower(lang), q) OR contains(CAST(n_chars AS VARCHAR), q) AS hit
+  FROM q JOIN documents ON source = customer_id
+),
+flagged AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM pairs)
+SELECT query_id, customer_id, fragment_id, hit AS is_match FROM flagged WHERE hit OR NOT any_hit""",
+    "policy_search": f"""
+WITH q AS (
+  SELECT item_id * 2 AS query_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || 'x' AS query FROM benchmark
+  UNION ALL SELECT item_id * 2 + 1, 'qzx' || item_id FROM benchmark
+),
+w AS (SELECT query_id, unnest(string_split_regex(lower(query), '[{_WS}]+')) AS word FROM q),
+m AS (
+  SELECT DISTINCT query_id, item_id AS policy_id FROM w, benchmark
+  WHERE contains(lower(text), word) OR contains('policy ' || item_id, word)
+)
+SELECT query_id, policy_id, policy_id AS position, true AS is_match FROM m
+UNION ALL
+SELECT query_id, policy_id, policy_id, false
+FROM q, (SELECT item_id AS policy_id FROM benchmark ORDER BY 1 LIMIT 2) WHERE query_id NOT IN (SELECT query_id FROM m)""",
+    "merge_channels": f"""
+WITH {_FRAGMENTS}
+SELECT 'event-' || fragment_id AS fragment_id, customer_id, channel, ts, summary, severity FROM fragments
+UNION ALL
+SELECT 'chat-' || conv_id || '-' || turn, conv_id, 'chat_' || role, NULL, text, NULL FROM conversations""",
+    "timeline_context": f"""
+WITH {_FRAGMENTS},
+lines AS (
+  SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY ts, fragment_id) - 1 AS n,
+         '- [' || day_label || '] [' || channel || '] ' || CASE channel
+           WHEN 'click' THEN '[Veracity: Unverified]'
+           WHEN 'error' THEN '[Veracity: CONTRADICTED_BY_TELEMETRY (Conf: 15%)]'
+           WHEN 'signup' THEN '[Veracity: VERIFIED_TRUE (Conf: 99%)]'
+           WHEN 'view' THEN '[Veracity: VERIFIED_TRUE (Conf: 100%)]'
+           ELSE '[Veracity: UNVERIFIED_PENDING (Conf: 56%)]' END || ': ' || summary AS line
+  FROM fragments
+),
+sized AS (SELECT *, n // 1000 AS page, count(*) OVER (PARTITION BY customer_id) AS total FROM lines),
+pages AS (
+  SELECT customer_id, page, count(*) AS lines, max(n) + 1 = max(total) AS is_last, string_agg(line, chr(10) ORDER BY n) AS body
+  FROM sized GROUP BY customer_id, page
+)
+SELECT customer_id, page, lines, CASE WHEN page = 0 THEN '=== TIMELINE (customer ' || customer_id || ') ===' || chr(10) ELSE '' END
+       || body || CASE WHEN is_last THEN chr(10) || '=== END OF TIMELINE ===' ELSE '' END AS context
+FROM pages
+UNION ALL
+SELECT c_custkey, 0, 0, 'No earlier records for this customer.' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
+    "channel_coverage": """
+WITH need AS (SELECT unnest(['click', 'error', 'purchase', 'signup']) AS channel),
+have AS (SELECT DISTINCT user_id, event_type FROM events)
+SELECT c_custkey AS customer_id, CAST(count(event_type) AS INTEGER) AS channels_present,
+       coalesce(string_agg(channel, ', ' ORDER BY channel) FILTER (event_type IS NULL), '') AS missing_channels,
+       count(event_type) = 4 AS is_complete
+FROM customer CROSS JOIN need LEFT JOIN have ON user_id = c_custkey AND event_type = channel GROUP BY c_custkey""",
+    "compact_memory": f"WITH {_FRAGMENTS}, holders AS (SELECT c_custkey AS customer_id FROM customer), {_COMPACTION}",
+    "compact_documents": f"""
+WITH fragments AS (
+  SELECT doc_id AS fragment_id, source AS customer_id, lang AS channel, doc_id AS ts, text AS summary,
+         CASE WHEN n_chars >= 2000 THEN 'HIGH' WHEN n_chars >= 500 THEN 'MEDIUM' ELSE 'INFO' END AS severity
+  FROM documents
+), holders AS (SELECT DISTINCT source AS customer_id FROM documents), {_COMPACTION}""",
+    "token_usage": f"""
+WITH {_ROUTED},
+sized AS (
+  SELECT u.conv_id, u.turn, u.tools, length({_strip("u.text")}) AS message, coalesce(length(b.text), 0) AS memory,
+         coalesce(length(a.text), 0) AS reply
+  FROM tooled u LEFT JOIN conversations b ON b.conv_id = u.conv_id AND b.turn = u.turn - 1
+       LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+),
+spent AS (
+  SELECT conv_id, turn, CAST(265 + greatest(1, memory // 4) + greatest(1, message // 4) + 48 * tools AS BIGINT) AS i,
+         CAST(greatest(1, reply // 4) + 36 * tools AS BIGINT) AS o
+  FROM sized
+),
+total AS (
+  SELECT *, count(*) OVER w + 1 AS turns_count, CAST(482 + sum(i) OVER w AS BIGINT) AS ti, CAST(146 + sum(o) OVER w AS BIGINT) AS t_o
+  FROM spent WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+)
+SELECT conv_id AS session_id, turn, i AS input_tokens, o AS output_tokens, turns_count, ti AS total_input, t_o AS total_output,
+       ti + t_o AS total_tokens, {_even("ti * 15 + t_o * 60", 100)} AS cost_micro_usd,
+       ((ti * 2000 + ti + t_o) // ((ti + t_o) * 2)) / CAST(10 AS DOUBLE) AS input_share_pct,
+       (1000 - (ti * 2000 + ti + t_o) // ((ti + t_o) * 2)) / CAST(10 AS DOUBLE) AS output_share_pct
+FROM total""",
+    "activity_sessions": """
+WITH gaps AS (
+  SELECT user_id, epoch_us(ts) AS us, event_id, CAST(round(value * 100) AS BIGINT) AS cents,
+         epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap
+  FROM events
+),
+numbered AS (
+  SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS s
+  FROM gaps
+)
+SELECT user_id AS customer_id, min(us) AS start_us, max(us) AS end_us, count(*) AS records, CAST(sum(cents) AS BIGINT) AS amount_cents
+FROM numbered GROUP BY user_id, s""",
+    "span_stats": f"""
+WITH {_SPANS},
+ranked AS (
+  SELECT span_type, name, CAST(round(duration_ms * 100) AS BIGINT) AS d,
+         row_number() OVER (PARTITION BY span_type, name ORDER BY duration_ms) AS rn,
+         count(*) OVER (PARTITION BY span_type, name) AS total
+  FROM spans
+)
+SELECT span_type, name, count(*) AS spans, round(CAST(sum(d) AS DOUBLE) / (count(*) * CAST(100 AS DOUBLE)), 4) AS mean_ms,
+       min(d) FILTER (rn * 100 >= total * 50) / CAST(100 AS DOUBLE) AS p50_ms,
+       min(d) FILTER (rn * 100 >= total * 95) / CAST(100 AS DOUBLE) AS p95_ms, max(d) / CAST(100 AS DOUBLE) AS max_ms,
+       round(count(*) FILTER (d < 10000) * CAST(100 AS DOUBLE) / count(*), 4) AS under_limit_pct
+FROM ranked GROUP BY span_type, name""",
+    "recent_spans": f"WITH {_SPANS} SELECT * FROM spans ORDER BY ts DESC, span_id DESC LIMIT 200",
+    "span_pairs": _pairs(None),
+    "score_rollup": """
+WITH s AS (SELECT lang AS s, source AS p, quality * 19 AS score FROM labels JOIN documents USING (doc_id)),
+r AS (
+  SELECT s, p, CAST(grouping(s) + grouping(p) AS INTEGER) AS level, CAST(sum(score) AS BIGINT) AS score,
+         CAST(count(*) * 19 AS BIGINT) AS max_score
+  FROM s GROUP BY ROLLUP (s, p)
+)
+SELECT coalesce(s, 'ALL') AS set, coalesce(p, 'ALL') AS pillar, level, score, max_score,
+       format('{:.1f}%', CAST(round_even(score * CAST(100 AS DOUBLE) / max_score, 1) AS DOUBLE)) AS percentage
+FROM r""",
+    "eval_scoring": """
+WITH cases AS (
+  SELECT item_id, lower(split_part(text, ' ', 1)) AS first_word, CASE WHEN item_id % 4 = 3 THEN 4 ELSE 5 END AS points FROM benchmark
+),
+checked AS (
+  SELECT c.item_id, c.points,
+         (item_id % 2 <> 0 OR contains(lower(text), first_word)) AND NOT contains(lower(text), 'password')
+         AND NOT contains(lower(text), 'full_pan') AND (item_id % 3 <> 0 OR regexp_matches(text, '[a-z]{4}'))
+         AND NOT regexp_matches(text, '[0-9]{16}') AND (item_id % 5 <> 0 OR starts_with(source, 'src1'))
+         AND (item_id % 2 <> 1 OR n_chars >= 100) AND (item_id % 4 <> 1 OR n_chars < 5000)
+         AND (item_id % 3 <> 1 OR lang = 'en') AS ok
+  FROM documents JOIN cases c ON c.item_id = doc_id % 40
+)
+SELECT 'set-' || (item_id % 5) AS eval_set_id, item_id AS eval_id, count(*) AS outputs, count(*) FILTER (ok) AS passed,
+       CAST(sum(points) AS BIGINT) AS points_possible, CAST(sum(CASE WHEN ok THEN points ELSE 0 END) AS BIGINT) AS points
+FROM checked GROUP BY item_id""",
+    "leak_audit": " UNION ALL ".join(
+        [
+            _leaks("before", "text", "text"),
+            _leaks("before", "source", "source"),
+            _leaks("after", "text", _redact("text")),
+            _leaks("after", "source", _redact("source")),
+        ]
+    ),
+    "risk_summary": f"""
+WITH {_VELOCITY}, {_STEP_UP},
+alerts AS (
+  SELECT customer_id, 52 AS points, ts FROM velocity
+  UNION ALL
+  SELECT s.customer_id, 40, e.ts FROM step_up s JOIN events e ON e.event_id = s.challenge_id WHERE compromise_likelihood = 'HIGH'
+),
+scored AS (SELECT customer_id, count(*) AS alerts, CAST(least(100, sum(points)) AS BIGINT) AS risk_score, max(ts) AS last_alert_ts
+           FROM alerts GROUP BY customer_id)
+SELECT *, CASE WHEN risk_score >= 85 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' WHEN risk_score >= 30 THEN 'MEDIUM'
+          ELSE 'LOW' END AS risk_level, CASE WHEN risk_score >= 85 THEN 'SECURITY_LOCKED' ELSE 'MONITORED' END AS containment_status
+FROM scored""",
+    "file_disputes": f"WITH {_DISPUTES} SELECT * FROM disputes",
+    "dispute_totals": f"""
+WITH {_DISPUTES}
+SELECT customer_id, count(*) FILTER (status LIKE 'PROV%') AS credited, count(*) FILTER (status LIKE 'APPR%') AS stopped,
+       count(*) FILTER (status = 'ERROR') AS errors,
+       CAST(coalesce(sum(CAST(round(credit * 100) AS BIGINT)), 0) AS DOUBLE) / 100 AS total_credit
+FROM disputes GROUP BY customer_id""",
+    "resolve_cases": f"""
+WITH {_DISPUTABLE}, {_PAYEES},
+billers AS (SELECT customer_id, count(*) AS billers FROM payees GROUP BY 1),
+staged AS (
+  SELECT t.*, c_acctbal, c_name, coalesce(billers, 0) AS billers,
+         CASE WHEN NOT approved THEN 'approval'
+              WHEN NOT coalesce(c_acctbal > 0 AND c_acctbal <= 9000, false) THEN 'virtual_card'
+              WHEN c_name IS NULL OR c_mktsegment = 'FURNITURE' THEN 'courier' END AS failed_step,
+         CASE WHEN no_merchant OR amount <= 0 THEN 'ERROR' WHEN amount > 250000 AND NOT has_token THEN 'APPROVAL_REQUIRED'
+              ELSE 'PROVISIONAL_CREDIT_POSTED' END AS d
+  FROM txs t LEFT JOIN customer ON c_custkey = t.customer_id LEFT JOIN billers b ON b.customer_id = t.customer_id
+),
+s AS (SELECT *, failed_step IS NULL AS done, failed_step IS NULL AND d LIKE 'PROV%' AS credited FROM staged)
+SELECT transaction_id AS case_id, customer_id,
+       CASE WHEN done THEN 'SUCCESS' WHEN failed_step = 'approval' THEN 'APPROVAL_REQUIRED' ELSE 'ERROR' END AS status, failed_step,
+       CASE WHEN done THEN 'PERMANENTLY_REVOKED_AND_BLOCKED' END AS old_card_action, CASE WHEN done THEN d END AS dispute_status,
+       CASE WHEN credited THEN {_stable_id("DSP-", "transaction_id")} END AS dispute_case_id,
+       CASE WHEN credited THEN amount END AS credit, CASE WHEN done THEN {_stable_id("vcn-", "transaction_id")} END AS vcn_id,
+       CASE WHEN done THEN '************' || right(c_name, 4) END AS masked_pan, CASE WHEN done THEN c_acctbal END AS spending_limit,
+       CASE WHEN done THEN {_stable_id("SHP-", "transaction_id")} END AS tracking_number, CASE WHEN done THEN c_name END AS address,
+       CASE WHEN done THEN strftime(ts + INTERVAL 24 HOUR, '%A, %b %d at 2:00 PM GMT') END AS estimated_delivery,
+       CASE WHEN done THEN billers END AS billers_updated, CASE WHEN done THEN {_stable_id("trace-", "transaction_id")} END AS trace_id
+FROM s""",
+    "decode_notifications": f"""
+WITH {_NOTIFICATIONS} SELECT doc_id, delivery, bucket, name, time_created, generation, reject_reason FROM decoded""",
+    "attach_content": f"""
+WITH {_NOTIFICATIONS}
+SELECT doc_id, delivery, name, CASE WHEN n_chars > 200 THEN 'OK' ELSE 'CONTENT_NOT_FOUND' END AS status,
+       CAST(CASE WHEN n_chars > 200 THEN length(text) END AS INTEGER) AS chars, CASE WHEN n_chars > 200 THEN md5(text) END AS content_md5
+FROM decoded WHERE reject_reason IS NULL""",
+    "metadata_rows": f"""
+WITH {_NOTIFICATIONS}
+SELECT name AS filename, coalesce(time_created, '2026-01-01T00:00:00Z') AS date, {_TAGS} AS tags, {_WORDS} AS word_count
+FROM decoded WHERE reject_reason IS NULL AND delivery = 1 AND n_chars > 200""",
+    "explode_props": f"""
+SELECT event_id, 'k' AS label, CAST({_K} AS DOUBLE) AS amount, 'list' AS kind FROM events WHERE event_type <> 'view'
+UNION ALL SELECT event_id, event_type, value, 'list' FROM events WHERE event_type <> 'view'
+UNION ALL SELECT event_id, NULL, NULL, 'list' FROM events WHERE event_type = 'view'
+UNION ALL SELECT event_id, 'k', CAST({_K} AS DOUBLE), 'map' FROM events""",
 }

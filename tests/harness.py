@@ -112,9 +112,17 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     session = build_session(
-        "harness", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        "harness", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                               "spark.ui.showConsoleProgress": "false"}
     )
     session.sparkContext.setLogLevel("ERROR")
     folder, wanted = sys.argv[1], sys.argv[2:] or list(entry.queries())
-    bad = [n for n in wanted if compare(session, n, folder, verbose=True)]
+    bad = []
+    for query in wanted:
+        try:
+            if compare(session, query, folder, verbose=True):
+                bad.append(query)
+        except Exception as exc:  # noqa: BLE001 - report and go on with the next query
+            print(f"FAIL {query}: {str(exc)[:1500]}", flush=True)
+            bad.append(query)
     print("differing:", bad)

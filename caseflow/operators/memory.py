@@ -147,6 +147,12 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+DIGEST_SCHEMA = (
+    "customer_id BIGINT, channel STRING, fragments BIGINT, chars BIGINT, "
+    "best STRUCT<rank: INT, us: BIGINT, fragment_id: BIGINT>, summary STRING, is_compacted_summary BOOLEAN"
+)
+
+
 def channel_digest(fragments: DataFrame) -> DataFrame:
     """Per customer and channel: how much there is and which fragment speaks for it.
 

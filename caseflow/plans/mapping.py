@@ -106,41 +106,45 @@ def travel_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events_of(spark: SparkSession, sf_dir: str, kind: str, prefix: str, *extra: Column) -> DataFrame:
-    return (
-        table(spark, sf_dir, "events")
-        .filter(F.col("event_type") == kind)
-        .select(
-            F.col("event_id").alias(f"{prefix}_id"),
-            F.col("user_id").alias("customer_id"),
-            F.col("ts").alias(f"{prefix}_ts"),
-            *extra,
-        )
+def _events_of(events: DataFrame, kind: str, prefix: str, *extra: Column) -> DataFrame:
+    return events.filter(F.col("event_type") == kind).select(
+        F.col("event_id").alias(f"{prefix}_id"),
+        F.col("user_id").alias("customer_id"),
+        F.col("ts").alias(f"{prefix}_ts"),
+        *extra,
     )
 
 
+def challenges_from(events: DataFrame) -> DataFrame:
+    return _events_of(events, "signup", "challenge", props_key().alias("challenge_origin"))
+
+
+def replies_from(events: DataFrame) -> DataFrame:
+    return _events_of(events, "click", "reply", props_key().alias("reply_origin"))
+
+
 def challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, "signup", "challenge", props_key().alias("challenge_origin"))
+    return challenges_from(table(spark, sf_dir, "events"))
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, "click", "reply", props_key().alias("reply_origin"))
+    return replies_from(table(spark, sf_dir, "events"))
 
 
 def declines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, "error", "decline")
+    return _events_of(table(spark, sf_dir, "events"), "error", "decline")
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, "click", "call")
+    return _events_of(table(spark, sf_dir, "events"), "click", "call")
 
 
 def wallet_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, "signup", "wallet")
+    return _events_of(table(spark, sf_dir, "events"), "signup", "wallet")
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_of(spark, sf_dir, "purchase", "charge")
+    return _events_of(table(spark, sf_dir, "events"), "purchase", "charge")
 
 
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +185,10 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_fragments_from(table(spark, sf_dir, "events"))
+
+
+def event_fragments_from(events: DataFrame) -> DataFrame:
     """Events as timeline fragments; every evaluation case occurs, a missing one too."""
     kind = F.col("event_type")
     confidence = (
@@ -191,7 +199,7 @@ def event_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind.isin("signup", "view"), "VERIFIED_TRUE")
         .when(kind == "purchase", "UNVERIFIED_PENDING")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("fragment_id"),
         F.col("user_id").alias("customer_id"),
         kind.alias("channel"),

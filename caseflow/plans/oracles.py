@@ -635,3 +635,33 @@ UNION ALL SELECT event_id, event_type, value, 'list' FROM events WHERE event_typ
 UNION ALL SELECT event_id, NULL, NULL, 'list' FROM events WHERE event_type = 'view'
 UNION ALL SELECT event_id, 'k', CAST({_K} AS DOUBLE), 'map' FROM events""",
 }
+
+
+def _windows(width: str, slide: str) -> str:
+    """Windows of one width every slide; each event is in as many as overlap it."""
+    return f"""
+WITH e AS (SELECT *, time_bucket(INTERVAL '{slide}', ts, TIMESTAMP '1970-01-01') AS newest FROM events),
+w AS (
+  SELECT event_type, value, ts, unnest(generate_series(newest - INTERVAL '{width}' + INTERVAL '{slide}', newest, INTERVAL '{slide}')) AS window_start
+  FROM e
+)
+SELECT window_start, window_start + INTERVAL '{width}' AS window_end, event_type AS channel, count(*) AS records,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount_cents
+FROM w GROUP BY window_start, event_type"""
+
+
+# A streaming query answers what its batch form answers.
+ORACLES |= {
+    "stream_velocity": ORACLES["velocity_alerts"],
+    "stream_step_up": ORACLES["step_up_audit"],
+    "timed_span_pairs": _pairs(2 * 24 * 3600 * 1_000_000),
+    "stream_span_pairs": _pairs(2 * 24 * 3600 * 1_000_000),
+    "usage_windows": _windows("1 day", "1 day"),
+    "stream_usage": _windows("1 day", "1 day"),
+    "stream_usage_sliding": _windows("6 hours", "2 hours"),
+    "stream_sessions": ORACLES["activity_sessions"],
+    "stream_compaction": ORACLES["compact_memory"],
+    "stream_ingest": ORACLES["metadata_rows"],
+    "stream_rejects": f"""
+WITH {_NOTIFICATIONS} SELECT doc_id, delivery, reject_reason FROM decoded WHERE reject_reason IS NOT NULL""",
+}

@@ -93,6 +93,3 @@ COMPACTION_USD_PER_TOKEN = 0.000002
 # --- spans, scores, logs ------------------------------------------------------------------------
 LATENCY_LIMIT_MS = 500
 SPAN_BUFFER = 200
-
-# --- whitespace as the word count and strip rules see it ----------------------------------------
-WHITESPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

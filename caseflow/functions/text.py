@@ -13,6 +13,13 @@ from caseflow.functions import fixed_values as fixed
 CARD_NUMBER = "(?U)" + fixed.CARD_NUMBER_PATTERN
 IDENTITY_NUMBER = "(?U)" + fixed.IDENTITY_NUMBER_PATTERN
 
+# Every Unicode space plus the four separators that count as one elsewhere. As one short class it
+# is several times faster than the listed code points.
+SPACE = r"\s\x1c-\x1f"
+WORD = f"(?U)[^{SPACE}]+"
+SPACES = f"(?U)[{SPACE}]+"
+_ENDS = f"(?U)^[{SPACE}]+|[{SPACE}]+$"
+
 
 def redact_text(text: Column) -> Column:
     """Hide card numbers, then identity numbers; the order matters where they touch."""
@@ -22,7 +29,7 @@ def redact_text(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove every kind of whitespace at both ends; ``trim`` only knows the space."""
-    return F.regexp_replace(text, f"^[{fixed.WHITESPACE}]+|[{fixed.WHITESPACE}]+$", "")
+    return F.regexp_replace(text, _ENDS, "")
 
 
 def is_blank(text: Column) -> Column:
@@ -46,7 +53,7 @@ def token_estimate(chars: Column, floor: int | None = 1) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{fixed.WHITESPACE}]+")).cast("long")
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
 def contains_any(lowered: Column, words: Sequence[str]) -> Column:

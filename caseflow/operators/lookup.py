@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.functions import fixed_values as fixed
-from caseflow.functions.text import strip
+from caseflow.functions.text import SPACES, strip
 
 CREDIT_LIMIT = 25_000.00
 GRAM = 3
@@ -96,13 +95,14 @@ def memory_search(fragments: DataFrame, queries: DataFrame) -> DataFrame:
     customer's fragments, and only those queries read the fragments again.
     """
     asked = queries.select("query_id", "customer_id", F.lower("query").alias("_q"))
-    hit = F.contains(F.lower("summary"), F.col("_q")) | F.contains(F.lower("channel"), F.col("_q"))
+    # Lower-cased once per fragment, before the join repeats it per query.
+    searched = {"_summary": F.lower("summary"), "_channel": F.lower("channel")}
+    hit = F.contains("_summary", "_q") | F.contains("_channel", "_q")
     if "metadata" in fragments.columns:
-        values = F.map_values("metadata")
-        hit = hit | F.coalesce(
-            F.exists(values, lambda v: F.contains(F.lower(v.cast("string")), F.col("_q"))), F.lit(False)
-        )
-    matched = fragments.join(asked, "customer_id").filter(F.coalesce(hit, F.lit(False)))
+        searched["_values"] = F.transform(F.map_values("metadata"), lambda v: F.lower(v.cast("string")))
+        hit = hit | F.coalesce(F.exists("_values", lambda v: F.contains(v, F.col("_q"))), F.lit(False))
+    texts = fragments.select("customer_id", "fragment_id", *[c.alias(n) for n, c in searched.items()])
+    matched = texts.join(asked, "customer_id").filter(F.coalesce(hit, F.lit(False)))
     answered = matched.select("query_id").distinct()
     unanswered = asked.join(answered, "query_id", "left_anti")
     rest = fragments.select("customer_id", "fragment_id").join(
@@ -136,7 +136,7 @@ def policy_search(policies: DataFrame, queries: DataFrame, k: int = 2) -> DataFr
     """
     words = queries.select(
         "query_id",
-        F.explode(F.array_distinct(F.split(strip(F.lower("query")), f"[{fixed.WHITESPACE}]+"))).alias("word"),
+        F.explode(F.array_distinct(F.split(strip(F.lower("query")), SPACES))).alias("word"),
     ).filter(F.col("word") != "")
     vocabulary = words.select("word").distinct().withColumn("_gram", F.substring("word", 1, GRAM))
     # No word contains a line break, so none can match across the two parts.

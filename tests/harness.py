@@ -117,6 +117,8 @@ if __name__ == "__main__":
     )
     session.sparkContext.setLogLevel("ERROR")
     folder, wanted = sys.argv[1], sys.argv[2:] or list(entry.queries())
+    size = duck(folder).sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    print(f"folder {folder}: {size} documents", flush=True)
     bad = []
     for query in wanted:
         try:

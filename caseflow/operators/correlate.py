@@ -28,19 +28,22 @@ RECURRING_MONTHS = 2
 # --- impossible travel ------------------------------------------------------------------------
 
 
+def previous_signal() -> dict[str, Running]:
+    return {"_prev": Running("last", F.struct("signal_id", "location_id", "_us"))}
+
+
 def transitions(signals: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each signal next to the same customer's previous one."""
     located = signals.select(
         "signal_id", "customer_id", "ts", "location_id", micros(F.col("ts")).alias("_us")
     )
-    before = running(
-        located,
-        ["customer_id"],
-        ["_us", "signal_id"],
-        {"_prev": Running("last", F.struct("signal_id", "location_id", "_us"))},
-        hot_rows=hot_rows,
+    return as_transitions(
+        running(located, ["customer_id"], ["_us", "signal_id"], previous_signal(), hot_rows=hot_rows)
     )
-    return before.select(
+
+
+def as_transitions(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "signal_id",
         "customer_id",
         "ts",
@@ -51,6 +54,11 @@ def transitions(signals: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def velocity_horizon_us(max_minutes: float, min_mph: float) -> int:
+    """The longest gap an alert can have: beyond it no two places on Earth imply the speed."""
+    return int(max(max_minutes * 60, MAX_DISTANCE_MILES / min_mph * 3600) * MICROS)
+
+
 def velocity_from_transitions(
     moves: DataFrame,
     locations: DataFrame,
@@ -59,12 +67,11 @@ def velocity_from_transitions(
 ) -> DataFrame:
     """Alert where the place changed and the gap is short or the implied speed too high.
 
-    The cheap bound comes first: beyond it no two places on Earth imply ``min_mph``, so few
-    moves reach the two lookups.
+    The cheap bound on the gap comes first, so few moves reach the two lookups.
     """
-    horizon_us = int(max(max_minutes * 60, MAX_DISTANCE_MILES / min_mph * 3600) * MICROS)
     near = moves.filter(
-        (F.col("from_location_id") != F.col("to_location_id")) & (F.col("gap_us") <= horizon_us)
+        (F.col("from_location_id") != F.col("to_location_id"))
+        & (F.col("gap_us") <= velocity_horizon_us(max_minutes, min_mph))
     )
 
     def at(side: str) -> DataFrame:
@@ -162,18 +169,21 @@ def challenge_rows(challenges: DataFrame, replies: DataFrame) -> DataFrame:
     return reply.unionByName(challenge).withColumn("_us", micros(F.col("ts")))
 
 
+def next_reply() -> dict[str, Running]:
+    reply = F.when(F.col("_kind") == 0, F.struct("_id", "_us", "origin"))
+    return {"_reply": Running("last", reply, backwards=True)}
+
+
 def judge_reply(rows: DataFrame, within_minutes: float = REPLY_WITHIN_MINUTES) -> DataFrame:
-    """Turn challenge rows with their next reply into audit rows."""
-    in_time = F.col("reply_us") - F.col("_us") <= int(within_minutes * 60 * MICROS)
-    answered = F.coalesce(in_time, F.lit(False))
-    mismatch = F.col("reply_origin") != F.col("origin")
-    return rows.select(
+    """Audit rows of the challenges, from rows that know the next reply."""
+    delay_us = F.col("_reply._us") - F.col("_us")
+    answered = F.coalesce(delay_us <= int(within_minutes * 60 * MICROS), F.lit(False))
+    mismatch = F.col("_reply.origin") != F.col("origin")
+    return rows.filter(F.col("_kind") == 1).select(
         F.col("_id").alias("challenge_id"),
         "customer_id",
-        F.when(answered, F.col("reply_id")).alias("reply_id"),
-        F.when(answered, F.floor((F.col("reply_us") - F.col("_us")) / MICROS)).alias(
-            "reply_after_seconds"
-        ),
+        F.when(answered, F.col("_reply._id")).alias("reply_id"),
+        F.when(answered, F.floor(delay_us / MICROS)).alias("reply_after_seconds"),
         F.when(~answered, "NO_REPLY").when(mismatch, "HIGH").otherwise("LOW").alias("compromise_likelihood"),
     )
 
@@ -190,25 +200,10 @@ def step_up_audit(
         challenge_rows(challenges, replies),
         ["customer_id"],
         ["_us", "_kind", "_id"],
-        {
-            "_reply": Running(
-                "last", F.when(F.col("_kind") == 0, F.struct("_id", "_us", "origin")), backwards=True
-            )
-        },
+        next_reply(),
         hot_rows=hot_rows,
-    ).filter(F.col("_kind") == 1)
-    return judge_reply(
-        rows.select(
-            "_id",
-            "customer_id",
-            "_us",
-            "origin",
-            F.col("_reply._id").alias("reply_id"),
-            F.col("_reply._us").alias("reply_us"),
-            F.col("_reply.origin").alias("reply_origin"),
-        ),
-        within_minutes,
     )
+    return judge_reply(rows, within_minutes)
 
 
 # --- travel notices ---------------------------------------------------------------------------

@@ -70,33 +70,36 @@ def pair_rows(spans: DataFrame) -> DataFrame:
         "name",
         "span_id",
         "span_type",
-        "ts",
         micros(F.col("ts")).alias("_us"),
     )
 
 
+def both_neighbours() -> dict[str, Running]:
+    span = F.struct("span_type", "span_id", "_us")
+    return {"_prev": Running("last", span), "_next_span": Running("last", span, backwards=True)}
+
+
 def judge_pairs(rows: DataFrame, timeout_minutes: float | None = None) -> DataFrame:
-    """Turn span rows that know their neighbours into paired and unpaired spans.
+    """Paired and unpaired spans, from rows that know the row before and the row after.
 
     A start pairs with the next row of its session and name if that is a completion, and comes
     soon enough when there is a timeout. A completion nobody started lasts zero.
     """
-    pairs = (F.col("span_type") == "START") & (F.col("next_type") == "COMPLETE")
-    follows = (F.col("span_type") == "COMPLETE") & (F.col("prev_type") == "START")
+    start, complete = F.col("span_type") == "START", F.col("span_type") == "COMPLETE"
+    to_next = F.col("_next_span._us") - F.col("_us")
+    pairs = start & (F.col("_next_span.span_type") == "COMPLETE")
+    follows = complete & (F.col("_prev.span_type") == "START")
     if timeout_minutes is not None:
         limit = int(timeout_minutes * 60_000_000)
-        pairs = pairs & (F.col("next_us") - F.col("_us") <= limit)
-        follows = follows & (F.col("_us") - F.col("prev_us") <= limit)
+        pairs = pairs & (to_next <= limit)
+        follows = follows & (F.col("_us") - F.col("_prev._us") <= limit)
     paired = F.coalesce(pairs, F.lit(False))
-    start = F.col("span_type") == "START"
     return rows.filter(start | ~F.coalesce(follows, F.lit(False))).select(
         "session_id",
         "name",
         F.when(start, F.col("span_id")).alias("start_span_id"),
-        F.when(paired, F.col("next_id")).when(~start, F.col("span_id")).alias("complete_span_id"),
-        F.when(paired, (F.col("next_us") - F.col("_us")) / 1000.0)
-        .when(~start, F.lit(0.0))
-        .alias("duration_ms"),
+        F.when(paired, F.col("_next_span.span_id")).when(complete, F.col("span_id")).alias("complete_span_id"),
+        F.when(paired, to_next / 1000.0).when(complete, F.lit(0.0)).alias("duration_ms"),
         F.when(paired, "PAIRED").when(start, "NO_COMPLETION").otherwise("NO_START").alias("pairing"),
     )
 
@@ -105,29 +108,10 @@ def span_pairs(
     spans: DataFrame, timeout_minutes: float | None = None, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Durations from start to completion within a session and name; unpaired spans are kept."""
-    neighbour = F.struct("span_type", "span_id", "_us")
     rows = running(
-        pair_rows(spans),
-        ["session_id", "name"],
-        ["_us", "span_id"],
-        {"_prev": Running("last", neighbour), "_next": Running("last", neighbour, backwards=True)},
-        hot_rows=hot_rows,
-    )
-    return judge_pairs(
-        rows.select(
-            "session_id",
-            "name",
-            "span_id",
-            "span_type",
-            "_us",
-            F.col("_prev.span_type").alias("prev_type"),
-            F.col("_prev._us").alias("prev_us"),
-            F.col("_next.span_type").alias("next_type"),
-            F.col("_next.span_id").alias("next_id"),
-            F.col("_next._us").alias("next_us"),
-        ),
-        timeout_minutes,
+        pair_rows(spans), ["session_id", "name"], ["_us", "span_id"], both_neighbours(), hot_rows=hot_rows
     )
+    return judge_pairs(rows, timeout_minutes)
 
 
 def normalise_logs(

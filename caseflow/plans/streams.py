@@ -13,8 +13,6 @@ from caseflow.streaming import jobs, tables
 
 PAIR_TIMEOUT_MINUTES = 2 * 24 * 60
 SESSION_GAP_MINUTES = 60
-# Few keys in the given tables; a cluster takes the default or more.
-BUCKETS = 16
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +22,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = mapping.signals_from(events(spark, sf_dir))
     path = work_dir(spark, "velocity")
-    return jobs.stream_velocity(spark, signals, mapping.locations(spark, sf_dir), path, buckets=BUCKETS)
+    return jobs.stream_velocity(spark, signals, mapping.locations(spark, sf_dir), path)
 
 
 def stream_step_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     challenges = mapping.challenges_from(events(spark, sf_dir))
     replies = mapping.replies_from(events(spark, sf_dir))
-    return jobs.stream_step_up(spark, challenges, replies, work_dir(spark, "step-up"), buckets=BUCKETS)
+    return jobs.stream_step_up(spark, challenges, replies, work_dir(spark, "step-up"))
 
 
 def stream_span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +37,6 @@ def stream_span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         mapping.spans_from(events(spark, sf_dir)),
         work_dir(spark, "span-pairs"),
         PAIR_TIMEOUT_MINUTES,
-        buckets=BUCKETS,
     )
 
 

@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.functions import fixed_values as fixed
-from caseflow.functions.geo import MAX_DISTANCE_MILES
 from caseflow.operators import correlate, memory, spans, usage
-from caseflow.operators.correlate import MICROS
-from caseflow.operators.ordered import micros
+from caseflow.operators.ordered import HOT_ROWS, micros
 from caseflow.sources import notifications
 from caseflow.streaming import neighbours, tables
-from caseflow.streaming.neighbours import Neighbour, Spec
+from caseflow.streaming.neighbours import MINUTE_US, Spec
 
-DELAY = "1 hour"
+DELAY_MINUTES = 60.0
 
 
 # --- impossible travel ------------------------------------------------------------------------
@@ -30,36 +28,23 @@ def stream_velocity(
     path: str,
     max_minutes: float = correlate.VELOCITY_MINUTES,
     min_mph: float = correlate.VELOCITY_MPH,
-    delay: str = DELAY,
-    buckets: int = neighbours.BUCKETS,
+    delay_minutes: float = DELAY_MINUTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Velocity alerts with each customer's last place as state.
+    """Velocity alerts, with each customer's last place carried from batch to batch.
 
-    A place is forgotten when no speed on Earth could make an alert of it any more.
+    A place is forgotten when no speed could make an alert of it any more.
     """
-    horizon_us = int(max(max_minutes * 60, MAX_DISTANCE_MILES / min_mph * 3600) * MICROS)
-    rows = signals.select(
-        "customer_id",
-        "signal_id",
-        micros(F.col("ts")).alias("us"),
-        F.col("location_id").alias("to_location_id"),
-        F.col("ts").cast("timestamp").alias("event_time"),
-    )
-    before = Neighbour({"signal_id": "prev_signal_id", "to_location_id": "from_location_id", "us": "prev_us"})
-    spec = Spec(("customer_id",), ("us", "signal_id"), (before,), lookback_us=horizon_us, lookahead_us=0)
-    found = neighbours.with_neighbours(rows, "event_time", spec, delay, buckets)
-    moved = neighbours.run(
-        spark, found, path, keep=F.col("from_location_id") != F.col("to_location_id")
-    )
-    moves = moved.select(
-        "signal_id",
-        "customer_id",
-        F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"),
-        "prev_signal_id",
-        "from_location_id",
-        "to_location_id",
-        (F.col("us") - F.col("prev_us")).alias("gap_us"),
+    rows = signals.select("customer_id", "signal_id", "ts", "location_id", micros(F.col("ts")).alias("_us"))
+    spec = Spec(
+        ("customer_id",),
+        ("_us", "signal_id"),
+        correlate.previous_signal(),
+        lookback_us=correlate.velocity_horizon_us(max_minutes, min_mph),
+        delay_us=int(delay_minutes * MINUTE_US),
+        hot_rows=hot_rows,
     )
+    moves = correlate.as_transitions(neighbours.run(spark, rows, path, spec))
     return correlate.velocity_from_transitions(moves, locations, max_minutes, min_mph)
 
 
@@ -72,37 +57,23 @@ def stream_step_up(
     replies: DataFrame,
     path: str,
     within_minutes: float = correlate.REPLY_WITHIN_MINUTES,
-    delay: str = DELAY,
-    buckets: int = neighbours.BUCKETS,
+    delay_minutes: float = DELAY_MINUTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """First reply to each challenge; a challenge waits no longer than the reply may take.
 
     Only the nearest reply is looked for, so many replies to many challenges make no pairs.
     """
-    both = correlate.challenge_rows(challenges, replies)
-    rows = both.select(
-        "customer_id",
-        F.col("_us").alias("us"),
-        F.col("_kind").alias("kind"),
-        F.col("_id").alias("id"),
-        "origin",
-        (F.col("_kind") == 0).alias("is_reply"),
-        F.col("ts").cast("timestamp").alias("event_time"),
-    )
-    after = Neighbour(
-        {"id": "reply_id", "us": "reply_us", "origin": "reply_origin"}, backwards=True, only="is_reply"
-    )
     spec = Spec(
         ("customer_id",),
-        ("us", "kind", "id"),
-        (after,),
-        lookback_us=0,
-        lookahead_us=int(within_minutes * 60 * MICROS),
+        ("_us", "_kind", "_id"),
+        correlate.next_reply(),
+        lookahead_us=int(within_minutes * MINUTE_US),
+        delay_us=int(delay_minutes * MINUTE_US),
+        hot_rows=hot_rows,
     )
-    found = neighbours.with_neighbours(rows, "event_time", spec, delay, buckets)
-    current = neighbours.run(spark, found, path, keep=~F.col("is_reply"))
-    renamed = {"us": "_us", "id": "_id"}
-    return correlate.judge_reply(current.withColumnsRenamed(renamed), within_minutes)
+    rows = neighbours.run(spark, correlate.challenge_rows(challenges, replies), path, spec)
+    return correlate.judge_reply(rows, within_minutes)
 
 
 # --- span pairs -------------------------------------------------------------------------------
@@ -113,33 +84,22 @@ def stream_span_pairs(
     all_spans: DataFrame,
     path: str,
     timeout_minutes: float,
-    delay: str = DELAY,
-    buckets: int = neighbours.BUCKETS,
+    delay_minutes: float = DELAY_MINUTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Start and completion pairs; a start gives up after the timeout."""
-    timeout_us = int(timeout_minutes * 60 * MICROS)
-    marks = spans.pair_rows(all_spans)
-    rows = marks.select(
-        "session_id",
-        "name",
-        F.col("_us").alias("us"),
-        "span_id",
-        "span_type",
-        F.col("ts").cast("timestamp").alias("event_time"),
-    )
+    timeout_us = int(timeout_minutes * MINUTE_US)
     spec = Spec(
         ("session_id", "name"),
-        ("us", "span_id"),
-        (
-            Neighbour({"span_type": "prev_type", "us": "prev_us"}),
-            Neighbour({"span_type": "next_type", "span_id": "next_id", "us": "next_us"}, backwards=True),
-        ),
+        ("_us", "span_id"),
+        spans.both_neighbours(),
         lookback_us=timeout_us,
         lookahead_us=timeout_us,
+        delay_us=int(delay_minutes * MINUTE_US),
+        hot_rows=hot_rows,
     )
-    found = neighbours.with_neighbours(rows, "event_time", spec, delay, buckets)
-    current = neighbours.run(spark, found, path)
-    return spans.judge_pairs(current.withColumnRenamed("us", "_us"), timeout_minutes)
+    rows = neighbours.run(spark, spans.pair_rows(all_spans), path, spec)
+    return spans.judge_pairs(rows, timeout_minutes)
 
 
 # --- usage per window -------------------------------------------------------------------------
@@ -151,7 +111,7 @@ def stream_usage(
     path: str,
     width: str = "1 day",
     slide: str | None = None,
-    delay: str = DELAY,
+    delay_minutes: float = DELAY_MINUTES,
 ) -> DataFrame:
     """Counts and amounts per window and channel, tumbling or sliding.
 
@@ -161,7 +121,7 @@ def stream_usage(
     at = F.col("ts").cast("timestamp")
     counted = (
         signals.withColumn("event_time", at)
-        .withWatermark("event_time", delay)
+        .withWatermark("event_time", f"{delay_minutes} minutes")
         .groupBy(F.window("event_time", width, slide), "channel")
         .agg(
             F.count(F.lit(1)).alias("records"),

@@ -1,206 +1,109 @@
 """The nearest earlier and later rows of each row, on a stream.
 
-This is ``operators.ordered.running`` with kind ``last`` for input that arrives in pieces and out of
-order. State is kept per *bucket* of keys, so one call handles many keys as arrays. It holds the
-rows the watermark has not passed and, of the older ones, the last per key; both are dropped when
-no later row can need them.
-
-A row is *settled* once nothing that could still arrive can change its neighbours; it is then
-emitted for good. Rows that are not are emitted with what is known and emitted again by the next
-batch of their bucket, so the current answer is always complete.
+This is ``operators.ordered.running`` for input that arrives in pieces and out of order. Each
+micro-batch runs the batch operator over its new rows and the few earlier ones that still matter,
+so a customer with a third of the rows is cut up here as well: no key's rows have to fit in one
+task or one state entry.
+
+A row is *settled* once nothing that may still arrive can change its neighbours; from then on its
+answer stands. Rows that are not settled are answered with what is known and again by the next
+batch, so the current answer is always complete. Carried from batch to batch are
+
+* the rows that are not settled, and
+* of the settled ones the last per key, while a later row could still look back to it.
+
+Both are bounded by the delay and the spans of the rule, not by the length of the stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from caseflow.operators.ordered import HOT_ROWS, Running, running
 from caseflow.streaming import tables
+from caseflow.streaming.tables import BATCH
 
-BUCKETS = 200
-
-
-@dataclass(frozen=True)
-class Neighbour:
-    """Columns to take from the nearest row before (or after); ``only`` names a flag it must have."""
-
-    columns: dict[str, str]
-    backwards: bool = False
-    only: str | None = None
+MINUTE_US = 60_000_000
 
 
 @dataclass(frozen=True)
 class Spec:
-    """``order`` starts with the time in microseconds; the spans are how far a partner may be."""
+    """``order`` starts with the time in microseconds.
+
+    The spans say how far a partner may be, before and after. A value looked for *before* a row
+    must be there on every row, because only the last row of a key is carried.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    neighbours: tuple[Neighbour, ...]
-    lookback_us: int
-    lookahead_us: int
-
-
-def nearest(n: int, starts: np.ndarray, usable: np.ndarray) -> np.ndarray:
-    """Index of the last usable row strictly before each row of its group, or -1."""
-    seen = np.maximum.accumulate(np.where(usable, np.arange(n), -1))
-    before = np.concatenate(([-1], seen[:-1])) if n else seen
-    return np.where(before >= starts, before, -1)
-
-
-def group_starts(keys: pd.DataFrame) -> np.ndarray:
-    """Index of the first row of each row's group, for rows sorted by key."""
-    if keys.empty:
-        return np.zeros(0, dtype=np.int64)
-    new = (keys != keys.shift()).any(axis=1).to_numpy()
-    new[0] = True
-    return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-
-
-def find_neighbours(table: pa.Table, spec: Spec) -> pa.Table:
-    """Add the neighbour columns to rows sorted by key and order."""
-    n = table.num_rows
-    starts = group_starts(table.select(list(spec.keys)).to_pandas())
-    # The same on the reversed rows, for what comes after.
-    ends = group_starts(table.select(list(spec.keys)).take(pa.array(np.arange(n)[::-1])).to_pandas())
-    for neighbour in spec.neighbours:
-        usable = np.ones(n, dtype=bool) if neighbour.only is None else table[neighbour.only].to_numpy()
-        if neighbour.backwards:
-            mirrored = nearest(n, ends, usable[::-1])[::-1]
-            index = np.where(mirrored >= 0, n - 1 - mirrored, -1)
-        else:
-            index = nearest(n, starts, usable)
-        picked = table.take(pa.array(index, mask=index < 0))
-        for source, name in neighbour.columns.items():
-            table = table.append_column(name, picked[source])
-    return table
-
-
-def _pack(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(packed: bytes) -> pa.Table:
-    with pa.ipc.open_stream(packed) as reader:
-        return reader.read_all()
-
-
-def output_schema(rows: T.StructType, spec: Spec) -> T.StructType:
-    """The rows, their neighbours, and what tells settled rows and versions apart."""
-    kinds = {f.name: f.dataType for f in rows.fields}
-    fields = [T.StructField(f.name, f.dataType) for f in rows.fields]
-    for neighbour in spec.neighbours:
-        fields += [T.StructField(name, kinds[source]) for source, name in neighbour.columns.items()]
-    return T.StructType(
-        [
-            *fields,
-            T.StructField("bucket", T.LongType()),
-            T.StructField("is_settled", T.BooleanType()),
-            T.StructField("is_marker", T.BooleanType()),
-        ]
+    outputs: Mapping[str, Running]
+    lookback_us: int = 0
+    lookahead_us: int = 0
+    delay_us: int = 60 * MINUTE_US
+    hot_rows: int = HOT_ROWS
+
+
+def answer_batch(batch: DataFrame, batch_id: int, path: str, spec: Spec) -> None:
+    """Answer one micro-batch and write it, with all that the next one needs, as one version."""
+    spark = batch.sparkSession
+    time = F.col(spec.order[0])
+    columns = batch.columns
+    rows = batch.withColumn("is_done", F.lit(False))
+    late = rows.limit(0)
+    if batch_id > 0:
+        # Only the last version is read, whatever the number of batches so far.
+        carried = (
+            spark.read.parquet(f"{path}/rows/{BATCH}={batch_id - 1}")
+            .filter("is_carried")
+            .select(*columns, (F.col("is_done") | F.col("is_settled")).alias("is_done"))
+        )
+        reached = carried.agg(F.max(time)).first()[0]
+        if reached is not None:
+            # What is settled cannot be answered again: rows from before are set aside, not lost.
+            closed = time < reached - spec.delay_us
+            late, rows = rows.filter(closed), rows.filter(~closed).unionByName(carried)
+    newest = rows.agg(F.max(time)).first()[0] or 0
+    watermark = F.lit(newest - spec.delay_us)
+
+    answered = running(
+        rows,
+        spec.keys,
+        spec.order,
+        {**spec.outputs, "_next": Running("last", time, backwards=True)},
+        position=spec.order[0],
+        hot_rows=spec.hot_rows,
     )
+    settled = time + spec.lookahead_us < watermark
+    last_settled = F.col("_next").isNull() | (F.col("_next") + spec.lookahead_us >= watermark)
+    in_reach = time + spec.lookahead_us + spec.lookback_us >= watermark
+    version = (
+        answered.withColumn("is_settled", settled)
+        .withColumn("is_carried", ~settled | (last_settled & in_reach))
+        .withColumn("is_late", F.lit(False))
+        .drop("_next")
+    )
+    aside = late.withColumns({"is_settled": F.lit(True), "is_carried": F.lit(False), "is_late": F.lit(True)})
+    tables.write_version(version.unionByName(aside, allowMissingColumns=True), batch_id, f"{path}/rows")
 
 
-def with_neighbours(
-    rows: DataFrame, event_time: str, spec: Spec, delay: str, buckets: int = BUCKETS
-) -> DataFrame:
-    """Rows of the stream with their neighbours, in update mode.
-
-    ``rows`` may hold nulls only outside the key, order and flag columns.
-    """
-    kept = T.StructType([f for f in rows.schema.fields if f.name != event_time])
-    arrow = to_arrow_schema(kept)
-    result = output_schema(kept, spec)
-    time = spec.order[0]
-
-    def handle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = [] if state.hasTimedOut else [p[arrow.names] for p in parts]
-        table = pa.concat_tables(
-            [pa.Table.from_pandas(f, arrow, preserve_index=False) for f in frames] or [arrow.empty_table()]
-        ).append_column("_done", pa.array(np.zeros(sum(map(len, frames)), dtype=bool)))
-        if state.exists:
-            table = pa.concat_tables([_unpack(state.get[0]), table])
-        table = table.sort_by([(c, "ascending") for c in (*spec.keys, *spec.order)])
-
-        watermark = state.getCurrentWatermarkMs() * 1000
-        at, done = table[time].to_numpy(), table["_done"].to_numpy()
-        settled = at + spec.lookahead_us < watermark
-        found = find_neighbours(table, spec)
-
-        # Older rows matter only as the last of their key, and only within the lookback.
-        starts = group_starts(table.select(list(spec.keys)).to_pandas())
-        last = np.ones(table.num_rows, dtype=bool)
-        same = starts[1:] == starts[:-1]
-        last[:-1] = ~(same & settled[1:])
-        keep = ~settled | (last & (at + spec.lookahead_us + spec.lookback_us >= watermark))
-        remaining = table.set_column(
-            table.column_names.index("_done"), "_done", pa.array(done | settled)
-        ).filter(pa.array(keep))
-        if remaining.num_rows:
-            state.update((_pack(remaining),))
-            open_until = int(remaining[time].to_numpy().max()) + spec.lookahead_us + spec.lookback_us
-            state.setTimeoutTimestamp(max(open_until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
-
-        fresh = found.filter(pa.array(~done)).drop_columns(["_done"])
-        out = fresh.to_pandas(types_mapper=_nullable)
-        out["bucket"] = key[0]
-        out["is_settled"] = settled[~done]
-        out["is_marker"] = False
-        yield out[result.names]
-        marker = pd.DataFrame({name: [None] for name in result.names}).assign(
-            bucket=key[0], is_settled=False, is_marker=True
-        )
-        yield marker[result.names]
-
-    bucket = F.pmod(F.xxhash64(*spec.keys), F.lit(buckets)).cast("long")
-    return (
-        rows.withWatermark(event_time, delay)
-        .withColumn("bucket", bucket)
-        .groupBy("bucket")
-        .applyInPandasWithState(
-            handle, result, "rows BINARY", "update", GroupStateTimeout.EventTimeTimeout
-        )
+def run(spark: SparkSession, rows: DataFrame, path: str, spec: Spec) -> DataFrame:
+    """Take in everything that has arrived and return all rows with their neighbours."""
+    tables.run_available(
+        rows, path, "append", lambda batch, batch_id: answer_batch(batch, batch_id, path, spec)
     )
+    versions = spark.read.parquet(f"{path}/rows").filter("not is_done and not is_late")
+    newest = F.broadcast(spark.read.parquet(f"{path}/rows").agg(F.max(BATCH).alias("_newest")))
+    settled = versions.filter("is_settled")
+    still_open = versions.filter("not is_settled").join(newest, F.col(BATCH) == F.col("_newest")).drop("_newest")
+    return settled.unionByName(still_open).drop("is_done", "is_settled", "is_carried", "is_late", BATCH)
 
 
-def _nullable(kind: pa.DataType):
-    """Pandas types that hold nulls without turning whole numbers into floats."""
-    return {
-        pa.int64(): pd.Int64Dtype(),
-        pa.int32(): pd.Int32Dtype(),
-        pa.bool_(): pd.BooleanDtype(),
-    }.get(kind)
-
-
-def run(spark: SparkSession, found: DataFrame, path: str, keep: Column | None = None) -> DataFrame:
-    """Bring the result table up to date and return the current answer."""
-    wanted = found if keep is None else found.filter(F.col("is_marker") | keep)
-    tables.run_available(wanted, path, "update")
-    return current(tables.read_versions(spark, path, found.schema))
-
-
-def current(versions: DataFrame) -> DataFrame:
-    """Settled rows of every batch, and the open rows of each bucket's newest batch."""
-    # Every batch of a bucket leaves a marker, even one that leaves nothing open.
-    newest = versions.filter("is_marker").groupBy("bucket").agg(F.max(tables.BATCH).alias("_newest"))
-    settled = versions.filter(F.col("is_settled"))
-    still_open = (
-        versions.filter(~F.col("is_settled") & ~F.col("is_marker"))
-        .join(newest, "bucket")
-        .filter(F.col(tables.BATCH) == F.col("_newest"))
-        .drop("_newest")
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that came after their time was closed, with the batch they came in."""
+    return spark.read.parquet(f"{path}/rows").filter("is_late").drop(
+        "is_done", "is_settled", "is_carried", "is_late"
     )
-    return settled.unionByName(still_open).drop("bucket", "is_settled", "is_marker", tables.BATCH)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -14,33 +12,12 @@ from caseflow.operators import correlate, memory, spans, usage
 from caseflow.plans import mapping
 from caseflow.sources import notifications
 from caseflow.streaming import jobs, neighbours, tables
-from caseflow.streaming.neighbours import Neighbour, Spec
 from tests.conftest import SMALL
 
 HOUR = 3_600_000_000
 FILES = 6
 
 
-def test_neighbours_match_brute_force():
-    rnd = random.Random(3)
-    data = sorted((rnd.randint(0, 5), rnd.randint(0, 40), i, rnd.random() < 0.3) for i in range(300))
-    table = pa.table(dict(zip(["k", "us", "id", "flag"], map(list, zip(*data)))))
-    spec = Spec(("k",), ("us", "id"), (
-        Neighbour({"id": "prev"}), Neighbour({"id": "next"}, backwards=True),
-        Neighbour({"id": "prev_flagged"}, only="flag"), Neighbour({"id": "next_flagged"}, backwards=True, only="flag"),
-    ), 0, 0)
-    got = neighbours.find_neighbours(table, spec).to_pylist()
-    for i, row in enumerate(got):
-        before = [d for d in data[:i] if d[0] == row["k"]]
-        after = [d for d in data[i + 1:] if d[0] == row["k"]]
-        assert row["prev"] == (before[-1][2] if before else None)
-        assert row["next"] == (after[0][2] if after else None)
-        assert row["prev_flagged"] == next((d[2] for d in reversed(before) if d[3]), None)
-        assert row["next_flagged"] == next((d[2] for d in after if d[3]), None)
-    empty = neighbours.find_neighbours(table.slice(0, 0), spec)
-    assert empty.num_rows == 0 and "next_flagged" in empty.column_names
-
-
 @pytest.fixture(scope="module")
 def pieces():
     """The events in six files; rows are shuffled and up to ten hours late."""
@@ -85,21 +62,38 @@ def test_velocity(spark, tmp_path, pieces):
     places = mapping.locations(spark, SMALL)
     got = in_two_runs(
         spark, tmp_path, pieces,
-        lambda s, path: jobs.stream_velocity(spark, mapping.signals_from(s), places, path, delay="12 hours", buckets=4),
+        lambda s, path: jobs.stream_velocity(spark, mapping.signals_from(s), places, path, delay_minutes=720, hot_rows=20),
     )
     same(got, correlate.velocity_alerts(mapping.signals(spark, SMALL), places))
-    # Most rows are settled long before the end, each exactly once.
-    versions = spark.read.parquet(f"{tmp_path}/out/rows").filter("not is_marker")
-    settled = versions.filter("is_settled")
-    assert settled.count() == settled.select("signal_id").distinct().count()
-    assert settled.count() > 0.7 * got.count()
+    # Rows are settled as time passes, each exactly once, and only the rest is carried.
+    versions = spark.read.parquet(f"{tmp_path}/out/rows")
+    settled = versions.filter("is_settled and not is_done")
+    assert settled.count() == settled.select("signal_id").distinct().count() > 800
+    assert neighbours.late_rows(spark, f"{tmp_path}/out").count() == 0
+    last = versions.filter("batch_id = 5")
+    assert last.filter("is_carried").count() < 0.2 * 1000
+
+
+def test_rows_later_than_the_delay_are_set_aside(spark, tmp_path, pieces):
+    """Nothing is lost: a row is answered or listed as late."""
+    places = mapping.locations(spark, SMALL)
+    in_two_runs(
+        spark, tmp_path, pieces,
+        lambda s, path: jobs.stream_velocity(spark, mapping.signals_from(s), places, path, delay_minutes=1),
+    )
+    versions = spark.read.parquet(f"{tmp_path}/out/rows").filter("not is_done")
+    late = neighbours.late_rows(spark, f"{tmp_path}/out")
+    assert late.count() > 0
+    assert versions.select("signal_id").distinct().count() == 1000
+    answered = versions.filter("not is_late").select("signal_id").distinct()
+    assert answered.join(late, "signal_id").count() == 0
 
 
 def test_step_up(spark, tmp_path, pieces):
     got = in_two_runs(
         spark, tmp_path, pieces,
         lambda s, path: jobs.stream_step_up(
-            spark, mapping.challenges_from(s), mapping.replies_from(s), path, 300, delay="12 hours", buckets=4),
+            spark, mapping.challenges_from(s), mapping.replies_from(s), path, 300, delay_minutes=720, hot_rows=20),
     )
     same(got, correlate.step_up_audit(mapping.challenges(spark, SMALL), mapping.replies(spark, SMALL), 300))
 
@@ -107,7 +101,7 @@ def test_step_up(spark, tmp_path, pieces):
 def test_span_pairs(spark, tmp_path, pieces):
     got = in_two_runs(
         spark, tmp_path, pieces,
-        lambda s, path: jobs.stream_span_pairs(spark, mapping.spans_from(s), path, 3000, delay="12 hours", buckets=4),
+        lambda s, path: jobs.stream_span_pairs(spark, mapping.spans_from(s), path, 3000, delay_minutes=720, hot_rows=20),
     )
     same(got, spans.span_pairs(mapping.spans(spark, SMALL), 3000))
 
@@ -116,7 +110,7 @@ def test_span_pairs(spark, tmp_path, pieces):
 def test_usage_windows(spark, tmp_path, pieces, width, slide):
     got = in_two_runs(
         spark, tmp_path, pieces,
-        lambda s, path: jobs.stream_usage(spark, mapping.signals_from(s), path, width, slide, delay="12 hours"),
+        lambda s, path: jobs.stream_usage(spark, mapping.signals_from(s), path, width, slide, delay_minutes=720),
     )
     same(got, jobs.usage_windows(mapping.signals(spark, SMALL), width, slide))
 

@@ -78,21 +78,18 @@ def running(
     values = {f"_v_{name}": spec.value for name, spec in outputs.items()}
     hot = F.broadcast(large_groups(df, keys, position, hot_rows))
     match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    slot = F.floor((F.col(position) - F.col("_lo")) / F.col("_width"))
-    helpers = ["_lo", "_width", *[f"_hot_{k}" for k in keys]]
+    # Without a large group to belong to, a row is in slot 0.
+    slot = F.coalesce(F.floor((F.col(position) - F.col("_lo")) / F.col("_width")), F.lit(0))
+    valued = df.select("*", *[v.alias(name) for name, v in values.items()])
 
     def cut(how: str) -> DataFrame:
-        return (
-            df.withColumns(values)
-            .join(hot, match, how)
-            .withColumn("_slot", F.coalesce(slot, F.lit(0)).cast("long"))
-            .drop(*helpers)
+        return valued.join(hot, match, how).select(
+            *valued.columns, slot.cast("long").alias("_slot"), F.lit(_ROW).alias("_edge")
         )
 
-    rows = cut("left").withColumn("_edge", F.lit(_ROW))
-    edges = _edge_rows(cut("inner"), keys, order, outputs)
-    both = rows.unionByName(edges, allowMissingColumns=True)
-
+    both = cut("left").unionByName(
+        _edge_rows(cut("inner"), keys, order, outputs), allowMissingColumns=True
+    )
     group = Window.partitionBy(*keys, "_slot")
     ahead = group.orderBy("_edge", *order).rowsBetween(Window.unboundedPreceding, -1)
     back = group.orderBy(F.desc("_edge"), *[F.desc(c) for c in order]).rowsBetween(
@@ -103,9 +100,9 @@ def running(
         for name, spec in outputs.items()
     }
     return (
-        both.select("*", *[c.alias(name) for name, c in computed.items()])
+        both.select(*df.columns, "_edge", *[c.alias(name) for name, c in computed.items()])
         .filter(F.col("_edge") == _ROW)
-        .drop("_edge", "_slot", *values)
+        .select(*df.columns, *outputs)
     )
 
 

@@ -118,23 +118,33 @@ def eval_scoring(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
-def leak_audit(df: DataFrame, columns: Sequence[str], patterns: Mapping[str, str]) -> DataFrame:
-    """Rows and matches of each pattern in each text column.
+def occurrences(text: Column, word: str) -> Column:
+    """How often a plain word occurs, from the length that removing it takes away."""
+    gone = F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))
+    return (gone / len(word)).cast("long")
+
+
+def leak_audit(
+    df: DataFrame, columns: Sequence[str], patterns: Mapping[str, str], words: Sequence[str] = ()
+) -> DataFrame:
+    """Rows and matches of each pattern and each plain word in each text column.
 
     All counts come from one pass over the table; the single result row is then unpivoted, so
     the table itself is never multiplied.
     """
-    counted = df
-    aggregates, stacked = [], []
+    tests = {label: (lambda c, p=p: F.regexp_count(c, F.lit(p)).cast("long")) for label, p in patterns.items()}
+    tests |= {word: (lambda c, w=word: occurrences(c, w)) for word in words}
+    found = {f"c{i}_{j}": test(F.col(c)) for i, c in enumerate(columns) for j, test in enumerate(tests.values())}
+    zero = F.lit(0).cast("long")
+    totals, lines = [], []
     for i, column in enumerate(columns):
-        for j, (label, pattern) in enumerate(patterns.items()):
+        for j, label in enumerate(tests):
             name = f"c{i}_{j}"
-            counted = counted.withColumn(name, F.coalesce(F.regexp_count(F.col(column), F.lit(pattern)), F.lit(0)))
-            aggregates += [
-                F.coalesce(F.sum(F.when(F.col(name) > 0, 1).otherwise(0)), F.lit(0)).cast("long").alias(f"rows_{name}"),
-                F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(f"matches_{name}"),
+            totals += [
+                F.coalesce(F.sum(F.when(F.col(name) > 0, 1).otherwise(0)), zero).alias(f"rows_{name}"),
+                F.coalesce(F.sum(name), zero).alias(f"matches_{name}"),
             ]
-            stacked.append(
+            lines.append(
                 F.struct(
                     F.lit(column).alias("column_name"),
                     F.lit(label).alias("pattern"),
@@ -142,4 +152,5 @@ def leak_audit(df: DataFrame, columns: Sequence[str], patterns: Mapping[str, str
                     F.col(f"matches_{name}").alias("matches"),
                 )
             )
-    return counted.agg(*aggregates).select(F.inline(F.array(*stacked)))
+    counts = df.select(*[count.alias(name) for name, count in found.items()])
+    return counts.agg(*totals).select(F.inline(F.array(*lines)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.functions import fixed_values as fixed
 from caseflow.functions import rules, text
 from caseflow.functions.redact import redact_columns
 from caseflow.operators import correlate, lookup, memory, resolve, scoring, spans, usage, validate
@@ -245,14 +246,19 @@ def eval_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks before and after redaction, counted in one scan."""
     before = mapping.table(spark, sf_dir, "documents").select("text", "source")
-    after = redact_columns(before)
-    return (
-        scoring.leak_audit(before, ["text", "source"], mapping.LEAK_PATTERNS)
-        .withColumn("stage", F.lit("before"))
-        .unionByName(
-            scoring.leak_audit(after, ["text", "source"], mapping.LEAK_PATTERNS).withColumn("stage", F.lit("after"))
-        )
+    both = before.select(
+        "*", text.redact_text(F.col("text")).alias("after_text"), text.redact_text(F.col("source")).alias("after_source")
+    )
+    counted = scoring.leak_audit(both, both.columns, mapping.LEAK_PATTERNS, fixed.FORBIDDEN_TELEMETRY_KEYS)
+    is_after = F.startswith("column_name", F.lit("after_"))
+    return counted.select(
+        F.when(is_after, "after").otherwise("before").alias("stage"),
+        F.regexp_replace("column_name", "^after_", "").alias("column_name"),
+        "pattern",
+        "rows_with_match",
+        "matches",
     )
 
 

@@ -580,8 +580,4 @@ def eval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return cases, outputs
 
 
-LEAK_PATTERNS = {
-    "card_number": CARD_NUMBER,
-    "identity_number": IDENTITY_NUMBER,
-    **{word: word for word in fixed.FORBIDDEN_TELEMETRY_KEYS},
-}
+LEAK_PATTERNS = {"card_number": CARD_NUMBER, "identity_number": IDENTITY_NUMBER}

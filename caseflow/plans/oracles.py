@@ -245,8 +245,9 @@ _WORDS = f"len(regexp_extract_all(text, '[^{_WS}]+'))"
 
 def _leaks(stage: str, column: str, value: str) -> str:
     parts = []
-    for label, pattern in mapping.LEAK_PATTERNS.items():
-        found = f"len(regexp_extract_all({value}, '{pattern.removeprefix('(?U)')}'))"
+    patterns = {"card_number": _CARD, "identity_number": _IDENTITY, **{w: w for w in fixed.FORBIDDEN_TELEMETRY_KEYS}}
+    for label, pattern in patterns.items():
+        found = f"len(regexp_extract_all({value}, '{pattern}'))"
         parts.append(
             f"SELECT '{stage}' AS stage, '{column}' AS column_name, '{label}' AS pattern, "
             f"CAST(count(*) FILTER ({found} > 0) AS BIGINT) AS rows_with_match, CAST(sum({found}) AS BIGINT) AS matches "

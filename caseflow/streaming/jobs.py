@@ -121,7 +121,7 @@ def stream_usage(
     at = F.col("ts").cast("timestamp")
     counted = (
         signals.withColumn("event_time", at)
-        .withWatermark("event_time", f"{delay_minutes} minutes")
+        .withWatermark("event_time", f"{int(delay_minutes * 60)} seconds")
         .groupBy(F.window("event_time", width, slide), "channel")
         .agg(
             F.count(F.lit(1)).alias("records"),

@@ -182,6 +182,7 @@ def judge_reply(rows: DataFrame, within_minutes: float = REPLY_WITHIN_MINUTES) -
     return rows.filter(F.col("_kind") == 1).select(
         F.col("_id").alias("challenge_id"),
         "customer_id",
+        F.col("ts").alias("challenge_ts"),
         F.when(answered, F.col("_reply._id")).alias("reply_id"),
         F.when(answered, F.floor(delay_us / MICROS)).alias("reply_after_seconds"),
         F.when(~answered, "NO_REPLY").when(mismatch, "HIGH").otherwise("LOW").alias("compromise_likelihood"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import SPACES, strip
+from caseflow.operators.ordered import HOT_ROWS
+from caseflow.operators.skew import spread_join
 
 CREDIT_LIMIT = 25_000.00
 GRAM = 3
@@ -88,7 +90,7 @@ def channel_activity(signals: DataFrame, channel: str) -> DataFrame:
     )
 
 
-def memory_search(fragments: DataFrame, queries: DataFrame) -> DataFrame:
+def memory_search(fragments: DataFrame, queries: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fragments of the asking customer that contain the query, or all of them when none does.
 
     Queries with no hit are found by an aggregate over the hits, not by a window over each
@@ -102,11 +104,17 @@ def memory_search(fragments: DataFrame, queries: DataFrame) -> DataFrame:
         searched["_values"] = F.transform(F.map_values("metadata"), lambda v: F.lower(v.cast("string")))
         hit = hit | F.coalesce(F.exists("_values", lambda v: F.contains(v, F.col("_q"))), F.lit(False))
     texts = fragments.select("customer_id", "fragment_id", *[c.alias(n) for n, c in searched.items()])
-    matched = texts.join(asked, "customer_id").filter(F.coalesce(hit, F.lit(False)))
+    matched = spread_join(texts, asked, ["customer_id"], ["fragment_id"], hot_rows=hot_rows).filter(
+        F.coalesce(hit, F.lit(False))
+    )
     answered = matched.select("query_id").distinct()
     unanswered = asked.join(answered, "query_id", "left_anti")
-    rest = fragments.select("customer_id", "fragment_id").join(
-        unanswered.select("query_id", "customer_id"), "customer_id"
+    rest = spread_join(
+        fragments.select("customer_id", "fragment_id"),
+        unanswered.select("query_id", "customer_id"),
+        ["customer_id"],
+        ["fragment_id"],
+        hot_rows=hot_rows,
     )
     columns = ["query_id", "customer_id", "fragment_id"]
     return (

@@ -12,6 +12,8 @@ from caseflow.functions import fixed_values as fixed
 from caseflow.functions.rules import KeywordRules, approval_gate, claim_outcome, claim_scenario, needs_review
 from caseflow.functions.text import contains_any, is_blank, mask_pan, strip
 from caseflow.operators.lookup import cents
+from caseflow.operators.ordered import HOT_ROWS
+from caseflow.operators.skew import spread_join
 from caseflow.operators.validate import checked, transaction_checks
 
 # Eight digits, as ids are often shown, collide within a hundred thousand cases.
@@ -165,7 +167,12 @@ def policy_support(policies: DataFrame, rules: KeywordRules = fixed.CLAIM_RULES)
 
 
 def claim_veracity(
-    claims: DataFrame, evidence: DataFrame, policies: DataFrame, rules: KeywordRules = fixed.CLAIM_RULES
+    claims: DataFrame,
+    evidence: DataFrame,
+    policies: DataFrame,
+    rules: KeywordRules = fixed.CLAIM_RULES,
+    *,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Judge each claim by its scenario and its customer's evidence.
 
@@ -176,12 +183,14 @@ def claim_veracity(
     has_notice = F.coalesce(F.col("notices") > 0, F.lit(False))
     # One row per rule: its length is fixed by the rule list, not by the data.
     support = F.broadcast(policy_support(policies, rules))
-    judged = (
-        claims.withColumn("scenario", claim_scenario(F.col("claim_text"), rules))
-        .join(support, "scenario", "left")
-        .join(evidence, "customer_id", "left")
-        .withColumn("_outcome", claim_outcome(F.col("scenario"), has_notice))
-    )
+    judged = spread_join(
+        claims.withColumn("scenario", claim_scenario(F.col("claim_text"), rules)).join(support, "scenario", "left"),
+        evidence,
+        ["customer_id"],
+        ["turn"],
+        "left",
+        hot_rows=hot_rows,
+    ).withColumn("_outcome", claim_outcome(F.col("scenario"), has_notice))
     contradicted = F.col("_outcome.status") == "CONTRADICTED_BY_TELEMETRY"
     blank = is_blank(F.col("claim_text"))
 

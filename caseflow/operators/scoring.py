@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.operators.ordered import HOT_ROWS
+from caseflow.operators.skew import spread_join
+
 # Two alerts of these kinds make the one score the domain states, 92.
 ALERT_WEIGHTS = {"VELOCITY": 52, "STEP_UP_MISMATCH": 40}
 MAX_RISK = 100
@@ -97,12 +100,12 @@ CHECKED_FIELDS = [
 ]
 
 
-def eval_scoring(cases: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Score outputs against their case: all of its checks, or no points.
+def eval_scoring(cases: DataFrame, outputs: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Score outputs, each with an ``output_id``, against their case: all of its checks, or no points.
 
     Each output meets exactly one case, so the join grows with the outputs only.
     """
-    joined = outputs.join(cases, "eval_id")
+    joined = spread_join(outputs, cases, ["eval_id"], ["output_id"], hot_rows=hot_rows)
     passed = None
     for check in check_expressions().values():
         passed = check if passed is None else passed & check

@@ -13,6 +13,7 @@ from caseflow.functions import fixed_values as fixed
 from caseflow.functions.rules import needs_audit, route_intent, tools_used
 from caseflow.functions.text import CARD_NUMBER, IDENTITY_NUMBER, strip
 from caseflow.operators.correlate import recurring_payees, step_up_audit, velocity_alerts
+from caseflow.operators.skew import spread_join
 
 NOTICE_PRIORITY = "1-URGENT"
 NOTICE_DAYS = 14
@@ -391,24 +392,19 @@ def open_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.right("name", F.lit(4)).alias("card_last4"),
         F.when(F.col("segment") == "FURNITURE", F.lit(" N/A ")).otherwise(F.col("name")).alias("address"),
     )
-    return (
-        disputable(spark, sf_dir)
-        .withColumn("case_id", F.col("transaction_id"))
-        .withColumnRenamed("ts", "opened_at")
-        .join(holder, "customer_id", "left")
-        .join(billers, "customer_id", "left")
-    )
+    cases = disputable(spark, sf_dir).withColumn("case_id", F.col("transaction_id")).withColumnRenamed("ts", "opened_at")
+    # One row per customer first, so the cases are shuffled once.
+    profile = holder.join(billers, "customer_id", "left")
+    return spread_join(cases, profile, ["customer_id"], ["case_id"], "left")
 
 
 def risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Velocity alerts and mismatched replies as rows of (customer_id, kind, ts)."""
     moved = velocity_alerts(signals(spark, sf_dir), locations(spark, sf_dir))
-    asked = challenges(spark, sf_dir)
-    suspect = step_up_audit(asked, replies(spark, sf_dir)).filter(F.col("compromise_likelihood") == "HIGH")
+    audited = step_up_audit(challenges(spark, sf_dir), replies(spark, sf_dir))
+    suspect = audited.filter(F.col("compromise_likelihood") == "HIGH")
     return moved.select("customer_id", F.lit("VELOCITY").alias("kind"), "ts").unionByName(
-        suspect.join(asked.select("challenge_id", F.col("challenge_ts").alias("ts")), "challenge_id").select(
-            "customer_id", F.lit("STEP_UP_MISMATCH").alias("kind"), "ts"
-        )
+        suspect.select("customer_id", F.lit("STEP_UP_MISMATCH").alias("kind"), F.col("challenge_ts").alias("ts"))
     )
 
 
@@ -571,6 +567,7 @@ def eval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         F.when(item % 3 == 1, F.array(F.lit("en"))).alias("expected_members"),
     )
     outputs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("output_id"),
         (F.col("doc_id") % EVAL_CASES).alias("eval_id"),
         "text",
         F.col("source").alias("trace_id"),

@@ -51,14 +51,14 @@ _STEP_UP = f"""
 challenges AS (SELECT event_id AS challenge_id, user_id AS customer_id, ts, {_K} AS origin FROM events WHERE event_type = 'signup'),
 replies AS (SELECT event_id AS reply_id, user_id AS customer_id, ts, {_K} AS origin FROM events WHERE event_type = 'click'),
 step_up_pairs AS (
-  SELECT c.challenge_id, c.customer_id, r.reply_id, (epoch_us(r.ts) - epoch_us(c.ts)) // 1000000 AS reply_after_seconds,
+  SELECT c.challenge_id, c.customer_id, c.ts AS challenge_ts, r.reply_id, (epoch_us(r.ts) - epoch_us(c.ts)) // 1000000 AS reply_after_seconds,
          r.origin <> c.origin AS mismatch,
          row_number() OVER (PARTITION BY c.challenge_id ORDER BY r.ts, r.reply_id) AS rn
   FROM challenges c LEFT JOIN replies r
     ON r.customer_id = c.customer_id AND r.ts > c.ts AND r.ts <= c.ts + INTERVAL 30 MINUTE
 ),
 step_up AS (
-  SELECT challenge_id, customer_id, reply_id, reply_after_seconds,
+  SELECT challenge_id, customer_id, challenge_ts, reply_id, reply_after_seconds,
          CASE WHEN reply_id IS NULL THEN 'NO_REPLY' WHEN mismatch THEN 'HIGH' ELSE 'LOW' END AS compromise_likelihood
   FROM step_up_pairs WHERE rn = 1
 )"""

@@ -98,3 +98,19 @@ def test_correlations_are_the_same_when_groups_are_cut(spark, hot_rows):
         expected = sorted(map(str, run(10**9).collect()))
         assert sorted(map(str, run(hot_rows).collect())) == expected, name
         assert expected, name
+
+
+def test_a_large_group_reaches_many_tasks(spark):
+    """One customer holds a third of the rows; no task gets near that many."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("pos"), "id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running(df, ["k"], ["pos", "id"], {"prev": Running("last", F.col("id"))}, hot_rows=100)
+        sizes = [r["count"] for r in got.filter("k = -1").groupBy(F.spark_partition_id()).count().collect()]
+        plain = [r["count"] for r in df.repartition(8, "k").filter("k = -1").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert plain == [1000]
+    assert sum(sizes) == 1000 and len(sizes) == 8 and max(sizes) < 400

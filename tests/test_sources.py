@@ -121,7 +121,7 @@ def test_eval_sets_are_read_and_scored(spark, tmp_path):
     sets = records.read_eval_sets(spark, str(tmp_path))
     assert records.eval_cases(sets).count() == 8
     assert sorted(r.rubric_id for r in records.eval_rubrics(sets).collect() if r.rubric_id) == ["r1", "r2"]
-    outputs = spark.createDataFrame([o[:5] for o in OUTPUTS], "eval_id string, text string, trace_id string, value double, members array<string>")
+    outputs = spark.createDataFrame([(i, *o[:5]) for i, o in enumerate(OUTPUTS)], "output_id int, eval_id string, text string, trace_id string, value double, members array<string>")
     scored = scoring.eval_scoring(records.scoring_cases(sets), outputs).collect()
     points = {c["eval_id"]: c["weight_points"] for c in SET["eval_cases"]}
     for r in scored:

@@ -80,6 +80,29 @@ def is_positive(amount: Column) -> Column:
     return F.coalesce((amount > 0) & ~F.isnan(amount), F.lit(False))
 
 
+def session_gate(
+    approved: Column,
+    session_requires: Column,
+    session_confirmed: Column,
+    amount: Column | None = None,
+    limit: float | None = None,
+    token: Column | None = None,
+) -> Column:
+    """The gate in front of a whole session's actions.
+
+    Only an explicit refusal counts as unapproved here, a missing amount is zero, and bad amounts
+    are left to the checks of the action itself.
+    """
+    none = F.lit(False)
+    refused = F.coalesce(~approved, none)
+    unconfirmed = F.coalesce(session_requires, none) & ~F.coalesce(session_confirmed, none)
+    stop = refused | unconfirmed
+    if amount is not None:
+        too_much = (F.nanvl(F.coalesce(amount, F.lit(0.0)), F.lit(0.0)) > limit) & (F.coalesce(token, F.lit("")) == "")
+        stop = stop | too_much
+    return F.when(stop, "APPROVAL_REQUIRED").otherwise("EXECUTE")
+
+
 def approval_gate(amount: Column | None, limit: float | None, approved: Column, token: Column | None) -> Column:
     """EXECUTE, APPROVAL_REQUIRED or ERROR. Without an amount only the approval counts."""
     stop = ~F.coalesce(approved, F.lit(False))

@@ -252,6 +252,12 @@ def travel_coverage(
     )
 
 
+def covered_charges(charges: DataFrame, notices: DataFrame, covered: bool = True) -> DataFrame:
+    """The charges some notice covers, or those none does."""
+    wanted = F.col("is_covered") if covered else ~F.col("is_covered")
+    return travel_coverage(charges, notices).filter(wanted).select("charge_id", "customer_id", "charge_date")
+
+
 # --- decline, call, wallet failure ------------------------------------------------------------
 
 

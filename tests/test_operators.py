@@ -64,6 +64,8 @@ def test_travel_edges(spark):
         (10, -1, False), (11, 1, True), (12, 1, True), (13, -1, False), (14, -1, False), (15, -1, False),
         (16, -1, False), (17, 1, True),
     ]
+    assert rows(correlate.covered_charges(charges, notices), "charge_id") == [(11,), (12,), (17,)]
+    assert rows(correlate.covered_charges(charges, notices, covered=False), "charge_id") == [(10,), (13,), (14,), (15,), (16,)]
 
 
 def test_step_up(spark):

@@ -192,3 +192,21 @@ def test_redact_columns_walks_the_schema(spark):
     assert got[2]["CVV"] == got[2]["pin"] == "***REDACTED_CVV***"
     assert got[2]["nested"] is None and got[2]["attrs"] is None
     assert isinstance(df.schema["counts"].dataType, T.MapType)
+
+
+def test_session_gate(spark):
+    cases = [
+        (True, False, False, 10.0, None, "EXECUTE"),
+        (None, None, None, None, None, "EXECUTE"),
+        (False, False, True, 10.0, "t", "APPROVAL_REQUIRED"),
+        (True, True, False, 10.0, None, "APPROVAL_REQUIRED"),
+        (True, True, True, 10.0, None, "EXECUTE"),
+        (True, False, False, 2500.01, None, "APPROVAL_REQUIRED"),
+        (True, False, False, 2500.01, "t", "EXECUTE"),
+        (True, False, False, float("nan"), None, "EXECUTE"),
+    ]
+    df = spark.createDataFrame(
+        [(i, *c[:5]) for i, c in enumerate(cases)], "i int, ok boolean, r boolean, c boolean, a double, t string"
+    )
+    gate = rules.session_gate(F.col("ok"), F.col("r"), F.col("c"), F.col("a"), 2500.0, F.col("t"))
+    assert [r.y for r in df.select("i", gate.alias("y")).orderBy("i").collect()] == [c[5] for c in cases]

@@ -90,6 +90,18 @@ INPUT_PRICE = 15
 OUTPUT_PRICE = 60
 COMPACTION_USD_PER_TOKEN = 0.000002
 
-# --- spans, scores, logs ------------------------------------------------------------------------
+# --- spans ------------------------------------------------------------------------------------
 LATENCY_LIMIT_MS = 500
 SPAN_BUFFER = 200
+
+# --- result states ------------------------------------------------------------------------------
+CREDIT_POSTED = "PROVISIONAL_CREDIT_POSTED"
+CARD_PROVISIONED = "ACTIVE_PROVISIONED"
+COURIER_DISPATCHED = "DISPATCHED_TO_COURIER"
+OLD_CARD_REVOKED = "PERMANENTLY_REVOKED_AND_BLOCKED"
+SECURITY_LOCKED = "SECURITY_LOCKED"
+DELIVERY_FORMAT = "EEEE, MMM dd 'at 2:00 PM GMT'"
+
+# --- timeline lines -----------------------------------------------------------------------------
+UNVERIFIED_TEXT = "[Veracity: Unverified]"
+COMPACTED_TEXT = " [COMPACTED SUMMARY]"

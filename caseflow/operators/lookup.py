@@ -139,6 +139,8 @@ def _grams(text: Column) -> Column:
 def policy_search(policies: DataFrame, queries: DataFrame, k: int = 2) -> DataFrame:
     """Policies whose title or summary contains a word of the query, else the first ``k`` policies.
 
+    Blank queries are for ``validate.blank`` to turn away beforehand.
+
     A substring test has no join key, so one is made: a word can only occur where its first
     characters do. Distinct words meet policies on that short key and the full test follows.
     """

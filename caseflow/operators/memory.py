@@ -29,7 +29,7 @@ def memories_of(fragments: DataFrame, customer_id) -> DataFrame:
 
 def timeline_line(veracity: bool = True) -> Column:
     """One fragment as a line of text."""
-    evaluation = F.lit("[Veracity: Unverified]")
+    evaluation = F.lit(fixed.UNVERIFIED_TEXT)
     if veracity:
         percent = (F.coalesce(F.col("veracity.confidence"), F.lit(1.0)) * 100).cast("int")
         evaluation = F.when(F.col("veracity").isNull(), evaluation).otherwise(
@@ -41,7 +41,7 @@ def timeline_line(veracity: bool = True) -> Column:
                 F.lit("%)]"),
             )
         )
-    compacted = F.when(F.coalesce("is_compacted_summary", F.lit(False)), " [COMPACTED SUMMARY]").otherwise("")
+    compacted = F.when(F.coalesce("is_compacted_summary", F.lit(False)), fixed.COMPACTED_TEXT).otherwise("")
     return F.concat(
         F.lit("- ["), F.col("day_label"), F.lit("] ["), F.col("channel"), F.lit("]"),
         compacted, F.lit(" "), evaluation, F.lit(": "), F.col("summary"),

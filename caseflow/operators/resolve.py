@@ -37,9 +37,9 @@ def file_disputes(txs: DataFrame, limit: float = fixed.DISPUTE_LIMIT) -> DataFra
     status = (
         F.when(F.col("error_type").isNotNull(), "ERROR")
         .when(gate == "APPROVAL_REQUIRED", "APPROVAL_REQUIRED")
-        .otherwise("PROVISIONAL_CREDIT_POSTED")
+        .otherwise(fixed.CREDIT_POSTED)
     )
-    posted = F.col("status") == "PROVISIONAL_CREDIT_POSTED"
+    posted = F.col("status") == fixed.CREDIT_POSTED
     return rows.withColumn("status", status).select(
         "transaction_id",
         "customer_id",
@@ -58,7 +58,7 @@ def dispute_totals(disputes: DataFrame) -> DataFrame:
         return F.sum(F.when(F.col("status") == status, 1).otherwise(0)).cast("long")
 
     return disputes.groupBy("customer_id").agg(
-        count("PROVISIONAL_CREDIT_POSTED").alias("credited"),
+        count(fixed.CREDIT_POSTED).alias("credited"),
         count("APPROVAL_REQUIRED").alias("stopped"),
         count("ERROR").alias("errors"),
         (F.coalesce(F.sum(cents(F.col("credit"))), F.lit(0)) / 100.0).alias("total_credit"),
@@ -80,14 +80,14 @@ def resolve_cases(
     dispute_gate = approval_gate(amount, dispute_limit, F.lit(True), token)
     dispute = (
         F.when(is_blank(F.col("transaction_id").cast("string")) | is_blank(F.col("merchant")), "ERROR")
-        .when(dispute_gate == "EXECUTE", "PROVISIONAL_CREDIT_POSTED")
+        .when(dispute_gate == "EXECUTE", fixed.CREDIT_POSTED)
         .otherwise(dispute_gate)
     )
     # Inside a confirmed resolution the card step has no token of its own.
     card_gate = approval_gate(F.col("spending_limit"), card_limit, F.lit(True), F.lit(None))
-    card = F.when(card_gate == "EXECUTE", "ACTIVE_PROVISIONED").otherwise("ERROR")
+    card = F.when(card_gate == "EXECUTE", fixed.CARD_PROVISIONED).otherwise("ERROR")
     complete = F.length(strip(F.coalesce("address", F.lit("")))) >= fixed.MIN_ADDRESS_LENGTH
-    courier = F.when(complete, "DISPATCHED_TO_COURIER").otherwise("ERROR")
+    courier = F.when(complete, fixed.COURIER_DISPATCHED).otherwise("ERROR")
     gate = approval_gate(None, None, approved, None)
 
     staged = cases.withColumns(
@@ -112,14 +112,14 @@ def resolve_cases(
     )
     key = F.col("case_id")
     done = F.col("_failed").isNull()
-    credited = done & (F.col("_dispute") == "PROVISIONAL_CREDIT_POSTED")
+    credited = done & (F.col("_dispute") == fixed.CREDIT_POSTED)
     arrives = F.col("opened_at") + F.expr("INTERVAL 24 HOURS")
     return staged.withColumn("_failed", failed).select(
         "case_id",
         "customer_id",
         status.alias("status"),
         F.col("_failed").alias("failed_step"),
-        F.when(done, "PERMANENTLY_REVOKED_AND_BLOCKED").alias("old_card_action"),
+        F.when(done, fixed.OLD_CARD_REVOKED).alias("old_card_action"),
         F.when(
             done,
             F.struct(
@@ -142,7 +142,7 @@ def resolve_cases(
             F.struct(
                 stable_id("SHP-", key).alias("tracking_number"),
                 strip(F.col("address")).alias("address"),
-                F.date_format(arrives, "EEEE, MMM dd 'at 2:00 PM GMT'").alias("estimated_delivery"),
+                F.date_format(arrives, fixed.DELIVERY_FORMAT).alias("estimated_delivery"),
                 F.col("_courier").alias("status"),
             ),
         ).alias("courier"),

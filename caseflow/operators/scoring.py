@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions import fixed_values as fixed
 from caseflow.operators.ordered import HOT_ROWS
 from caseflow.operators.skew import spread_join
 
@@ -34,7 +35,7 @@ def risk_summary(alerts: DataFrame, weights: Mapping[str, int] = ALERT_WEIGHTS)
     return per_customer.select(
         "*",
         level.alias("risk_level"),
-        F.when(locked, "SECURITY_LOCKED").otherwise("MONITORED").alias("containment_status"),
+        F.when(locked, fixed.SECURITY_LOCKED).otherwise("MONITORED").alias("containment_status"),
     )
 
 

@@ -222,26 +222,27 @@ def stream_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
 
-        def version(name: str, schema: str | T.StructType, partitions: Sequence[str] = ()) -> DataFrame:
-            return tables.read_versions(session, f"{path}/{name}", schema, partitions)
-
         # Each step is stored and read back, so it runs once and later steps agree on its rows.
         day = F.coalesce(F.left("time_created", F.lit(10)), F.lit("unknown"))
         tables.write_version(
             notifications.decoded(batch).withColumn("created_day", day), batch_id, f"{path}/decoded/rows"
         )
-        this = version("decoded", decoded_schema).filter(F.col(tables.BATCH) == batch_id)
-        usable = this.filter(F.col("reject_reason").isNull())
+        usable = tables.read_version(session, f"{path}/decoded", batch_id).filter(F.col("reject_reason").isNull())
         # A batch has few calendar days; as literals they prune the stored keys' folders.
         days = [r[0] for r in usable.select("created_day").distinct().collect()]
-        stored = version("seen", seen_schema, ["created_day"]).filter(
+        stored = tables.read_versions(session, f"{path}/seen", seen_schema, ["created_day"]).filter(
             (F.col(tables.BATCH) < batch_id) & F.col("created_day").isin(days)
         )
         new = notifications.one_per_object(usable).select(*kept).join(
             stored.select("created_day", *notifications.KEY), ["created_day", *notifications.KEY], "left_anti"
         )
         tables.write_version(new, batch_id, f"{path}/seen/rows", ["created_day"])
-        fresh = version("seen", seen_schema, ["created_day"]).filter(F.col(tables.BATCH) == batch_id)
+        # A batch may store no keys at all, so the schema is given here.
+        fresh = (
+            tables.read_versions(session, f"{path}/seen", seen_schema, ["created_day"])
+            .filter(F.col(tables.BATCH) == batch_id)
+            .drop(tables.BATCH)
+        )
         contents = notifications.attach_content(fresh, objects)
         tables.write_version(notifications.metadata_rows(contents, rules, now), batch_id, f"{path}/rows")
 

@@ -57,7 +57,7 @@ def answer_batch(batch: DataFrame, batch_id: int, path: str, spec: Spec) -> None
     if batch_id > 0:
         # Only the last version is read, whatever the number of batches so far.
         carried = (
-            spark.read.parquet(f"{path}/rows/{BATCH}={batch_id - 1}")
+            tables.read_version(spark, path, batch_id - 1)
             .filter("is_carried")
             .select(*columns, (F.col("is_done") | F.col("is_settled")).alias("is_done"))
         )

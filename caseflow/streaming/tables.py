@@ -66,6 +66,11 @@ def read_versions(
     return spark.read.schema(f"{schema}, {BATCH} BIGINT").parquet(f"{path}/rows")
 
 
+def read_version(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """One version, without listing the others."""
+    return spark.read.parquet(f"{path}/rows/{BATCH}={batch_id}")
+
+
 def latest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest version of every key of an update-mode result.
 

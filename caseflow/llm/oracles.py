@@ -15,11 +15,11 @@ WITH RECURSIVE words AS (
 ), sizes AS (SELECT doc_id, len(s) AS n FROM sets
 ), items AS (SELECT doc_id, unnest(s) AS g FROM sets
 ), shared AS (
-    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
     FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
     SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
-    WHERE 100 * both >= 80 * (p.n + q.n - both)
+    WHERE 100 * common >= 80 * (p.n + q.n - common)
 ), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), reach AS (
     SELECT doc_id, doc_id AS other FROM sizes

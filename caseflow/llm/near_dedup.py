@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import components, documents, stored
+from caseflow.llm.shared import components, documents, narrowed, stored
 from caseflow.llm.textkernel import mix, shingle_sets
 
 BANDS, ROWS = 40, 6
@@ -35,21 +35,32 @@ def _scatter(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(15))
 
 
+def _permute(x: np.ndarray) -> np.ndarray:
+    """The second permutation, in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    return x
+
+
 def signature(hashes: np.ndarray, length: int) -> np.ndarray:
     """Coordinate k is the least value of the second permutation, shifted by k + 1, over the set."""
     seen = _scatter((hashes >> np.uint64(32)).astype(np.uint32))
     shift = np.arange(1, length + 1, dtype=np.uint32)[:, None]
     low = np.full(length, 2**32 - 1, np.uint32)
     for at in range(0, len(seen), 512):
-        x = seen[None, at : at + 512] - shift
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        x *= np.uint32(0xC2B2AE35)
-        np.minimum(low, x.min(axis=1), out=low)
+        np.minimum(low, _permute(seen[None, at : at + 512] - shift).min(axis=1), out=low)
     return low
 
 
+def signatures(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The signatures of many sets that lie one after another, from ``starts`` on; one column for each."""
+    seen = _scatter((hashes >> np.uint64(32)).astype(np.uint32))
+    rows = [np.minimum.reduceat(_permute(seen - np.uint32(k + 1)), starts) for k in range(length)]
+    return np.stack(rows)
+
+
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band of the signature; the band's number is part of it."""
     low = signature(hashes, bands * rows).reshape(bands, rows).astype(np.uint64)
@@ -89,7 +100,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     wanted = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("part")).union(
         salted.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0))
     )
-    texts = documents(docs)
+    texts = narrowed(documents(docs), wanted.select("doc_id").distinct(), "doc_id")
     rows = wanted.join(texts, "doc_id").select("a", "salt", "part", F.col("doc_id").alias("b"), "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "part")
 
@@ -130,7 +141,8 @@ def unsettled(spark: SparkSession, first: DataFrame, roots: DataFrame, docs: Dat
     rows = first.join(size, "a")
     held = rows.where("apart").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("part"), "b", "root")
     passed = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "b", "root")
-    texts = documents(docs).select(F.col("doc_id").alias("b"), "text")
+    texts = narrowed(documents(docs), passed.select(F.col("b").alias("doc_id")).distinct(), "doc_id")
+    texts = texts.select(F.col("doc_id").alias("b"), "text")
     rows = held.union(passed).join(texts, "b").select("a", "block", "part", "b", "root", "text")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "part")
 

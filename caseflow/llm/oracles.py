@@ -3,7 +3,7 @@
 ORACLES: dict[str, str] = {}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op1_near_dedup"] = f"""
 WITH RECURSIVE words AS (
@@ -36,3 +36,67 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, sha256({LOWER.format("coalesce(text, '')")}) AS h FROM documents)
 WINDOW same AS (PARTITION BY h)
 """
+
+RULED = """
+SELECT page_id, host, path, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+FROM (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+        THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+)
+"""
+
+
+def _kappa(groups: str, prior: str) -> str:
+    noise = f"{prior} * (1 - {prior})"
+    rho = f"sum(pow(good - n * {prior}, 2) - n * {noise}) / nullif(sum(n * (n - 1) * {noise}), 0)"
+    return f"""(SELECT CASE WHEN coalesce(rho, 0) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, (1 - rho) / rho)) END
+        FROM (SELECT {rho} AS rho FROM {groups}))"""
+
+
+ORACLES["op5_url_filter"] = f"""
+WITH urls AS ({RULED}
+), hosts AS (
+    SELECT host, count(quality)::DOUBLE AS n, coalesce(sum(quality), 0)::DOUBLE AS good,
+        regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain, regexp_extract(host, '[^.]\\.([^.]+)$', 1) AS suffix
+    FROM urls LEFT JOIN labels ON page_id = doc_id GROUP BY host
+), top AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS prior FROM hosts
+), suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(prior) AS prior FROM hosts, top GROUP BY suffix
+), suffix_means AS (
+    SELECT suffix, (good + k * prior) / (n + k) AS mean FROM suffixes, (SELECT {_kappa("suffixes", "prior")} AS k)
+), domains AS (
+    SELECT domain, sum(n) AS n, sum(good) AS good, any_value(mean) AS prior
+    FROM hosts JOIN suffix_means USING (suffix) GROUP BY domain
+), domain_means AS (
+    SELECT domain, (good + k * prior) / (n + k) AS mean FROM domains, (SELECT {_kappa("domains", "prior")} AS k)
+), ready AS (SELECT host, n, good, mean AS prior FROM hosts JOIN domain_means USING (domain)
+), host_means AS (
+    SELECT host, (good + k * prior) / (n + k) AS mean, n + k AS weight FROM ready, (SELECT {_kappa("ready", "prior")} AS k)
+)
+SELECT page_id, host, path, rule,
+    CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow'
+        WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN bound < 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
+    round(bound, 9) AS score
+FROM urls JOIN (SELECT host, mean + sqrt(mean * (1 - mean) / (weight + 1)) AS bound FROM host_means) USING (host)
+"""
+
+ORACLES["op10_decontamination"] = """
+WITH texts AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    UNION ALL
+    SELECT 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') FROM benchmark
+), sets AS (
+    SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g
+    FROM texts
+), items AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_shingles FROM sets WHERE kind = 'b'
+)
+SELECT d.id AS doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles
+FROM items JOIN sets d ON d.kind = 'd' AND d.g = items.g
+GROUP BY d.id, item_id HAVING count(*) * 100 >= any_value(n_shingles) * 80
+"""

@@ -7,7 +7,18 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact_dedup, near_dedup
+from caseflow.llm import (
+    decontam,
+    exact_dedup,
+    host_reputation,
+    licenses,
+    mixing,
+    near_dedup,
+    paragraph_dedup,
+    pii,
+    quality,
+    suffix_dedup,
+)
 from caseflow.llm.shared import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +49,46 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_exact_dedup")
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents"), exact_dedup.earlier_half())
+
+
+@query("op3_paragraph_dedup")
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op5_url_filter")
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The only labels are those of the documents; a page's outcome is the quality under its number."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.selectExpr("doc_id AS page_id", "quality AS good")
+    return host_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes)
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(spark, table(spark, sf_dir, "documents"), licenses.document_path())
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caseflow.session import work_dir
 
+BROADCAST_IDS = 250_000
 _shipped: set[str] = set()
 
 
@@ -46,6 +47,16 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among distinct ``ids``, or all rows where that list is too long to send round.
+
+    For use before a join on the key: few ids spare the join the shuffle of most texts.
+    """
+    if ids.count() <= BROADCAST_IDS:
+        return df.join(F.broadcast(ids), key, "left_semi")
+    return df
+
+
 def ranked(spark: SparkSession, df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``rank``, 0-based over all rows in the given total order, without one task seeing them all.
 

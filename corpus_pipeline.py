@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact_dedup, near_dedup
+from caseflow.llm import decontam, exact_dedup, mixing, near_dedup, quality
 from caseflow.llm.shared import ship, stored
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below 0.7 go."""
+    ship(spark)
+    return quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
     ship(spark)
@@ -20,7 +26,25 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep_first(spark, docs)
 
 
-STAGES = [("exact dedup", exact), ("near dedup", near)]
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship(spark)
+    return decontam.drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: documents with the number of their words taken, repeats counted."""
+    ship(spark)
+    return mixing.mixed_documents(spark, docs)
+
+
+STAGES = [
+    ("quality", good),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("decontamination", clean),
+    ("mixing", mixed),
+]
 
 ORACLE_SQL = None
 

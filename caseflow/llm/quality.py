@@ -21,7 +21,7 @@ from caseflow.llm.textkernel import RangeHash, distinct_sets, lower_ascii, shing
 FEATURES = (
     "words, word length, its spread, capitals, symbols, punctuation, digits, non-ASCII letters, line breaks, "
     "repeated words, repeated word triples, repeated lines, words that end in a symbol, capitalised words, "
-    "words without letters"
+    "words without letters, words said twice in a row"
 ).split(", ")
 THRESHOLD = 0.7
 UNIT = 2048
@@ -54,6 +54,8 @@ def _slice_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ranges = RangeHash(lower)
     word_hash = ranges.of(start, end)
     own = np.array([len(s) for s in distinct_sets(word_hash, row, n)])
+    twice = np.zeros(len(row), bool)
+    twice[1:] = (word_hash[1:] == word_hash[:-1]) & (row[1:] == row[:-1])
     triple, of_triple = shingles(word_hash, row, 3)
     triples = np.bincount(of_triple, minlength=n)
     own_triples = np.array([len(s) for s in distinct_sets(triple, of_triple, n)])
@@ -84,6 +86,7 @@ def _slice_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         part(kinds[end - 1] == _SYMBOL) if len(end) else np.zeros(n),
         part(kinds[start] == _UPPER) if len(end) else np.zeros(n),
         part(letters[end] == letters[start]),
+        part(twice),
     ]
     return np.rint(np.stack(columns, axis=1) * UNIT).astype(np.int64)
 

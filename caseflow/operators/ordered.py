@@ -2,11 +2,13 @@
 
 A window over ``partitionBy(customer)`` sorts each customer in one task, so a customer holding a
 third of all rows holds a third of the job. ``running`` computes the same values but cuts every
-large group into slots along the ordering axis. Each slot is windowed on its own, and the value a
-slot needs from its neighbours arrives as one extra *edge* row per slot, unioned in before the
-window. Groups that are not large keep a single slot, and get no edge rows.
+large group into slots along the whole ordering. The rows of large groups are dealt out by range of
+(keys, order) and stored, so slots hold about equally many rows however uneven the order is, one far
+off value or many equal ones included. Each slot is windowed on its own, and the value a slot needs
+from its neighbours arrives as one extra *edge* row per slot, unioned in before the window.
 
-Which groups are cut never changes a result, only how the work is spread.
+Which groups are cut never changes a result, only how the work is spread. Where no group is large the
+plan is a plain window.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.session import work_dir
+
 # A group above this many rows is cut; one sorted slot of this size fits easily in a task.
 HOT_ROWS = 2_000_000
-# The list of cut groups is broadcast, so its length is fixed: the largest groups come first and
-# any beyond this many simply stay whole.
-MAX_CUT_GROUPS = 10_000
+# A list of large groups up to this length is sent to every task; a longer one is joined by shuffle.
+BROADCAST_GROUPS = 10_000
 
 _FIRST_EDGE, _ROW, _LAST_EDGE = -1, 0, 1
 
@@ -38,24 +41,13 @@ class Running:
     backwards: bool = False
 
 
-def large_groups(
-    df: DataFrame, keys: Sequence[str], position: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """The groups above ``hot_rows`` rows with the origin and width of their slots."""
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi")
-    )
-    # Aim at hot_rows / 4 rows per slot, which leaves room for uneven density.
-    slots = F.ceil(F.col("_n") * 4 / F.lit(hot_rows))
+def large_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The groups above ``hot_rows`` rows with their number of rows."""
     return (
-        stats.filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_CUT_GROUPS)
-        .select(
-            *[F.col(k).alias(f"_hot_{k}") for k in keys],
-            "_lo",
-            F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / slots)).alias("_width"),
-        )
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows)
+        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_n")
     )
 
 
@@ -65,32 +57,37 @@ def running(
     order: Sequence[str],
     outputs: Mapping[str, Running],
     *,
-    position: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add one column per entry of ``outputs``, computed in ``order`` within ``keys``.
 
-    ``position`` is the integer column slots are cut along; it must not decrease along ``order``
-    and defaults to its first column. Backward values use their own descending window: a frame
-    that reaches to the end of the partition would be quadratic.
+    Groups are counted first, and only where one is large is anything cut. Backward values use
+    their own descending window: a frame that reaches to the end of the partition would be quadratic.
     """
-    position = position or order[0]
     values = {f"_v_{name}": spec.value for name, spec in outputs.items()}
-    hot = F.broadcast(large_groups(df, keys, position, hot_rows))
-    match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    # Without a large group to belong to, a row is in slot 0.
-    slot = F.coalesce(F.floor((F.col(position) - F.col("_lo")) / F.col("_width")), F.lit(0))
     valued = df.select("*", *[v.alias(name) for name, v in values.items()])
+    hot = large_groups(df, keys, hot_rows)
+    groups, rows = hot.agg(F.count("*"), F.sum("_n")).first()
+    if not groups:
+        return _windowed(valued.withColumn("_edge", F.lit(_ROW)), keys, order, outputs).select(*df.columns, *outputs)
 
-    def cut(how: str) -> DataFrame:
-        return valued.join(hot, match, how).select(
-            *valued.columns, slot.cast("long").alias("_slot"), F.lit(_ROW).alias("_edge")
-        )
-
-    both = cut("left").unionByName(
-        _edge_rows(cut("inner"), keys, order, outputs), allowMissingColumns=True
-    )
-    group = Window.partitionBy(*keys, "_slot")
+    match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    listed = F.broadcast(hot) if groups <= BROADCAST_GROUPS else hot
+    small = valued.join(listed, match, "left_anti").withColumn("_edge", F.lit(_ROW))
+    cut = valued.join(listed, match, "left_semi").repartitionByRange(int(-(-2 * rows // hot_rows)), *keys, *order)
+    path = work_dir(df.sparkSession, "slots")
+    cut.withColumn("_slot", F.spark_partition_id().cast("long")).write.parquet(path)
+    cut = df.sparkSession.read.parquet(path).withColumn("_edge", F.lit(_ROW))
+    both = cut.unionByName(_edge_rows(cut, keys, order, outputs), allowMissingColumns=True)
+    names = [*df.columns, *outputs]
+    large = _windowed(both, [*keys, "_slot"], order, outputs)
+    return _windowed(small, keys, order, outputs).select(*names).unionByName(large.select(*names))
+
+
+def _windowed(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: Mapping[str, Running]
+) -> DataFrame:
+    group = Window.partitionBy(*keys)
     ahead = group.orderBy("_edge", *order).rowsBetween(Window.unboundedPreceding, -1)
     back = group.orderBy(F.desc("_edge"), *[F.desc(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, -1
@@ -99,11 +96,8 @@ def running(
         name: _fold(spec.kind, F.col(f"_v_{name}")).over(back if spec.backwards else ahead)
         for name, spec in outputs.items()
     }
-    return (
-        both.select(*df.columns, "_edge", *[c.alias(name) for name, c in computed.items()])
-        .filter(F.col("_edge") == _ROW)
-        .select(*df.columns, *outputs)
-    )
+    kept = [c for c in rows.columns if not c.startswith("_v_")]
+    return rows.select(*kept, *[c.alias(name) for name, c in computed.items()]).filter(F.col("_edge") == _ROW)
 
 
 def _fold(kind: str, value: Column) -> Column:

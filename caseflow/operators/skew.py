@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.operators.ordered import HOT_ROWS, MAX_CUT_GROUPS
+from caseflow.operators.ordered import BROADCAST_GROUPS, HOT_ROWS
 
 MISSING_KEY_SHARES = 1000
 
@@ -28,19 +28,22 @@ def spread_join(
     """``left.join(right, keys, how)`` for ``inner`` and ``left``, with large keys of ``left`` spread.
 
     The rows of a large key are dealt to shares by a hash of ``spread_by`` (an id of the row), and
-    the few rows ``right`` has for that key are repeated once per share. The list of large keys has
-    a fixed length; keys beyond it, and all smaller ones, have a single share.
+    the few rows ``right`` has for that key are repeated once per share. Smaller keys have a single
+    share. Keys are counted first; without a large one the join is a plain one.
     """
     if how not in ("inner", "left"):
         raise ValueError("repeating the right side is exact for inner and left joins only")
-    hot = F.broadcast(
+    hot = (
         left.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_CUT_GROUPS)
         .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
     )
+    found = hot.count()
+    if not found:
+        return left.join(right, list(keys), how)
+    if found <= BROADCAST_GROUPS:
+        hot = F.broadcast(hot)
     shares = F.coalesce("_shares", F.lit(1))
     # A missing key meets nothing, so those rows can go anywhere.
     missing = F.lit(False)

@@ -74,7 +74,6 @@ def answer_batch(batch: DataFrame, batch_id: int, path: str, spec: Spec) -> None
         spec.keys,
         spec.order,
         {**spec.outputs, "_next": Running("last", time, backwards=True)},
-        position=spec.order[0],
         hot_rows=spec.hot_rows,
     )
     settled = time + spec.lookahead_us < watermark

@@ -16,8 +16,9 @@ def redact_columns(df: DataFrame, secret: Collection[str] = fixed.SECRET_FIELD_N
     """Redact text at any depth and replace every value kept under a secret name.
 
     The schema is walked once while the plan is built; the result is one projection. A secret
-    field becomes a string even when it is null or not text; map values become strings, because
-    a replaced value has to share their type.
+    field becomes a string even when it is null or not text. Plain map values become strings, because
+    a replaced value has to share their type; a nested map value cannot, so under a secret key it
+    becomes null.
     """
     names = {n.lower() for n in secret}
     return df.select(
@@ -35,13 +36,16 @@ def _redact(value: Column, kind: T.DataType, name: str, secret: set[str]) -> Col
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda item: _redact(item, kind.elementType, "", secret))
-    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
-        if isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType)):
+    if isinstance(kind, T.MapType):
+        is_secret = lambda key: F.lower(key).isin(sorted(secret))
+        if not isinstance(kind.keyType, T.StringType):
             return F.transform_values(value, lambda _, v: _redact(v, kind.valueType, "", secret))
+        if isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType)):
+            return F.transform_values(
+                value, lambda k, v: F.when(~is_secret(k), _redact(v, kind.valueType, "", secret))
+            )
         return F.transform_values(
             value,
-            lambda k, v: F.when(F.lower(k).isin(sorted(secret)), fixed.SECRET_FIELD_REPLACEMENT).otherwise(
-                redact_text(v.cast("string"))
-            ),
+            lambda k, v: F.when(is_secret(k), fixed.SECRET_FIELD_REPLACEMENT).otherwise(redact_text(v.cast("string"))),
         )
     return value

@@ -194,6 +194,18 @@ def test_redact_columns_walks_the_schema(spark):
     assert isinstance(df.schema["counts"].dataType, T.MapType)
 
 
+def test_redact_columns_reaches_nested_and_keyed_maps(spark):
+    schema = "a map<string, struct<x: string>>, b map<string, array<string>>, c map<int, string>, d map<int, struct<pin: string>>"
+    row = ({"PIN": ("1234",), "memo": ("4147202488884821",)}, {"otp": ["9999"], "m": ["123-45-6789"]}, {1: "4147202488884821"}, {2: ("77",)})
+    got = redact_columns(spark.createDataFrame([row], schema)).first().asDict(recursive=True)
+    assert got == {
+        "a": {"PIN": None, "memo": {"x": "************REDACTED"}},
+        "b": {"otp": None, "m": ["***-**-REDACTED"]},
+        "c": {1: "************REDACTED"},
+        "d": {2: {"pin": "***REDACTED_CVV***"}},
+    }
+
+
 def test_session_gate(spark):
     cases = [
         (True, False, False, 10.0, None, "EXECUTE"),

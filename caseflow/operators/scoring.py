@@ -104,15 +104,16 @@ CHECKED_FIELDS = [
 def eval_scoring(cases: DataFrame, outputs: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Score outputs, each with an ``output_id``, against their case: all of its checks, or no points.
 
-    Each output meets exactly one case, so the join grows with the outputs only.
+    Each output meets exactly one case, so the join grows with the outputs only. A case that got no
+    output has failed: none of its points, which still count as possible.
     """
     joined = spread_join(outputs, cases, ["eval_id"], ["output_id"], hot_rows=hot_rows)
     passed = None
     for check in check_expressions().values():
         passed = check if passed is None else passed & check
-    return (
-        joined.select("eval_set_id", "eval_id", "weight_points", passed.alias("passed"))
-        .groupBy("eval_set_id", "eval_id")
+    scored = (
+        joined.select("eval_id", "weight_points", passed.alias("passed"))
+        .groupBy("eval_id")
         .agg(
             F.count(F.lit(1)).alias("outputs"),
             F.sum(F.col("passed").cast("long")).alias("passed"),
@@ -120,6 +121,15 @@ def eval_scoring(cases: DataFrame, outputs: DataFrame, *, hot_rows: int = HOT_RO
             F.sum(F.when(F.col("passed"), F.col("weight_points")).otherwise(0)).cast("long").alias("points"),
         )
     )
+    none = F.lit(0).cast("long")
+    return cases.select("eval_set_id", "eval_id", "weight_points").join(scored, "eval_id", "left").select(
+        "eval_set_id",
+        "eval_id",
+        F.coalesce("outputs", none).alias("outputs"),
+        F.coalesce("passed", none).alias("passed"),
+        F.coalesce("points_possible", F.col("weight_points").cast("long")).alias("points_possible"),
+        F.coalesce("points", none).alias("points"),
+    )
 
 
 def occurrences(text: Column, word: str) -> Column:

@@ -24,13 +24,12 @@ def span_stats(
 ) -> DataFrame:
     """Count, mean, exact percentiles, maximum and share under the limit per kind of span.
 
-    Durations are kept to 1/100 ms, so each kind is first reduced to counts per distinct
-    duration. Percentiles then come from running counts over those, not from one task that
-    gathers every duration of a kind.
+    Each kind is first reduced to counts per distinct duration. Percentiles then come from running
+    counts over those, not from one task that gathers every duration of a kind. Durations are taken
+    as they are; only the mean and the share are rounded, at the end.
     """
     kind = ["span_type", "name"]
-    hundredths = F.round(F.col("duration_ms") * 100).cast("long").alias("d")
-    counts = spans.groupBy(*kind, hundredths).agg(F.count(F.lit(1)).alias("n"))
+    counts = spans.groupBy(*kind, F.col("duration_ms").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     ranked = running(
         counts,
         kind,
@@ -46,14 +45,14 @@ def span_stats(
 
     def percentile(p: int) -> Column:
         """The smallest duration with at least p percent of the spans at or below it."""
-        return (F.min(F.when(upto * 100 >= total * p, F.col("d"))) / 100.0).alias(f"p{p}_ms")
+        return F.min(F.when(upto * 100 >= total * p, F.col("d"))).alias(f"p{p}_ms")
 
-    under = F.sum(F.when(F.col("d") < round(limit_ms * 100), F.col("n")).otherwise(0))
+    under = F.sum(F.when(F.col("d") < limit_ms, F.col("n")).otherwise(0))
     return ranked.groupBy(*kind).agg(
         F.sum("n").alias("spans"),
-        F.round(F.sum(F.col("n") * F.col("d")) / (F.sum("n") * 100.0), 4).alias("mean_ms"),
+        F.round(F.sum(F.col("n") * F.col("d")) / F.sum("n"), 4).alias("mean_ms"),
         *[percentile(p) for p in percents],
-        (F.max("d") / 100.0).alias("max_ms"),
+        F.max("d").alias("max_ms"),
         F.round(under * 100.0 / F.sum("n"), 4).alias("under_limit_pct"),
     )
 

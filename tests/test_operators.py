@@ -301,14 +301,20 @@ def test_span_stats_percentiles_match_brute_force(spark):
     df = mapping.spans(spark, SMALL)
     kinds = {}
     for r in df.collect():
-        kinds.setdefault((r.span_type, r.name), []).append(round(r.duration_ms * 100))
+        kinds.setdefault((r.span_type, r.name), []).append(r.duration_ms)
     for hot_rows in (4, 10**9):
         for r in spans.span_stats(df, 100, hot_rows=hot_rows).collect():
             values = sorted(kinds[r.span_type, r.name])
             n = len(values)
-            assert r.spans == n and r.max_ms == values[-1] / 100
-            assert r.p50_ms == values[-(-n * 50 // 100) - 1] / 100
-            assert r.p95_ms == values[-(-n * 95 // 100) - 1] / 100
+            assert r.spans == n and r.max_ms == values[-1]
+            assert r.p50_ms == values[-(-n * 50 // 100) - 1]
+            assert r.p95_ms == values[-(-n * 95 // 100) - 1]
+
+
+def test_span_stats_round_no_duration(spark):
+    df = spark.createDataFrame([("a", "b", 499.997), ("a", "b", 0.001)], "span_type string, name string, duration_ms double")
+    r = spans.span_stats(df, 500).first()
+    assert (r.under_limit_pct, r.max_ms, r.p50_ms, r.mean_ms) == (100.0, 499.997, 0.001, 249.999)
 
 
 def test_recent_spans_keep_the_newest(spark):

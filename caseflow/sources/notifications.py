@@ -32,11 +32,12 @@ def decoded(df: DataFrame, raw: str = "raw") -> DataFrame:
     read with functions that give null, and the corrupt-record field tells bad JSON from JSON
     without the field.
     """
-    text = F.trim(F.col(raw))
+    text = F.regexp_replace(F.col(raw), r"^\s+|\s+$", "")
     # A message that is a JSON object comes back as its own JSON text.
     staged = (
         df.withColumn("_envelope", F.from_json(text, ENVELOPE, _JSON))
         .withColumn("_message", F.from_json(F.col("_envelope.message"), MESSAGE, _JSON))
+        .withColumn("_has_data", F.map_contains_key(F.from_json(F.col("_envelope.message"), "MAP<STRING, STRING>"), "data"))
         .withColumn(
             "_json",
             F.try_validate_utf8(F.try_to_binary(F.col("_message.data"), F.lit("base64")).cast("string")),
@@ -44,12 +45,13 @@ def decoded(df: DataFrame, raw: str = "raw") -> DataFrame:
         .withColumn("_object", F.from_json("_json", OBJECT, _JSON))
     )
     no_payload = text.isNull() | text.isin(_NOTHING)
-    bad_json = F.col("_envelope._corrupt").isNotNull()
+    bad_json = F.try_parse_json(text).isNull()
+    no_object = F.col("_envelope._corrupt").isNotNull() | F.col("_envelope.message").isNull()
     reason = (
-        F.when(no_payload | (bad_json & ~text.startswith("[")), "NO_PAYLOAD")
-        .when(bad_json | F.col("_envelope.message").isNull(), "INVALID_FORMAT")
-        .when(F.col("_message.data").isNull(), "NO_DATA")
-        .when(F.col("_json").isNull() | F.col("_object._corrupt").isNotNull(), "DECODE_FAILED")
+        F.when(no_payload | bad_json, "NO_PAYLOAD")
+        .when(no_object, "INVALID_FORMAT")
+        .when(~F.coalesce("_has_data", F.lit(False)), "NO_DATA")
+        .when(_absent(F.col("_json")) | F.col("_object._corrupt").isNotNull(), "DECODE_FAILED")
         .when(_absent(F.col("_object.bucket")) | _absent(F.col("_object.name")), "MISSING_OBJECT")
     )
     return staged.select(
@@ -73,6 +75,11 @@ def decode_notifications(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, Da
     )
 
 
+def object_key() -> Column:
+    """One text for an object version; an absent field differs from an empty one and equals itself."""
+    return F.sha2(F.to_json(F.struct(*KEY)), 256)
+
+
 def attach_content(notifications: DataFrame, objects: DataFrame) -> DataFrame:
     """Join the stored text; ``status`` says where there is none, and no text is made up."""
     stored = objects.select("bucket", "name", "content", F.lit(True).alias("_stored"))

@@ -213,33 +213,32 @@ def stream_ingest(
 
     A redelivery may come at any time, so it is not left to a watermark: each batch drops what
     its own rows repeat, and what earlier batches already stored for the same day of creation.
-    The day is a partition of the stored keys, so only the days of the batch are read.
+    The day is a partition of the stored keys; the batch's days prune them while the query runs. A
+    creation time that is no date counts as the day ``unknown``.
     """
     decoded_schema = T.StructType([*notifications.decoded(raw).schema.fields, T.StructField("created_day", T.StringType())])
-    kept = [*notifications.KEY, "time_created", "created_day"]
+    kept = [*notifications.KEY, "time_created", "object_key", "created_day"]
     seen_schema = ", ".join(f"{c} STRING" for c in kept)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
 
         # Each step is stored and read back, so it runs once and later steps agree on its rows.
-        day = F.coalesce(F.left("time_created", F.lit(10)), F.lit("unknown"))
+        created = F.try_to_timestamp(F.left("time_created", F.lit(10)), F.lit("yyyy-MM-dd"))
+        day = F.coalesce(F.date_format(created, "yyyy-MM-dd"), F.lit("unknown"))
         tables.write_version(
             notifications.decoded(batch).withColumn("created_day", day), batch_id, f"{path}/decoded/rows"
         )
         usable = tables.read_version(session, f"{path}/decoded", batch_id).filter(F.col("reject_reason").isNull())
-        # A batch has few calendar days; as literals they prune the stored keys' folders.
-        days = [r[0] for r in usable.select("created_day").distinct().collect()]
-        stored = tables.read_versions(session, f"{path}/seen", seen_schema, ["created_day"]).filter(
-            (F.col(tables.BATCH) < batch_id) & F.col("created_day").isin(days)
-        )
-        new = notifications.one_per_object(usable).select(*kept).join(
-            stored.select("created_day", *notifications.KEY), ["created_day", *notifications.KEY], "left_anti"
-        )
+        usable = usable.withColumn("object_key", notifications.object_key())
+        days = usable.filter(F.col("created_day") > "").select("created_day").distinct()
+        stored = tables.read_versions(session, f"{path}/seen", seen_schema).filter(F.col(tables.BATCH) < batch_id)
+        stored = stored.join(days, "created_day", "left_semi").select("created_day", "object_key")
+        new = notifications.one_per_object(usable).select(*kept).join(stored, ["created_day", "object_key"], "left_anti")
         tables.write_version(new, batch_id, f"{path}/seen/rows", ["created_day"])
         # A batch may store no keys at all, so the schema is given here.
         fresh = (
-            tables.read_versions(session, f"{path}/seen", seen_schema, ["created_day"])
+            tables.read_versions(session, f"{path}/seen", seen_schema)
             .filter(F.col(tables.BATCH) == batch_id)
             .drop(tables.BATCH)
         )

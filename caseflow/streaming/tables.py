@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,15 +56,17 @@ def run_available(
         query.stop()
 
 
-def read_versions(
-    spark: SparkSession, path: str, schema: str | T.StructType, partitions: Sequence[str] = ()
-) -> DataFrame:
+def read_versions(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """All versions written so far, with the micro-batch each row came from."""
     if isinstance(schema, T.StructType):
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    # An empty version makes the table readable before the first batch.
-    write_version(spark.createDataFrame([], schema), -1, f"{path}/rows", partitions)
-    return spark.read.schema(f"{schema}, {BATCH} BIGINT").parquet(f"{path}/rows")
+    versioned = f"{schema}, {BATCH} BIGINT"
+    try:
+        return spark.read.schema(versioned).parquet(f"{path}/rows")
+    except AnalysisException as error:  # nothing has been written yet
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], versioned)
 
 
 def read_version(spark: SparkSession, path: str, batch_id: int) -> DataFrame:

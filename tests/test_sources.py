@@ -27,6 +27,12 @@ NOTIFICATIONS = [
     ("[]", "NO_PAYLOAD"),
     ("null", "NO_PAYLOAD"),
     ("{oops", "NO_PAYLOAD"),
+    ("\t\n", "NO_PAYLOAD"),
+    ("5", "INVALID_FORMAT"),
+    ('"abc"', "INVALID_FORMAT"),
+    ("true", "INVALID_FORMAT"),
+    ('{"message": {"data": ""}}', "DECODE_FAILED"),
+    ('{"message": {"data": null}}', "DECODE_FAILED"),
     ("[1, 2]", "INVALID_FORMAT"),
     ('{"subscription": "s"}', "INVALID_FORMAT"),
     ('{"message": {}}', "NO_DATA"),
@@ -129,3 +135,7 @@ def test_eval_sets_are_read_and_scored(spark, tmp_path):
         assert (r.eval_id, r.passed, r.points) == (r.eval_id, passing, passing * points[r.eval_id])
         assert r.outputs == sum(o[0] == r.eval_id for o in OUTPUTS)
     assert len(scored) == 8
+    rest = scoring.eval_scoring(records.scoring_cases(sets), outputs.filter("eval_id = 'terms'")).collect()
+    assert {(r.eval_id, r.outputs, r.points, r.points_possible) for r in rest if r.eval_id != "terms"} == {
+        (name, 0, 0, weight) for name, weight in points.items() if name != "terms"
+    }

@@ -159,6 +159,29 @@ def test_ingest_stores_each_object_once(spark, tmp_path):
     same(got, notifications.metadata_rows(contents, mapping.TAG_WORDS, now))
 
 
+def test_redeliveries_are_stored_once_whatever_is_missing(spark, tmp_path):
+    """The same four notifications in two batches: no generation, no time, an empty time, a garbage time."""
+    import base64
+    import json
+
+    bodies = [
+        {"bucket": "b", "name": "1", "timeCreated": "2026-01-02T00:00:00Z"},
+        {"bucket": "b", "name": "2", "timeCreated": "", "generation": "1"},
+        {"bucket": "b", "name": "3", "generation": "1"},
+        {"bucket": "b", "name": "4", "timeCreated": "what ever this is", "generation": "1"},
+    ]
+    raw = [json.dumps({"message": {"data": base64.b64encode(json.dumps(b).encode()).decode()}}) for b in bodies]
+    source = tmp_path / "source"
+    source.mkdir()
+    deliver(source, [pa.table({"raw": raw}), pa.table({"raw": raw[::-1]})])
+    objects = spark.createDataFrame([("b", str(i), "text") for i in range(1, 5)], "bucket string, name string, content string")
+    stream = tables.stream_files(spark, str(source), max_files=1)
+    metadata, rejected = jobs.stream_ingest(spark, stream, objects, str(tmp_path / "out"), now=F.lit("NOW"))
+    assert sorted((r.filename, r.date) for r in metadata.collect()) == [
+        ("1", "2026-01-02T00:00:00Z"), ("2", "NOW"), ("3", "NOW"), ("4", "what ever this is")]
+    assert rejected.count() == 0
+
+
 def test_a_crash_after_the_write_doubles_nothing(spark, tmp_path, pieces, monkeypatch):
     source = tmp_path / "source"
     source.mkdir()

@@ -247,9 +247,9 @@ def eval_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks before and after redaction, counted in one scan."""
-    before = mapping.table(spark, sf_dir, "documents").select("text", "source")
-    both = before.select(
-        "*", text.redact_text(F.col("text")).alias("after_text"), text.redact_text(F.col("source")).alias("after_source")
+    columns = ["text", "source", "lang"]
+    both = mapping.table(spark, sf_dir, "documents").select(
+        *columns, *[text.redact_text(F.col(c)).alias(f"after_{c}") for c in columns]
     )
     counted = scoring.leak_audit(both, both.columns, mapping.LEAK_PATTERNS, fixed.FORBIDDEN_TELEMETRY_KEYS)
     is_after = F.startswith("column_name", F.lit("after_"))

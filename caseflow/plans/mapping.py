@@ -367,6 +367,7 @@ def disputable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flawed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with every kind of input error, told by their own values."""
     priority, status, amount = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")
+    key = F.col("o_orderkey").cast("string")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("transaction_id"),
         F.when(priority == "5-LOW", " Unknown ")
@@ -376,7 +377,7 @@ def flawed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(amount > 450_000, float("nan")).when(amount < 50_000, -amount).otherwise(amount).alias("amount"),
         F.when(
             (priority == "3-MEDIUM") & (status == "F"), "ab12"
-        ).otherwise(F.concat(F.lit(" **"), F.lpad(F.col("o_orderkey").cast("string"), 4, "0"))).alias("card_ending"),
+        ).otherwise(F.concat(F.lit(" **"), F.when(F.length(key) > 4, key).otherwise(F.lpad(key, 4, "0")))).alias("card_ending"),
         F.when((priority == "2-HIGH") & (status == "O"), " 12 ").otherwise(priority).alias("address"),
     )
 
@@ -409,30 +410,45 @@ def risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notifications_from(documents: DataFrame) -> DataFrame:
-    """Documents as storage notifications: some broken in each possible way, some sent twice."""
-    doc, case = F.col("doc_id"), F.col("doc_id") % 10
+    """Every document as a storage notification; some come twice, and each has a faulty one beside it.
+
+    Delivery 1 is good, 2 repeats it, 3 is broken in one of nine ways or names an object that is gone.
+    """
+    doc, fault = F.col("doc_id"), F.col("sent.fault")
     created = F.date_format(F.timestamp_seconds(doc + 1_700_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     body = F.struct(
         F.concat(F.lit("docs-"), F.col("lang")).alias("bucket"),
-        F.when(case != 5, object_name()).alias("name"),
+        F.when(fault == 10, F.concat(F.lit("gone/"), object_name())).when(fault != 5, object_name()).alias("name"),
         F.when(doc % 7 != 0, created).alias("timeCreated"),
         doc.cast("string").alias("generation"),
     )
-    data = F.when(case == 4, F.base64(F.encode(F.lit("{oops"), "UTF-8"))).when(
-        case != 3, F.base64(F.encode(F.to_json(body), "UTF-8"))
+    data = F.when(fault == 4, F.base64(F.encode(F.lit("{oops"), "UTF-8"))).when(
+        fault != 3, F.base64(F.encode(F.to_json(body), "UTF-8"))
     )
     message = F.struct(data.alias("data"), doc.cast("string").alias("messageId"), created.alias("publishTime"))
     raw = (
-        F.when(case == 1, F.when(doc % 20 == 1, "").otherwise("{}"))
-        .when(case == 2, '{"subscription":"files"}')
+        F.when(fault == 1, F.when(doc % 20 == 1, "").otherwise("{}"))
+        .when(fault == 2, '{"subscription":"files"}')
+        .when(fault == 6, F.when(doc % 20 == 6, "5").otherwise('"text"'))
+        .when(fault == 7, '{"message":{"data":""}}')
+        .when(fault == 8, '{"message":{"data":null}}')
+        .when(fault == 9, "\t\n")
         .otherwise(F.to_json(F.struct(message.alias("message"), F.lit("files").alias("subscription"))))
     )
-    copies = F.when(doc % 8 == 0, 2).otherwise(1)
-    return documents.select(
+
+    def delivery(number: int, how: Column) -> Column:
+        return F.struct(F.lit(number).alias("delivery"), how.cast("int").alias("fault"))
+
+    sent = F.array(
+        delivery(1, F.lit(0)),
+        F.when(doc % 8 == 0, delivery(2, F.lit(0))),
+        delivery(3, F.when(doc % 10 == 0, 10).otherwise(doc % 10)),
+    )
+    return documents.select("doc_id", "lang", "source", F.explode(F.array_compact(sent)).alias("sent")).select(
         "doc_id",
         raw.alias("raw"),
         F.timestamp_seconds(doc + 1_700_000_000).alias("received_at"),
-        F.explode(F.sequence(F.lit(1), copies)).alias("delivery"),
+        F.col("sent.delivery").alias("delivery"),
     )
 
 
@@ -445,15 +461,11 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is in storage: documents that are longer than a stub."""
-    return (
-        table(spark, sf_dir, "documents")
-        .filter(F.col("n_chars") > 200)
-        .select(
-            F.concat(F.lit("docs-"), F.col("lang")).alias("bucket"),
-            object_name().alias("name"),
-            F.col("text").alias("content"),
-        )
+    """What is in storage: every document."""
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("docs-"), F.col("lang")).alias("bucket"),
+        object_name().alias("name"),
+        F.col("text").alias("content"),
     )
 
 
@@ -546,11 +558,12 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVAL_CASES = 40
-
-
 def eval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as cases, each asking for different checks, and documents as outputs."""
+    """Benchmark items as cases, each asking for different checks, and documents as outputs.
+
+    The outputs are dealt to as many cases as the table has numbers for.
+    """
+    last = table(spark, sf_dir, "benchmark").agg(F.max("item_id")).first()[0]
     item = F.col("item_id")
     first = F.element_at(F.split("text", " "), 1)
     cases = table(spark, sf_dir, "benchmark").select(
@@ -568,7 +581,7 @@ def eval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     )
     outputs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("output_id"),
-        (F.col("doc_id") % EVAL_CASES).alias("eval_id"),
+        (F.col("doc_id") % ((last or 0) + 1)).alias("eval_id"),
         "text",
         F.col("source").alias("trace_id"),
         F.col("n_chars").cast("double").alias("value"),

@@ -222,16 +222,18 @@ disputes AS (
 
 _NOTIFICATIONS = """
 copies AS (
-  SELECT *, unnest(CASE WHEN doc_id % 8 = 0 THEN [1, 2] ELSE [1] END) AS delivery, doc_id % 10 AS fault FROM documents
+  SELECT *, 1 AS delivery, 0 AS fault FROM documents
+  UNION ALL SELECT *, 2, 0 FROM documents WHERE doc_id % 8 = 0
+  UNION ALL SELECT *, 3, CASE WHEN doc_id % 10 = 0 THEN 10 ELSE doc_id % 10 END FROM documents
 ),
 decoded AS (
-  SELECT *, CASE fault WHEN 1 THEN 'NO_PAYLOAD' WHEN 2 THEN 'INVALID_FORMAT' WHEN 3 THEN 'NO_DATA'
-                       WHEN 4 THEN 'DECODE_FAILED' WHEN 5 THEN 'MISSING_OBJECT' END AS reject_reason,
-         CASE WHEN fault NOT IN (1, 2, 3, 4) THEN 'docs-' || lang END AS bucket,
-         CASE WHEN fault NOT IN (1, 2, 3, 4, 5) THEN source || '/' || doc_id || '.txt' END AS name,
-         CASE WHEN fault NOT IN (1, 2, 3, 4) AND doc_id % 7 <> 0
+  SELECT *, CASE WHEN fault IN (1, 9) THEN 'NO_PAYLOAD' WHEN fault IN (2, 6) THEN 'INVALID_FORMAT' WHEN fault = 3 THEN 'NO_DATA'
+                 WHEN fault IN (4, 7, 8) THEN 'DECODE_FAILED' WHEN fault = 5 THEN 'MISSING_OBJECT' END AS reject_reason,
+         CASE WHEN fault IN (0, 5, 10) THEN 'docs-' || lang END AS bucket,
+         CASE fault WHEN 0 THEN '' WHEN 10 THEN 'gone/' END || source || '/' || doc_id || '.txt' AS name,
+         CASE WHEN fault IN (0, 5, 10) AND doc_id % 7 <> 0
               THEN strftime(make_timestamp((doc_id + 1700000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS time_created,
-         CASE WHEN fault NOT IN (1, 2, 3, 4) THEN CAST(doc_id AS VARCHAR) END AS generation
+         CASE WHEN fault IN (0, 5, 10) THEN CAST(doc_id AS VARCHAR) END AS generation
   FROM copies
 )"""
 
@@ -382,20 +384,17 @@ WITH e AS (
          CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P' THEN 1
               WHEN o_orderpriority = '5-LOW' THEN 2
               WHEN o_totalprice > 450000 OR o_totalprice < 50000 THEN 3
-              WHEN (o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'F') THEN 4
-              WHEN length(CAST(o_orderkey AS VARCHAR)) > 4 THEN 0
-              WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' THEN 5 ELSE 0 END AS e,
-         o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' AS short_address
+              WHEN (o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'F') OR o_orderkey > 9999 THEN 4
+              WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' THEN 5 ELSE 0 END AS e
   FROM orders
-),
-f AS (SELECT transaction_id, CASE WHEN e = 0 AND short_address THEN 5 ELSE e END AS e FROM e)
+)
 SELECT transaction_id,
        ['INVALID_CUSTOMER', 'NOT_FOUND', 'INVALID_AMOUNT', 'INVALID_CARD_ENDING', 'INCOMPLETE_ADDRESS'][e] AS error_type,
        ['customer_id must not be empty', 'customer_id is not on file', 'amount must be a number above zero',
         'card_ending must have four digits', 'address is too short'][e] AS error_message,
        [true, false, true, true, true][e] AS retryable,
        ['card_status', 'card_status', 'account_statement', NULL, NULL][e] AS fallback
-FROM f""",
+FROM e""",
     "gate_disputes": f"""
 WITH {_DISPUTABLE}
 SELECT transaction_id, amount, CASE WHEN amount <= 0 THEN 'ERROR'
@@ -531,15 +530,14 @@ FROM numbered GROUP BY user_id, s""",
     "span_stats": f"""
 WITH {_SPANS},
 ranked AS (
-  SELECT span_type, name, CAST(round(duration_ms * 100) AS BIGINT) AS d,
+  SELECT span_type, name, duration_ms AS d,
          row_number() OVER (PARTITION BY span_type, name ORDER BY duration_ms) AS rn,
          count(*) OVER (PARTITION BY span_type, name) AS total
   FROM spans
 )
-SELECT span_type, name, count(*) AS spans, round(CAST(sum(d) AS DOUBLE) / (count(*) * CAST(100 AS DOUBLE)), 4) AS mean_ms,
-       min(d) FILTER (rn * 100 >= total * 50) / CAST(100 AS DOUBLE) AS p50_ms,
-       min(d) FILTER (rn * 100 >= total * 95) / CAST(100 AS DOUBLE) AS p95_ms, max(d) / CAST(100 AS DOUBLE) AS max_ms,
-       round(count(*) FILTER (d < 10000) * CAST(100 AS DOUBLE) / count(*), 4) AS under_limit_pct
+SELECT span_type, name, count(*) AS spans, round(avg(d), 4) AS mean_ms,
+       min(d) FILTER (rn * 100 >= total * 50) AS p50_ms, min(d) FILTER (rn * 100 >= total * 95) AS p95_ms, max(d) AS max_ms,
+       round(count(*) FILTER (d < 100) * CAST(100 AS DOUBLE) / count(*), 4) AS under_limit_pct
 FROM ranked GROUP BY span_type, name""",
     "recent_spans": f"WITH {_SPANS} SELECT * FROM spans ORDER BY ts DESC, span_id DESC LIMIT 200",
     "span_pairs": _pairs(None),
@@ -558,23 +556,26 @@ WITH cases AS (
   SELECT item_id, lower(split_part(text, ' ', 1)) AS first_word, CASE WHEN item_id % 4 = 3 THEN 4 ELSE 5 END AS points FROM benchmark
 ),
 checked AS (
-  SELECT c.item_id, c.points,
+  SELECT c.item_id, c.points, doc_id,
          (item_id % 2 <> 0 OR contains(lower(text), first_word)) AND NOT contains(lower(text), 'password')
          AND NOT contains(lower(text), 'full_pan') AND (item_id % 3 <> 0 OR regexp_matches(text, '[a-z]{4}'))
          AND NOT regexp_matches(text, '[0-9]{16}') AND (item_id % 5 <> 0 OR starts_with(source, 'src1'))
          AND (item_id % 2 <> 1 OR n_chars >= 100) AND (item_id % 4 <> 1 OR n_chars < 5000)
          AND (item_id % 3 <> 1 OR lang = 'en') AS ok
-  FROM documents JOIN cases c ON c.item_id = doc_id % 40
+  FROM cases c LEFT JOIN documents ON c.item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark)
 )
-SELECT 'set-' || (item_id % 5) AS eval_set_id, item_id AS eval_id, count(*) AS outputs, count(*) FILTER (ok) AS passed,
-       CAST(sum(points) AS BIGINT) AS points_possible, CAST(sum(CASE WHEN ok THEN points ELSE 0 END) AS BIGINT) AS points
+SELECT 'set-' || (item_id % 5) AS eval_set_id, item_id AS eval_id, count(doc_id) AS outputs, count(*) FILTER (doc_id IS NOT NULL AND ok) AS passed,
+       CAST(sum(points) AS BIGINT) AS points_possible,
+       CAST(sum(CASE WHEN doc_id IS NOT NULL AND ok THEN points ELSE 0 END) AS BIGINT) AS points
 FROM checked GROUP BY item_id""",
     "leak_audit": " UNION ALL ".join(
         [
             _leaks("before", "text", "text"),
             _leaks("before", "source", "source"),
+            _leaks("before", "lang", "lang"),
             _leaks("after", "text", _redact("text")),
             _leaks("after", "source", _redact("source")),
+            _leaks("after", "lang", _redact("lang")),
         ]
     ),
     "risk_summary": f"""
@@ -623,13 +624,13 @@ FROM s""",
 WITH {_NOTIFICATIONS} SELECT doc_id, delivery, bucket, name, time_created, generation, reject_reason FROM decoded""",
     "attach_content": f"""
 WITH {_NOTIFICATIONS}
-SELECT doc_id, delivery, name, CASE WHEN n_chars > 200 THEN 'OK' ELSE 'CONTENT_NOT_FOUND' END AS status,
-       CAST(CASE WHEN n_chars > 200 THEN length(text) END AS INTEGER) AS chars, CASE WHEN n_chars > 200 THEN md5(text) END AS content_md5
+SELECT doc_id, delivery, name, CASE WHEN fault = 0 THEN 'OK' ELSE 'CONTENT_NOT_FOUND' END AS status,
+       CAST(CASE WHEN fault = 0 THEN length(text) END AS INTEGER) AS chars, CASE WHEN fault = 0 THEN md5(text) END AS content_md5
 FROM decoded WHERE reject_reason IS NULL""",
     "metadata_rows": f"""
 WITH {_NOTIFICATIONS}
 SELECT name AS filename, coalesce(time_created, '2026-01-01T00:00:00Z') AS date, {_TAGS} AS tags, {_WORDS} AS word_count
-FROM decoded WHERE reject_reason IS NULL AND delivery = 1 AND n_chars > 200""",
+FROM decoded WHERE delivery = 1""",
     "explode_props": f"""
 SELECT event_id, 'k' AS label, CAST({_K} AS DOUBLE) AS amount, 'list' AS kind FROM events WHERE event_type <> 'view'
 UNION ALL SELECT event_id, event_type, value, 'list' FROM events WHERE event_type <> 'view'

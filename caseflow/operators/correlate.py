@@ -380,3 +380,8 @@ def recurring_payees(charges: DataFrame, min_months: int = RECURRING_MONTHS) ->
         )
         .filter(F.col("months") >= min_months)
     )
+
+
+def biller_fanout(cards: DataFrame, payees: DataFrame) -> DataFrame:
+    """One row for every replaced card and payee to be told about it."""
+    return cards.join(payees.select("customer_id", "merchant_id", "months", "last_month"), "customer_id")

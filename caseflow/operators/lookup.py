@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import SPACES, strip
 from caseflow.operators.ordered import HOT_ROWS
 from caseflow.operators.skew import spread_join
+from caseflow.session import work_dir
 
 CREDIT_LIMIT = 25_000.00
 GRAM = 3
@@ -90,13 +93,31 @@ def channel_activity(signals: DataFrame, channel: str) -> DataFrame:
     )
 
 
+def channel_summary(signals: DataFrame) -> DataFrame:
+    """What every channel holds of every customer; the counts combine in the tasks."""
+    return signals.groupBy("customer_id", "channel").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.sum(cents(F.col("amount"))).alias("amount_cents"),
+    )
+
+
+def channel_logs(signals: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """The log rows of the given channels; the filter and the columns reach the scan."""
+    return signals.filter(F.col("channel").isin(list(channels))).select(
+        "customer_id", "channel", "signal_id", "ts", "location_id", "amount"
+    )
+
+
 def memory_search(fragments: DataFrame, queries: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fragments of the asking customer that contain the query, or all of them when none does.
 
-    Queries with no hit are found by an aggregate over the hits, not by a window over each
-    customer's fragments, and only those queries read the fragments again.
+    Equal questions of a customer are asked once. The hits, ids only, are stored, since both the
+    answers and the list of queries without any need them; only those queries read the fragments again.
     """
     asked = queries.select("query_id", "customer_id", F.lower("query").alias("_q"))
+    questions = asked.select("customer_id", "_q").distinct()
     # Lower-cased once per fragment, before the join repeats it per query.
     searched = {"_summary": F.lower("summary"), "_channel": F.lower("channel")}
     hit = F.contains("_summary", "_q") | F.contains("_channel", "_q")
@@ -104,11 +125,14 @@ def memory_search(fragments: DataFrame, queries: DataFrame, *, hot_rows: int = H
         searched["_values"] = F.transform(F.map_values("metadata"), lambda v: F.lower(v.cast("string")))
         hit = hit | F.coalesce(F.exists("_values", lambda v: F.contains(v, F.col("_q"))), F.lit(False))
     texts = fragments.select("customer_id", "fragment_id", *[c.alias(n) for n, c in searched.items()])
-    matched = spread_join(texts, asked, ["customer_id"], ["fragment_id"], hot_rows=hot_rows).filter(
+    hits = spread_join(texts, questions, ["customer_id"], ["fragment_id"], hot_rows=hot_rows).filter(
         F.coalesce(hit, F.lit(False))
     )
-    answered = matched.select("query_id").distinct()
-    unanswered = asked.join(answered, "query_id", "left_anti")
+    path = work_dir(fragments.sparkSession, "memory-hits")
+    hits.select("customer_id", "_q", "fragment_id").write.parquet(path)
+    hits = fragments.sparkSession.read.parquet(path)
+    matched = asked.join(hits, ["customer_id", "_q"])
+    unanswered = asked.join(hits.select("customer_id", "_q").distinct(), ["customer_id", "_q"], "left_anti")
     rest = spread_join(
         fragments.select("customer_id", "fragment_id"),
         unanswered.select("query_id", "customer_id"),
@@ -155,9 +179,12 @@ def policy_search(policies: DataFrame, queries: DataFrame, k: int = 2) -> DataFr
         "position",
         F.concat_ws("\n", F.lower("title"), F.lower("summary")).alias("_text"),
     )
-    indexed = texts.withColumn("_gram", F.explode(_grams(F.col("_text"))))
+    # Only ids travel with the short keys; a text comes in once for each word that may occur in it.
+    indexed = texts.select("policy_id", F.explode(_grams(F.col("_text"))).alias("_gram"))
     found = (
         vocabulary.join(indexed, "_gram")
+        .select("word", "policy_id")
+        .join(texts, "policy_id")
         .filter(F.contains(F.col("_text"), F.col("word")))
         .select("word", "policy_id", "position")
     )

@@ -36,6 +36,13 @@ def travel_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.travel_coverage(mapping.travel_charges(spark, sf_dir), mapping.travel_notices(spark, sf_dir))
 
 
+def covered_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The charges a travel notice covers, and those none does."""
+    inputs = mapping.travel_charges(spark, sf_dir), mapping.travel_notices(spark, sf_dir)
+    covered, other = (correlate.covered_charges(*inputs, covered=c).withColumn("covered", F.lit(c)) for c in (True, False))
+    return covered.unionByName(other)
+
+
 def incident_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.incident_chain(
         mapping.declines(spark, sf_dir), mapping.calls(spark, sf_dir), mapping.wallet_failures(spark, sf_dir)
@@ -50,6 +57,11 @@ def recurring_payees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.recurring_payees(mapping.merchant_charges(spark, sf_dir))
 
 
+def biller_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = mapping.customers(spark, sf_dir).select("customer_id", F.right("name", F.lit(4)).alias("card_last4"))
+    return correlate.biller_fanout(cards, recurring_payees(spark, sf_dir))
+
+
 def claim_veracity(spark: SparkSession, sf_dir: str) -> DataFrame:
     suspect = step_up_audit(spark, sf_dir).filter(F.col("compromise_likelihood") == "HIGH")
     evidence = resolve.evidence_rows(
@@ -151,6 +163,15 @@ def gate_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.disputable(spark, sf_dir).select("transaction_id", "amount", gate.alias("decision"))
 
 
+def gate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole session's gate: a partly approved order waits where its session asks for confirmation."""
+    gate = rules.session_gate(
+        F.col("approved"), F.col("transaction_id") % 3 == 0, F.col("transaction_id") % 2 == 0,
+        F.col("amount"), mapping.GATE_LIMIT, F.col("token"),
+    )
+    return mapping.disputable(spark, sf_dir).select("transaction_id", gate.alias("decision"))
+
+
 def normalise_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.normalise_logs(mapping.log_rows(spark, sf_dir))
 
@@ -170,6 +191,14 @@ def channel_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.channel_activity(mapping.signals(spark, sf_dir), "click")
 
 
+def channel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.channel_summary(mapping.signals(spark, sf_dir))
+
+
+def channel_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.channel_logs(mapping.signals(spark, sf_dir), ["click", "view", "error"])
+
+
 def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.memory_search(
         mapping.searchable_documents(spark, sf_dir), mapping.memory_queries(spark, sf_dir)
@@ -209,6 +238,14 @@ def compact_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.compact_memory(mapping.customers(spark, sf_dir), mapping.event_fragments(spark, sf_dir))
 
 
+def compacted_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot that takes the place of the compacted fragments."""
+    snapshot = memory.compacted_fragments(compact_memory(spark, sf_dir))
+    return snapshot.select(
+        "fragment_id", "customer_id", "channel", "severity", "summary", "is_compacted_summary", F.col("veracity.status").alias("status")
+    )
+
+
 def compact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = mapping.document_fragments(spark, sf_dir)
     return memory.compact_memory(documents.select("customer_id").distinct(), documents)
@@ -339,10 +376,12 @@ QUERIES: dict[str, Query] = {
         unfamiliar_high_value,
         step_up_audit,
         travel_coverage,
+        covered_charges,
         incident_chain,
         status_asof,
         claim_veracity,
         recurring_payees,
+        biller_fanout,
         redact_documents,
         redact_events,
         mask_accounts,
@@ -353,16 +392,20 @@ QUERIES: dict[str, Query] = {
         model_tier,
         validate_orders,
         gate_disputes,
+        gate_sessions,
         normalise_logs,
         account_statement,
         card_status,
         channel_activity,
+        channel_summary,
+        channel_logs,
         memory_search,
         policy_search,
         merge_channels,
         timeline_context,
         channel_coverage,
         compact_memory,
+        compacted_memory,
         compact_documents,
         token_usage,
         activity_sessions,

@@ -652,6 +652,31 @@ SELECT window_start, window_start + INTERVAL '{width}' AS window_end, event_type
 FROM w GROUP BY window_start, event_type"""
 
 
+ORACLES |= {
+    "covered_charges": f"""
+SELECT charge_id, customer_id, charge_date, is_covered AS covered FROM ({ORACLES["travel_coverage"]}) AS t""",
+    "biller_fanout": f"""
+WITH {_PAYEES}
+SELECT c_custkey AS customer_id, right(c_name, 4) AS card_last4, merchant_id, months, last_month
+FROM customer JOIN payees ON c_custkey = customer_id""",
+    "gate_sessions": f"""
+WITH {_DISPUTABLE}
+SELECT transaction_id, CASE WHEN NOT approved OR (transaction_id % 3 = 0 AND transaction_id % 2 <> 0)
+       OR (amount > 250000 AND NOT has_token) THEN 'APPROVAL_REQUIRED' ELSE 'EXECUTE' END AS decision
+FROM txs""",
+    "channel_summary": """
+SELECT user_id AS customer_id, event_type AS channel, count(*) AS records, min(ts) AS first_ts, max(ts) AS last_ts,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount_cents
+FROM events GROUP BY user_id, event_type""",
+    "channel_logs": f"""
+SELECT user_id AS customer_id, event_type AS channel, event_id AS signal_id, ts, {_K} % 25 AS location_id, value AS amount
+FROM events WHERE event_type IN ('click', 'view', 'error')""",
+    "compacted_memory": f"""
+SELECT 'compact-' || sha256(CAST(customer_id AS VARCHAR)) AS fragment_id, customer_id, 'COMPACTION' AS channel, 'INFO' AS severity,
+       compacted_summary AS summary, true AS is_compacted_summary, 'VERIFIED_TRUE' AS status
+FROM ({ORACLES["compact_memory"]}) AS t WHERE status = 'COMPACTED'""",
+}
+
 # A streaming query answers what its batch form answers.
 ORACLES |= {
     "stream_velocity": ORACLES["velocity_alerts"],

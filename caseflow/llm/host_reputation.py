@@ -98,7 +98,7 @@ def judge_urls(
     limit: float = LIMIT,
     deviations: float = DEVIATIONS,
 ) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score.
+    """One row per page: page_id, host, path, rule, verdict, score (to six places).
 
     ``outcomes`` has page_id and good (1 or 0); nulls, other values and ids without a page count for
     nothing, and an id with several outcomes counts its mean. score is the upper bound of the host's
@@ -124,5 +124,5 @@ def judge_urls(
         "path",
         rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("score") < limit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        "score",
+        F.round("score", 6).alias("score"),
     )

@@ -81,7 +81,7 @@ WITH urls AS ({RULED}
 SELECT page_id, host, path, rule,
     CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow'
         WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN bound < 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
-    round(bound, 9) AS score
+    round(bound, 6) AS score
 FROM urls JOIN (SELECT host, mean + sqrt(mean * (1 - mean) / (weight + 1)) AS bound FROM host_means) USING (host)
 """
 
@@ -100,3 +100,27 @@ SELECT d.id AS doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n
 FROM items JOIN sets d ON d.kind = 'd' AND d.g = items.g
 GROUP BY d.id, item_id HAVING count(*) * 100 >= any_value(n_shingles) * 80
 """
+
+ORACLES["op4_suffix_dedup"] = """
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n
+    FROM documents
+), windows AS (
+    SELECT r, s, md5(raw[s + 1:s + 400]) AS h FROM (SELECT r, raw, unnest(range(n - 399)) AS s FROM texts WHERE n >= 400)
+), hits AS (SELECT r, s FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), steps AS (
+    SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM hits
+), spans AS (
+    SELECT r, min(s) AS a, max(s) + 400 AS e
+    FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS g FROM steps) GROUP BY r, g
+), sums AS (SELECT r, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+), gaps AS (
+    SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS e FROM spans
+    UNION ALL SELECT r, max(e), (SELECT n FROM texts t WHERE t.r = spans.r) FROM spans GROUP BY r
+), kept AS (
+    SELECT r, sha256(unhex(string_agg(hex(raw[a + 1:e]), '' ORDER BY a))) AS h FROM gaps JOIN texts USING (r) WHERE e > a GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    CASE WHEN n_removed = n THEN sha256('') WHEN n_removed > 0 THEN h ELSE sha256(raw) END AS kept_sha256
+FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import components, documents, narrowed, stored
+from caseflow.llm.shared import components, documents, narrowed, small_side, stored
 from caseflow.llm.textkernel import mix, shingle_sets
 
 BANDS, ROWS = 40, 6
@@ -131,14 +131,14 @@ def unsettled(spark: SparkSession, first: DataFrame, roots: DataFrame, docs: Dat
     cut into blocks of about ``BLOCK``; a task holds the sets of one block and streams the members
     past it, counting shared shingles with the whole block at once.
     """
-    first = first.join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
-    first = first.join(roots.select(F.col("id").alias("b"), "root"), "b", "left").select(
+    first = first.join(small_side(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a"))), "a", "left")
+    first = first.join(small_side(roots.select(F.col("id").alias("b"), "root")), "b", "left").select(
         "a", "b", F.coalesce("root", "b").alias("root"), (F.coalesce("root", "b") != F.coalesce("root_a", "a")).alias("apart")
     )
     first = stored(spark, first, "near-placed")
     size = first.groupBy("a").agg(F.count_if("apart").alias("apart_n"), F.count("*").alias("n"))
     size = size.where("apart_n > 0 AND n > 1").select("a", F.ceil(F.col("apart_n") / BLOCK).cast("int").alias("blocks"))
-    rows = first.join(size, "a")
+    rows = first.join(small_side(stored(spark, size, "near-sizes")), "a")
     held = rows.where("apart").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("part"), "b", "root")
     passed = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "b", "root")
     texts = narrowed(documents(docs), passed.select(F.col("b").alias("doc_id")).distinct(), "doc_id")

@@ -57,6 +57,11 @@ def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """A join's side, sent to every task where it is counted to be short; else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def ranked(spark: SparkSession, df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``rank``, 0-based over all rows in the given total order, without one task seeing them all.
 

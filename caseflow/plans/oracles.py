@@ -692,3 +692,7 @@ ORACLES |= {
     "stream_rejects": f"""
 WITH {_NOTIFICATIONS} SELECT doc_id, delivery, reject_reason FROM decoded WHERE reject_reason IS NOT NULL""",
 }
+ORACLES |= {
+    f"{name}_pieces": ORACLES[name]
+    for name in ("stream_velocity", "stream_step_up", "stream_span_pairs", "stream_usage", "stream_ingest")
+}

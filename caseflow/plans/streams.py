@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.operators import spans
+from caseflow.operators.ordered import micros
 from caseflow.plans import mapping
 from caseflow.plans.batch import Query
 from caseflow.session import work_dir
@@ -19,6 +20,54 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.stream_files(spark, sf_dir, "events.parquet")
 
 
+PIECES = 3
+
+
+def in_pieces(spark: SparkSession, df: DataFrame, order: Column) -> DataFrame:
+    """A table as a stream that arrives in several micro-batches, in the given order."""
+    folder = work_dir(spark, "pieces")
+    cuts = df.agg(F.percentile_approx(order, [i / PIECES for i in range(1, PIECES)], 10_000)).first()[0] or []
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        piece = df if low is None else df.filter(order > low)
+        piece = piece if high is None else piece.filter(order <= high)
+        # one write after the other, so that files are taken up in this order
+        piece.repartition(2).write.mode("append").parquet(folder)
+    return tables.stream_files(spark, folder, max_files=2)
+
+
+def events_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_pieces(spark, mapping.table(spark, sf_dir, "events"), micros(F.col("ts")))
+
+
+def stream_velocity_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = mapping.signals_from(events_in_pieces(spark, sf_dir))
+    return jobs.stream_velocity(spark, signals, mapping.locations(spark, sf_dir), work_dir(spark, "velocity"))
+
+
+def stream_step_up_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = events_in_pieces(spark, sf_dir)
+    challenges, replies = mapping.challenges_from(source), mapping.replies_from(source)
+    return jobs.stream_step_up(spark, challenges, replies, work_dir(spark, "step-up"))
+
+
+def stream_span_pairs_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = mapping.spans_from(events_in_pieces(spark, sf_dir))
+    return jobs.stream_span_pairs(spark, source, work_dir(spark, "span-pairs"), PAIR_TIMEOUT_MINUTES)
+
+
+def stream_usage_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = mapping.signals_from(events_in_pieces(spark, sf_dir))
+    return _windows(jobs.stream_usage(spark, signals, work_dir(spark, "usage")))
+
+
+def stream_ingest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = in_pieces(spark, mapping.table(spark, sf_dir, "documents"), F.col("doc_id"))
+    raw = mapping.notifications_from(source)
+    objects = mapping.stored_objects(spark, sf_dir)
+    return jobs.stream_ingest(spark, raw, objects, work_dir(spark, "ingest"), mapping.TAG_WORDS, F.lit(mapping.NOW))[0]
+
+
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = mapping.signals_from(events(spark, sf_dir))
     path = work_dir(spark, "velocity")
@@ -112,5 +161,10 @@ QUERIES: dict[str, Query] = {
         stream_compaction,
         stream_ingest,
         stream_rejects,
+        stream_velocity_pieces,
+        stream_step_up_pieces,
+        stream_span_pairs_pieces,
+        stream_usage_pieces,
+        stream_ingest_pieces,
     )
 }

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from caseflow.session import work_dir
 
 BROADCAST_IDS = 250_000
+ARROW_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that it need not be installed there."""
+    """Make a session ready: send this package to its executors, once, and bound the bytes of Arrow batches.
+
+    The usual bound of 64 MB for each batch, held several times over by every task, is too much next to
+    a small heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent

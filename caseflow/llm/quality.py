@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import documents, stored
+from caseflow.llm.shared import documents, narrowed, stored
 from caseflow.llm.textkernel import RangeHash, distinct_sets, lower_ascii, shingles, slices, words
 
 FEATURES = (
@@ -215,10 +215,11 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFram
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score at least 0.7, all columns as they were; texts are not shuffled.
 
-    The model comes from one pass over the labelled documents; the texts are then scored where they lie.
+    The model comes from one pass over the labelled documents, or over all where the labels are too many
+    to send round; the texts are then scored where they lie.
     """
-    named = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = fit(features(named), labels)
+    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    model = fit(features(narrowed(documents(docs), ids, "doc_id")), labels)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.shared import ranked, stored
+from caseflow.llm.shared import ranked, small_side, stored
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 16
@@ -143,6 +143,6 @@ def mix(
 def mixed_documents(spark: SparkSession, docs: DataFrame, column: str = "words_taken") -> DataFrame:
     """The documents of which the mix takes words, with that number; rows of one doc_id share the largest."""
     takes = mix(spark, docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken")).where("_taken > 0")
-    takes = stored(spark, takes, "mix-takes")
+    takes = small_side(stored(spark, takes, "mix-takes"))
     rows = docs.join(takes, docs["doc_id"].cast("bigint").eqNullSafe(takes["_id"]))
     return rows.select(*[docs[f"`{c}`"] for c in docs.columns if c != column], F.col("_taken").alias(column))

@@ -1,9 +1,13 @@
 """Repeated paragraphs across documents by MinHash banding, confirmed by exact Jaccard similarity.
 
-A paragraph is a line. Long lines are cut further where the hash of a word pair is the least of its
-neighbourhood, which depends on the words around the cut alone, so a passage inside a long line is
-cut alike wherever it stands. Bands of two rows are enough: unrelated paragraphs share no five-word
-shingle, and at a similarity of 0.8 a pair shares one of seven bands with probability 0.9992.
+A paragraph is a line, of any length. Long ones are also compared in pieces, cut where the hash of a word
+pair is the least of its neighbourhood in the line, so a stretch inside a long line is cut alike wherever
+it stands. Bands of two rows are enough: unrelated paragraphs share no five-word shingle, and at a
+similarity of 0.8 a pair shares one of seven bands with probability 0.9992.
+
+Passages of over 50 words that repeat word for word are found wherever they stand, also across lines.
+Every window of 51 words is known by the least hash of its 20-word runs (winnowing), so equal windows have
+an equal mark. Marks that occur once are left; the windows of the others are counted by their own hash.
 """
 
 from __future__ import annotations
@@ -11,45 +15,68 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.near_dedup import confirmed, signatures, unsettled
 from caseflow.llm.shared import components, documents, narrowed, stored
-from caseflow.llm.textkernel import RangeHash, lower_ascii, mix, shingles, slices, words
+from caseflow.llm.textkernel import RangeHash, lower_ascii, mix, run_hashes, shingles, slices, words
 
 WIDTH, BANDS, ROWS = 5, 7, 2
 LEAST, LONG, LEAST_PIECE, RADIUS = 20, 48, 10, 6
+PASSAGE, RUN = 51, 20
+NONE = np.uint64(2**64 - 1)
+
+
+def _cuts(word: np.ndarray, of_line: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at heads of lines and at least word pairs, but no piece of under ``LEAST_PIECE`` words."""
+    same = np.append(of_line[1:] == of_line[:-1], False)
+    pair = np.where(same, mix(word + mix(np.append(word[1:], np.uint64(0)))), NONE)
+    lowest = pair.copy()
+    for shift in range(1, min(RADIUS + 1, len(pair))):
+        near = of_line[shift:] == of_line[:-shift]
+        np.minimum(lowest[shift:], np.where(near, pair[:-shift], NONE), out=lowest[shift:])
+        np.minimum(lowest[:-shift], np.where(near, pair[shift:], NONE), out=lowest[:-shift])
+    at = np.flatnonzero(head | ((pair == lowest) & same))
+    short = np.diff(np.append(at, len(word))) < LEAST_PIECE
+    after_head = np.append(False, (short & head[at])[:-1])
+    cut = np.zeros(len(word), bool)
+    cut[at[head[at] | ~(short | after_head)]] = True
+    return cut
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, begin, end, words, class, band keys) of the paragraphs of a slice, in slice positions."""
+    """(row, begin, end, first word, words, line, class, band keys) of the paragraphs of a slice.
+
+    begin and end are slice positions, the first word counts in its row; line is the begin of the line
+    that a piece was cut from, -1 for a whole line.
+    """
     data = lower_ascii(data)
     start, end, row = words(data, offsets)
     if not len(start):
         none = np.empty(0, np.int64)
-        return none, none, none, none, none, np.empty((0, BANDS), np.int64)
+        return none, none, none, none, none, none, none, np.empty((0, BANDS), np.int64)
     word = RangeHash(data).of(start, end)
     line = np.searchsorted(np.flatnonzero(data == 0x0A), start)
     head = np.append(True, (line[1:] != line[:-1]) | (row[1:] != row[:-1]))
     of_line = np.cumsum(head) - 1
-    is_long = np.bincount(of_line)[of_line] > LONG
-
-    pair = mix(word + mix(np.append(word[1:], np.uint64(0))))
-    padded = np.concatenate([np.full(RADIUS, np.uint64(2**64 - 1)), pair, np.full(RADIUS, np.uint64(2**64 - 1))])
-    lowest = pair.copy()
-    for shift in range(2 * RADIUS + 1):
-        np.minimum(lowest, padded[shift : shift + len(pair)], out=lowest)
-    unit = np.cumsum(head | (is_long & (pair == lowest))) - 1
-    size = np.bincount(unit)
-    fit = size[unit] >= np.where(is_long, LEAST_PIECE, LEAST)
+    size = np.bincount(of_line)
+    heads = np.flatnonzero(head)
+    whole = np.flatnonzero(size >= LEAST)
+    cut = np.flatnonzero(_cuts(word, of_line, head))
+    length = np.diff(np.append(cut, len(word)))
+    piece = size[of_line[cut]] > LONG
+    cut, length = cut[piece], length[piece]
 
-    start, end, row, unit, word = start[fit], end[fit], row[fit], unit[fit], word[fit]
-    if not len(start):
+    first = np.concatenate([heads[whole], cut])
+    length = np.concatenate([size[whole], length])
+    inside = np.concatenate([np.full(len(whole), -1), start[heads[of_line[cut]]]])
+    if not len(first):
         return paragraphs(data[:0], np.zeros(1, np.int64))
-    first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-    last = np.append(first[1:], len(unit)) - 1
-    number = np.cumsum(np.append(True, unit[1:] != unit[:-1])) - 1
+    number = np.repeat(np.arange(len(first)), length)
+    spot = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + first[number]
+    word = word[spot]
     hashes, of = shingles(word, number, WIDTH)
     order = np.lexsort((hashes, of))
     hashes, of = hashes[order], of[order]
@@ -64,25 +91,28 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         for j in range(ROWS):
             key = mix(key ^ low[b * ROWS + j])
         bands[:, b] = key
-    return row[first], start[first], end[last], last - first + 1, kind.view(np.int64), bands.view(np.int64)
+    at = first - np.searchsorted(row, row[first])
+    return row[first], start[first], end[first + length - 1], at, length, inside, kind.view(np.int64), bands.view(np.int64)
 
 
 def _paragraph_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for base, _, data, offsets in slices(batch.column("text")):
-                row, begin, end, size, kind, bands = paragraphs(data, offsets)
+                row, begin, end, at, size, line, kind, bands = paragraphs(data, offsets)
+                line = np.where(line < 0, line, line - offsets[row])
                 bounds = pa.array(np.arange(len(row) + 1) * BANDS, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(row + base)),
-                        *(pa.array(x) for x in (begin - offsets[row], end - offsets[row], size, kind)),
+                        *(pa.array(x) for x in (begin - offsets[row], end - offsets[row], at, size, line, kind)),
                         pa.ListArray.from_arrays(bounds, pa.array(bands.ravel())),
                     ],
-                    ["doc_id", "begin", "end", "n_words", "class", "bands"],
+                    ["doc_id", "begin", "end", "at", "n_words", "line", "class", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, begin bigint, end bigint, n_words bigint, class bigint, bands array<bigint>")
+    schema = "doc_id bigint, begin bigint, end bigint, at bigint, n_words bigint, line bigint, class bigint, bands array<bigint>"
+    return docs.mapInArrow(run, schema)
 
 
 def _texts(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -103,16 +133,164 @@ def _texts(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes: DataF
     return stored(spark, made.dropDuplicates(["doc_id"]), "paragraph-texts")
 
 
+def marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, end, windows, mark, marked) of a slice: words, where windows begin, their marks, the runs that are marks."""
+    data = lower_ascii(data)
+    start, end, row = words(data, offsets)
+    word = RangeHash(data).of(start, end)
+    n, reach = len(word), PASSAGE - RUN + 1
+    if n < PASSAGE:
+        none = np.empty(0, np.int64)
+        return row, start, end, word, none, none.view(np.uint64), none.view(np.uint64)
+    runs = run_hashes(word, RUN)
+    windows = np.flatnonzero(row[: n - PASSAGE + 1] == row[PASSAGE - 1 :])
+    least = np.lib.stride_tricks.sliding_window_view(runs, reach).min(axis=1)
+    top = np.zeros(n + reach, np.uint64)
+    top[windows + reach - 1] = least[windows]
+    top = np.lib.stride_tricks.sliding_window_view(top, reach).max(axis=1)[: len(runs)]
+    return row, start, end, word, windows, least[windows], np.flatnonzero(top == runs)
+
+
+def _mark_rows(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for base, _, data, offsets in slices(batch.column("text")):
+                row, _, _, word, windows, _, marked = marks(data, offsets)
+                if len(windows):
+                    ids = batch.column("doc_id").take(pa.array(row[marked] + base))
+                    hashes = pa.array(run_hashes(word, RUN)[marked].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([ids, hashes], ["doc_id", "mark"])
+
+    return docs.mapInArrow(run, "doc_id bigint, mark bigint")
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of an array of lists; a null list has no values."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    return np.repeat(np.arange(len(lists)), size), lists.flatten()
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """One row for each window whose mark is shared: its hash and place, and whether a removed paragraph takes words of it."""
+
+    def run(batches):
+        for batch in batches:
+            mark_row, mark = _flat(batch.column("marks"))
+            cut_row, cut = _flat(batch.column("cuts"))
+            mark, cut_at, cut_n = (np.asarray(x, np.int64) for x in (mark, cut.field("at"), cut.field("n_words")))
+            for base, stop, data, offsets in slices(batch.column("text")):
+                row, start, end, word, windows, least, _ = marks(data, offsets)
+                if not len(windows):
+                    continue
+                mine = mark[(mark_row >= base) & (mark_row < stop)].view(np.uint64)
+                windows = windows[np.isin(least, mine)]
+                here = (cut_row >= base) & (cut_row < stop)
+                first = np.searchsorted(row, np.arange(stop - base))
+                change = np.zeros(len(word) + 1, np.int64)
+                begin = first[cut_row[here] - base] + cut_at[here]
+                np.add.at(change, begin, 1)
+                np.add.at(change, begin + cut_n[here], -1)
+                taken = np.append(0, np.cumsum(np.cumsum(change[:-1]) > 0))
+                of, last = row[windows], windows + PASSAGE - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(of + base)),
+                        pa.array(run_hashes(word, PASSAGE)[windows].view(np.int64)),
+                        pa.array(windows - first[of]),
+                        pa.array(start[windows] - offsets[of]),
+                        pa.array(end[last] - offsets[of]),
+                        pa.array(taken[last + 1] > taken[windows]),
+                    ],
+                    ["doc_id", "window", "at", "begin", "end", "cut"],
+                )
+
+    return texts.mapInArrow(run, "doc_id bigint, window bigint, at bigint, begin bigint, end bigint, cut boolean")
+
+
+def _outside(spans: DataFrame) -> DataFrame:
+    """What of the spans lies outside the paragraphs listed in ``listed``."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                at, begin = x["at"], x["begin"]
+                for o in sorted(x.pop("listed") or (), key=lambda o: o["at"]):
+                    stop = o["at"] + o["n_words"]
+                    if stop <= at or o["at"] >= x["stop"] or (x["removed"] and not o["removed"]):
+                        continue
+                    if o["at"] > at:
+                        out.append(x | {"begin": begin, "end": o["begin"], "n_words": o["at"] - at})
+                    at, begin = stop, o["end"]
+                if at < x["stop"]:
+                    out.append(x | {"begin": begin, "n_words": x["stop"] - at})
+            yield pa.RecordBatch.from_pylist([{f: x[f] for f in fields.names} for x in out], fields)
+
+    fields = pa.schema(
+        [(f, pa.int64()) for f in ("doc_id", "begin", "end", "n_words", "component_id", "n_copies")] + [("removed", pa.bool_())]
+    )
+    schema = "doc_id bigint, begin bigint, end bigint, n_words bigint, component_id bigint, n_copies bigint, removed boolean"
+    return spans.mapInArrow(run, schema)
+
+
+def _passages(spark: SparkSession, docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Repeated passages of at least ``PASSAGE`` words, as far as they lie outside the listed paragraphs.
+
+    The occurrence that stays is the first one that no removed paragraph takes words of, else the first.
+    """
+    texts = documents(docs).where("doc_id IS NOT NULL")
+    rows = stored(spark, _mark_rows(texts), "passage-marks")
+    shared = rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    wanted = rows.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    wanted = stored(spark, wanted, "passage-wanted")
+    cuts = listed.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words")).alias("cuts"))
+    texts = narrowed(texts, wanted.select("doc_id"), "doc_id").join(wanted.join(cuts, "doc_id", "left"), "doc_id")
+    windows = stored(spark, _windows(texts), "passage-windows")
+    firsts = windows.groupBy("window").agg(
+        F.count("*").alias("n_copies"), F.min(F.struct("cut", "doc_id", "at", "begin", "end")).alias("first")
+    )
+    met = windows.join(firsts.where("n_copies > 1"), "window")
+    own, last = F.col("doc_id") == F.col("first.doc_id"), F.col("at") + PASSAGE
+    behind, before = own & (F.col("at") > F.col("first.at")), own & (F.col("at") < F.col("first.at"))
+    met = met.select(
+        "doc_id",
+        F.when(behind, F.greatest("at", F.col("first.at") + PASSAGE)).otherwise(F.col("at")).alias("at"),
+        F.when(before, F.least(last, F.col("first.at"))).otherwise(last).alias("stop"),
+        F.when(behind, F.greatest("begin", "first.end")).otherwise(F.col("begin")).alias("begin"),
+        F.when(before, F.least("end", "first.begin")).otherwise(F.col("end")).alias("end"),
+        F.col("first.doc_id").alias("component_id"),
+        "n_copies",
+        (~own | behind | before).alias("removed"),
+    )
+    order = Window.partitionBy("doc_id", "component_id", "removed").orderBy("at", "stop")
+    met = met.withColumn("reached", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    met = met.withColumn("span", F.count_if(F.col("at") > F.col("reached")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = met.groupBy("doc_id", "component_id", "removed", "span").agg(
+        *[F.min(c).alias(c) for c in ("at", "begin")], *[F.max(c).alias(c) for c in ("stop", "end", "n_copies")]
+    )
+    spans = stored(spark, spans, "passage-spans")
+    known = narrowed(listed, spans.select("doc_id").distinct(), "doc_id")
+    known = known.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words", "begin", "end", "removed")).alias("listed"))
+    return _outside(spans.join(known, "doc_id", "left"))
+
+
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One row for each paragraph that occurs more than once: doc_id, begin, end, n_words, component_id, n_copies, removed.
-
-    begin and end count bytes of the UTF-8 text. Paragraphs of at least 20 words count, and pieces of at
-    least 10 words of lines of more than 48. Two are linked when their sets of distinct five-word shingles,
-    A-Z lower-cased, have a similarity of 0.8 or more; equal sets are one class whatever their number. Of a
-    connected component the first paragraph by doc_id and place stays, the others are marked as removed;
-    component_id is that first one's doc_id. Null and empty texts have no paragraphs; rows without a doc_id
-    are left out; rows that repeat a doc_id hold the same paragraphs twice and both rows are listed. An empty
-    table gives no rows. Columns besides doc_id and text are ignored.
+    """One row for each paragraph or passage that occurs more than once: doc_id, begin, end, n_words, component_id, n_copies, removed.
+
+    begin and end count bytes of the UTF-8 text. Lines of at least 20 words count, of any length, and
+    pieces of at least 10 words of lines of more than 48. Two are linked when their sets of distinct
+    five-word shingles, A-Z lower-cased, have a similarity of 0.8 or more; equal sets are one class whatever
+    their number. Of a connected component the first whole line by doc_id and place stays, or else the
+    first piece whose line stays, the others are marked as removed; component_id is the doc_id of what
+    stays. Pieces of removed lines are not listed.
+
+    Runs of over 50 words that occur again word for word, A-Z lower-cased, are listed as passages as far as
+    they lie outside these paragraphs: what repeats an earlier one as removed, under that one's doc_id. A
+    passage can lie inside a paragraph that stays. n_copies is that of its most frequent 51 words.
+
+    Null and empty texts have no paragraphs; rows without a doc_id are left out; rows that repeat a doc_id
+    hold the same paragraphs twice and both rows are listed, passages once. An empty table gives no rows.
+    Columns besides doc_id and text are ignored.
     """
     rows = stored(spark, _paragraph_rows(documents(docs).where("doc_id IS NOT NULL")), "paragraph-rows")
     buckets = rows.select("class", F.explode("bands").alias("band"))
@@ -126,27 +304,43 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80)
     more = stored(spark, unsettled(spark, first, roots, texts, WIDTH, percent), "paragraph-more")
     roots = stored(spark, components(spark, links.union(more), "paragraph-all"), "paragraph-final")
 
-    counted = rows.groupBy("class").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    counted = rows.groupBy("class").agg(F.count("*").alias("n"))
     named = counted.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = stored(spark, named, "paragraph-named")
-    groups = named.groupBy("root").agg(F.sum("n").alias("n_copies"), F.min("first_doc").alias("component_id")).where("n_copies > 1")
-    kept = named.join(groups, "root").select("class", "root", "n_copies", "component_id")
-    found = rows.select("doc_id", "begin", "end", "n_words", "class").join(kept, "class")
+    groups = named.groupBy("root").agg(F.sum("n").alias("n")).where("n > 1").select("root")
+    kept = named.join(groups, "root").select("class", "root")
+    found = rows.select("doc_id", "begin", "end", "at", "n_words", "line", "class").join(kept, "class")
     found = stored(spark, found, "paragraph-found")
-    stays = found.where("doc_id = component_id").groupBy("root").agg(F.min("begin").alias("_begin"))
-    return found.join(stays, "root").select(
+    # a piece close to the very line that it was cut from is no copy of it
+    own = found.where("line < 0").select("doc_id", F.col("begin").alias("line"), "root")
+    found = found.join(own, ["doc_id", "line", "root"], "left_anti")
+    copies = found.groupBy("root").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
+    found = stored(spark, found.join(copies, "root"), "paragraph-copies")
+
+    place = (F.col("doc_id") != F.col("stay.doc_id")) | (F.col("begin") != F.col("stay.begin"))
+    whole = found.where("line < 0")
+    first = whole.groupBy("root").agg(F.min(F.struct("doc_id", "begin")).alias("stay"))
+    gone = whole.join(first, "root").where(place).select("doc_id", F.col("begin").alias("line"), F.lit(True).alias("gone")).distinct()
+    found = found.join(gone, ["doc_id", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    found = stored(spark, found, "paragraph-placed")
+    rank = F.struct((F.col("line") >= 0).alias("piece"), "gone", "doc_id", "begin")
+    stays = found.groupBy("root").agg(F.min(rank).alias("stay"))
+    listed = found.where("NOT gone").join(stays, "root").select(
         "doc_id",
         "begin",
         "end",
+        "at",
         "n_words",
-        "component_id",
+        F.col("stay.doc_id").alias("component_id"),
         "n_copies",
-        ((F.col("doc_id") != F.col("component_id")) | (F.col("begin") != F.col("_begin"))).alias("removed"),
+        (place | (F.col("stay.piece") != (F.col("line") >= 0))).alias("removed"),
     )
+    listed = stored(spark, listed, "paragraph-listed")
+    return listed.drop("at").unionByName(_passages(spark, docs, listed))
 
 
 def remove_paragraphs(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text) without the paragraphs marked as removed; other documents as they are."""
+    """(doc_id, text) without the paragraphs and passages marked as removed; other documents as they are."""
     cuts = found.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
     rows = documents(docs).join(cuts, "doc_id", "left")
 
@@ -157,7 +351,7 @@ def remove_paragraphs(docs: DataFrame, found: DataFrame) -> DataFrame:
                 raw, done, parts = text.as_buffer().to_pybytes(), 0, []
                 for begin, end in sorted((c["begin"], c["end"]) for c in cut or ()):
                     parts.append(raw[done:begin])
-                    done = end
+                    done = max(done, end)
                 out.append(b"".join([*parts, raw[done:]]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 

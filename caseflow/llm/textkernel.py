@@ -91,6 +91,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def run_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the ``n`` words from each word on, whatever rows they lie in, in constant time for each."""
+    sums = np.zeros(len(word_hash) + 1, np.uint64)
+    np.cumsum(word_hash * _power(_BASE, len(word_hash)), out=sums[1:])
+    at = max(0, len(word_hash) - n + 1)
+    return mix((sums[n:] - sums[:at]) * _power(_BASE_INVERSE, at))
+
+
 def shingles(word_hash: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every run of ``width`` words of a row; a shorter row gives its whole sequence."""
     hashes, rows = [], []

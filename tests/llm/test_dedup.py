@@ -139,6 +139,93 @@ def test_a_passage_inside_long_lines_is_found(spark):
     assert {r.doc_id for r in found.collect()} == set(range(12))
 
 
+def covered(spark, rows, parts):
+    """The word numbers of each document that the removed rows take, and those of all rows."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    found = paragraph_dedup.repeated_paragraphs(spark, df)
+    spans = found.collect()
+    raw = {i: t.encode() for i, t in rows}
+    out = []
+    for wanted in ([r for r in spans if r.removed], spans):
+        taken = {i: set() for i, _ in rows}
+        for r in wanted:
+            before = len(raw[r.doc_id][: r.begin].split())
+            inside = len(raw[r.doc_id][r.begin : r.end].split())
+            assert inside == r.n_words
+            taken[r.doc_id].update(range(before, before + inside))
+        out.append(taken)
+    cleaned = {r.doc_id: r.text for r in paragraph_dedup.remove_paragraphs(df, found).collect()}
+    for i, t in rows:
+        words = t.split()
+        assert cleaned[i].split() == [w for k, w in enumerate(words) if k not in out[0][i]]
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_every_word_of_a_passage_in_long_lines_is_found(spark, parts):
+    """Passages of 51 to 60 words inside lines that differ, 30 seeds for each length."""
+    words = brute.vocabulary()
+    rows, want = [], {}
+    for seed in range(300):
+        rnd = random.Random(seed)
+        n = 51 + seed % 10
+        passage, heads = brute.prose(rnd, words, n), [rnd.randint(40, 90) for _ in range(2)]
+        for k, head in enumerate(heads):
+            rows.append((2 * seed + k, f"{brute.prose(rnd, words, head)} a{seed}k{k} {passage} b{seed}k{k} {brute.prose(rnd, words, 70)}"))
+            want[2 * seed + k] = set(range(head + 1, head + 1 + n))
+    removed, listed = covered(spark, rows, parts)
+    for i, w in want.items():  # a piece at its edge is linked at a similarity of 0.8, so a few words beyond it may go too
+        assert w <= listed[i] and len(listed[i] - w) <= 12
+        assert w <= removed[i] if i % 2 else not removed[i]
+
+
+def test_copies_of_long_lines_go_whole(spark):
+    """An exact copy, and copies with one to three of 200 words changed, whose similarity is still over 0.8."""
+    words = brute.vocabulary()
+    rows = []
+    for seed in range(40):
+        rnd = random.Random(seed)
+        line = brute.prose(rnd, words, 200).split(" ")
+        rows.append((2 * seed, " ".join(line)))
+        for _ in range(seed % 4):
+            line[rnd.randrange(200)] = f"new{seed}"
+        rows.append((2 * seed + 1, " ".join(line)))
+    removed, listed = covered(spark, rows, 4)
+    assert removed == {i: set(range(200)) if i % 2 else set() for i, _ in rows}
+    assert listed == {i: set(range(200)) for i, _ in rows}
+
+
+def test_passages_equal_brute_force(spark):
+    """All words of repeated runs of 51 words, across lines too; every line differs by far."""
+    rnd, words = random.Random(8), brute.vocabulary()
+    passages = [brute.prose(rnd, words, rnd.randint(45, 130)) for _ in range(8)]
+    rows = []
+    for i in range(40):
+        parts = [brute.prose(rnd, words, rnd.randint(90, 200))]
+        for p in rnd.sample(passages, 2):
+            own, a = p.split(" "), rnd.randint(0, 20)
+            parts += [" ".join(own[a : a + rnd.randint(45, 130)]), brute.prose(rnd, words, rnd.randint(90, 200))]
+        rows.append((i, " ".join(parts)))
+    rows.append((50, "the " * 300))
+    runs = Counter()
+    for _, t in rows:
+        w = brute.words_of(t)
+        runs.update(tuple(w[k : k + 51]) for k in range(len(w) - 50))
+    want = {}
+    for i, t in rows:
+        w = brute.words_of(t)
+        want[i] = {k + j for k in range(len(w) - 50) if runs[tuple(w[k : k + 51])] > 1 for j in range(51)}
+    removed, listed = covered(spark, rows, 5)
+    assert all(want[i] <= listed[i] for i in want)
+    left = Counter()
+    for i, t in rows:
+        w = brute.words_of(t)
+        left.update({tuple(w[k : k + 51]) for k in range(len(w) - 50) if not removed[i] & set(range(k, k + 51))})
+    # what stays is there once; nothing is lost, each run's words stay somewhere
+    assert max(left.values()) == 1
+    assert removed[50] == set(range(51, 300))
+
+
 def test_awkward_documents_have_paragraphs(spark, docs):
     found = paragraph_dedup.repeated_paragraphs(spark, docs).collect()
     assert {140, 149, 151} <= {r.doc_id for r in found}

@@ -1,6 +1,6 @@
 """Repeated paragraphs across documents by MinHash banding, confirmed by exact Jaccard similarity.
 
-A paragraph is a line, of any length. Long ones are also compared in pieces, cut where the hash of a word
+A paragraph is a line of at least 20 words, or a run of shorter lines up to a blank line. Long ones are also compared in pieces, cut where the hash of a word
 pair is the least of its neighbourhood in the line, so a stretch inside a long line is cut alike wherever
 it stands. Bands of two rows are enough: unrelated paragraphs share no five-word shingle, and at a
 similarity of 0.8 a pair shares one of seven bands with probability 0.9992.
@@ -46,6 +46,16 @@ def _cuts(word: np.ndarray, of_line: np.ndarray, head: np.ndarray) -> np.ndarray
     return cut
 
 
+def _joined(head: np.ndarray, line: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The heads of lines without those of short lines that follow a short line with no blank line between."""
+    at = np.flatnonzero(head)
+    short = np.diff(np.append(at, len(head))) < LEAST
+    on = short[1:] & short[:-1] & (row[at[1:]] == row[at[:-1]]) & (line[at[1:]] - line[at[:-1]] == 1)
+    head = head.copy()
+    head[at[1:][on]] = False
+    return head
+
+
 def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, begin, end, first word, words, line, class, band keys) of the paragraphs of a slice.
 
@@ -60,6 +70,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     word = RangeHash(data).of(start, end)
     line = np.searchsorted(np.flatnonzero(data == 0x0A), start)
     head = np.append(True, (line[1:] != line[:-1]) | (row[1:] != row[:-1]))
+    head = _joined(head, line, row)
     of_line = np.cumsum(head) - 1
     size = np.bincount(of_line)
     heads = np.flatnonzero(head)
@@ -277,8 +288,9 @@ def _passages(spark: SparkSession, docs: DataFrame, listed: DataFrame) -> DataFr
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row for each paragraph or passage that occurs more than once: doc_id, begin, end, n_words, component_id, n_copies, removed.
 
-    begin and end count bytes of the UTF-8 text. Lines of at least 20 words count, of any length, and
-    pieces of at least 10 words of lines of more than 48. Two are linked when their sets of distinct
+    begin and end count bytes of the UTF-8 text. Lines of at least 20 words count, of any length, runs of
+    shorter lines without a blank line between count as one line, and so do pieces of at least 10 words
+    of lines of more than 48. A line or run of under 20 words is found as part of passages only. Two are linked when their sets of distinct
     five-word shingles, A-Z lower-cased, have a similarity of 0.8 or more; equal sets are one class whatever
     their number. Of a connected component the first whole line by doc_id and place stays, or else the
     first piece whose line stays, the others are marked as removed; component_id is the doc_id of what

@@ -179,6 +179,33 @@ def test_every_word_of_a_passage_in_long_lines_is_found(spark, parts):
         assert w <= removed[i] if i % 2 else not removed[i]
 
 
+def wrapped(text, n):
+    words = text.split(" ")
+    return "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+
+
+def test_text_wrapped_at_12_words_is_found(spark):
+    """Passages of 55 words in wrapped texts, and blocks of 45 words between blank lines, wrapped in two ways."""
+    words = brute.vocabulary()
+    rows, want = [], {}
+    for seed in range(60):
+        rnd = random.Random(seed)
+        own = brute.prose(rnd, words, 55 if seed % 2 else 45)
+        for k in range(2):
+            i, head, tail = 2 * seed + k, rnd.randint(30, 80), brute.prose(rnd, words, 60)
+            before = brute.prose(rnd, words, head)
+            if seed % 2:
+                text = wrapped(f"{before} {own} {tail}", 12)
+            else:
+                text = "\n\n".join(wrapped(x, 12 - k) for x in (before, own, tail))
+            rows.append((i, text))
+            want[i] = set(range(head, head + len(own.split(" "))))
+    removed, listed = covered(spark, rows, 3)
+    for i, w in want.items():
+        assert w <= listed[i] and len(listed[i] - w) <= 12
+        assert w <= removed[i] if i % 2 else not removed[i]
+
+
 def test_copies_of_long_lines_go_whole(spark):
     """An exact copy, and copies with one to three of 200 words changed, whose similarity is still over 0.8."""
     words = brute.vocabulary()

@@ -4,7 +4,8 @@ A source's documents are dealt into shards of bounded size; in a shard they form
 in a seeded order, cut into blocks of equal length. All blocks of the mix are apportioned to the
 shards at once by the highest quotients target / (2k - 1), which gives every shard a whole number of
 blocks. A shard takes its stream as often as that number allows in full, and the rest as blocks
-picked at even steps from a seeded start.
+picked at even steps from a seeded start. The ranges of words are an output of their own, and the mixed
+documents hold the words that are taken, as often as they are.
 """
 
 from __future__ import annotations
@@ -71,16 +72,8 @@ def apportion(spark: SparkSession, cells: DataFrame, seats: int, name: str) -> D
     return cells.join(won, ["rank", "shard"], "left").withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("low", "high", "won")
 
 
-def mix(
-    spark: SparkSession, docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 17
-) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
-
-    Null texts have size 0 and are never taken; a null source is a source of its own, last in order.
-    Rows that repeat a doc_id are documents of their own. Equal sizes and ids give equal answers on
-    every run. Without any words all targets are 0. An empty table gives no rows. Columns besides
-    doc_id, source and text are ignored.
-    """
+def _placed(spark: SparkSession, docs: DataFrame, share: float, most: float, block: int, seed: int) -> DataFrame:
+    """One row per document: its place in its shard's stream (first, stop), and what the shard takes (rounds, extra, blocks, start)."""
     sizes = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -121,28 +114,88 @@ def mix(
     )
     stream = Window.partitionBy("rank", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.withColumn("stop", F.sum("size").over(stream)).join(quotas, ["rank", "shard"])
+    return rows.withColumn("first", F.col("stop") - F.col("size"))
+
+
+def _before(b: Column) -> Column:
+    """Picked blocks before a block of the stream."""
+    return F.floor((b * F.col("extra") + F.col("start")) / F.greatest("blocks", F.lit(1)))
 
-    def before(b: Column) -> Column:
-        return F.floor((b * F.col("extra") + F.col("start")) / F.greatest("blocks", F.lit(1)))
 
+def _taken(block: int) -> Column:
     def picked(word: Column) -> Column:
         """Words in picked blocks before a word of the stream."""
         b = F.floor(word / block)
-        return (before(b) - before(F.lit(0))) * block + (before(b + 1) - before(b)) * (word - b * block)
+        return (_before(b) - _before(F.lit(0))) * block + (_before(b + 1) - _before(b)) * (word - b * block)
+
+    return (F.col("rounds") * F.col("size") + picked(F.col("stop")) - picked(F.col("first"))).cast("bigint")
+
+
+def mix(
+    spark: SparkSession, docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 17
+) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken.
+
+    Null texts have size 0 and are never taken; a null source is a source of its own, last in order.
+    Rows that repeat a doc_id are documents of their own. Equal sizes and ids give equal answers on
+    every run. Without any words all targets are 0. An empty table gives no rows. Columns besides
+    doc_id, source and text are ignored.
+    """
+    rows = _placed(spark, docs, share, most, block, seed)
+    return rows.select("doc_id", "size", "source_size", F.col("source_target").alias("target"), _taken(block).alias("taken"))
+
 
-    first = F.col("stop") - F.col("size")
-    return rows.select(
+def mix_blocks(
+    spark: SparkSession, docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 17
+) -> DataFrame:
+    """What ``mix`` takes, one row per range of words: doc_id, first_word, end_word, repeats.
+
+    A document that is taken in full has a row for all its words with the number of rounds, and every block
+    picked on top has one for its words that lie in the document. The words of a document's rows, times
+    their repeats, add up to ``taken``.
+    """
+    rows = _placed(spark, docs, share, most, block, seed).where("size > 0")
+    begin, end = F.col("b") * block, (F.col("b") + 1) * block
+    whole = rows.where("rounds > 0").select(
+        "doc_id", F.lit(0).cast("bigint").alias("first_word"), F.col("size").alias("end_word"), F.col("rounds").cast("bigint").alias("repeats")
+    )
+    held = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("stop") - 1) / block))
+    picked = rows.where("extra > 0").withColumn("b", F.explode(held)).where(_before(F.col("b") + 1) > _before(F.col("b")))
+    picked = picked.select(
         "doc_id",
-        "size",
-        "source_size",
-        F.col("source_target").alias("target"),
-        (F.col("rounds") * F.col("size") + picked(F.col("stop")) - picked(first)).cast("bigint").alias("taken"),
+        (F.greatest(begin, "first") - F.col("first")).cast("bigint").alias("first_word"),
+        (F.least(end, "stop") - F.col("first")).cast("bigint").alias("end_word"),
+        F.lit(1).cast("bigint").alias("repeats"),
     )
+    return whole.unionByName(picked)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, column: str = "words_taken") -> DataFrame:
-    """The documents of which the mix takes words, with that number; rows of one doc_id share the largest."""
-    takes = mix(spark, docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken")).where("_taken > 0")
+    """The documents of which the mix takes words; ``text`` is what it takes, ``column`` counts its words.
+
+    The text is the whole text as often as the mix takes it, each on a line of its own, then the words of the
+    blocks picked on top, with the white space after them. All other columns are those of the whole document.
+    Rows of one doc_id share the takes of the one that gives most.
+    """
+    block = BLOCK_WORDS
+    rows = _placed(spark, docs, 1.5, 2.0, block, 17).withColumn("taken", _taken(block)).where("taken > 0")
+    place = F.struct("taken", "size", "first", "rounds", "extra", "blocks", "start")
+    takes = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.max(place).alias("_take"))
     takes = small_side(stored(spark, takes, "mix-takes"))
-    rows = docs.join(takes, docs["doc_id"].cast("bigint").eqNullSafe(takes["_id"]))
-    return rows.select(*[docs[f"`{c}`"] for c in docs.columns if c != column], F.col("_taken").alias(column))
+    rows = docs.join(takes, docs["doc_id"].cast("bigint").eqNullSafe(takes["_id"])).withColumnRenamed("text", "_text")
+    words = F.regexp_extract_all(F.col("_text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    take = F.col("_take")
+
+    def before(b: Column) -> Column:
+        return F.floor((b * take["extra"] + take["start"]) / F.greatest(take["blocks"], F.lit(1)))
+
+    def chosen(_: Column, i: Column) -> Column:
+        b = F.floor((take["first"] + i) / block)
+        return before(b + 1) > before(b)
+
+    rows = rows.withColumn("_words", F.when(take["extra"] > 0, words).otherwise(F.array().cast("array<string>")))
+    part = F.array_join(F.filter("_words", chosen), "")
+    text = F.concat_ws("\n", F.array_repeat(F.col("_text").cast("string"), take["rounds"].cast("int")), F.when(part != "", part))
+    rows = rows.withColumn("_mixed", text)
+    out = [F.col("_mixed").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != column]
+    return rows.select(*out, word_count(F.col("_mixed")).alias(column))

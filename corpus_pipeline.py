@@ -33,7 +33,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: documents with the number of their words taken, repeats counted."""
+    """What the mix takes: the words taken of each document as its text, repeats written out, and their number."""
     ship(spark)
     return mixing.mixed_documents(spark, docs)
 

@@ -245,6 +245,24 @@ def test_mixing(spark, docs, monkeypatch, shard_words):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_the_mix_gives_out_the_words_that_it_takes(spark):
+    rnd, words = random.Random(4), brute.vocabulary()
+    rows = [(i, brute.prose(rnd, words, rnd.randint(1, 200)), "abc"[i % 3]) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix(spark, df).collect() if r.taken}
+    want = {i: Counter() for i, _, _ in rows}
+    for r in mixing.mix_blocks(spark, df).collect():
+        own = rows[r.doc_id][1].split(" ")
+        assert 0 <= r.first_word < r.end_word <= len(own)
+        for w in own[r.first_word : r.end_word]:
+            want[r.doc_id][w] += r.repeats
+    got = {r.doc_id: r for r in mixing.mixed_documents(spark, df).collect()}
+    assert {i: r.words_taken for i, r in got.items()} == taken == {i: w.total() for i, w in want.items() if w}
+    assert all(Counter(r.text.split()) == want[i] for i, r in got.items())
+    assert any(len(r.text.split()) < len(rows[i][1].split(" ")) for i, r in got.items())
+    assert any(len(r.text.split()) > len(rows[i][1].split(" ")) for i, r in got.items())
+
+
 def test_mixing_nothing(spark, docs):
     assert mixing.mix(spark, docs.limit(0)).count() == 0
     rows = mixing.mix(spark, docs.where("text IS NULL")).collect()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.near_dedup import confirmed, signatures, unsettled
-from caseflow.llm.shared import components, documents, narrowed, stored
+from caseflow.llm.shared import components, documents, narrowed, small_side, stored
 from caseflow.llm.textkernel import RangeHash, lower_ascii, mix, run_hashes, shingles, slices, words
 
 WIDTH, BANDS, ROWS = 5, 7, 2
@@ -144,29 +144,62 @@ def _texts(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes: DataF
     return stored(spark, made.dropDuplicates(["doc_id"]), "paragraph-texts")
 
 
-def marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, end, windows, mark, marked) of a slice: words, where windows begin, their marks, the runs that are marks."""
+def _lost(windows: np.ndarray, row: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """How many words of each window lie in cuts."""
+    change = np.zeros(len(row) + 1, np.int64)
+    begin = np.searchsorted(row, cuts[0]) + cuts[1]
+    np.add.at(change, begin, 1)
+    np.add.at(change, begin + cuts[2], -1)
+    sums = np.append(0, np.cumsum(np.cumsum(change[:-1]) > 0))
+    return sums[windows + PASSAGE] - sums[windows]
+
+
+def marks(data: np.ndarray, offsets: np.ndarray, cuts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """(row, start, end, word, windows, mark, marked, cut) of a slice.
+
+    Its words, where windows begin, their marks, the runs that are marks, and which windows lose words to
+    the cuts (row, first word, words, line). Windows that lie in cut lines wholly are left out.
+    """
     data = lower_ascii(data)
     start, end, row = words(data, offsets)
     word = RangeHash(data).of(start, end)
     n, reach = len(word), PASSAGE - RUN + 1
     if n < PASSAGE:
         none = np.empty(0, np.int64)
-        return row, start, end, word, none, none.view(np.uint64), none.view(np.uint64)
+        return row, start, end, word, none, none.view(np.uint64), none, none.astype(bool)
     runs = run_hashes(word, RUN)
     windows = np.flatnonzero(row[: n - PASSAGE + 1] == row[PASSAGE - 1 :])
+    lost, gone = (_lost(windows, row, [x[here] for x in cuts]) for here in (slice(None), cuts[3] < 0))
+    windows, lost = windows[gone < PASSAGE], lost[gone < PASSAGE]
     least = np.lib.stride_tricks.sliding_window_view(runs, reach).min(axis=1)
     top = np.zeros(n + reach, np.uint64)
     top[windows + reach - 1] = least[windows]
     top = np.lib.stride_tricks.sliding_window_view(top, reach).max(axis=1)[: len(runs)]
-    return row, start, end, word, windows, least[windows], np.flatnonzero(top == runs)
+    return row, start, end, word, windows, least[windows], np.flatnonzero(top == runs), lost > 0
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of an array of lists; a null list has no values."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    return np.repeat(np.arange(len(lists)), size), lists.flatten()
+
+
+def _cut_words(lists: pa.Array) -> tuple[np.ndarray, ...]:
+    row, cut = _flat(lists)
+    return row, *(np.asarray(cut.field(x), np.int64) for x in ("at", "n_words", "line"))
+
+
+def _of_slice(cuts: tuple[np.ndarray, ...], base: int, stop: int) -> tuple[np.ndarray, ...]:
+    here = (cuts[0] >= base) & (cuts[0] < stop)
+    return cuts[0][here] - base, *(x[here] for x in cuts[1:])
 
 
 def _mark_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for base, _, data, offsets in slices(batch.column("text")):
-                row, _, _, word, windows, _, marked = marks(data, offsets)
+            cuts = _cut_words(batch.column("cuts"))
+            for base, stop, data, offsets in slices(batch.column("text")):
+                row, _, _, word, windows, _, marked, _ = marks(data, offsets, _of_slice(cuts, base, stop))
                 if len(windows):
                     ids = batch.column("doc_id").take(pa.array(row[marked] + base))
                     hashes = pa.array(run_hashes(word, RUN)[marked].view(np.int64))
@@ -175,33 +208,20 @@ def _mark_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, mark bigint")
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of an array of lists; a null list has no values."""
-    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-    return np.repeat(np.arange(len(lists)), size), lists.flatten()
-
-
 def _windows(texts: DataFrame) -> DataFrame:
     """One row for each window whose mark is shared: its hash and place, and whether a removed paragraph takes words of it."""
 
     def run(batches):
         for batch in batches:
             mark_row, mark = _flat(batch.column("marks"))
-            cut_row, cut = _flat(batch.column("cuts"))
-            mark, cut_at, cut_n = (np.asarray(x, np.int64) for x in (mark, cut.field("at"), cut.field("n_words")))
+            mark, cuts = np.asarray(mark, np.int64), _cut_words(batch.column("cuts"))
             for base, stop, data, offsets in slices(batch.column("text")):
-                row, start, end, word, windows, least, _ = marks(data, offsets)
+                row, start, end, word, windows, least, _, cut = marks(data, offsets, _of_slice(cuts, base, stop))
                 if not len(windows):
                     continue
-                mine = mark[(mark_row >= base) & (mark_row < stop)].view(np.uint64)
-                windows = windows[np.isin(least, mine)]
-                here = (cut_row >= base) & (cut_row < stop)
+                shared = np.isin(least, mark[(mark_row >= base) & (mark_row < stop)].view(np.uint64))
+                windows, cut = windows[shared], cut[shared]
                 first = np.searchsorted(row, np.arange(stop - base))
-                change = np.zeros(len(word) + 1, np.int64)
-                begin = first[cut_row[here] - base] + cut_at[here]
-                np.add.at(change, begin, 1)
-                np.add.at(change, begin + cut_n[here], -1)
-                taken = np.append(0, np.cumsum(np.cumsum(change[:-1]) > 0))
                 of, last = row[windows], windows + PASSAGE - 1
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -210,7 +230,7 @@ def _windows(texts: DataFrame) -> DataFrame:
                         pa.array(windows - first[of]),
                         pa.array(start[windows] - offsets[of]),
                         pa.array(end[last] - offsets[of]),
-                        pa.array(taken[last + 1] > taken[windows]),
+                        pa.array(cut),
                     ],
                     ["doc_id", "window", "at", "begin", "end", "cut"],
                 )
@@ -247,15 +267,15 @@ def _outside(spans: DataFrame) -> DataFrame:
 def _passages(spark: SparkSession, docs: DataFrame, listed: DataFrame) -> DataFrame:
     """Repeated passages of at least ``PASSAGE`` words, as far as they lie outside the listed paragraphs.
 
-    The occurrence that stays is the first one that no removed paragraph takes words of, else the first.
+    Windows that lie in removed lines wholly are no occurrences: they go in any case. The one that stays is the first one that no removed paragraph takes words of, else the first.
     """
-    texts = documents(docs).where("doc_id IS NOT NULL")
+    cuts = listed.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words", "line")).alias("cuts"))
+    texts = documents(docs).where("doc_id IS NOT NULL").join(small_side(stored(spark, cuts, "passage-cuts")), "doc_id", "left")
     rows = stored(spark, _mark_rows(texts), "passage-marks")
     shared = rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     wanted = rows.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
     wanted = stored(spark, wanted, "passage-wanted")
-    cuts = listed.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words")).alias("cuts"))
-    texts = narrowed(texts, wanted.select("doc_id"), "doc_id").join(wanted.join(cuts, "doc_id", "left"), "doc_id")
+    texts = narrowed(texts, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id")
     windows = stored(spark, _windows(texts), "passage-windows")
     firsts = windows.groupBy("window").agg(
         F.count("*").alias("n_copies"), F.min(F.struct("cut", "doc_id", "at", "begin", "end")).alias("first")
@@ -298,7 +318,8 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80)
 
     Runs of over 50 words that occur again word for word, A-Z lower-cased, are listed as passages as far as
     they lie outside these paragraphs: what repeats an earlier one as removed, under that one's doc_id. A
-    passage can lie inside a paragraph that stays. n_copies is that of its most frequent 51 words.
+    passage can lie inside a paragraph that stays. Places that lie in removed lines wholly do not count
+    as occurrences. n_copies is that of its most frequent 51 words.
 
     Null and empty texts have no paragraphs; rows without a doc_id are left out; rows that repeat a doc_id
     hold the same paragraphs twice and both rows are listed, passages once. An empty table gives no rows.
@@ -343,12 +364,13 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80)
         "end",
         "at",
         "n_words",
+        "line",
         F.col("stay.doc_id").alias("component_id"),
         "n_copies",
         (place | (F.col("stay.piece") != (F.col("line") >= 0))).alias("removed"),
     )
     listed = stored(spark, listed, "paragraph-listed")
-    return listed.drop("at").unionByName(_passages(spark, docs, listed))
+    return listed.drop("at", "line").unionByName(_passages(spark, docs, listed))
 
 
 def remove_paragraphs(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def _emails(text: str) -> list[Span]:
 def base_spans(text: str) -> dict[str, list[Span]]:
     """The spans of the patterns, leftmost and non-overlapping for each kind; failing matches are dropped."""
     out: dict[str, list[Span]] = {"email": _emails(text) if "@" in text else [], "ip": [], "card": [], "phone": []}
-    out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         found = _digits(m.group())
         if 13 <= len(found) <= 19 and luhn(found):

@@ -1,8 +1,10 @@
-"""Licence scan: TF-IDF cosine of lines to licence templates, then inheritance down the directories.
+"""Licence scan: TF-IDF cosine of lines, word windows and whole texts to templates, then inheritance down the directories.
 
 A line's vector holds the terms of the templates, weighted by how rare they are in the corpus; all
-its other terms count towards its length with the weight of a term seen once. A document whose best
-line is close enough to a template has that licence by its own header. A document that has none
+its other terms count towards its length with the weight of a term seen once. Windows of as many terms
+as a template has are scored likewise over the whole text, whatever the line breaks. A document that is
+close as a whole to a full licence text, or whose best line or window is close enough to a template, has
+that licence by its own header. A document that has none
 takes the licence of the nearest directory above it that holds a licence file.
 """
 
@@ -11,7 +13,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +45,7 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+TEXTS = Path(__file__).resolve().parent / "license_texts"
 COSINE = 0.7
 FILE_SHARE = 0.5
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -51,13 +56,18 @@ def terms(line: str) -> list[str]:
     return _TERM.findall(line.lower())
 
 
-def _vocabulary() -> list[str]:
-    return sorted({t for _, text in TEMPLATES for t in terms(text)})
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The full licence texts, read on the driver."""
+    return tuple((p.stem, p.read_text()) for p in sorted(TEXTS.glob("*.txt")))
+
+
+def _vocabulary(templates=TEMPLATES) -> list[str]:
+    return sorted({t for _, text in templates for t in terms(text)})
 
 
 def _document_frequency(docs: DataFrame) -> dict[str, int]:
     """How many documents hold each template term; the driver gets one number for each term."""
-    vocabulary = frozenset(_vocabulary())
+    vocabulary = frozenset(_vocabulary(TEMPLATES + full_texts()))
 
     def run(batches):
         seen: Counter[str] = Counter()
@@ -74,12 +84,12 @@ def _document_frequency(docs: DataFrame) -> dict[str, int]:
 class Matcher:
     """The templates' vectors under given document frequencies."""
 
-    def __init__(self, frequency: dict[str, int]):
+    def __init__(self, frequency: dict[str, int], templates=TEMPLATES):
         n = frequency.get("", 0)
         self.unseen = math.log(1 + n)
-        self.idf = {t: math.log((1 + n) / (1 + frequency.get(t, 0))) + 1e-9 for t in _vocabulary()}
+        self.idf = {t: math.log((1 + n) / (1 + frequency.get(t, 0))) + 1e-9 for t in _vocabulary(templates)}
         self.vectors = []
-        for name, text in TEMPLATES:
+        for name, text in templates:
             counts = Counter(terms(text))
             weights = {t: c * self.idf[t] for t, c in counts.items()}
             self.vectors.append((name, weights, math.sqrt(sum(w * w for w in weights.values()))))
@@ -88,6 +98,39 @@ class Matcher:
             t for _, w, length in self.vectors for t, x in w.items() if x * math.sqrt(len(w)) >= COSINE * length
         )
 
+        self.sizes = [len(terms(text)) for _, text in templates]
+        self.number = {t: k for k, t in enumerate(self.idf)}
+        # by term, the last column is every other term: its weight, and what one adds to the dot product
+        self.weight = np.array([*self.idf.values(), self.unseen])
+        self.gain = np.array([[w.get(t, 0.0) * x for t, x in self.idf.items()] + [0.0] for _, w, _ in self.vectors])
+
+    def windows(self, found: list[str], cosine: float) -> tuple[tuple[str | None, float], np.ndarray]:
+        """The best window of a template's length, and which terms lie in windows of that cosine or more, no two overlapping.
+
+        A window's length is at least that of its terms taken one by one, which bounds its cosine from above.
+        """
+        other = len(self.number)
+        ids = np.array([self.number.get(t, other) for t in found], np.int64)
+        squares = np.append(0, np.cumsum(self.weight[ids] ** 2))
+        near = []
+        for k, (name, weights, size) in enumerate(self.vectors):
+            n = self.sizes[k]
+            if n > len(found):
+                continue
+            dots = np.append(0, np.cumsum(self.gain[k][ids]))
+            dots, least = dots[n:] - dots[:-n], squares[n:] - squares[:-n]
+            for a in np.flatnonzero(dots >= (cosine - 1e-9) * np.sqrt(least) * size):
+                length = math.sqrt(sum((c * self.idf.get(t, self.unseen)) ** 2 for t, c in Counter(found[a : a + n]).items()))
+                value = float(dots[a]) / length / size
+                if value >= cosine:
+                    near.append((-round(value, 9), k, int(a), n, name, value))
+        hit = np.zeros(len(found), bool)
+        near.sort()
+        for _, _, a, n, _, _ in near:  # of windows that overlap, the closest counts
+            if not hit[a : a + n].any():
+                hit[a : a + n] = True
+        return (near[0][4:] if near else (None, 0.0)), hit
+
     def best(self, found: list[str]) -> tuple[str | None, float]:
         """The closest template's licence and the cosine; ties go to the first template."""
         counts = Counter(found)
@@ -103,23 +146,38 @@ class Matcher:
 
 
 def headers(docs: DataFrame, cosine: float) -> DataFrame:
-    """(doc_id, path, own_license, cosine, license_words, n_words) from each document's closest line."""
-    matcher = Matcher(_document_frequency(docs))
+    """(doc_id, path, own_license, cosine, license_words, n_words) from each document's closest line, window or full text."""
+    frequency = _document_frequency(docs)
+    matcher, whole = Matcher(frequency), Matcher(frequency, full_texts())
 
     def run(batches):
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                best, words, hit_words = (None, 0.0), 0, 0
+                best, every, hits = (None, 0.0), [], []
                 for line in (text or "").split("\n"):
                     found = terms(line)
-                    words += len(found)
+                    every += found
+                    hits.append((len(found), False))
                     if not matcher.heavy.isdisjoint(found):
                         name, value = matcher.best(found)
                         if value >= cosine:
-                            hit_words += len(found)
+                            hits[-1] = len(found), True
                             if value > best[1]:
                                 best = name, value
+                words = hit_words = len(every)
+                if matcher.heavy.isdisjoint(every):
+                    hit_words = 0
+                else:
+                    top, hit = matcher.windows(every, cosine)
+                    hit |= np.repeat([h for _, h in hits], [n for n, _ in hits])
+                    hit_words = int(hit.sum())
+                    if top[1] > best[1] + 1e-12:
+                        best = top
+                if not whole.heavy.isdisjoint(every):
+                    name, value = whole.best(every)
+                    if value >= cosine:
+                        best, hit_words = (name, value), words
                 out.append((*best, hit_words, words))
             names, values, hits, totals = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -142,7 +200,7 @@ def license_scan(spark: SparkSession, docs: DataFrame, path: Column, cosine: flo
     """One row per document: doc_id, path, license, cosine, origin (header, directory or null), license_dir.
 
     ``path`` is the file's path with ``/`` between directories. A licence file is one with a usual name
-    (LICENSE, COPYING, ...) or one where licence lines hold at least half of the words; a directory that
+    (LICENSE, COPYING, ...) or one where licence lines and windows hold at least half of the words, or that is close to a full licence text; a directory that
     holds several takes the licence that most of them name, then the first by name. The nearest directory
     above a file wins, the file's own first. Null or empty texts have no header; a null path inherits
     nothing. Repeated rows are scanned each. An empty table gives no rows. Columns besides doc_id, text and

@@ -97,6 +97,11 @@ def test_base_spans_are_those_of_the_patterns(text):
     assert pii.base_spans(text) == plain_spans(text)
 
 
+def test_very_long_runs_of_zeros():
+    text = "at " + "0" * 5000 + "1.2.3.4 and " + ".".join(["0" * 6000] * 4)
+    assert [text[a:b].lstrip("0")[:1] for a, b in pii.base_spans(text)["ip"]] in ([], ["1"], ["1", "."])
+
+
 def test_the_field_learns_its_examples():
     field = pii.train(pii._listed())
     assert all(field.decode(text) == spans for text, spans in pii._listed())
@@ -180,6 +185,25 @@ def test_cosine_is_that_of_the_vectors():
     assert name == "MIT" and value == pytest.approx(best)
 
 
+def test_headers_among_other_words_and_full_texts(spark):
+    prose = brute.prose(random.Random(3), brute.vocabulary(), 400)
+    apache = "Licensed under the Apache License, Version 2.0"
+    rows = [
+        ("MIT", "Copyright (c) 2020 Foo. Licensed under the MIT License."),
+        ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
+        ("Apache-2.0", "This file is licensed under the Apache License, Version 2.0; see the file LICENSE for details."),
+        ("Apache-2.0", f"{prose} {apache} {prose}"),
+        ("Apache-2.0", f"{prose}\n# licensed under the\n# Apache License,\n# Version 2.0\n{prose}"),
+        (None, prose),
+        *licenses.full_texts(),
+    ]
+    rows += [(None, brute.prose(random.Random(k), brute.vocabulary(), 100)) for k in range(200)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark, df, F.lit("d/x.py")).collect() if r.origin == "header"}
+    assert got == {i: name for i, (name, _) in enumerate(rows) if name}
+    assert len(licenses.full_texts()) >= 8
+
+
 def test_every_licence_line_of_the_documents_is_found(spark):
     table = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     got = licenses.license_scan(spark, table, licenses.document_path())

@@ -198,4 +198,4 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, column: str = "words_t
     text = F.concat_ws("\n", F.array_repeat(F.col("_text").cast("string"), take["rounds"].cast("int")), F.when(part != "", part))
     rows = rows.withColumn("_mixed", text)
     out = [F.col("_mixed").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != column]
-    return rows.select(*out, word_count(F.col("_mixed")).alias(column))
+    return rows.select(*out, word_count(F.col("_mixed")).alias(column)).where(F.col(column) > 0)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caseflow.llm import (
+    bpe,
     decontam,
     exact_dedup,
     host_reputation,
@@ -21,6 +23,8 @@ from caseflow.llm import (
 )
 from caseflow.llm.shared import ship
 
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -92,3 +96,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Needs the public vocabulary files, which only the driver reads."""
+    import public_tokenizers
+
+    rows = bpe.encoded(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), decode=True)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

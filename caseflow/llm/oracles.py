@@ -124,3 +124,121 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
     CASE WHEN n_removed = n THEN sha256('') WHEN n_removed > 0 THEN h ELSE sha256(raw) END AS kept_sha256
 FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
 """
+
+
+def _crc32(text: str) -> str:
+    bit = "xor(b >> 1, 3988292384 * (b & 1))"
+    byte = f"list_reduce(range(8), lambda b, k: {bit}, xor(c, x))"
+    letters = f"list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce({letters}, lambda c, x: {byte}, 4294967295), 4294967295)"
+
+
+def _add(state: str, cost: str, letter: str) -> str:
+    """A cost of eight digits and the audit, as one string in the order of both."""
+    return f"(lpad((left({state}, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({state}, 9) || '{letter}')"
+
+
+def _least(*options: str) -> str:
+    return f"least({', '.join(options)})"
+
+
+def _may(condition: str, then: str) -> str:
+    return f"CASE WHEN {condition} THEN {then} END"
+
+
+_KEEP = {k: {x: _may(f"NOT dead AND i = '{x}'", _add(f"c{k}", "late", "K")) for x in "sua"} for k in range(4)}
+_REROLE = {k: _may("NOT dead", _add(f"c{k}", "2 + late", "R")) for k in range(4)}
+_GONE = {k: _add(f"c{k}", "3", "D") for k in range(4)}
+ORACLES["op11_repair"] = f"""
+WITH RECURSIVE places AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place
+    FROM conversations
+), faults AS (SELECT *, {_crc32("place")} % 20 AS fault FROM places
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM faults
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+        left(role, 1) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM damaged
+), marked AS (
+    SELECT *, ending = '' AS blank, ending <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again FROM placed
+), flagged AS (
+    SELECT *, blank OR again AS dead, (NOT blank AND NOT again AND ending NOT IN ('.', '!', '?'))::INT AS late,
+        lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM marked
+), ids AS (SELECT DISTINCT conv_id FROM conversations
+), closed AS (
+    SELECT conv_id, 0::BIGINT AS n, '00000000' AS c0, NULL::VARCHAR AS c1, '00000002I' AS c2, '00000004II' AS c3 FROM ids
+    UNION ALL
+    SELECT conv_id, n, c0, c1,
+        {_least("c2", _add("c0", "2", "I"), _add("c1", "2", "I"), _add("c3", "2", "I"))},
+        {_least("c3", _add("c2", "2", "I"), _add("c0", "4", "II"), _add("c1", "4", "II"))}
+    FROM (
+        SELECT p.conv_id, r.n, {_GONE[0]} AS c0,
+            {_least(_GONE[1], _KEEP[0]["s"])} AS c1,
+            {_least(_GONE[2], *[x for k in (0, 1, 3) for x in (_KEEP[k]["u"], _REROLE[k])])} AS c2,
+            {_least(_GONE[3], _KEEP[2]["a"], _REROLE[2])} AS c3
+        FROM closed p JOIN flagged r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.n + 1
+    )
+), best AS (
+    SELECT conv_id, left(b, 8)::BIGINT AS cost, substr(b, 9) AS audit
+    FROM (SELECT conv_id, arg_max(least(c0, c3), n) AS b FROM closed GROUP BY conv_id)
+), letters AS (
+    SELECT conv_id, k, e, sum((e <> 'I')::INT) OVER w AS n, sum((e <> 'D')::INT) OVER w AS line,
+        (length(audit) - length(replace(audit, 'D', ''))) AS gone, length(audit) AS total
+    FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k, unnest(string_split(audit, '')) AS e FROM best WHERE audit <> '')
+    WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), lines AS (
+    SELECT l.conv_id, l.line, CASE WHEN e = 'K' THEN r.role WHEN (line - (total - gone) % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE WHEN e = 'I' THEN '' ELSE r.text END AS said
+    FROM letters l LEFT JOIN flagged r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.n = l.n AND e <> 'I' WHERE e <> 'D'
+), texts AS (SELECT conv_id, sha256(string_agg(said, chr(10) ORDER BY line)) AS h FROM lines GROUP BY conv_id
+), sums AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (again) AS duplicate, sum(late)::BIGINT AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM flagged GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM best b LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT ids.conv_id, 0 AS part, place, role, text FROM ids JOIN turns ON turns.conv_id = base AND place <= h
+    UNION ALL
+    SELECT ids.conv_id, 1, place, role, text FROM ids JOIN turns USING (conv_id) WHERE place > h
+), said AS (
+    SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS bytes, sha256(length(role) || ':' || role || text) AS t
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+), paths AS (
+    SELECT conv_id, depth, bytes, sha256(string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node,
+        max(depth) OVER (PARTITION BY conv_id) AS length
+    FROM said
+    UNION ALL
+    SELECT conv_id, 0, 0, '', coalesce((SELECT max(depth) FROM said WHERE said.conv_id = ids.conv_id), 0) FROM ids
+), nodes AS (
+    SELECT node, any_value(depth) AS depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+    FROM paths GROUP BY node
+), links AS (
+    SELECT n.*, u.node AS above, u.conv_id AS parent_conv_id
+    FROM nodes n LEFT JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes u ON u.node = p.node
+), counted AS (
+    SELECT l.*, coalesce(c.n, 0) AS n_children FROM links l
+    LEFT JOIN (SELECT above, count(*) AS n FROM links WHERE above IS NOT NULL GROUP BY above) c ON c.above = l.node
+), sums AS (
+    SELECT p.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * c.bytes)::BIGINT AS saved_tokens
+    FROM counted c JOIN paths p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY p.node
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM counted JOIN sums USING (node)
+"""

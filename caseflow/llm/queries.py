@@ -19,7 +19,9 @@ from caseflow.llm import (
     paragraph_dedup,
     pii,
     quality,
+    repair,
     suffix_dedup,
+    trie,
 )
 from caseflow.llm.shared import ship
 
@@ -98,6 +100,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_repair")
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark, repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 @query("op12_bpe")
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Needs the public vocabulary files, which only the driver reads."""
@@ -110,3 +117,8 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_prefix_trie")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark, table(spark, sf_dir, "conversations"))

@@ -36,7 +36,8 @@ SEAM = regex.compile(r"(?<=\S) ")
 STRETCH = 1 << 20
 NEVER = 1 << 30
 # Pieces and pairs that a task remembers; beyond that it forgets all and goes on.
-MEMO = 1 << 18
+MEMO = 1 << 19
+LONG_PIECE = 64
 
 
 def stand_ins() -> dict[str, int]:
@@ -168,48 +169,52 @@ class Vocabulary:
         a, b, _ = self.halves[token]
         return self.meets(a, b) == [(a, b)] and self.reachable(a) and self.reachable(b)
 
-    def merge(self, raw: bytes) -> tuple[int, ...]:
-        """The ids of one piece."""
+    def merge(self, raws: list[bytes]) -> Iterator[tuple[int, ...]]:
+        """The ids of each piece. Pieces in byte order share the work on what they begin with alike."""
         goto, link, length, token, above = self.parts.values()
-        pairs, last = self.pairs, [-1] * (len(raw) + 1)
+        pairs, texts = self.pairs, self.texts
         if len(pairs) >= MEMO:
             pairs.clear()
-        state = size = 0
-        for end, byte in enumerate(raw, 1):
-            to = goto.get(state << 8 | byte)
-            while to is None:
-                state = link[state]
-                size = length[state]
-                to = goto.get(state << 8 | byte)
-            state, size = to, size + 1
-            found = state if size == length[state] and token[state] >= 0 else above[state]
-            while True:
-                before, here = end - length[found], token[found]
-                if not before:
+        previous, last, states, sizes = b"", [-1], [0], [0]
+        for raw in raws:
+            alike = 0
+            for alike, (a, b) in enumerate(zip(raw, previous)):
+                if a != b:
                     break
-                pair = last[before] << 32 | here
-                apart = pairs.get(pair)
-                if apart is None:
-                    apart = pairs[pair] = not self.meets(last[before], here)
-                if apart:
-                    break
-                found = above[found]
-            last[end] = here
-        ids, end = [], len(raw)
-        while end:
-            ids.append(last[end])
-            end -= len(self.texts[last[end]])
-        return tuple(reversed(ids))
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        known = self.pieces.get(text)
-        if known is None:
-            known = self.merge(text.encode())
-            if len(self.pieces) >= MEMO:
-                self.pieces.clear()
-            if len(text) < 64:
-                self.pieces[text] = known
-        return known
+            else:
+                alike = min(len(raw), len(previous))
+            previous = raw
+            del last[alike + 1 :], states[alike + 1 :], sizes[alike + 1 :]
+            state, size = states[alike], sizes[alike]
+            for end in range(alike + 1, len(raw) + 1):
+                step = raw[end - 1]
+                to = goto.get(state << 8 | step)
+                while to is None:
+                    state = link[state]
+                    size = length[state]
+                    to = goto.get(state << 8 | step)
+                state, size = to, size + 1
+                found = state if size == length[state] and token[state] >= 0 else above[state]
+                while True:
+                    before, here = end - length[found], token[found]
+                    if not before:
+                        break
+                    pair = last[before] << 32 | here
+                    apart = pairs.get(pair)
+                    if apart is None:
+                        apart = pairs[pair] = not self.meets(last[before], here)
+                    if apart:
+                        break
+                    found = above[found]
+                last.append(here)
+                states.append(state)
+                sizes.append(size)
+            ids, end = [], len(raw)
+            while end:
+                ids.append(last[end])
+                end -= len(texts[last[end]])
+            ids.reverse()
+            yield tuple(ids)
 
     def stretches(self, text: str) -> Iterator[tuple[str, int]]:
         """The text in order, as ordinary stretches (number -1) and added tokens."""
@@ -230,12 +235,46 @@ class Vocabulary:
                 yield part[begin:end], -1
                 begin = end
 
+    def _flat(self, group: list[list[str]]) -> list[np.ndarray]:
+        known = self.pieces
+        if len(known) >= MEMO:
+            known.clear()
+        unseen = sorted(p.encode() for p in set().union(*group).difference(known))
+        fresh = {raw.decode(): ids for raw, ids in zip(unseen, self.merge(unseen))}
+        known.update(fresh)
+        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32) for pieces in group]
+        for piece in fresh:
+            if len(piece) > LONG_PIECE:
+                del known[piece]
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Work is done in groups of about a stretch, or one where it is longer."""
+        out, group, owners, held = [[] for _ in texts], [], [], 0
+
+        def flush() -> None:
+            for owner, ids in zip(owners, self._flat(group)):
+                out[owner].append(ids)
+            group.clear()
+            owners.clear()
+
+        for owner, text in enumerate(texts):
+            for part, number in self.stretches(text):
+                if number >= 0:
+                    flush()
+                    out[owner].append(np.array([number], np.int32))
+                    continue
+                group.append(PIECES.findall(part))
+                owners.append(owner)
+                held += len(part)
+                if held >= STRETCH:
+                    flush()
+                    held = 0
+        flush()
+        return [np.concatenate([*x, np.empty(0, np.int32)]) for x in out]
+
     def encode(self, text: str) -> np.ndarray:
-        out = []
-        for part, number in self.stretches(text):
-            ids = (number,) if number >= 0 else chain.from_iterable(map(self.piece, PIECES.findall(part)))
-            out.append(np.fromiter(ids, np.int32))
-        return np.concatenate(out) if out else np.empty(0, np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters, unknown ids nothing."""
@@ -274,7 +313,7 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str, *, decode: bool = F
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for row in range(0, len(texts), 512):
-                ids = [own.encode(t.as_py()) for t in texts[row : row + 512]]
+                ids = own.encode_all(texts[row : row + 512].to_pylist())
                 columns = {"doc_id": batch.column("doc_id")[row : row + 512], "ids": _ids_column(ids)}
                 if decode:
                     columns["decoded"] = pa.array([own.decode(x.tolist()) for x in ids], pa.string())

@@ -692,6 +692,26 @@ ORACLES |= {
     "stream_rejects": f"""
 WITH {_NOTIFICATIONS} SELECT doc_id, delivery, reject_reason FROM decoded WHERE reject_reason IS NOT NULL""",
 }
+
+
+def _rejects(columns: str, where: str = "true") -> str:
+    """Every tenth event comes without a time, every seventh again when its time is over."""
+    return f"""
+SELECT {columns}, 'no time' AS reason FROM events WHERE event_id % 10 = 0 AND {where}
+UNION ALL
+SELECT {columns}, 'late' FROM events WHERE event_id % 7 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND {where}"""
+
+
+ORACLES |= {
+    "stream_velocity_faults": ORACLES["velocity_alerts"],
+    "stream_velocity_rejects": _rejects("event_id AS signal_id, user_id AS customer_id"),
+    "stream_step_up_rejects": _rejects(
+        "CASE event_type WHEN 'signup' THEN 'challenge' ELSE 'reply' END AS kind, event_id", "event_type IN ('signup', 'click')"
+    ),
+    "stream_span_rejects": _rejects(
+        f"event_id AS span_id, user_id AS session_id, 'tool_' || CAST({_K} % 5 AS VARCHAR) AS name", "event_type IN ('click', 'view')"
+    ),
+}
 ORACLES |= {
     f"{name}_pieces": ORACLES[name]
     for name in ("stream_velocity", "stream_step_up", "stream_span_pairs", "stream_usage", "stream_ingest")

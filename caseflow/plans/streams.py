@@ -11,6 +11,7 @@ from caseflow.plans import mapping
 from caseflow.plans.batch import Query
 from caseflow.session import work_dir
 from caseflow.streaming import jobs, tables
+from caseflow.streaming.nearest import DAY_US
 
 PAIR_TIMEOUT_MINUTES = 2 * 24 * 60
 SESSION_GAP_MINUTES = 60
@@ -23,16 +24,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIECES = 3
 
 
-def in_pieces(spark: SparkSession, df: DataFrame, order: Column) -> DataFrame:
-    """A table as a stream that arrives in several micro-batches, in the given order."""
+def in_pieces(spark: SparkSession, df: DataFrame, order: Column, last: DataFrame | None = None) -> DataFrame:
+    """A table as a stream that arrives in several micro-batches, in the given order, then the ``last`` rows.
+
+    Rows without an order come with the first.
+    """
     folder = work_dir(spark, "pieces")
     cuts = df.agg(F.percentile_approx(order, [i / PIECES for i in range(1, PIECES)], 10_000)).first()[0] or []
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
         piece = df if low is None else df.filter(order > low)
-        piece = piece if high is None else piece.filter(order <= high)
+        piece = piece if high is None else piece.filter((order <= high) if low is not None else (order <= high) | order.isNull())
         # one write after the other, so that files are taken up in this order
         piece.repartition(2).write.mode("append").parquet(folder)
+    if last is not None:
+        last.repartition(2).write.mode("append").parquet(folder)
     return tables.stream_files(spark, folder, max_files=2)
 
 
@@ -40,6 +46,43 @@ def events_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_pieces(spark, mapping.table(spark, sf_dir, "events"), micros(F.col("ts")))
 
 
+def with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in pieces; every tenth comes once more without its time, and every seventh again days later."""
+    events = mapping.table(spark, sf_dir, "events")
+    us = micros(F.col("ts"))
+    newest = events.agg(F.max(us)).first()[0]
+    timeless = events.where("event_id % 10 = 0").withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType))
+    again = events.where("event_id % 7 = 0").where(us < F.lit(newest) - DAY_US)
+    return in_pieces(spark, events.unionByName(timeless), us, again)
+
+
+def stream_velocity_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes late or without a time changes no alert."""
+    signals = mapping.signals_from(with_faults(spark, sf_dir))
+    return jobs.stream_velocity(spark, signals, mapping.locations(spark, sf_dir), work_dir(spark, "velocity"))
+
+
+def stream_velocity_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = mapping.signals_from(with_faults(spark, sf_dir))
+    path = work_dir(spark, "velocity")
+    jobs.stream_velocity(spark, signals, mapping.locations(spark, sf_dir), path)
+    return jobs.rejected_signals(spark, signals, path).select("signal_id", "customer_id", "reason")
+
+
+def stream_step_up_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, path = with_faults(spark, sf_dir), work_dir(spark, "step-up")
+    challenges, replies = mapping.challenges_from(source), mapping.replies_from(source)
+    jobs.stream_step_up(spark, challenges, replies, path)
+    kind = F.when(F.col("_kind") == 1, "challenge").otherwise("reply")
+    return jobs.rejected_answers(spark, challenges, replies, path).select(kind.alias("kind"), F.col("_id").alias("event_id"), "reason")
+
+
+def stream_span_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, path = mapping.spans_from(with_faults(spark, sf_dir)), work_dir(spark, "span-pairs")
+    jobs.stream_span_pairs(spark, source, path, PAIR_TIMEOUT_MINUTES)
+    return jobs.rejected_spans(spark, source, path).select("span_id", "session_id", "name", "reason")
+
+
 def stream_velocity_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = mapping.signals_from(events_in_pieces(spark, sf_dir))
     return jobs.stream_velocity(spark, signals, mapping.locations(spark, sf_dir), work_dir(spark, "velocity"))
@@ -161,6 +204,10 @@ QUERIES: dict[str, Query] = {
         stream_compaction,
         stream_ingest,
         stream_rejects,
+        stream_velocity_faults,
+        stream_velocity_rejects,
+        stream_step_up_rejects,
+        stream_span_rejects,
         stream_velocity_pieces,
         stream_step_up_pieces,
         stream_span_pairs_pieces,

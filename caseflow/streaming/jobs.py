@@ -12,15 +12,20 @@ from caseflow.functions import fixed_values as fixed
 from caseflow.operators import correlate, memory, spans, usage
 from caseflow.operators.ordered import HOT_ROWS, micros
 from caseflow.sources import notifications
-from caseflow.streaming import neighbours, tables
-from caseflow.streaming.neighbours import MINUTE_US, Spec
+from caseflow.streaming import nearest, tables
+from caseflow.streaming.nearest import DAY_US, MINUTE_US, Spec
 
 DELAY_MINUTES = 60.0
+SLOT_US = 32 * DAY_US
 
 
 # --- impossible travel ------------------------------------------------------------------------
 
 
+def velocity_rows(signals: DataFrame) -> DataFrame:
+    return signals.select("customer_id", "signal_id", "location_id", micros(F.col("ts")).alias("_us"))
+
+
 def stream_velocity(
     spark: SparkSession,
     signals: DataFrame,
@@ -29,25 +34,38 @@ def stream_velocity(
     max_minutes: float = correlate.VELOCITY_MINUTES,
     min_mph: float = correlate.VELOCITY_MPH,
     delay_minutes: float = DELAY_MINUTES,
+    slot_us: int = SLOT_US,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Velocity alerts, with each customer's last place carried from batch to batch.
+    """Velocity alerts, with each customer's last place kept in the state.
 
-    A place is forgotten when no speed could make an alert of it any more.
+    A place is forgotten when no speed could make an alert of it any more. Signals that come behind the
+    watermark, or have no time, are in ``rejected_signals``.
     """
-    rows = signals.select("customer_id", "signal_id", "ts", "location_id", micros(F.col("ts")).alias("_us"))
     spec = Spec(
         ("customer_id",),
         ("_us", "signal_id"),
-        correlate.previous_signal(),
-        lookback_us=correlate.velocity_horizon_us(max_minutes, min_mph),
+        asks=F.lit(True),
+        before=F.lit(True),
+        after=F.lit(False),
+        reach_before_us=correlate.velocity_horizon_us(max_minutes, min_mph),
         delay_us=int(delay_minutes * MINUTE_US),
-        hot_rows=hot_rows,
+        slot_us=slot_us,
     )
-    moves = correlate.as_transitions(neighbours.run(spark, rows, path, spec))
+    rows = nearest.run(spark, velocity_rows(signals), path, spec, hot_rows)
+    moves = correlate.as_transitions(rows.withColumn("ts", _time(signals.schema["ts"].dataType)))
     return correlate.velocity_from_transitions(moves, locations, max_minutes, min_mph)
 
 
+def rejected_signals(spark: SparkSession, signals: DataFrame, path: str) -> DataFrame:
+    """The signals ``stream_velocity`` could not place, with the reason."""
+    return nearest.rejected(spark, path, nearest.shape(velocity_rows(signals)))
+
+
+def _time(kind: T.DataType) -> Column:
+    return F.timestamp_micros("_us").cast(kind)
+
+
 # --- challenge and reply ----------------------------------------------------------------------
 
 
@@ -58,22 +76,31 @@ def stream_step_up(
     path: str,
     within_minutes: float = correlate.REPLY_WITHIN_MINUTES,
     delay_minutes: float = DELAY_MINUTES,
+    slot_us: int = SLOT_US,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """First reply to each challenge; a challenge waits no longer than the reply may take.
+    """First reply to each challenge; a timer gives up when the reply may come no more.
 
     Only the nearest reply is looked for, so many replies to many challenges make no pairs.
     """
+    rows = correlate.challenge_rows(challenges, replies)
     spec = Spec(
         ("customer_id",),
         ("_us", "_kind", "_id"),
-        correlate.next_reply(),
-        lookahead_us=int(within_minutes * MINUTE_US),
+        asks=F.col("_kind") == 1,
+        before=F.lit(False),
+        after=F.col("_kind") == 0,
+        reach_after_us=int(within_minutes * MINUTE_US),
         delay_us=int(delay_minutes * MINUTE_US),
-        hot_rows=hot_rows,
+        slot_us=slot_us,
     )
-    rows = neighbours.run(spark, correlate.challenge_rows(challenges, replies), path, spec)
-    return correlate.judge_reply(rows, within_minutes)
+    found = nearest.run(spark, rows.drop("ts"), path, spec, hot_rows).withColumnRenamed("_next", "_reply")
+    return correlate.judge_reply(found.withColumn("ts", _time(rows.schema["ts"].dataType)), within_minutes)
+
+
+def rejected_answers(spark: SparkSession, challenges: DataFrame, replies: DataFrame, path: str) -> DataFrame:
+    """The challenges (``_kind`` 1) and replies (0) ``stream_step_up`` could not place, with the reason."""
+    return nearest.rejected(spark, path, nearest.shape(correlate.challenge_rows(challenges, replies).drop("ts")))
 
 
 # --- span pairs -------------------------------------------------------------------------------
@@ -85,21 +112,29 @@ def stream_span_pairs(
     path: str,
     timeout_minutes: float,
     delay_minutes: float = DELAY_MINUTES,
+    slot_us: int = SLOT_US,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Start and completion pairs; a start gives up after the timeout."""
+    """Start and completion pairs; a start that nothing follows is answered by its timer."""
     timeout_us = int(timeout_minutes * MINUTE_US)
     spec = Spec(
         ("session_id", "name"),
         ("_us", "span_id"),
-        spans.both_neighbours(),
-        lookback_us=timeout_us,
-        lookahead_us=timeout_us,
+        asks=F.lit(True),
+        before=F.lit(True),
+        after=F.lit(True),
+        reach_before_us=timeout_us,
+        reach_after_us=timeout_us,
         delay_us=int(delay_minutes * MINUTE_US),
-        hot_rows=hot_rows,
+        slot_us=slot_us,
     )
-    rows = neighbours.run(spark, spans.pair_rows(all_spans), path, spec)
-    return spans.judge_pairs(rows, timeout_minutes)
+    rows = nearest.run(spark, spans.pair_rows(all_spans), path, spec, hot_rows)
+    return spans.judge_pairs(rows.withColumnRenamed("_next", "_next_span"), timeout_minutes)
+
+
+def rejected_spans(spark: SparkSession, all_spans: DataFrame, path: str) -> DataFrame:
+    """The spans ``stream_span_pairs`` could not place, with the reason."""
+    return nearest.rejected(spark, path, nearest.shape(spans.pair_rows(all_spans)))
 
 
 # --- usage per window -------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caseflow.operators import correlate, memory, spans, usage
 from caseflow.plans import mapping
 from caseflow.sources import notifications
-from caseflow.streaming import jobs, neighbours, tables
+from caseflow.streaming import jobs, tables
 from tests.conftest import SMALL
 
 HOUR = 3_600_000_000
@@ -58,42 +58,94 @@ def same(got, want):
     assert a
 
 
+SLOT = 3 * 24 * HOUR
+
+
 def test_velocity(spark, tmp_path, pieces):
     places = mapping.locations(spark, SMALL)
     got = in_two_runs(
         spark, tmp_path, pieces,
-        lambda s, path: jobs.stream_velocity(spark, mapping.signals_from(s), places, path, delay_minutes=720, hot_rows=20),
+        lambda s, path: jobs.stream_velocity(
+            spark, mapping.signals_from(s), places, path, delay_minutes=720, slot_us=SLOT, hot_rows=20),
     )
     same(got, correlate.velocity_alerts(mapping.signals(spark, SMALL), places))
-    # Rows are settled as time passes, each exactly once, and only the rest is carried.
+    # Rows are answered as time passes, each exactly once; only the last ones wait in the state.
     versions = spark.read.parquet(f"{tmp_path}/out/rows")
-    settled = versions.filter("is_settled and not is_done")
-    assert settled.count() == settled.select("signal_id").distinct().count() > 800
-    assert neighbours.late_rows(spark, f"{tmp_path}/out").count() == 0
-    last = versions.filter("batch_id = 5")
-    assert last.filter("is_carried").count() < 0.2 * 1000
+    assert versions.filter("kind <> 'answer'").count() == 0
+    assert versions.count() == versions.select("body").distinct().count() > 800
+    assert versions.select("batch_id").distinct().count() > 3
 
 
-def test_rows_later_than_the_delay_are_set_aside(spark, tmp_path, pieces):
-    """Nothing is lost: a row is answered or listed as late."""
+def test_rows_later_than_the_delay_are_listed(spark, tmp_path, pieces):
+    """Nothing is lost: a row is answered, waits, or is listed as late."""
     places = mapping.locations(spark, SMALL)
+    signals = mapping.signals(spark, SMALL)
     in_two_runs(
         spark, tmp_path, pieces,
         lambda s, path: jobs.stream_velocity(spark, mapping.signals_from(s), places, path, delay_minutes=1),
     )
-    versions = spark.read.parquet(f"{tmp_path}/out/rows").filter("not is_done")
-    late = neighbours.late_rows(spark, f"{tmp_path}/out")
-    assert late.count() > 0
-    assert versions.select("signal_id").distinct().count() == 1000
-    answered = versions.filter("not is_late").select("signal_id").distinct()
-    assert answered.join(late, "signal_id").count() == 0
+    late = jobs.rejected_signals(spark, signals, f"{tmp_path}/out")
+    assert {r.reason for r in late.collect()} == {"late"}
+    taken = spark.read.parquet(f"{tmp_path}/out/rows").filter("kind = 'answer'")
+    taken = taken.select(F.get_json_object("body", "$.signal_id").cast("long").alias("signal_id"))
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/out/checkpoint").option("stateVarName", "waiting").load()
+    waits = state.select(F.get_json_object("list_element.body", "$.signal_id").cast("long").alias("signal_id"))
+    everything = late.select("signal_id").unionByName(taken).unionByName(waits)
+    assert everything.count() == everything.distinct().count() == 1000
+
+
+def test_what_is_not_late_is_answered_as_if_the_late_rows_never_came(spark, tmp_path, pieces):
+    places = mapping.locations(spark, SMALL)
+    got = in_two_runs(
+        spark, tmp_path, pieces,
+        lambda s, path: jobs.stream_velocity(spark, mapping.signals_from(s), places, path, delay_minutes=1),
+    )
+    signals = mapping.signals(spark, SMALL)
+    late = jobs.rejected_signals(spark, signals, f"{tmp_path}/out").select("signal_id")
+    same(got, correlate.velocity_alerts(signals.join(late, "signal_id", "left_anti"), places))
+
+
+def test_rows_without_a_time_are_listed_in_every_batch(spark, tmp_path, pieces):
+    """Two batches with such rows, some of them alike."""
+    source = tmp_path / "source"
+    source.mkdir()
+    timeless = []
+    for part in pieces[:3]:
+        own = part.slice(0, 4).set_column(1, "ts", pa.nulls(4, part.schema.field("ts").type))
+        timeless += own.column("event_id").to_pylist() * 2
+        pq.write_table(pa.concat_tables([part, own, own]), source / f"{len(timeless):03d}.parquet")
+    places = mapping.locations(spark, SMALL)
+    signals = mapping.signals_from(tables.stream_files(spark, str(source), max_files=1))
+    got = jobs.stream_velocity(spark, signals, places, str(tmp_path / "out"), delay_minutes=720)
+    want = spark.read.parquet(str(source)).where("ts is not null")
+    same(got, correlate.velocity_alerts(mapping.signals_from(want), places))
+    lost = jobs.rejected_signals(spark, signals, str(tmp_path / "out")).collect()
+    assert sorted(r.signal_id for r in lost) == sorted(timeless)
+    assert {r.reason for r in lost} == {"no time"}
+
+
+def test_missing_and_equal_keys_and_times(spark, tmp_path):
+    """A key without a value is a key; equal times go by id, ids beyond a double's digits included."""
+    big = 2**53
+    rows = [(big + i, pa_time, None if i % 3 == 0 else i % 2, "click", 1.0, f'{{"k": {i % 7}}}') for i, pa_time in enumerate([5, 5, 5, 9, 9, 1, 1, 70, 70, 70, 71, 71] * 3)]
+    table = pa.table({
+        "event_id": pa.array([r[0] for r in rows]), "ts": pa.array([r[1] * 60_000_000 for r in rows], pa.timestamp("us")),
+        "user_id": pa.array([r[2] for r in rows], pa.int64()), "event_type": [r[3] for r in rows], "value": [r[4] for r in rows], "props": [r[5] for r in rows],
+    })
+    source = tmp_path / "source"
+    source.mkdir()
+    pq.write_table(table, source / "0.parquet")
+    places = mapping.locations(spark, SMALL)
+    got = jobs.stream_velocity(
+        spark, mapping.signals_from(tables.stream_files(spark, str(source))), places, str(tmp_path / "out"), 1.0, 500.0, delay_minutes=0, slot_us=1)
+    same(got, correlate.velocity_alerts(mapping.signals_from(spark.read.parquet(str(source))), places, 1.0, 500.0))
 
 
 def test_step_up(spark, tmp_path, pieces):
     got = in_two_runs(
         spark, tmp_path, pieces,
         lambda s, path: jobs.stream_step_up(
-            spark, mapping.challenges_from(s), mapping.replies_from(s), path, 300, delay_minutes=720, hot_rows=20),
+            spark, mapping.challenges_from(s), mapping.replies_from(s), path, 300, delay_minutes=720, slot_us=SLOT, hot_rows=20),
     )
     same(got, correlate.step_up_audit(mapping.challenges(spark, SMALL), mapping.replies(spark, SMALL), 300))
 
@@ -101,11 +153,40 @@ def test_step_up(spark, tmp_path, pieces):
 def test_span_pairs(spark, tmp_path, pieces):
     got = in_two_runs(
         spark, tmp_path, pieces,
-        lambda s, path: jobs.stream_span_pairs(spark, mapping.spans_from(s), path, 3000, delay_minutes=720, hot_rows=20),
+        lambda s, path: jobs.stream_span_pairs(spark, mapping.spans_from(s), path, 3000, delay_minutes=720, slot_us=SLOT, hot_rows=20),
     )
     same(got, spans.span_pairs(mapping.spans(spark, SMALL), 3000))
 
 
+def test_an_open_start_is_answered_once_by_its_timer(spark, tmp_path):
+    """No completion comes; the answer is there when the watermark passes the timeout, and not again."""
+    source = tmp_path / "source"
+    source.mkdir()
+    minute = 60_000_000
+
+    def batch(name, rows):
+        columns = list(zip(*rows))
+        pq.write_table(pa.table({
+            "span_id": pa.array(columns[0]), "session_id": pa.array([1] * len(rows)), "span_type": list(columns[1]), "name": list(columns[2]),
+            "ts": pa.array([t * minute for t in columns[3]], pa.timestamp("us")),
+        }), source / f"{name}.parquet")
+
+    def answers():
+        jobs.stream_span_pairs(spark, tables.stream_files(spark, str(source), max_files=1), str(tmp_path / "out"), 10, delay_minutes=0)
+        rows = spark.read.parquet(f"{tmp_path}/out/rows").collect()
+        return [(r.batch_id, r.next) for r in rows if '"span_id":1,' in r.body]
+
+    batch("0", [(1, "START", "a", 100), (2, "START", "b", 105)])
+    assert answers() == []
+    batch("1", [(3, "START", "c", 109)])
+    assert answers() == []
+    batch("2", [(4, "COMPLETE", "c", 111)])
+    first = answers()
+    assert [x[1] for x in first] == [None]
+    batch("3", [(5, "COMPLETE", "a", 300)])
+    assert answers() == first
+
+
 @pytest.mark.parametrize("width, slide", [("1 day", None), ("6 hours", "2 hours")])
 def test_usage_windows(spark, tmp_path, pieces, width, slide):
     got = in_two_runs(

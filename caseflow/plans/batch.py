@@ -12,6 +12,7 @@ from caseflow.functions import rules, text
 from caseflow.functions.redact import redact_columns
 from caseflow.operators import correlate, lookup, memory, resolve, scoring, spans, usage, validate
 from caseflow.plans import mapping
+from caseflow.session import work_dir
 from caseflow.sources import notifications, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,6 +361,30 @@ def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notifications.metadata_rows(contents, mapping.TAG_WORDS, F.lit(mapping.NOW))
 
 
+def appended_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata appended in two batches, the first of them twice, as after a failure, and read back."""
+    rows = stored_copy(metadata_rows(spark, sf_dir), "metadata")
+    path = work_dir(spark, "metadata-table")
+    even = F.pmod(F.crc32("filename"), F.lit(2)) == 0
+    for name, part in (("0", even), ("0", even), ("1", ~even)):
+        notifications.append_metadata(rows.where(part), path, name)
+    return notifications.read_metadata(spark, path).drop("batch")
+
+
+def stored_copy(df: DataFrame, name: str) -> DataFrame:
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def eval_set_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation sets written as files, read back and scored."""
+    sets, outputs = mapping.eval_set_records(spark, sf_dir)
+    path = work_dir(spark, "eval-sets")
+    records.write_eval_sets(sets, path)
+    return scoring.eval_scoring(records.scoring_cases(records.read_eval_sets(spark, path)), outputs)
+
+
 def explode_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = mapping.nested_records(spark, sf_dir)
     listed = records.explode_records(nested, "records", ["event_id"])
@@ -414,6 +439,8 @@ QUERIES: dict[str, Query] = {
         span_pairs,
         score_rollup,
         eval_scoring,
+        eval_set_files,
+        appended_metadata,
         leak_audit,
         risk_summary,
         file_disputes,

@@ -590,4 +590,27 @@ def eval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return cases, outputs
 
 
+CASES_PER_SET = 10
+
+
+def eval_set_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cases of ``eval_inputs`` as the nested records of evaluation-set files, ten to a set, and the outputs."""
+    cases, outputs = eval_inputs(spark, sf_dir)
+    number = F.floor(F.col("eval_id") / CASES_PER_SET).cast("string")
+    case = F.struct(
+        F.col("eval_id").cast("string").alias("eval_id"),
+        "weight_points",
+        "expected_terms",
+        F.col("forbidden_terms").alias("forbidden_questions"),
+        "required_patterns",
+        "forbidden_patterns",
+        F.col("expected_prefix").alias("expected_trace_prefix"),
+        F.col("minimum").alias("minimum_token_reduction_pct"),
+        F.col("maximum").alias("max_acceptable_latency_ms"),
+        F.col("expected_members").alias("expected_channels"),
+    )
+    sets = cases.groupBy(F.concat(F.lit("set-"), number).alias("eval_set_id")).agg(F.collect_list(case).alias("eval_cases"))
+    return sets, outputs.withColumn("eval_id", F.col("eval_id").cast("string"))
+
+
 LEAK_PATTERNS = {"card_number": CARD_NUMBER, "identity_number": IDENTITY_NUMBER}

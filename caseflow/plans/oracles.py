@@ -677,6 +677,13 @@ SELECT 'compact-' || sha256(CAST(customer_id AS VARCHAR)) AS fragment_id, custom
 FROM ({ORACLES["compact_memory"]}) AS t WHERE status = 'COMPACTED'""",
 }
 
+ORACLES |= {
+    "appended_metadata": ORACLES["metadata_rows"],
+    "eval_set_files": f"""
+SELECT 'set-' || (eval_id // 10) AS eval_set_id, CAST(eval_id AS VARCHAR) AS eval_id, outputs, passed, points_possible, points
+FROM ({ORACLES["eval_scoring"]}) AS t""",
+}
+
 # A streaming query answers what its batch form answers.
 ORACLES |= {
     "stream_velocity": ORACLES["velocity_alerts"],

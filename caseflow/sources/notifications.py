@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.functions import fixed_values as fixed
@@ -37,7 +37,7 @@ def decoded(df: DataFrame, raw: str = "raw") -> DataFrame:
     staged = (
         df.withColumn("_envelope", F.from_json(text, ENVELOPE, _JSON))
         .withColumn("_message", F.from_json(F.col("_envelope.message"), MESSAGE, _JSON))
-        .withColumn("_has_data", F.map_contains_key(F.from_json(F.col("_envelope.message"), "MAP<STRING, STRING>"), "data"))
+        .withColumn("_has_data", F.array_contains(F.json_object_keys("_envelope.message"), "data"))
         .withColumn(
             "_json",
             F.try_validate_utf8(F.try_to_binary(F.col("_message.data"), F.lit("base64")).cast("string")),
@@ -54,8 +54,7 @@ def decoded(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(_absent(F.col("_json")) | F.col("_object._corrupt").isNotNull(), "DECODE_FAILED")
         .when(_absent(F.col("_object.bucket")) | _absent(F.col("_object.name")), "MISSING_OBJECT")
     )
-    return staged.select(
-        *df.columns,
+    fields = F.struct(
         F.col("_message.messageId").alias("message_id"),
         F.col("_message.publishTime").alias("publish_time"),
         F.col("_object.bucket").alias("bucket"),
@@ -64,6 +63,8 @@ def decoded(df: DataFrame, raw: str = "raw") -> DataFrame:
         F.col("_object.generation").alias("generation"),
         reason.alias("reject_reason"),
     )
+    # As a generated row: a filter on a field would otherwise repeat the whole chain that makes it.
+    return staged.select(*df.columns, F.inline(F.array(fields)))
 
 
 def decode_notifications(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
@@ -91,8 +92,15 @@ def attach_content(notifications: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def one_per_object(notifications: DataFrame) -> DataFrame:
-    """Drop redelivered notifications of the same object version."""
-    return notifications.dropDuplicates(KEY)
+    """Drop redelivered notifications of the same object version; of several, the earliest stays.
+
+    Earliest by publishing time, then by message and creation time, absent ones first, so a rerun keeps the same.
+    """
+    rest = [c for c in notifications.columns if c not in KEY]
+    first = notifications.groupBy(*KEY).agg(
+        F.min_by(F.struct(*rest), F.struct("publish_time", "message_id", "time_created")).alias("_first")
+    )
+    return first.select(*[F.col(c) if c in KEY else F.col(f"_first.{c}").alias(c) for c in notifications.columns])
 
 
 def metadata_rows(
@@ -107,6 +115,16 @@ def metadata_rows(
     return tagged.select(F.col("name").alias("filename"), created.alias("date"), "tags", "word_count")
 
 
-def append_metadata(rows: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append metadata rows to a table of files: ``json`` for lines, ``parquet`` for a warehouse."""
-    rows.write.mode("append").format(fmt).save(path)
+def append_metadata(rows: DataFrame, path: str, batch: str, fmt: str = "json") -> None:
+    """Append one batch of metadata rows to a table of files: ``json`` for lines, ``parquet`` for a warehouse.
+
+    The batch's name is a partition of the table, and only that partition is written: a batch that is
+    tried again replaces what the failed attempt left and doubles nothing.
+    """
+    named = rows.withColumn("batch", F.lit(batch))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").format(fmt).save(path)
+
+
+def read_metadata(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """The appended rows, each with its ``batch``."""
+    return spark.read.schema(f"{METADATA_SCHEMA}, batch STRING").format(fmt).load(path)

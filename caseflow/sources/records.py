@@ -38,6 +38,11 @@ def read_eval_sets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL_SET).option("multiLine", True).json(path)
 
 
+def write_eval_sets(sets: DataFrame, path: str) -> None:
+    """One file for each set, as ``read_eval_sets`` reads them. Fields a case does not have are left out."""
+    sets.repartition("eval_set_id").withColumn("set", F.col("eval_set_id")).write.partitionBy("set").json(path)
+
+
 def eval_cases(sets: DataFrame) -> DataFrame:
     """One row per case, with its set."""
     return sets.select(

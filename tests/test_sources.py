@@ -70,10 +70,24 @@ def test_content_and_metadata(spark, tmp_path):
     want = [("a/b.txt", "2026-06-28T16:00:00.000Z", "invoice, urgent", 3), ("x", "NOW", "document", 3)]
     assert sorted(tuple(r) for r in rows.collect()) == want
     for fmt in ("json", "parquet"):
-        for _ in range(2):
-            notifications.append_metadata(rows, str(tmp_path / fmt), fmt)
-        back = spark.read.schema(notifications.METADATA_SCHEMA).format(fmt).load(str(tmp_path / fmt))
-        assert sorted(tuple(r) for r in back.collect()) == sorted(want * 2)
+        for batch in ("7", "8", "7"):  # the first batch is tried again
+            notifications.append_metadata(rows, str(tmp_path / fmt), batch, fmt)
+        back = notifications.read_metadata(spark, str(tmp_path / fmt), fmt)
+        assert sorted(tuple(r) for r in back.collect()) == sorted((*w, batch) for w in want for batch in "78")
+
+
+def test_a_filter_does_not_decode_again(spark):
+    usable, _ = notifications.decode_notifications(raw_rows(spark, [n for n, _ in NOTIFICATIONS]))
+    plan = notifications.one_per_object(usable)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 3
+
+
+def test_the_earliest_redelivery_stays(spark):
+    rows = [("b", "n", "1", t, m, c, i) for i, (t, m, c) in enumerate([("2", "a", "x"), ("1", "b", "y"), ("1", "a", "z"), ("3", None, None)])]
+    rows += [("b", "n", None, None, None, None, 9), ("b", "n", None, "0", None, None, 8)]
+    df = spark.createDataFrame(rows, "bucket string, name string, generation string, publish_time string, message_id string, time_created string, i int")
+    for parts in (1, 3):
+        assert sorted(r.i for r in notifications.one_per_object(df.repartition(parts)).collect()) == [2, 9]
 
 
 def test_explode_keeps_rows_without_records(spark):

@@ -119,10 +119,22 @@ WITH texts AS (
     UNION ALL SELECT r, max(e), (SELECT n FROM texts t WHERE t.r = spans.r) FROM spans GROUP BY r
 ), kept AS (
     SELECT r, sha256(unhex(string_agg(hex(raw[a + 1:e]), '' ORDER BY a))) AS h FROM gaps JOIN texts USING (r) WHERE e > a GROUP BY r
+), spoken AS (
+    SELECT row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), runs AS (
+    SELECT r, k, md5(array_to_string(w[k:k + 50], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 49)) AS k FROM spoken)
+), said AS (
+    SELECT r, k FROM runs WHERE h IN (SELECT h FROM runs GROUP BY h HAVING count(DISTINCT r) > 1)
+), marks AS (
+    SELECT r, k, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + 51 THEN 0 ELSE 1 END AS fresh FROM said
+), parts AS (
+    SELECT r, max(k) + 51 - min(k) AS n FROM (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS g FROM marks) GROUP BY r, g
+), talk AS (SELECT r, sum(n)::BIGINT AS n_repeated_words, count(*) AS n_repeated_runs FROM parts GROUP BY r
 )
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-    CASE WHEN n_removed = n THEN sha256('') WHEN n_removed > 0 THEN h ELSE sha256(raw) END AS kept_sha256
-FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+    CASE WHEN n_removed = n THEN sha256('') WHEN n_removed > 0 THEN h ELSE sha256(raw) END AS kept_sha256,
+    coalesce(n_repeated_words, 0) AS n_repeated_words, coalesce(n_repeated_runs, 0) AS n_repeated_runs, n_repeated_words IS NOT NULL AS repeats
+FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r) LEFT JOIN talk USING (r)
 """
 
 

@@ -124,3 +124,20 @@ def leaks(docs, items, width=5, percent=80):
             if i is not None and g and len(g & own) * 100 >= percent * len(g):
                 out.add((i, item, len(g & own), len(g)))
     return out
+
+
+def spoken(rows, length=51):
+    """Words in runs of ``length`` that another row has too, and the number of such runs."""
+    texts = [(i, WORD.findall(t or "")) for i, t in rows]
+    holders = {}
+    for n, (_, w) in enumerate(texts):
+        for k in range(len(w) - length + 1):
+            holders.setdefault(tuple(w[k : k + length]), set()).add(n)
+    out = []
+    for i, w in texts:
+        gone = bytearray(len(w))
+        for k in range(len(w) - length + 1):
+            if len(holders[tuple(w[k : k + length])]) > 1:
+                gone[k : k + length] = b"\1" * length
+        out.append((i, sum(gone), sum(1 for k in range(len(w)) if gone[k] and (k == 0 or not gone[k - 1]))))
+    return out

@@ -94,6 +94,28 @@ def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, most):
     assert sum(0 < r[2] < r[1] for r in want) > 5
 
 
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 1])
+def test_suffix_dedup_reports_runs_of_over_50_words(spark, monkeypatch, most):
+    """Passages of 45 to 70 words, short words or long ones, in other prose, twice in one text, over line breaks."""
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    rnd, words = random.Random(12), brute.vocabulary()
+    rows = list(PAIRS)
+    for n in range(45, 71):
+        passage = brute.prose(rnd, words if n % 2 else list("abcdefghi"), n)
+        for k in range(2):
+            broken = passage.replace(" ", "\n ", k * 5)
+            rows.append((1000 + 2 * n + k, f"{brute.prose(rnd, words, rnd.randint(0, 60))} {broken} {brute.prose(rnd, words, 20)}"))
+    twice = brute.prose(rnd, words, 60)
+    rows += [(2000, f"{twice} between {twice}"), (2001, "x" * 300 + " y " * 60), (2002, "q " + "x" * 300 + " y " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made = suffix_dedup.suffix_dedup(spark, docs).cache()
+    got = counted(made, "doc_id", "n_repeated_words", "n_repeated_runs")
+    assert got == Counter(brute.spoken(rows))
+    assert counted(made, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.suffix(rows))
+    assert made.where("repeats <> (n_repeated_words > 0)").count() == 0
+    assert made.where("repeats AND n_removed = 0").count() > 5
+
+
 def test_paragraphs_equal_brute_force(spark):
     """Lines of 20 to 48 words, so that each is one paragraph."""
     rnd, words = random.Random(2), brute.vocabulary()

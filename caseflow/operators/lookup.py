@@ -14,6 +14,8 @@ from caseflow.session import work_dir
 
 CREDIT_LIMIT = 25_000.00
 GRAM = 3
+# A list up to this length is sent to every task.
+LISTED_ROWS = 250_000
 
 
 def cents(amount: Column) -> Column:
@@ -110,29 +112,102 @@ def channel_logs(signals: DataFrame, channels: Sequence[str]) -> DataFrame:
     )
 
 
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """All distinct substrings of the given numbers of characters."""
+
+    def of_length(chars: Column, n: int) -> Column:
+        return F.transform(chars, lambda _, i: F.concat(*[F.get(chars, i + F.lit(d)) for d in range(n)]))
+
+    # As the variable of a function, the characters are split once; written out, they would be for each place.
+    every = F.transform(F.array(F.split(text, "")), lambda chars: F.concat(*[of_length(chars, n) for n in sizes]))
+    # A substring that would run past the end is null.
+    return F.array_compact(F.array_distinct(F.flatten(every)))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _listed(df: DataFrame) -> DataFrame:
+    """A join's side, sent to every task where it is counted to be short."""
+    return F.broadcast(df) if df.count() <= LISTED_ROWS else df
+
+
+def substring_hits(
+    texts: DataFrame, words: DataFrame, keys: Sequence[str], id_column: str, *, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """(keys, word, id): which texts contain which words.
+
+    ``texts`` has the keys, an id and ``fields``, an array of texts to look in; ``words`` the keys and ``word``,
+    not empty. A word is looked for in the texts with the same keys.
+
+    An inverted index holds, for every substring of up to three characters that some word has, the ids of the
+    texts with it. A word is looked up by its two rarest substrings; the ids that both have are candidates. Only
+    then are texts fetched, each once with all of its candidates, and tested. A word with a
+    substring that is nowhere is done without any text.
+    """
+    words = _stored(words.select(*keys, "word").distinct(), "words")
+    length = F.least(F.length("word"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in words.select(length.alias("n")).distinct().collect())  # three numbers at most
+    if not sizes:
+        return texts.select(*keys, F.lit("").alias("word"), id_column).limit(0)
+    own = F.coalesce(*[F.when(length == n, _grams(F.col("word"), [n])) for n in sizes])
+    asked = _stored(words.select(*keys, "word", F.explode(own).alias("gram")), "asked-grams")
+    needed = _listed(_stored(asked.select(*keys, "gram").distinct(), "needed-grams"))
+    every = F.array_distinct(F.flatten(F.transform("fields", lambda f: _grams(f, sizes))))
+    index = texts.select(*keys, id_column, F.explode(every).alias("gram")).join(needed, [*keys, "gram"], "left_semi")
+    index = _stored(index, "gram-index")
+
+    often = index.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    # The grams of one word.
+    rarest = F.array_sort(F.collect_list(F.struct("n", "gram")))
+    found = asked.join(often, [*keys, "gram"], "left").groupBy(*keys, "word").agg(
+        rarest.alias("grams"), F.bool_and(F.col("n").isNotNull()).alias("whole")
+    )
+    found = found.where("whole").select(
+        *keys, "word", F.col("grams")[0]["gram"].alias("gram"), F.get(F.col("grams"), F.lit(1))["gram"].alias("second")
+    )
+    first = spread_join(index, _stored(found, "rarest-grams"), [*keys, "gram"], [id_column], hot_rows=hot_rows)
+    first = first.select(*keys, "word", "second", id_column)
+    both = first.where("second IS NOT NULL").join(
+        index.withColumnRenamed("gram", "second"), [*keys, "second", id_column], "left_semi"
+    )
+    alone = first.where("second IS NULL").select(*keys, "word", id_column)
+    candidates = both.select(*keys, "word", id_column).union(alone)
+    tried = candidates.groupBy(*keys, id_column).agg(F.collect_set("word").alias("tried"))
+    there = F.filter("tried", lambda w: F.exists("fields", lambda f: F.contains(f, w)))
+    return (
+        texts.join(tried, [*keys, id_column])
+        .select(*keys, id_column, F.explode(there).alias("word"))
+        .select(*keys, "word", id_column)
+    )
+
+
 def memory_search(fragments: DataFrame, queries: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fragments of the asking customer that contain the query, or all of them when none does.
 
-    Equal questions of a customer are asked once. The hits, ids only, are stored, since both the
-    answers and the list of queries without any need them; only those queries read the fragments again.
+    Equal questions of a customer are asked once, of an index of substrings. The hits, ids only, are stored, since
+    both the answers and the list of queries without any need them. An empty question is in every
+    fragment that has any text; a null one is in none.
     """
-    asked = queries.select("query_id", "customer_id", F.lower("query").alias("_q"))
-    questions = asked.select("customer_id", "_q").distinct()
-    # Lower-cased once per fragment, before the join repeats it per query.
-    searched = {"_summary": F.lower("summary"), "_channel": F.lower("channel")}
-    hit = F.contains("_summary", "_q") | F.contains("_channel", "_q")
+    asked = queries.select("query_id", "customer_id", F.lower("query").alias("word"))
+    searched = [F.lower("summary"), F.lower("channel")]
+    fields = F.array(*searched)
     if "metadata" in fragments.columns:
-        searched["_values"] = F.transform(F.map_values("metadata"), lambda v: F.lower(v.cast("string")))
-        hit = hit | F.coalesce(F.exists("_values", lambda v: F.contains(v, F.col("_q"))), F.lit(False))
-    texts = fragments.select("customer_id", "fragment_id", *[c.alias(n) for n, c in searched.items()])
-    hits = spread_join(texts, questions, ["customer_id"], ["fragment_id"], hot_rows=hot_rows).filter(
-        F.coalesce(hit, F.lit(False))
-    )
-    path = work_dir(fragments.sparkSession, "memory-hits")
-    hits.select("customer_id", "_q", "fragment_id").write.parquet(path)
-    hits = fragments.sparkSession.read.parquet(path)
-    matched = asked.join(hits, ["customer_id", "_q"])
-    unanswered = asked.join(hits.select("customer_id", "_q").distinct(), ["customer_id", "_q"], "left_anti")
+        values = F.transform(F.map_values("metadata"), lambda v: F.lower(v.cast("string")))
+        fields = F.concat(fields, F.coalesce(values, F.array().cast("array<string>")))
+    texts = fragments.select("customer_id", "fragment_id", F.array_compact(fields).alias("fields"))
+    words = asked.where("word <> ''")
+    hits = substring_hits(texts, words, ["customer_id"], "fragment_id", hot_rows=hot_rows)
+    blank = asked.where("word = ''").select("customer_id", "word").distinct()
+    any_text = texts.where(F.size("fields") > 0).select("customer_id", "fragment_id")
+    everything = spread_join(any_text, blank, ["customer_id"], ["fragment_id"], hot_rows=hot_rows)
+    names = ["customer_id", "word", "fragment_id"]
+    hits = _stored(hits.select(*names).union(everything.select(*names)), "memory-hits")
+    matched = asked.join(hits, ["customer_id", "word"])
+    unanswered = asked.join(hits.select("customer_id", "word").distinct(), ["customer_id", "word"], "left_anti")
     rest = spread_join(
         fragments.select("customer_id", "fragment_id"),
         unanswered.select("query_id", "customer_id"),
@@ -148,47 +223,22 @@ def memory_search(fragments: DataFrame, queries: DataFrame, *, hot_rows: int = H
     )
 
 
-def _grams(text: Column) -> Column:
-    """All distinct substrings of one to ``GRAM`` characters."""
-    chars = F.split(text, "")
-
-    def of_length(n: int) -> Column:
-        return F.transform(chars, lambda _, i: F.concat(*[F.get(chars, i + F.lit(d)) for d in range(n)]))
-
-    # A substring that would run past the end is null.
-    sized = [of_length(n) for n in range(1, GRAM + 1)]
-    return F.array_compact(F.array_distinct(F.concat(*sized)))
-
-
-def policy_search(policies: DataFrame, queries: DataFrame, k: int = 2) -> DataFrame:
+def policy_search(policies: DataFrame, queries: DataFrame, k: int = 2, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Policies whose title or summary contains a word of the query, else the first ``k`` policies.
 
-    Blank queries are for ``validate.blank`` to turn away beforehand.
-
-    A substring test has no join key, so one is made: a word can only occur where its first
-    characters do. Distinct words meet policies on that short key and the full test follows.
+    Blank queries are for ``validate.blank`` to turn away beforehand. The distinct words of all queries are looked
+    up once, in an index of substrings.
     """
     words = queries.select(
         "query_id",
         F.explode(F.array_distinct(F.split(strip(F.lower("query")), SPACES))).alias("word"),
     ).filter(F.col("word") != "")
-    vocabulary = words.select("word").distinct().withColumn("_gram", F.substring("word", 1, GRAM))
-    # No word contains a line break, so none can match across the two parts.
-    texts = policies.select(
-        "policy_id",
-        "position",
-        F.concat_ws("\n", F.lower("title"), F.lower("summary")).alias("_text"),
-    )
-    # Only ids travel with the short keys; a text comes in once for each word that may occur in it.
-    indexed = texts.select("policy_id", F.explode(_grams(F.col("_text"))).alias("_gram"))
-    found = (
-        vocabulary.join(indexed, "_gram")
-        .select("word", "policy_id")
-        .join(texts, "policy_id")
-        .filter(F.contains(F.col("_text"), F.col("word")))
-        .select("word", "policy_id", "position")
-    )
-    matched = words.join(found, "word").select("query_id", "policy_id", "position").distinct()
+    fields = F.array_compact(F.array(F.lower("title"), F.lower("summary")))
+    texts = policies.select("policy_id", fields.alias("fields"))
+    found = substring_hits(texts, words, [], "policy_id", hot_rows=hot_rows)
+    places = policies.select("policy_id", "position")
+    matched = words.join(found, "word").select("query_id", "policy_id").distinct().join(places, "policy_id")
+    matched = matched.select("query_id", "policy_id", "position")
     first = (
         policies.select("policy_id", "position")
         .orderBy("position")

@@ -307,27 +307,28 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, word): every distinct word of every benchmark item, and one for each that no text has."""
+    items = table(spark, sf_dir, "benchmark")
+    words = items.select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''")
+    none = items.select("item_id", F.concat(F.lit("qzx"), F.col("item_id").cast("string")).alias("word"))
+    return words.union(none).distinct()
+
+
 def policy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two queries per item: its first words, and a word no text has."""
-    words = F.split("text", " ")
-    ids = table(spark, sf_dir, "benchmark").select(
-        "item_id",
-        F.posexplode(
-            F.array(
-                F.concat_ws(" ", F.element_at(words, 1), F.concat(F.element_at(words, 2), F.lit("x"))),
-                F.concat(F.lit("qzx"), F.col("item_id").cast("string")),
-            )
-        ).alias("n", "query"),
-    )
-    return ids.select((F.col("item_id") * 2 + F.col("n")).alias("query_id"), "query")
+    """Every word that an item has, with the same turned round as a second one; each such pair is a query."""
+    words = item_words(spark, sf_dir).select("word").distinct()
+    return words.select(F.col("word").alias("query_id"), F.concat_ws(" ", "word", F.reverse("word")).alias("query"))
 
 
 def memory_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search per benchmark item, for its second word, among one source's documents."""
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("customer_id"),
-        F.element_at(F.split("text", " "), 2).alias("query"),
+    """Every word of every benchmark item, asked about one source's documents; items are dealt over the sources."""
+    sources = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source").distinct()
+    names = sorted(r[0] for r in sources.collect())  # a name for each source
+    listed = spark.createDataFrame(list(enumerate(names)), "n int, customer_id string")
+    words = item_words(spark, sf_dir).withColumn("n", (F.col("item_id") % max(1, len(names))).cast("int"))
+    return words.join(F.broadcast(listed), "n").select(
+        F.concat_ws("-", F.col("item_id").cast("string"), "word").alias("query_id"), "customer_id", F.col("word").alias("query")
     )
 
 

@@ -258,6 +258,11 @@ def _leaks(stage: str, column: str, value: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+_ITEM_WORDS = """words AS (
+  SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark) WHERE word <> ''
+  UNION ALL SELECT item_id, 'qzx' || item_id FROM benchmark
+)"""
+
 ORACLES: dict[str, str] = {
     "velocity_alerts": f"WITH {_VELOCITY} SELECT * FROM velocity",
     "unfamiliar_high_value": f"""
@@ -429,8 +434,13 @@ SELECT user_id AS customer_id, count(*) AS records, min(ts) AS first_ts, max(ts)
        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount_cents, count(DISTINCT {_K} % 25) AS locations,
        'click' AS channel
 FROM events WHERE event_type = 'click' GROUP BY user_id""",
-    "memory_search": """
-WITH q AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS customer_id, lower(split_part(text, ' ', 2)) AS q FROM benchmark),
+    "memory_search": f"""
+WITH {_ITEM_WORDS},
+names AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+q AS (
+  SELECT item_id || '-' || word AS query_id, source AS customer_id, word AS q
+  FROM words JOIN names ON n = item_id % (SELECT count(*) FROM names)
+),
 pairs AS (
   SELECT query_id, customer_id, doc_id AS fragment_id,
          contains(lower(text), q) OR contains(lower(lang), q) OR contains(CAST(n_chars AS VARCHAR), q) AS hit
@@ -439,10 +449,8 @@ pairs AS (
 flagged AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM pairs)
 SELECT query_id, customer_id, fragment_id, hit AS is_match FROM flagged WHERE hit OR NOT any_hit""",
     "policy_search": f"""
-WITH q AS (
-  SELECT item_id * 2 AS query_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || 'x' AS query FROM benchmark
-  UNION ALL SELECT item_id * 2 + 1, 'qzx' || item_id FROM benchmark
-),
+WITH {_ITEM_WORDS},
+q AS (SELECT DISTINCT word AS query_id, word || ' ' || reverse(word) AS query FROM words),
 w AS (SELECT query_id, unnest(string_split_regex(lower(query), '[{_WS}]+')) AS word FROM q),
 m AS (
   SELECT DISTINCT query_id, item_id AS policy_id FROM w, benchmark

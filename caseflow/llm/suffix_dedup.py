@@ -397,8 +397,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Copies share a place, so that they alone do not make a key repeat; for words only other texts do.
     place = F.xxhash64("tag", F.when(F.col("key").bitwiseAND(1) == 0, F.col("packed")))
     often = anchor_rows.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"))
-    often = often.where("low <> high").select("key", (F.col("n") > MOST).alias("many"))
-    found = anchor_rows.join(often, "key").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("key", "packed", "many")).alias("found"))
+    often = stored(spark, often.where("low <> high").select("key", (F.col("n") > MOST).alias("many")), "suffix-keys")
+    found = anchor_rows.join(small_side(often), "key").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("key", "packed", "many")).alias("found"))
     first = copies.select(F.col("first_id").alias("_id"), F.col("tag").alias("_tag"), "digest")
     found = found.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).drop("_id", "_tag")
     found = stored(spark, found, "suffix-found")

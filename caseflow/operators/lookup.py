@@ -113,15 +113,17 @@ def channel_logs(signals: DataFrame, channels: Sequence[str]) -> DataFrame:
 
 
 def _grams(text: Column, sizes: Sequence[int]) -> Column:
-    """All distinct substrings of the given numbers of characters."""
+    """All distinct substrings of the given numbers of characters, and shorter ones from the text's end.
 
-    def of_length(chars: Column, n: int) -> Column:
-        return F.transform(chars, lambda _, i: F.concat(*[F.get(chars, i + F.lit(d)) for d in range(n)]))
+    The text is read once, for the longest; shorter ones are the beginnings of those.
+    """
+    whole = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{GRAM}}}))"), F.lit(1)))
+
+    def shortened(grams: Column, n: int) -> Column:
+        return F.transform(grams, lambda gram: F.left(gram, F.lit(n)))
 
-    # As the variable of a function, the characters are split once; written out, they would be for each place.
-    every = F.transform(F.array(F.split(text, "")), lambda chars: F.concat(*[of_length(chars, n) for n in sizes]))
-    # A substring that would run past the end is null.
-    return F.array_compact(F.array_distinct(F.flatten(every)))
+    parts = F.transform(F.array(whole), lambda grams: F.concat(*[shortened(grams, n) for n in sizes]))
+    return F.array_distinct(F.flatten(parts))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -154,11 +156,12 @@ def substring_hits(
     if not sizes:
         return texts.select(*keys, F.lit("").alias("word"), id_column).limit(0)
     own = F.coalesce(*[F.when(length == n, _grams(F.col("word"), [n])) for n in sizes])
-    asked = _stored(words.select(*keys, "word", F.explode(own).alias("gram")), "asked-grams")
+    asked = words.select(*keys, "word", F.explode(own).alias("gram")).where(F.length("gram") == length)
+    asked = _stored(asked, "asked-grams")
     needed = _listed(_stored(asked.select(*keys, "gram").distinct(), "needed-grams"))
-    every = F.array_distinct(F.flatten(F.transform("fields", lambda f: _grams(f, sizes))))
-    index = texts.select(*keys, id_column, F.explode(every).alias("gram")).join(needed, [*keys, "gram"], "left_semi")
-    index = _stored(index, "gram-index")
+    field = texts.select(*keys, id_column, F.explode("fields").alias("field"))
+    index = field.select(*keys, id_column, F.explode(_grams(F.col("field"), sizes)).alias("gram"))
+    index = _stored(index.join(needed, [*keys, "gram"], "left_semi").distinct(), "gram-index")
 
     often = index.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
     # The grams of one word.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -135,6 +136,38 @@ def test_memory_search_falls_back_to_all(spark):
     ]
 
 
+def test_substring_hits_equal_brute_force(spark):
+    """Words of one to many letters, letters beyond 16 bits, line breaks, repeated words, missing keys and fields."""
+    rnd = random.Random(3)
+    letters = ["a", "b", "ß", "é", "漢", "😀", " ", "\n", "."]
+    texts = [(i, rnd.choice([1, 2, None]), ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(rnd.randint(0, 3))]) for i in range(60)]
+    words = [(rnd.choice([1, 2, 3, None]), "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6)))) for _ in range(120)] * 2
+    got = lookup.substring_hits(
+        spark.createDataFrame(texts, "id int, k int, fields array<string>"), spark.createDataFrame(words, "k int, word string"), ["k"], "id", hot_rows=9
+    )
+    want = sorted({(k, w, i) for k, w in words for i, own, fields in texts if k is not None and k == own and any(w in f for f in fields)})
+    assert rows(got, "k", "word", "id") == want
+    assert len(want) > 100
+
+
+def test_one_word_common_to_all_texts_is_no_single_key(spark, monkeypatch):
+    """The rows of its substring are dealt to shares; the largest task's part is tested."""
+    texts = spark.createDataFrame([(i, 1, [f"common {i}"]) for i in range(2000)], "id int, k int, fields array<string>")
+    words = spark.createDataFrame([(1, "common"), (1, "1999"), (1, "zzz")], "k int, word string")
+    shares = []
+    real = lookup.spread_join
+
+    def spying(left, right, keys, spread_by, how="inner", *, hot_rows):
+        out = real(left, right, keys, spread_by, how, hot_rows=hot_rows)
+        shares.append(max(r["n"] for r in left.groupBy(*keys, (F.xxhash64(*spread_by) % (2000 // hot_rows))).agg(F.count("*").alias("n")).collect()))
+        return out
+
+    monkeypatch.setattr(lookup, "spread_join", spying)
+    got = lookup.substring_hits(texts, words, ["k"], "id", hot_rows=100)
+    assert got.count() == 2001
+    assert max(shares) <= 200
+
+
 def test_policy_search(spark):
     policies = spark.createDataFrame(
         [(1, 0, "Zero liability", "unauthorised charges"), (2, 1, "Courier", "Delivery within a day"),

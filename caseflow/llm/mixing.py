@@ -182,8 +182,11 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, column: str = "words_t
     place = F.struct("taken", "size", "first", "rounds", "extra", "blocks", "start")
     takes = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.max(place).alias("_take"))
     takes = small_side(stored(spark, takes, "mix-takes"))
-    rows = docs.join(takes, docs["doc_id"].cast("bigint").eqNullSafe(takes["_id"])).withColumnRenamed("text", "_text")
-    words = F.regexp_extract_all(F.col("_text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    # As one struct, so that no name of the table meets one of these.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = whole.join(takes, F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_id")))
+    rows = rows.withColumn("_text", F.col("_row.text").cast("string"))
+    words = F.regexp_extract_all(F.col("_text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     take = F.col("_take")
 
     def before(b: Column) -> Column:
@@ -195,7 +198,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, column: str = "words_t
 
     rows = rows.withColumn("_words", F.when(take["extra"] > 0, words).otherwise(F.array().cast("array<string>")))
     part = F.array_join(F.filter("_words", chosen), "")
-    text = F.concat_ws("\n", F.array_repeat(F.col("_text").cast("string"), take["rounds"].cast("int")), F.when(part != "", part))
+    text = F.concat_ws("\n", F.array_repeat(F.col("_text"), take["rounds"].cast("int")), F.when(part != "", part))
     rows = rows.withColumn("_mixed", text)
-    out = [F.col("_mixed").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != column]
-    return rows.select(*out, word_count(F.col("_mixed")).alias(column)).where(F.col(column) > 0)
+    out = [F.col("_mixed").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c != column]
+    return rows.select(*out, word_count(F.col("_mixed")).alias(column)).where(F.col(f"`{column}`") > 0)

@@ -411,3 +411,16 @@ def test_stages_on_awkward_documents(spark, docs):
         assert set(docs.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
         assert out.count() <= len(ROWS)
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_mixed_documents_take_any_column_name(spark):
+    """Names that the mix uses inside, a dot and a space among them."""
+    names = ["_text", "_id", "_take", "_words", "_mixed", "_row", "a.b", "c d"]
+    plain = spark.createDataFrame([(i, f"some words of text {i} " * 9, f"s{i % 3}") for i in range(30)], "doc_id long, text string, source string")
+    more = plain.withColumns({n: F.lit(n) for n in names})
+    got = mixing.mixed_documents(spark, more)
+    assert got.columns == [*more.columns, "words_taken"]
+    want = mixing.mixed_documents(spark, plain)
+    same = ["doc_id", "text", "source", "words_taken"]
+    assert sorted(map(tuple, got.select(*same).collect())) == sorted(map(tuple, want.select(*same).collect()))
+    assert {tuple(r) for r in got.select(*[F.col(f"`{n}`") for n in names]).collect()} == {tuple(names)}

@@ -255,3 +255,46 @@ def policy_search(policies: DataFrame, queries: DataFrame, k: int = 2, *, hot_ro
         .select("query_id", "policy_id", "position")
     )
     return matched.withColumn("is_match", F.lit(True)).unionByName(fallback.withColumn("is_match", F.lit(False)))
+
+
+def match_rules(
+    items: DataFrame,
+    rules: DataFrame,
+    id_column: str,
+    text_column: str,
+    default: str | None = None,
+    *,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """(id, label, priority, word): the first rule of a rule table that has a word in each text.
+
+    The form of ``rules.first_match`` for tables too long for an expression. ``rules`` has ``priority``, ``label``
+    and ``word``, one row for each word of a rule. The lowest priority wins, of equal ones the smallest label, then
+    word. Words are looked for in the lower-cased text, as substrings; an empty word is in every text, a null word
+    or priority matches nothing, a null text counts as empty. A text that no rule matches has the ``default`` label.
+    Every row of ``items`` is returned; rows with the same id are one item, and all get its first rule. A null id
+    gets what an empty text gets.
+
+    All words are looked up at once, in the index of ``substring_hits``. A text's hits meet their rules where
+    they are found, so that one row a text is left before the shuffle, while the rule table is short enough to
+    be sent round; a longer one is joined by shuffle.
+    """
+    ranked = rules.where("word IS NOT NULL AND priority IS NOT NULL").groupBy("word")
+    best = _stored(ranked.agg(F.min(F.struct("priority", "label")).alias("r")).select("word", "r.*"), "rules")
+    everywhere = best.where("word = ''").first()  # one row for each word
+    texts = items.select(id_column, F.array(F.lower(F.coalesce(text_column, F.lit("")))).alias("fields"))
+    hits = substring_hits(texts, best.where("word <> ''"), [], id_column, hot_rows=hot_rows)
+    if best.count() <= LISTED_ROWS:
+        met = hits.join(F.broadcast(best), "word")
+    else:
+        met = spread_join(_stored(hits, "rule-hits"), best, ["word"], [id_column], hot_rows=hot_rows)
+    order = ("priority", "label", "word")
+    first = met.groupBy(id_column).agg(F.min(F.struct(*order)).alias("_hit"))
+    # The aggregate has one row for each id, so large ids of the items can be spread.
+    answered = spread_join(items.select(id_column), _stored(first, "first-rules"), [id_column], [id_column], "left", hot_rows=hot_rows)
+    kinds = {f.name: f.dataType for f in best.schema.fields}
+    if everywhere is not None:
+        blank = F.struct(*[F.lit(everywhere[c]).cast(kinds[c]).alias(c) for c in order])
+        answered = answered.withColumn("_hit", F.least(F.coalesce("_hit", blank), blank))
+    label = F.when(F.col("_hit").isNull(), F.lit(default)).otherwise(F.col("_hit.label"))
+    return answered.select(id_column, label.alias("label"), F.col("_hit.priority").alias("priority"), F.col("_hit.word").alias("word"))

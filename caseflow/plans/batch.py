@@ -210,6 +210,12 @@ def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.policy_search(mapping.policies(spark, sf_dir), mapping.policy_queries(spark, sf_dir))
 
 
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against a rule table with the words of all benchmark items."""
+    documents = mapping.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lookup.match_rules(documents, mapping.word_rules(spark, sf_dir), "doc_id", "text", "none")
+
+
 # --- timelines --------------------------------------------------------------------------------
 
 
@@ -247,6 +253,16 @@ def compacted_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def claim_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' timeline with the verified claims appended."""
+    events = mapping.event_fragments(spark, sf_dir).withColumn("fragment_id", F.col("fragment_id").cast("string"))
+    both = memory.append_fragments(events, resolve.verified_fragments(claim_veracity(spark, sf_dir)))
+    return both.select(
+        "fragment_id", "customer_id", "channel", "ts", "summary", F.col("veracity.status").alias("status"),
+        F.col("veracity.confidence").alias("confidence"),
+    )
+
+
 def compact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = mapping.document_fragments(spark, sf_dir)
     return memory.compact_memory(documents.select("customer_id").distinct(), documents)
@@ -426,12 +442,14 @@ QUERIES: dict[str, Query] = {
         channel_logs,
         memory_search,
         policy_search,
+        rule_table,
         merge_channels,
         timeline_context,
         channel_coverage,
         compact_memory,
         compacted_memory,
         compact_documents,
+        claim_fragments,
         token_usage,
         activity_sessions,
         span_stats,

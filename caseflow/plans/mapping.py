@@ -315,6 +315,16 @@ def item_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.union(none).distinct()
 
 
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every word of the benchmark items: longer words come first, words of one length and first letter are one rule."""
+    words = item_words(spark, sf_dir).select("word").distinct()
+    return words.select(
+        (F.lit(100) - F.length("word")).cast("long").alias("priority"),
+        F.concat(F.lit("starts-"), F.left("word", F.lit(1))).alias("label"),
+        "word",
+    )
+
+
 def policy_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word that an item has, with the same turned round as a second one; each such pair is a query."""
     words = item_words(spark, sf_dir).select("word").distinct()

@@ -692,6 +692,27 @@ SELECT 'set-' || (eval_id // 10) AS eval_set_id, CAST(eval_id AS VARCHAR) AS eva
 FROM ({ORACLES["eval_scoring"]}) AS t""",
 }
 
+ORACLES |= {
+    "rule_table": f"""
+WITH {_ITEM_WORDS},
+r AS (SELECT DISTINCT word, CAST(100 - length(word) AS BIGINT) AS priority, 'starts-' || left(word, 1) AS label FROM words),
+hit AS (
+  SELECT doc_id, label, priority, word, row_number() OVER (PARTITION BY doc_id ORDER BY priority, label, word) AS n
+  FROM documents, r WHERE contains(lower(text), word)
+)
+SELECT d.doc_id, coalesce(label, 'none') AS label, priority, word FROM documents d LEFT JOIN hit h ON h.doc_id = d.doc_id AND n = 1""",
+    "claim_fragments": f"""
+WITH {_FRAGMENTS}
+SELECT CAST(fragment_id AS VARCHAR) AS fragment_id, customer_id, channel, ts, summary,
+       CASE channel WHEN 'error' THEN 'CONTRADICTED_BY_TELEMETRY' WHEN 'signup' THEN 'VERIFIED_TRUE' WHEN 'view' THEN 'VERIFIED_TRUE'
+         WHEN 'purchase' THEN 'UNVERIFIED_PENDING' END AS status,
+       CAST(CASE channel WHEN 'error' THEN 0.15 WHEN 'signup' THEN 0.99 WHEN 'purchase' THEN 0.57 END AS DOUBLE) AS confidence
+FROM fragments
+UNION ALL
+SELECT {_stable_id("clm-", "customer_id || '|' || turn")}, customer_id, 'CLAIM', NULL, claim_text, status, confidence
+FROM ({ORACLES["claim_veracity"]}) AS t WHERE status = 'VERIFIED_TRUE'""",
+}
+
 # A streaming query answers what its batch form answers.
 ORACLES |= {
     "stream_velocity": ORACLES["velocity_alerts"],

@@ -748,6 +748,22 @@ ORACLES |= {
         f"event_id AS span_id, user_id AS session_id, 'tool_' || CAST({_K} % 5 AS VARCHAR) AS name", "event_type IN ('click', 'view')"
     ),
 }
+_FAULTY_EVENTS = """
+faulty AS (
+  SELECT event_type, value, ts FROM events
+  UNION ALL SELECT event_type, value, NULL FROM events WHERE event_id % 10 = 0
+  UNION ALL SELECT event_type, value, ts FROM events WHERE event_id % 7 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY
+)"""
+
+ORACLES |= {
+    "stream_compacted_memory": ORACLES["compacted_memory"],
+    "stream_compacted_memory_pieces": ORACLES["compacted_memory"],
+    "stream_usage_totals": f"""
+WITH {_FAULTY_EVENTS}
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type AS channel,
+       count(*) AS records, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount_cents
+FROM faulty GROUP BY ALL""",
+}
 ORACLES |= {
     f"{name}_pieces": ORACLES[name]
     for name in ("stream_velocity", "stream_step_up", "stream_span_pairs", "stream_usage", "stream_ingest")

@@ -15,6 +15,7 @@ from caseflow.streaming.nearest import DAY_US
 
 PAIR_TIMEOUT_MINUTES = 2 * 24 * 60
 SESSION_GAP_MINUTES = 60
+SNAPSHOT_BUCKETS = 16
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +171,28 @@ def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _snapshot(df: DataFrame) -> DataFrame:
+    return df.select(
+        "fragment_id", "customer_id", "channel", "severity", "summary", "is_compacted_summary", F.col("veracity.status").alias("status")
+    )
+
+
+def stream_compacted_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fragments = mapping.event_fragments_from(events(spark, sf_dir))
+    return _snapshot(jobs.stream_compacted_memory(spark, fragments, work_dir(spark, "snapshot"), SNAPSHOT_BUCKETS))
+
+
+def stream_compacted_memory_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fragments = mapping.event_fragments_from(events_in_pieces(spark, sf_dir))
+    return _snapshot(jobs.stream_compacted_memory(spark, fragments, work_dir(spark, "snapshot"), SNAPSHOT_BUCKETS))
+
+
+def stream_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of every event, of those that come late or without a time too."""
+    signals = mapping.signals_from(with_faults(spark, sf_dir))
+    return _windows(jobs.stream_usage_totals(spark, signals, work_dir(spark, "usage-totals")))
+
+
 def _ingest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     raw = mapping.notifications_from(tables.stream_files(spark, sf_dir, "documents.parquet"))
     return jobs.stream_ingest(
@@ -202,6 +225,9 @@ QUERIES: dict[str, Query] = {
         usage_windows,
         stream_sessions,
         stream_compaction,
+        stream_compacted_memory,
+        stream_compacted_memory_pieces,
+        stream_usage_totals,
         stream_ingest,
         stream_rejects,
         stream_velocity_faults,

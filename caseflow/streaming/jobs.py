@@ -17,6 +17,7 @@ from caseflow.streaming.nearest import DAY_US, MINUTE_US, Spec
 
 DELAY_MINUTES = 60.0
 SLOT_US = 32 * DAY_US
+BUCKETS = 64
 
 
 # --- impossible travel ------------------------------------------------------------------------
@@ -158,10 +159,7 @@ def stream_usage(
         signals.withColumn("event_time", at)
         .withWatermark("event_time", f"{int(delay_minutes * 60)} seconds")
         .groupBy(F.window("event_time", width, slide), "channel")
-        .agg(
-            F.count(F.lit(1)).alias("records"),
-            F.sum(F.round(F.col("amount") * 100).cast("long")).alias("amount_cents"),
-        )
+        .agg(*usage_counts())
         .select(
             F.col("window.start").alias("window_start"),
             F.col("window.end").alias("window_end"),
@@ -176,14 +174,42 @@ def stream_usage(
     )
 
 
+def stream_usage_totals(
+    spark: SparkSession, signals: DataFrame, path: str, width: str = "1 day", slide: str | None = None
+) -> DataFrame:
+    """``stream_usage`` that leaves no row out, however late it comes.
+
+    Counts add up, so a batch stores those of its own rows and reading adds them. There is no state and no
+    watermark to wait for: a batch costs what its own rows cost, and a read one row for each batch, window and channel.
+    Rows without a time are in no window; they are counted by channel with null for the window's ends.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = usage_windows(batch, width, slide)
+        timeless = batch.where("ts IS NULL").groupBy("channel").agg(*usage_counts())
+        nowhere = timeless.withColumns({c: F.lit(None).cast("timestamp") for c in ("window_start", "window_end")})
+        tables.write_version(own.unionByName(nowhere), batch_id, f"{path}/rows")
+
+    tables.run_available(signals, path, "append", write)
+    schema = "window_start TIMESTAMP, window_end TIMESTAMP, channel STRING, records BIGINT, amount_cents BIGINT"
+    stored = tables.read_versions(spark, path, schema)
+    return stored.groupBy("window_start", "window_end", "channel").agg(
+        F.sum("records").alias("records"), F.sum("amount_cents").alias("amount_cents")
+    )
+
+
+def usage_counts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("records"),
+        F.sum(F.round(F.col("amount") * 100).cast("long")).alias("amount_cents"),
+    ]
+
+
 def usage_windows(signals: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:
     """The batch form of ``stream_usage``."""
     return (
         signals.groupBy(F.window(F.col("ts").cast("timestamp"), width, slide), "channel")
-        .agg(
-            F.count(F.lit(1)).alias("records"),
-            F.sum(F.round(F.col("amount") * 100).cast("long")).alias("amount_cents"),
-        )
+        .agg(*usage_counts())
         .select(
             F.col("window.start").alias("window_start"),
             F.col("window.end").alias("window_end"),
@@ -233,6 +259,48 @@ def stream_compaction(
     return memory.compaction_report(customers, memory.merge_digests(stored))
 
 
+def stream_compacted_memory(
+    spark: SparkSession, fragments: DataFrame, path: str, buckets: int = BUCKETS
+) -> DataFrame:
+    """The snapshot of ``memory.compacted_fragments``: one flagged row per customer, replaced as fragments arrive.
+
+    Customers are dealt to buckets by hash. A batch reads the newest digests of the buckets that its customers are in,
+    adds its own, writes digests and snapshot of these buckets as a new version, and names them in the pointer
+    last. Readers only see named versions, so a batch that fails half way changes nothing, and one that is tried
+    again starts from what the earlier ones named. Without new fragments nothing is written. Replaced
+    versions stay in their folders. Fragments without a customer are in no snapshot.
+    """
+    shape = fragments.select(
+        "fragment_id", "customer_id", "channel", "ts", "summary", "severity", "is_compacted_summary"
+    )
+    digest = memory.with_best_text(memory.channel_digest(shape), shape)
+    digest_schema = digest.schema
+    snapshot_schema = memory.compacted_fragments(
+        memory.compaction_report(digest.select("customer_id").distinct(), digest)
+    ).schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        known = batch.where("customer_id IS NOT NULL")
+        own = memory.with_best_text(memory.channel_digest(known), known)
+        # Stored and read back, so that the list of buckets and the merge see the same rows.
+        tables.write_version(tables.with_bucket(own, ["customer_id"], buckets), batch_id, f"{path}/own/rows")
+        own = tables.read_version(session, f"{path}/own", batch_id)
+        touched = sorted(r[0] for r in own.select(tables.BUCKET).distinct().collect())
+        named = tables.named_buckets(session, path, below=batch_id)
+        before = tables.read_buckets(session, f"{path}/digests", digest_schema, {b: named[b] for b in touched if b in named})
+        merged = memory.merge_digests(before.unionByName(own.drop(tables.BUCKET)))
+        tables.write_buckets(tables.with_bucket(merged, ["customer_id"], buckets), batch_id, f"{path}/digests")
+        merged = tables.read_buckets(session, f"{path}/digests", digest_schema, dict.fromkeys(touched, batch_id))
+        report = memory.compaction_report(merged.select("customer_id").distinct(), merged)
+        rows = tables.with_bucket(memory.compacted_fragments(report), ["customer_id"], buckets)
+        tables.write_buckets(rows, batch_id, f"{path}/snapshot")
+        tables.name_buckets(session, touched, batch_id, path)
+
+    tables.run_available(shape, path, "append", write)
+    return tables.read_buckets(spark, f"{path}/snapshot", snapshot_schema, tables.named_buckets(spark, path))
+
+
 # --- notification ingest ----------------------------------------------------------------------
 
 
@@ -243,13 +311,15 @@ def stream_ingest(
     path: str,
     rules: Mapping[str, Sequence[str]] = fixed.DOCUMENT_TAGS,
     now: Column | None = None,
+    undated_buckets: int = BUCKETS,
 ) -> tuple[DataFrame, DataFrame]:
     """Decode, fetch, tag and store notifications; returns the metadata and the rejected rows.
 
     A redelivery may come at any time, so it is not left to a watermark: each batch drops what
     its own rows repeat, and what earlier batches already stored for the same day of creation.
-    The day is a partition of the stored keys; the batch's days prune them while the query runs. A
-    creation time that is no date counts as the day ``unknown``.
+    The day is a partition of the stored keys; the batch's days prune them while the query runs. Keys whose
+    creation time is no date have no day to be looked up by; they are dealt to ``undated_buckets`` partitions by hash, so
+    that no one partition grows with all of them and a batch reads those of its own undated keys.
     """
     decoded_schema = T.StructType([*notifications.decoded(raw).schema.fields, T.StructField("created_day", T.StringType())])
     kept = [*notifications.KEY, "time_created", "object_key", "created_day"]
@@ -260,7 +330,9 @@ def stream_ingest(
 
         # Each step is stored and read back, so it runs once and later steps agree on its rows.
         created = F.try_to_timestamp(F.left("time_created", F.lit(10)), F.lit("yyyy-MM-dd"))
-        day = F.coalesce(F.date_format(created, "yyyy-MM-dd"), F.lit("unknown"))
+        bucket = F.pmod(F.xxhash64(notifications.object_key()), F.lit(undated_buckets))
+        undated = F.concat(F.lit("undated-"), bucket.cast("string"))
+        day = F.coalesce(F.date_format(created, "yyyy-MM-dd"), undated)
         tables.write_version(
             notifications.decoded(batch).withColumn("created_day", day), batch_id, f"{path}/decoded/rows"
         )
@@ -270,7 +342,7 @@ def stream_ingest(
         stored = tables.read_versions(session, f"{path}/seen", seen_schema).filter(F.col(tables.BATCH) < batch_id)
         stored = stored.join(days, "created_day", "left_semi").select("created_day", "object_key")
         new = notifications.one_per_object(usable).select(*kept).join(stored, ["created_day", "object_key"], "left_anti")
-        tables.write_version(new, batch_id, f"{path}/seen/rows", ["created_day"])
+        tables.write_version(new.hint("rebalance", "created_day"), batch_id, f"{path}/seen/rows", ["created_day"])
         # A batch may store no keys at all, so the schema is given here.
         fresh = (
             tables.read_versions(session, f"{path}/seen", seen_schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH = "batch_id"
+BUCKET = "bucket"
 
 
 def stream_files(
@@ -85,3 +86,42 @@ def latest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
         .agg(F.max_by(F.struct(*values), BATCH).alias("v"))
         .select(*keys, "v.*")
     )
+
+
+# --- snapshots that are replaced bucket by bucket ---------------------------------------------------
+
+
+def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The rows with the bucket of their key, the same on every run."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(df: DataFrame, batch_id: int, path: str) -> None:
+    """Write one version of the buckets that occur; a large bucket is cut into several files."""
+    write_version(df.hint("rebalance", BUCKET), batch_id, f"{path}/rows", [BUCKET])
+
+
+def name_buckets(spark: SparkSession, buckets: Sequence[int], batch_id: int, path: str) -> None:
+    """The pointer: from now on the version ``batch_id`` of these buckets is the one to read."""
+    rows = spark.createDataFrame([(b,) for b in buckets], f"{BUCKET} INT").coalesce(1)
+    write_version(rows, batch_id, f"{path}/pointer/rows")
+
+
+def named_buckets(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """The version to read of every bucket: at most one number for each bucket.
+
+    A version that was written but not named is not among them. ``below`` leaves out this batch and later
+    ones, for a batch that is tried again after it was named.
+    """
+    named = read_versions(spark, f"{path}/pointer", f"{BUCKET} INT")
+    if below is not None:
+        named = named.where(F.col(BATCH) < below)
+    return {r[0]: r[1] for r in named.groupBy(BUCKET).agg(F.max(BATCH)).collect()}
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType, versions: dict[int, int]) -> DataFrame:
+    """The rows of the given versions of buckets; no other folder is listed or read."""
+    folders = [f"{path}/rows/{BATCH}={v}/{BUCKET}={b}" for b, v in sorted(versions.items())]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(*folders).select(*schema.fieldNames())

@@ -483,3 +483,62 @@ def test_a_claim_stays_one_row(spark):
     assert rows(written, "customer_id", "summary") == [(1, "lost it"), (1, "lost it")]
     joined = memory.append_fragments(fragments(spark, []), written)
     assert joined.count() == 2 and memory.memories_of(joined, 99).count() == 0
+
+
+# --- rule tables --------------------------------------------------------------------------------
+
+RULES = "priority int, label string, word string"
+ITEMS = "id int, text string"
+
+
+def test_rule_table_equals_the_expression_form(spark):
+    from caseflow.functions import rules
+
+    table = [(i, label, w) for i, (label, words) in enumerate(mapping.CLAIM_WORDS) for w in words]
+    claims = mapping.claims(spark, SMALL).withColumn("id", F.concat_ws("-", "customer_id", "turn"))
+    got = lookup.match_rules(claims, spark.createDataFrame(table, "priority int, label int, word string"), "id", "claim_text")
+    want = claims.select("id", rules.first_match(F.col("claim_text"), mapping.CLAIM_WORDS, None).alias("label"))
+    assert rows(got, "id", "label") == rows(want, "id", "label") != []
+
+
+def test_ten_thousand_rules_equal_brute_force(spark):
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("abcdé ") for _ in range(rng.randint(3, 9))) for _ in range(14_000)})[:10_000]
+    assert len(words) == 10_000
+    table = [(rng.randrange(500), f"l{rng.randrange(9)}", w) for w in words]
+    items = [(i, "".join(rng.choice("ABCDabcdé ") for _ in range(rng.choice([0, 2, 30, 400])))) for i in range(300)]
+    got = lookup.match_rules(spark.createDataFrame(items, ITEMS), spark.createDataFrame(table, RULES), "id", "text", "none")
+    want = []
+    for i, text in items:
+        hits = [r for r in table if r[2] in text.lower()]
+        priority, label, word = min(hits, default=(None, "none", None))
+        want.append((i, label, priority, word))
+    assert rows(got, "id", "label", "priority", "word") == want
+
+
+def test_rule_table_edge_cases(spark):
+    """Nulls, empty words and texts, ties, repeated rows and ids, a word in every text, none at all."""
+    items = spark.createDataFrame(
+        [(1, "Lost card"), (1, "stolen"), (2, None), (3, ""), (4, "card card card"), (4, "card card card"), (5, "x")]
+        + [(i, "every text has it") for i in range(100, 400)], ITEMS)
+    table = [(5, "b", "card"), (5, "a", "card"), (5, "b", "card"), (1, "s", "stolen"), (3, None, "lost"), (None, "n", "x"),
+             (2, "n", None), (9, "all", "every"), (9, "all", "text"), (2, "up", "Lost")]
+    got = lookup.match_rules(items, spark.createDataFrame(table, RULES), "id", "text", "none", hot_rows=50)
+    some = [(1, "s", 1, "stolen")] * 2 + [(2, "none", None, None), (3, "none", None, None)]
+    some += [(4, "a", 5, "card")] * 2 + [(5, "none", None, None)]
+    assert rows(got, "id", "label", "priority", "word") == some + [(i, "all", 9, "every") for i in range(100, 400)]
+    blank = spark.createDataFrame([*table, (4, "blank", "")], RULES)
+    got = rows(lookup.match_rules(items.where("id < 100"), blank, "id", "text"), "id", "label")
+    assert got == [(1, "s"), (1, "s"), (2, "blank"), (3, "blank"), (4, "blank"), (4, "blank"), (5, "blank")]
+    none = spark.createDataFrame([], RULES)
+    assert set(rows(lookup.match_rules(items, none, "id", "text", "none"), "label")) == {("none",)}
+    assert lookup.match_rules(items.limit(0), blank, "id", "text").count() == 0
+
+
+def test_long_rule_tables_are_joined_by_shuffle(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"w{i % 7} common") for i in range(200)], ITEMS)
+    table = spark.createDataFrame([(9, "c", "common"), *[(i, f"l{i}", f"w{i}") for i in range(3)]], RULES)
+    want = rows(lookup.match_rules(items, table, "id", "text"), "id", "label")
+    monkeypatch.setattr(lookup, "LISTED_ROWS", 0)
+    assert rows(lookup.match_rules(items, table, "id", "text", hot_rows=20), "id", "label") == want
+    assert want[:4] == [(0, "l0"), (1, "l1"), (2, "l2"), (3, "c")]

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.operators import correlate, memory, spans, usage
 from caseflow.plans import mapping
@@ -287,3 +288,141 @@ def test_a_crash_after_the_write_doubles_nothing(spark, tmp_path, pieces, monkey
         run()
     same(run(), memory.compact_memory(people, mapping.event_fragments(spark, SMALL)))
     assert crashed
+
+
+def faulty_pieces(pieces):
+    """The pieces, the first of them once more at the end without its times, and as it was."""
+    early = pieces[0]
+    place = early.schema.get_field_index("ts")
+    timeless = early.set_column(place, early.schema.field("ts"), pa.nulls(len(early), early.schema.field("ts").type))
+    return [*pieces, timeless, early]
+
+
+def test_usage_totals_count_late_and_timeless_rows(spark, tmp_path, pieces):
+    parts = faulty_pieces(pieces)
+
+    def run(stream, path):
+        return jobs.stream_usage_totals(spark, mapping.signals_from(stream), path)
+
+    got = {tuple(r) for r in in_two_runs(spark, tmp_path, parts, run).collect()}
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    deliver(whole, parts)
+    signals = mapping.signals_from(spark.read.parquet(str(whole)))
+    windows = jobs.usage_windows(signals)
+    assert {r for r in got if r[0] is not None} == {tuple(r) for r in windows.collect()}
+    timeless = signals.where("ts IS NULL").groupBy("channel").agg(*jobs.usage_counts())
+    assert {r[2:] for r in got if r[0] is None} == {tuple(r) for r in timeless.collect()}
+    assert sum(r[3] for r in got) == sum(len(p) for p in parts)
+
+
+def test_usage_totals_of_nothing(spark, tmp_path):
+    (tmp_path / "source").mkdir()
+    deliver(tmp_path / "source", [pa.table({
+        "customer_id": pa.array([], pa.int64()), "channel": pa.array([], pa.string()), "ts": pa.array([], pa.timestamp("us")),
+        "amount": pa.array([], pa.float64())})])
+    stream = tables.stream_files(spark, str(tmp_path / "source"))
+    assert jobs.stream_usage_totals(spark, stream, str(tmp_path / "out")).count() == 0
+
+
+def snapshot_files(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet") if "checkpoint" not in str(p)}
+
+
+def test_snapshot_is_replaced_bucket_by_bucket(spark, tmp_path, pieces):
+    def run(stream, path):
+        return jobs.stream_compacted_memory(spark, mapping.event_fragments_from(stream), path, 4)
+
+    got = in_two_runs(spark, tmp_path, pieces, run)
+    fragments = mapping.event_fragments(spark, SMALL)
+    report = memory.compact_memory(fragments.select("customer_id").distinct(), fragments)
+    same(got, memory.compacted_fragments(report))
+    assert got.count() == got.select("customer_id").distinct().count() == fragments.select("customer_id").distinct().count()
+
+
+def fragment_table(customers, start=0):
+    import datetime as dt
+
+    n = len(customers)
+    return pa.table({
+        "fragment_id": list(range(start, start + n)), "customer_id": pa.array(customers, pa.string()), "channel": ["web"] * n,
+        "ts": pa.array([dt.datetime(2026, 1, 1 + (start + i) % 20) for i in range(n)], pa.timestamp("us")),
+        "summary": [f"line {start + i}" for i in range(n)], "severity": ["LOW"] * n, "is_compacted_summary": [False] * n})
+
+
+def test_a_batch_reads_and_writes_only_its_customers_buckets(spark, tmp_path):
+    """Text keys; the second batch has one customer, the third none, and the same input again changes nothing."""
+    source, out = tmp_path / "source", tmp_path / "out"
+    source.mkdir()
+    people = [f"c{i}" for i in range(40)]
+
+    def run():
+        stream = tables.stream_files(spark, str(source), max_files=1)
+        return jobs.stream_compacted_memory(spark, stream, str(out), 8)
+
+    deliver(source, [fragment_table(people)])
+    assert run().count() == 40
+    before = tables.named_buckets(spark, str(out))
+    assert set(before.values()) == {0} and len(before) > 4
+    deliver(source, [fragment_table(["c7"], 119), fragment_table([None], 200)], 1)
+    assert {r.customer_id: r.summary for r in run().collect()} == {
+        p: "[web] line 119" if p == "c7" else f"[web] line {i}" for i, p in enumerate(people)}
+    after = tables.named_buckets(spark, str(out))
+    assert sorted(after.values())[-1] == 1 and sum(after[b] != before[b] for b in before) == 1
+    files = snapshot_files(out)
+    run()
+    assert snapshot_files(out) == files
+
+
+def test_a_snapshot_that_was_not_named_is_not_read(spark, tmp_path, monkeypatch):
+    """A batch is lost before its pointer is written, and once after; tried again it gives the same rows."""
+    source, out = tmp_path / "source", tmp_path / "out"
+    source.mkdir()
+    name, lost = tables.name_buckets, []
+
+    def lose(session, buckets, batch_id, path):
+        if batch_id == 1 and not lost:
+            lost.append("before")
+            raise RuntimeError("lost before the pointer")
+        name(session, buckets, batch_id, path)
+        if batch_id == 1 and len(lost) == 1:
+            lost.append("after")
+            raise RuntimeError("lost after the pointer")
+
+    monkeypatch.setattr(tables, "name_buckets", lose)
+    deliver(source, [fragment_table(["a", "b"]), fragment_table(["a"], 5)])
+
+    def run():
+        return jobs.stream_compacted_memory(spark, tables.stream_files(spark, str(source), max_files=1), str(out), 4)
+
+    def digests():
+        shape = T.StructType([T.StructField("customer_id", T.StringType()), T.StructField("fragments", T.LongType())])
+        rows = tables.read_buckets(spark, f"{out}/digests", shape, tables.named_buckets(spark, str(out)))
+        return {r[0]: r[1] for r in rows.collect()}
+
+    with pytest.raises(Exception, match="lost before"):
+        run()
+    assert digests() == {"a": 1, "b": 1}
+    with pytest.raises(Exception, match="lost after"):
+        run()
+    assert digests() == {"a": 2, "b": 1}
+    assert run().count() == 2
+    assert digests() == {"a": 2, "b": 1}
+
+
+def test_undated_notifications_are_looked_up_by_bucket(spark, tmp_path):
+    """Sixty notifications without a date, delivered in two batches: dealt over partitions, each stored once."""
+    import base64
+    import json
+
+    bodies = [{"bucket": "b", "name": str(i), "generation": "1"} for i in range(60)]
+    raw = [json.dumps({"message": {"data": base64.b64encode(json.dumps(b).encode()).decode()}}) for b in bodies]
+    (tmp_path / "source").mkdir()
+    deliver(tmp_path / "source", [pa.table({"raw": raw}), pa.table({"raw": raw[:30]})])
+    objects = spark.createDataFrame([], "bucket string, name string, content string")
+    stream = tables.stream_files(spark, str(tmp_path / "source"), max_files=1)
+    jobs.stream_ingest(spark, stream, objects, str(tmp_path / "out"), now=F.lit("NOW"), undated_buckets=8)
+    seen = spark.read.parquet(str(tmp_path / "out" / "seen" / "rows"))
+    days = {r[0]: r[1] for r in seen.groupBy("created_day").count().collect()}
+    assert sum(days.values()) == 60 == seen.select("object_key").distinct().count()
+    assert 5 <= len(days) <= 8 and all(d.startswith("undated-") for d in days) and max(days.values()) < 30

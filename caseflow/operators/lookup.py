@@ -16,6 +16,8 @@ CREDIT_LIMIT = 25_000.00
 GRAM = 3
 # A list up to this length is sent to every task.
 LISTED_ROWS = 250_000
+# Below this, one file may be a single task's work, and dealing it out costs little.
+SMALL_BYTES = 1 << 30
 
 
 def cents(amount: Column) -> Column:
@@ -137,6 +139,15 @@ def _listed(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= LISTED_ROWS else df
 
 
+def _dealt(df: DataFrame, id_column: str) -> DataFrame:
+    """A small input in few files dealt to all cores; a larger one has enough pieces and is left as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if size > SMALL_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, F.xxhash64(id_column))
+
+
 def substring_hits(
     texts: DataFrame, words: DataFrame, keys: Sequence[str], id_column: str, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -159,9 +170,10 @@ def substring_hits(
     asked = words.select(*keys, "word", F.explode(own).alias("gram")).where(F.length("gram") == length)
     asked = _stored(asked, "asked-grams")
     needed = _listed(_stored(asked.select(*keys, "gram").distinct(), "needed-grams"))
-    field = texts.select(*keys, id_column, F.explode("fields").alias("field"))
+    field = _dealt(texts, id_column).select(*keys, id_column, F.explode("fields").alias("field"))
     index = field.select(*keys, id_column, F.explode(_grams(F.col("field"), sizes)).alias("gram"))
-    index = _stored(index.join(needed, [*keys, "gram"], "left_semi").distinct(), "gram-index")
+    # Two fields of a text may give the same row twice; the set of candidates below has each once.
+    index = _stored(index.join(needed, [*keys, "gram"], "left_semi"), "gram-index")
 
     often = index.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
     # The grams of one word.

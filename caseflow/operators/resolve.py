@@ -5,6 +5,8 @@ These decide and document; nothing is issued, shipped or posted.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ def stable_id(prefix: str, *keys: Column, digits: int = ID_DIGITS) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.left(F.sha2(text, 256), F.lit(digits))))
 
 
-def file_disputes(txs: DataFrame, limit: float = fixed.DISPUTE_LIMIT) -> DataFrame:
+def file_disputes(
+    txs: DataFrame, limit: float = fixed.DISPUTE_LIMIT, keep: Sequence[str] = ()
+) -> DataFrame:
     """One decision per transaction: an error, a stop for approval, or a credit.
 
     ``txs`` has ``transaction_id``, ``customer_id``, ``amount``, ``merchant``, ``approved`` and
-    ``token``. Checks come before the gate.
+    ``token``; the columns to ``keep`` are carried along. Checks come before the gate.
     """
     rows = checked(txs, transaction_checks("transaction_id", "amount", "merchant"))
     gate = approval_gate(F.col("amount"), limit, F.col("approved"), F.col("token"))
@@ -48,6 +52,7 @@ def file_disputes(txs: DataFrame, limit: float = fixed.DISPUTE_LIMIT) -> DataFra
         F.when(posted, stable_id("DSP-", F.col("transaction_id"))).alias("case_id"),
         F.when(posted, F.col("amount")).alias("credit"),
         F.when(posted, fixed.DISPUTE_DAYS).alias("resolution_days"),
+        *keep,
     )
 
 
@@ -151,6 +156,28 @@ def resolve_cases(
     )
 
 
+def case_disputes(
+    resolved: DataFrame, charges: DataFrame, disputed: Column | None = None, limit: float = fixed.DISPUTE_LIMIT,
+    *, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """All disputes of every resolved case, one row per flagged charge, decided like any other dispute.
+
+    ``resolved`` is the result of ``resolve_cases``; only its successes file disputes. ``charges`` has ``case_id``,
+    ``transaction_id``, ``amount``, ``merchant`` and ``token``; within a confirmed resolution they count as
+    approved. ``disputed`` is the switch of a case, an expression over ``resolved``: a case for which it is false or
+    null has no rows here and is resolved all the same. A case without charges has none either, and a case id that
+    occurs twice counts once.
+    """
+    chosen = resolved.filter((F.col("status") == "SUCCESS") & (F.lit(True) if disputed is None else disputed))
+    chosen = chosen.groupBy("case_id").agg(F.min("customer_id").alias("customer_id"))
+    rows = spread_join(
+        charges.select("case_id", "transaction_id", "amount", "merchant", "token"), chosen, ["case_id"], ["transaction_id"],
+        hot_rows=hot_rows,
+    )
+    rows = rows.withColumnRenamed("case_id", "_case").withColumn("approved", F.lit(True))
+    return file_disputes(rows, limit, ["_case"]).withColumnsRenamed({"case_id": "dispute_id", "_case": "case_id"})
+
+
 def policy_support(policies: DataFrame, rules: KeywordRules = fixed.CLAIM_RULES) -> DataFrame:
     """How many policies speak of each claim scenario: one pass, one row per scenario."""
     text = F.col("_text")

@@ -353,6 +353,12 @@ def resolve_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def case_disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The disputes of every resolved case; every fifth case leaves them out."""
+    cases = resolve.resolve_cases(mapping.open_cases(spark, sf_dir), mapping.GATE_LIMIT, mapping.CARD_LIMIT)
+    return resolve.case_disputes(cases, mapping.case_charges(spark, sf_dir), F.col("case_id") % 5 != 0, mapping.CHARGE_LIMIT)
+
+
 # --- ingest -----------------------------------------------------------------------------------
 
 
@@ -464,6 +470,7 @@ QUERIES: dict[str, Query] = {
         file_disputes,
         dispute_totals,
         resolve_cases,
+        case_disputes,
         decode_notifications,
         attach_content,
         metadata_rows,

@@ -262,6 +262,7 @@ CLAIM_WORDS = [
     for (label, words), extra in zip(fixed.CLAIM_RULES, ["with", "from", "und ", "que "])
 ]
 GATE_LIMIT = 250_000.0
+CHARGE_LIMIT = 30_000.0
 CARD_LIMIT = 9_000.0
 REQUIRED_CHANNELS = ["click", "error", "purchase", "signup"]
 NOW = "2026-01-01T00:00:00Z"
@@ -375,6 +376,18 @@ def disputable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def case_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as the flagged charges of its case: some without a merchant, some with a token."""
+    returned = F.col("l_returnflag")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"),
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("transaction_id"),
+        F.col("l_extendedprice").alias("amount"),
+        F.when(returned == "A", " ").otherwise(F.col("l_suppkey").cast("string")).alias("merchant"),
+        F.when(returned == "R", "token").alias("token"),
+    )
+
+
 def flawed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with every kind of input error, told by their own values."""
     priority, status, amount = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")

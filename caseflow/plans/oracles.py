@@ -713,6 +713,25 @@ SELECT {_stable_id("clm-", "customer_id || '|' || turn")}, customer_id, 'CLAIM',
 FROM ({ORACLES["claim_veracity"]}) AS t WHERE status = 'VERIFIED_TRUE'""",
 }
 
+ORACLES |= {
+    "case_disputes": f"""
+WITH c AS (SELECT case_id, customer_id FROM ({ORACLES["resolve_cases"]}) AS t WHERE status = 'SUCCESS' AND case_id % 5 <> 0),
+d AS (
+  SELECT case_id, customer_id, l_orderkey || '-' || l_linenumber AS transaction_id, l_extendedprice AS amount,
+         CASE WHEN l_extendedprice <= 0 THEN 'INVALID_AMOUNT' WHEN l_returnflag = 'A' THEN 'EMPTY_MERCHANT' END AS error_type,
+         l_extendedprice > 30000 AND l_returnflag <> 'R' AS stopped
+  FROM c JOIN lineitem ON l_orderkey = case_id
+),
+s AS (
+  SELECT *, CASE WHEN error_type IS NOT NULL THEN 'ERROR' WHEN stopped THEN 'APPROVAL_REQUIRED' ELSE 'PROVISIONAL_CREDIT_POSTED' END AS status,
+         error_type IS NULL AND NOT stopped AS posted
+  FROM d
+)
+SELECT transaction_id, customer_id, status, error_type, CASE WHEN posted THEN {_stable_id("DSP-", "transaction_id")} END AS dispute_id,
+       CASE WHEN posted THEN amount END AS credit, CASE WHEN posted THEN 10 END AS resolution_days, case_id
+FROM s""",
+}
+
 # A streaming query answers what its batch form answers.
 ORACLES |= {
     "stream_velocity": ORACLES["velocity_alerts"],

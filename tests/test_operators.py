@@ -542,3 +542,20 @@ def test_long_rule_tables_are_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(lookup, "LISTED_ROWS", 0)
     assert rows(lookup.match_rules(items, table, "id", "text", hot_rows=20), "id", "label") == want
     assert want[:4] == [(0, "l0"), (1, "l1"), (2, "l2"), (3, "c")]
+
+
+def test_case_disputes(spark):
+    """Several charges of a case; failed cases and those whose switch is off or missing have none."""
+    cases = spark.createDataFrame(
+        [(1, 7, "SUCCESS", True), (1, 7, "SUCCESS", True), (2, 8, "ERROR", True), (3, 9, "SUCCESS", False), (4, 9, "SUCCESS", None),
+         (5, 9, "SUCCESS", True)], "case_id int, customer_id int, status string, dispute boolean")
+    charges = spark.createDataFrame(
+        [(c, f"{c}-{n}", amount, merchant, token) for c in (1, 2, 3, 4, 6, None) for n, amount, merchant, token in (
+            (1, 10.0, "shop", None), (2, 900.0, "shop", None), (3, 900.0, "shop", "t"), (4, 10.0, " ", None), (5, -1.0, "shop", None))],
+        "case_id int, transaction_id string, amount double, merchant string, token string")
+    got = resolve.case_disputes(cases, charges, F.col("dispute"), 500.0, hot_rows=2)
+    posted, stopped = "PROVISIONAL_CREDIT_POSTED", "APPROVAL_REQUIRED"
+    assert rows(got, "case_id", "customer_id", "transaction_id", "status", "credit") == [
+        (1, 7, "1-1", posted, 10.0), (1, 7, "1-2", stopped, None), (1, 7, "1-3", posted, 900.0), (1, 7, "1-4", "ERROR", None),
+        (1, 7, "1-5", "ERROR", None)]
+    assert resolve.case_disputes(cases, charges, None, 500.0).select("case_id").distinct().count() == 3

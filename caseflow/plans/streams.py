@@ -19,7 +19,7 @@ SNAPSHOT_BUCKETS = 16
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.stream_files(spark, sf_dir, "events.parquet")
+    return tables.stream_table(spark, sf_dir, "events")
 
 
 PIECES = 3
@@ -194,7 +194,7 @@ def stream_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    raw = mapping.notifications_from(tables.stream_files(spark, sf_dir, "documents.parquet"))
+    raw = mapping.notifications_from(tables.stream_table(spark, sf_dir, "documents"))
     return jobs.stream_ingest(
         spark,
         raw,

@@ -28,6 +28,19 @@ def stream_files(
     return reader.parquet(path)
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream, be it one parquet file or a folder of them.
+
+    A stream reads folders only, so a single file is picked out of the folder it lies in.
+    """
+    file = f"{name}.parquet"
+    path = f"{sf_dir.rstrip('/')}/{file}"
+    files = spark.read.parquet(path).inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{file}") and not files[0].endswith(f"/{file}/{file}"):
+        return stream_files(spark, sf_dir, file)
+    return stream_files(spark, path, "*")
+
+
 def write_version(
     batch: DataFrame, batch_id: int, path: str, partitions: Sequence[str] = ()
 ) -> None:

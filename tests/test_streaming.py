@@ -426,3 +426,37 @@ def test_undated_notifications_are_looked_up_by_bucket(spark, tmp_path):
     days = {r[0]: r[1] for r in seen.groupBy("created_day").count().collect()}
     assert sum(days.values()) == 60 == seen.select("object_key").distinct().count()
     assert 5 <= len(days) <= 8 and all(d.startswith("undated-") for d in days) and max(days.values()) < 30
+
+
+@pytest.mark.parametrize("layout", ["file", "folder", "one file in a folder", "partitioned"])
+def test_a_table_is_streamed_from_a_file_or_a_folder(spark, tmp_path, layout):
+    """Other tables lie beside it, a folder among them."""
+    rows = pa.table({"n": list(range(10)), "lang": ["en", "de"] * 5})
+    pq.write_table(rows, tmp_path / "other.parquet")
+    (tmp_path / "more.parquet").mkdir()
+    pq.write_table(rows, tmp_path / "more.parquet" / "part-0.parquet")
+    at = tmp_path / "things.parquet"
+    if layout == "partitioned":
+        pq.write_to_dataset(rows, at, partition_cols=["lang"])
+    elif layout == "file":
+        pq.write_table(rows, at)
+    else:
+        at.mkdir()
+        cuts = [0, 10] if layout == "one file in a folder" else [0, 4, 10]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            pq.write_table(rows.slice(a, b - a), at / ("things.parquet" if len(cuts) == 2 else f"part-{i}.parquet"))
+    tables.run_available(tables.stream_table(spark, f"{tmp_path}/", "things"), str(tmp_path / "out"), "append")
+    got = spark.read.parquet(f"{tmp_path}/out/rows").collect()
+    assert sorted((r.n, r.lang) for r in got) == sorted(zip(*rows.to_pydict().values()))
+
+
+def test_ingest_reads_documents_in_a_folder(spark, tmp_path):
+    from caseflow.plans import streams
+
+    docs = pq.read_table(f"{SMALL}/documents.parquet")
+    (tmp_path / "documents.parquet").mkdir()
+    half = docs.num_rows // 2
+    for i, part in enumerate([docs.slice(0, half), docs.slice(half)]):
+        pq.write_table(part, tmp_path / "documents.parquet" / f"part-{i}.parquet")
+    for query in (streams.stream_ingest, streams.stream_rejects):
+        same(query(spark, str(tmp_path)), query(spark, SMALL))

@@ -23,6 +23,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PIECES = 3
+ROWS_A_FILE = 500_000
 
 
 def in_pieces(spark: SparkSession, df: DataFrame, order: Column, last: DataFrame | None = None) -> DataFrame:
@@ -31,16 +32,19 @@ def in_pieces(spark: SparkSession, df: DataFrame, order: Column, last: DataFrame
     Rows without an order come with the first.
     """
     folder = work_dir(spark, "pieces")
-    cuts = df.agg(F.percentile_approx(order, [i / PIECES for i in range(1, PIECES)], 10_000)).first()[0] or []
-    edges = [None, *cuts, None]
+    middle = F.percentile_approx(order, [i / PIECES for i in range(1, PIECES)], 10_000)
+    cuts, rows = df.agg(middle, F.count("*")).first()
+    # Every piece has as many files as one micro-batch takes up.
+    files = max(2, -(-rows // (PIECES * ROWS_A_FILE)))
+    edges = [None, *(cuts or []), None]
     for low, high in zip(edges, edges[1:]):
         piece = df if low is None else df.filter(order > low)
         piece = piece if high is None else piece.filter((order <= high) if low is not None else (order <= high) | order.isNull())
         # one write after the other, so that files are taken up in this order
-        piece.repartition(2).write.mode("append").parquet(folder)
+        piece.repartition(files).write.mode("append").parquet(folder)
     if last is not None:
-        last.repartition(2).write.mode("append").parquet(folder)
-    return tables.stream_files(spark, folder, max_files=2)
+        last.repartition(files).write.mode("append").parquet(folder)
+    return tables.stream_files(spark, folder, max_files=files)
 
 
 def events_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

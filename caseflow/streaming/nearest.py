@@ -1,7 +1,8 @@
 """The nearest earlier and later rows of each row, on a stream, kept in the engine's keyed state.
 
-Rows go by key and time slot, so a key with a third of all rows is spread over its slots. What a slot
-needs from its neighbours is handed on with the rows: one that lies within reach of a slot's edge goes
+Keys are dealt to a fixed number of shares by hash, and rows go by share and time slot. A share is one key of
+the engine's state and holds many keys' rows, since a call of the state costs far more than a row of it. A
+key with a third of all rows is spread over its slots. What a slot needs from its neighbours is handed on with the rows: one that lies within reach of a slot's edge goes
 to the next slot as well, as context that is not answered there. Every slot can so be judged alone.
 
 A row waits until the watermark passes its time; then its place in the order is final. It is answered as
@@ -29,10 +30,13 @@ DAY_US = 24 * 60 * MINUTE_US
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ANSWER, LATE, NO_TIME = "answer", "late", "no time"
-# Rows without a time are dealt to this many keys, since one key may have very many of them.
-NO_TIME_SHARES = 256
+# Fixed for a checkpoint's life. A share is in memory as a whole when its timer fires.
+SHARES = 512
 
-_ROW = "us bigint, asks boolean, before boolean, after boolean, body string"
+_ROW = "us bigint, asks boolean, before boolean, after boolean, body string, who string"
+_HELD = "who string, opened string, last string, due bigint"
+_GROUP = ["share", "slot"]
+CHUNK = 10_000
 _OUT = "kind string, us bigint, body string, prev string, next string"
 
 
@@ -54,6 +58,7 @@ class Spec:
     reach_after_us: int = 0
     delay_us: int = 60 * MINUTE_US
     slot_us: int = 32 * DAY_US
+    shares: int = SHARES
 
     @property
     def width(self) -> int:
@@ -67,14 +72,14 @@ def _dealt(rows: DataFrame, spec: Spec) -> DataFrame:
     slot = F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width))
     later = F.when(spec.before & ((slot + 1) * width - us <= spec.reach_before_us), slot + 1)
     earlier = F.when(spec.after & (us - slot * width < spec.reach_after_us), slot - 1)
-    lost = F.pmod(F.xxhash64(*rows.columns), F.lit(NO_TIME_SHARES))
-    slots = F.when(us.isNull(), F.array(lost)).otherwise(F.array_compact(F.array(slot, later, earlier)))
+    # Rows without a time keep no state, and one key may have very many of them: they go by the whole row.
+    keys = [F.col(k).cast("string") for k in spec.keys]
+    share = F.pmod(F.when(us.isNull(), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*keys)), F.lit(spec.shares))
+    slots = F.when(us.isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.array_compact(F.array(slot, later, earlier)))
     body = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
     keyed = rows.select(
-        *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"key_{k}") for k in spec.keys],
-        *[F.col(k).isNull().alias(f"none_{k}") for k in spec.keys],
-        us.alias("us"), spec.asks.alias("asks"), spec.before.alias("before"), spec.after.alias("after"),
-        body.alias("body"), slot.alias("home_slot"), F.explode(slots).alias("slot"),
+        share.alias("share"), us.alias("us"), spec.asks.alias("asks"), spec.before.alias("before"), spec.after.alias("after"),
+        body.alias("body"), F.to_json(F.array(*keys)).alias("who"), slot.alias("home_slot"), F.explode(slots).alias("slot"),
     )
     home = F.coalesce(F.col("slot") == F.col("home_slot"), F.lit(True))
     return keyed.withColumn("home", home).withColumn("asks", F.col("asks") & home).drop("home_slot")
@@ -93,61 +98,84 @@ def _processor(order: tuple[str, ...], reach_after_us: int, seeks_after: bool, w
         body = json.loads(row[4]) if len(order) > 1 else {}
         return (row[0], *[(body[c] is not None, body[c]) for c in order[1:]])
 
+    def ordered(rows: list[tuple]) -> list[tuple]:
+        """Only rows of one time need the further columns, which are in the body."""
+        alike = len({r[0] for r in rows}) < len(rows)
+        return sorted(rows, key=place if alike else lambda r: r[0])
+
     class Nearest(StatefulProcessor):
-        """``waiting`` has the rows whose place is not final, ``held`` those that were placed and the last one."""
+        """``waiting`` has the rows whose place is not final, ``held`` each key's rows that were placed and its last one."""
 
         def init(self, handle) -> None:
             self.handle = handle
             self.waiting = handle.getListState("waiting", _ROW)
-            self.held = handle.getValueState("held", "held string")
+            self.held = handle.getListState("held", _HELD)
+
+        def wake(self, us: int, watermark: int) -> None:
+            """One timer a share, the first that is due, does for all its rows."""
+            due = us // 1000 + 1
+            if not any(watermark < t * 1000 and t <= due for t in list(self.handle.listTimers())):
+                self.handle.registerTimer(due)
 
         def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
             watermark = timerValues.getCurrentWatermarkInMs() * 1000
-            new, out = [], []
+            new = []
             for frame in rows:
-                for us, home, *row in zip(*[frame[c].tolist() for c in ("us", "home", "asks", "before", "after", "body")]):
+                out = []
+                for us, home, *row in zip(*[frame[c].tolist() for c in ("us", "home", "asks", "before", "after", "body", "who")]):
                     us = None if us is None or us != us else int(us)
                     if us is not None and us > watermark:
                         new.append((us, *row))
                     elif home:
-                        out.append((NO_TIME if us is None else LATE, us, row[-1], None, None))
+                        out.append((NO_TIME if us is None else LATE, us, row[3], None, None))
+                if out:
+                    yield pd.DataFrame(out, columns=outputs)
             if new:
+                # In one call: of several changes of a list in one batch the state may keep only some.
                 self.waiting.appendList(new)
-                self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
-            if out:
-                yield pd.DataFrame(out, columns=outputs)
+                self.wake(min(r[0] for r in new), watermark)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             watermark = timerValues.getCurrentWatermarkInMs() * 1000
-            waiting = list(self.waiting.get())
-            held = self.held.get()
-            opened, last = json.loads(held[0]) if held else ([], None)
-            rest, out = [r for r in waiting if r[0] > watermark], []
-            for us, asks, before, after, body in sorted((r for r in waiting if r[0] <= watermark), key=place):
-                if after and opened:
-                    out += [(ANSWER, *row, body) for row in opened]
-                    opened = []
-                if asks and seeks_after:
-                    opened.append((us, body, last))
-                elif asks:
-                    out.append((ANSWER, us, body, last, None))
-                if before:
-                    last = body
-            out += [(ANSWER, *row, None) for row in opened if row[0] + reach_after_us <= watermark]
-            opened = [row for row in opened if row[0] + reach_after_us > watermark]
             end = (int(key[-1]) + 1) * width + reach_after_us
-            last = last if end > watermark else None
-            if len(rest) < len(waiting):
+            placed, rest, kept, known, out = {}, [], [], {}, []
+            for row in self.waiting.get():
+                if row[0] <= watermark:
+                    placed.setdefault(row[5], []).append(row)
+                else:
+                    rest.append(row)
+            for row in self.held.get():
+                if row[0] in placed or row[3] <= watermark:
+                    known[row[0]] = (json.loads(row[1]), row[2])
+                else:
+                    kept.append(row)
+            for who in placed.keys() | known.keys():
+                opened, last = known.get(who, ([], None))
+                for us, asks, before, after, body, _ in ordered(placed.get(who, [])):
+                    if after and opened:
+                        out += [(ANSWER, *row, body) for row in opened]
+                        opened = []
+                    if asks and seeks_after:
+                        opened.append((us, body, last))
+                    elif asks:
+                        out.append((ANSWER, us, body, last, None))
+                    if before:
+                        last = body
+                out += [(ANSWER, *row, None) for row in opened if row[0] + reach_after_us <= watermark]
+                opened = [row for row in opened if row[0] + reach_after_us > watermark]
+                last = last if end > watermark else None
+                if opened or last is not None:
+                    due = min([r[0] + reach_after_us for r in opened] + [end] * (last is not None))
+                    kept.append((who, json.dumps(opened), last, due))
+            if placed:
                 self.waiting.put([tuple(r) for r in rest]) if rest else self.waiting.clear()
-            if opened or last is not None:
-                self.held.update((json.dumps([opened, last]),))
-            elif held:
-                self.held.clear()
-            due = [r[0] for r in rest] + [r[0] + reach_after_us for r in opened] + [end] * (last is not None)
+            if placed or known:
+                self.held.put([tuple(r) for r in kept]) if kept else self.held.clear()
+            due = [r[0] for r in rest] + [r[3] for r in kept]
             if due:
-                self.handle.registerTimer(min(due) // 1000 + 1)
-            if out:
-                yield pd.DataFrame(out, columns=outputs)
+                self.wake(min(due), watermark)
+            for i in range(0, len(out), CHUNK):
+                yield pd.DataFrame(out[i : i + CHUNK], columns=outputs)
 
         def close(self) -> None:
             pass
@@ -166,10 +194,6 @@ def _state_store(spark: SparkSession):
         spark.conf.set(PROVIDER, before)
 
 
-def _names(spec: Spec) -> list[str]:
-    return [*[f"key_{k}" for k in spec.keys], *[f"none_{k}" for k in spec.keys], "slot"]
-
-
 def take_in(rows: DataFrame, path: str, spec: Spec) -> None:
     """Answer what has arrived, one output version for each micro-batch.
 
@@ -178,7 +202,7 @@ def take_in(rows: DataFrame, path: str, spec: Spec) -> None:
     """
     seen = rows.withColumn("event_time", F.timestamp_micros(F.col(spec.order[0])))
     seen = seen.withWatermark("event_time", f"{spec.delay_us // 1000} milliseconds").drop("event_time")
-    answered = _dealt(seen, spec).groupBy(*_names(spec)).transformWithStateInPandas(
+    answered = _dealt(seen, spec).groupBy(*_GROUP).transformWithStateInPandas(
         statefulProcessor=_processor(spec.order, spec.reach_after_us, spec.reach_after_us > 0, spec.width),
         outputStructType=_OUT,
         outputMode="append",
@@ -195,16 +219,15 @@ def _still_open(spark: SparkSession, path: str, spec: Spec, schema: str, hot_row
         reader = spark.read.format("statestore").option("path", f"{path}/checkpoint").option("stateVarName", name)
         return reader.load()
 
-    names = _names(spec)
+    names = ["who", "slot"]
     with _state_store(spark):
-        waiting = state("waiting").select("key.*", "list_element.*")
-        held = state("held").select("key.*", F.from_json(F.concat(F.lit('{"held":'), "value.held", F.lit("}")), "held array<string>")["held"].alias("held"))
+        waiting = state("waiting").select("key.slot", "list_element.*")
+        held = state("held").select("key.slot", "list_element.*")
     place = F.from_json("body", schema)[spec.order[0]]
-    pairs = F.from_json(F.col("held")[0], "array<array<string>>")
-    opened = held.select(*names, F.explode(pairs).alias("row")).select(
+    opened = held.select(*names, F.explode(F.from_json("opened", "array<array<string>>")).alias("row")).select(
         *names, F.col("row")[0].cast("bigint").alias("us"), F.col("row")[1].alias("body"), F.col("row")[2].alias("prev")
     )
-    last = held.where(F.col("held")[1].isNotNull()).select(*names, F.col("held")[1].alias("body"))
+    last = held.where("last IS NOT NULL").select(*names, F.col("last").alias("body"))
 
     def marked(df: DataFrame, **flags: bool | str | None) -> DataFrame:
         return df.withColumns({c: F.lit(v).cast("string" if c == "prev" else "boolean") for c, v in flags.items()})

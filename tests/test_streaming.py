@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partialmethod
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from caseflow.operators import correlate, memory, spans, usage
 from caseflow.plans import mapping
 from caseflow.sources import notifications
-from caseflow.streaming import jobs, tables
+from caseflow.streaming import jobs, nearest, tables
 from tests.conftest import SMALL
 
 HOUR = 3_600_000_000
@@ -77,6 +79,24 @@ def test_velocity(spark, tmp_path, pieces):
     assert versions.select("batch_id").distinct().count() > 3
 
 
+@pytest.mark.parametrize("shares", [1, 3])
+def test_many_keys_share_one_state(spark, tmp_path, pieces, monkeypatch, shares):
+    """One key of the state holds many users, in many pieces, and gives what one for each user gives."""
+    monkeypatch.setattr(nearest.Spec, "__init__", partialmethod(nearest.Spec.__init__, shares=shares))
+    monkeypatch.setattr(nearest, "CHUNK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = in_two_runs(
+            spark, tmp_path, pieces,
+            lambda s, path: jobs.stream_span_pairs(spark, mapping.spans_from(s), path, 3000, delay_minutes=720, slot_us=SLOT, hot_rows=20),
+        )
+        same(got, spans.span_pairs(mapping.spans(spark, SMALL), 3000))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = spark.read.format("statestore").option("path", f"{tmp_path}/out/checkpoint").option("stateVarName", "held").load()
+    assert {r[0] for r in keys.select("key.share").distinct().collect()} == set(range(shares))
+
+
 def test_rows_later_than_the_delay_are_listed(spark, tmp_path, pieces):
     """Nothing is lost: a row is answered, waits, or is listed as late."""
     places = mapping.locations(spark, SMALL)

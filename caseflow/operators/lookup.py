@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from caseflow.functions.contained import finder
 from caseflow.functions.text import SPACES, strip
 from caseflow.operators.ordered import HOT_ROWS
 from caseflow.operators.skew import spread_join
@@ -16,6 +18,8 @@ CREDIT_LIMIT = 25_000.00
 GRAM = 3
 # A list up to this length is sent to every task.
 LISTED_ROWS = 250_000
+# A list of words up to this length and size is.
+LISTED_WORDS, LISTED_BYTES = 250_000, 64 << 20
 # Below this, one file may be a single task's work, and dealing it out costs little.
 SMALL_BYTES = 1 << 30
 
@@ -156,12 +160,46 @@ def substring_hits(
     ``texts`` has the keys, an id and ``fields``, an array of texts to look in; ``words`` the keys and ``word``,
     not empty. A word is looked for in the texts with the same keys.
 
+    A list of words that is counted to be short is indexed by the words' beginnings and sent to every task, and each
+    text is read once, past that index. A longer list stays where it is; there the texts are indexed.
+    """
+    words = _stored(words.where("word IS NOT NULL").select(*keys, "word").distinct(), "words")
+    count, size = words.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
+    if count <= LISTED_WORDS and (size or 0) <= LISTED_BYTES:
+        return _listed_hits(texts, words, keys, id_column, hot_rows)
+    return _indexed_hits(texts, words, keys, id_column, hot_rows)
+
+
+def _listed_hits(texts: DataFrame, words: DataFrame, keys: Sequence[str], id_column: str, hot_rows: int) -> DataFrame:
+    """The words of each text, found in the task that has the text; the list of words goes round."""
+    listed = words.groupBy(*keys).agg(F.collect_list(F.col("word").cast("binary")).alias("_words"))
+    listed = _stored(listed.withColumn("_list", F.monotonically_increasing_id()), "word-lists")
+    lists = words.sparkSession.sparkContext.broadcast(
+        {r["_list"]: [bytes(w) for w in r["_words"]] for r in listed.select("_list", "_words").collect()}
+    )
+    numbers = listed.select(*keys, "_list")
+    # A text without an id, like one without a key, is never found.
+    asked = _dealt(texts, id_column).where(F.col(id_column).isNotNull())
+    if keys:
+        asked = spread_join(asked, numbers, keys, [id_column], hot_rows=hot_rows)
+    else:
+        asked = asked.withColumn("_list", F.lit(numbers.first()["_list"]))
+    fields = F.transform("fields", lambda f: f.cast("binary")).alias("fields")
+    asked = asked.select(*keys, id_column, "_list", fields)
+    schema = T.StructType([*asked.select(*keys, id_column).schema.fields, T.StructField("_words", T.ArrayType(T.BinaryType()))])
+    find = finder()
+    found = asked.mapInArrow(lambda batches: find(batches, lists.value), schema)
+    return found.select(*keys, id_column, F.explode(F.col("_words").cast("array<string>")).alias("word")).select(*keys, "word", id_column)
+
+
+def _indexed_hits(texts: DataFrame, words: DataFrame, keys: Sequence[str], id_column: str, hot_rows: int) -> DataFrame:
+    """``substring_hits`` for long lists of words.
+
     An inverted index holds, for every substring of up to three characters that some word has, the ids of the
     texts with it. A word is looked up by its two rarest substrings; the ids that both have are candidates. Only
     then are texts fetched, each once with all of its candidates, and tested. A word with a
     substring that is nowhere is done without any text.
     """
-    words = _stored(words.select(*keys, "word").distinct(), "words")
     length = F.least(F.length("word"), F.lit(GRAM))
     sizes = sorted(r[0] for r in words.select(length.alias("n")).distinct().collect())  # three numbers at most
     if not sizes:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseflow.functions.text import CARD_NUMBER, IDENTITY_NUMBER
 from caseflow.functions.redact import redact_columns
+from caseflow.functions import contained as finder_module
 from caseflow.operators import correlate, lookup, memory, resolve, scoring, spans, usage, validate
 from caseflow.plans import mapping
 from tests.conftest import SMALL
@@ -150,6 +152,36 @@ def test_substring_hits_equal_brute_force(spark):
     assert len(want) > 100
 
 
+@pytest.mark.parametrize("listed", [0, 250_000])
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_long_and_short_lists_of_words_find_the_same(spark, monkeypatch, listed, keys):
+    """Phrases, spaces alone, ids that come twice or are missing; both ways give a row for each text and word in it."""
+    rnd = random.Random(11)
+    letters = ["a", "b", "ab", "é", "漢", " ", " ", "\t", "\u00a0", "\u2003", "x" * 70]
+    texts = [(None if i == 5 else i // 2 if i < 10 else i, rnd.choice([1, 2, None]), ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30))) for _ in range(2)]) for i in range(60)]
+    words = [(rnd.choice([1, 2, 3, None]), "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 5)))) for _ in range(150)]
+    words += [(1, " "), (2, " \t"), (1, None), (1, "x" * 71)]
+    monkeypatch.setattr(lookup, "LISTED_WORDS", listed)
+    monkeypatch.setattr(finder_module, "KEPT", 3)
+    asked = spark.createDataFrame(words, "k int, word string")
+    got = lookup.substring_hits(spark.createDataFrame(texts, "id int, k int, fields array<string>"), asked, keys, "id", hot_rows=9)
+    pairs = {((k,) if keys else ()) + (w,) for k, w in words if w is not None and not (keys and k is None)}
+    want = sorted((*p, i) for p in pairs for i, own, fields in texts if i is not None and (not keys or p[0] == own) and any(p[-1] in f for f in fields))
+    assert rows(got, *keys, "word", "id") == want
+    assert len(want) > 100
+
+
+def test_a_short_list_of_words_makes_no_index_of_the_texts(spark, monkeypatch):
+    """What is written grows with the words, not with the texts."""
+    stored = []
+    real = lookup._stored
+    monkeypatch.setattr(lookup, "_stored", lambda df, name: stored.append(name) or real(df, name))
+    texts = spark.createDataFrame([(i, [f"common {i}"]) for i in range(50)], "id int, fields array<string>")
+    got = lookup.substring_hits(texts, spark.createDataFrame([("common",), ("49",)], "word string"), [], "id")
+    assert got.count() == 51
+    assert stored == ["words", "word-lists"]
+
+
 def test_one_word_common_to_all_texts_is_no_single_key(spark, monkeypatch):
     """The rows of its substring are dealt to shares; the largest task's part is tested."""
     texts = spark.createDataFrame([(i, 1, [f"common {i}"]) for i in range(2000)], "id int, k int, fields array<string>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 # What was found in a short stretch of text is kept for the next time, up to so many stretches.
-KEPT, KEPT_BYTES = 200_000, 64
+KEPT, KEPT_BYTES = 100_000, 64
 
 
 def finder() -> Callable[[Iterator, dict[int, list[bytes]]], Iterator]:
@@ -19,29 +19,41 @@ def finder() -> Callable[[Iterator, dict[int, list[bytes]]], Iterator]:
 
     class Words:
         def __init__(self, words: list[bytes]) -> None:
-            self.plain, self.longer, self.begins, self.known = set(), {}, {}, {}
+            self.plain, self.longer, self.begins, self.known, self.starts = set(), {}, {}, {}, {}
             for word in words:
                 piece = max(word.split(), key=len, default=b"")
                 if piece == word:
                     self.plain.add(word)
                 else:
                     self.longer.setdefault(piece, []).append(word)
-                if piece:
+                if len(piece) > 3:
                     self.begins.setdefault(piece[:3], set()).add(len(piece))
-            self.pieces = self.plain | self.longer.keys()
-            self.sizes = sorted({len(b) for b in self.begins})
+            self.pieces = {p: p for p in (*self.plain, *self.longer) if p}
 
-        def pieces_of(self, stretch: bytes) -> frozenset[bytes]:
+        def start(self, gram: bytes) -> tuple[list[bytes], list[int]]:
+            """The pieces that three bytes begin with, and how long the longer ones are that begin with them."""
+            if len(self.starts) >= KEPT:
+                self.starts.clear()
+            short = [self.pieces[gram[:n]] for n in range(1, len(gram) + 1) if gram[:n] in self.pieces]
+            self.starts[gram] = found = short, sorted(self.begins.get(gram, ()))
+            return found
+
+        def pieces_of(self, stretch: bytes) -> tuple[bytes, ...]:
             found = self.known.get(stretch)
             if found is None:
-                found = frozenset(
-                    part
-                    for i in range(len(stretch))
-                    for size in self.sizes
-                    for n in self.begins.get(stretch[i : i + size], ())
-                    if (part := stretch[i : i + n]) in self.pieces
-                )
-                if len(stretch) <= KEPT_BYTES:
+                inside, size = set(), len(stretch)
+                for i in range(size):
+                    gram = stretch[i : i + 3]
+                    short, lengths = self.starts.get(gram) or self.start(gram)
+                    inside.update(short)
+                    for n in lengths:
+                        if n > size - i:
+                            break
+                        part = self.pieces.get(stretch[i : i + n])
+                        if part is not None:
+                            inside.add(part)
+                found = tuple(inside)
+                if size <= KEPT_BYTES:
                     if len(self.known) >= KEPT:
                         self.known.clear()
                     self.known[stretch] = found

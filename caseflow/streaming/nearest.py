@@ -119,21 +119,21 @@ def _processor(order: tuple[str, ...], reach_after_us: int, seeks_after: bool, w
 
         def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
             watermark = timerValues.getCurrentWatermarkInMs() * 1000
-            new = []
+            new, out = [], []
             for frame in rows:
-                out = []
                 for us, home, *row in zip(*[frame[c].tolist() for c in ("us", "home", "asks", "before", "after", "body", "who")]):
                     us = None if us is None or us != us else int(us)
                     if us is not None and us > watermark:
                         new.append((us, *row))
                     elif home:
                         out.append((NO_TIME if us is None else LATE, us, row[3], None, None))
-                if out:
-                    yield pd.DataFrame(out, columns=outputs)
             if new:
                 # In one call: of several changes of a list in one batch the state may keep only some.
                 self.waiting.appendList(new)
                 self.wake(min(r[0] for r in new), watermark)
+            # Only now: another share may be in hand when a generator is gone on with.
+            if out:
+                yield pd.DataFrame(out, columns=outputs)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             watermark = timerValues.getCurrentWatermarkInMs() * 1000

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.near_dedup import confirmed, signatures, unsettled
-from caseflow.llm.shared import components, documents, narrowed, small_side, stored
+from caseflow.llm.shared import components, documents, dropped, narrowed, small_side, stored
 from caseflow.llm.textkernel import RangeHash, lower_ascii, mix, run_hashes, shingles, slices, words
 
 WIDTH, BANDS, ROWS = 5, 7, 2
@@ -130,18 +130,20 @@ def _texts(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes: DataF
     """(doc_id, text): the text of one paragraph of each class, under the class's number."""
     one = narrowed(rows.select("class", "doc_id", "begin", "end"), classes, "class").join(classes, "class")
     one = stored(spark, one.dropDuplicates(["class"]), "paragraph-places")
-    texts = narrowed(documents(docs), one.select("doc_id").distinct(), "doc_id").join(one, "doc_id")
+    places = one.groupBy("doc_id").agg(F.collect_list(F.struct("class", "begin", "end")).alias("places"))
+    texts = narrowed(documents(docs), one.select("doc_id").distinct(), "doc_id").join(places, "doc_id")
 
     def run(batches):
         for batch in batches:
-            cut = [
-                t.as_buffer()[a.as_py() : b.as_py()].to_pybytes().decode()
-                for t, a, b in zip(*(batch.column(c) for c in ("text", "begin", "end")))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(cut, pa.string())], ["doc_id", "text"])
+            row, place = _flat(batch.column("places"))
+            raw = [text.as_buffer() for text in batch.column("text")]
+            spans = zip(row.tolist(), place.field("begin").to_pylist(), place.field("end").to_pylist())
+            cut = [raw[r][a:b].to_pybytes().decode() for r, a, b in spans]
+            yield pa.RecordBatch.from_arrays([place.field("class"), pa.array(cut, pa.string())], ["doc_id", "text"])
 
-    made = texts.select("class", "text", "begin", "end").mapInArrow(run, "doc_id bigint, text string")
-    return stored(spark, made.dropDuplicates(["doc_id"]), "paragraph-texts")
+    made = stored(spark, texts.select("text", "places").mapInArrow(run, "doc_id bigint, text string"), "paragraph-texts")
+    # a class comes twice only where rows repeat a doc_id
+    return made if made.count() == one.count() else stored(spark, made.dropDuplicates(["doc_id"]), "paragraph-texts")
 
 
 def _lost(windows: np.ndarray, row: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -326,16 +328,21 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80)
     Columns besides doc_id and text are ignored.
     """
     rows = stored(spark, _paragraph_rows(documents(docs).where("doc_id IS NOT NULL")), "paragraph-rows")
+    # One shuffle of narrow rows; most bands have one class, so an aggregate before it would combine little.
     buckets = rows.select("class", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("band", "a")
-    first = buckets.join(shared, "band").where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    buckets = buckets.withColumn("a", F.min("class").over(Window.partitionBy("band")))
+    first = buckets.where("class <> a").select("a", F.col("class").alias("b")).distinct()
     first = stored(spark, first, "paragraph-first")
+    # the bands are most of the bytes and have done their work
+    banded, rows = rows, stored(spark, rows.drop("bands"), "paragraph-lines")
+    dropped(spark, banded)
     classes = first.select(F.col("a").alias("class")).union(first.select(F.col("b").alias("class"))).distinct()
     texts = _texts(spark, docs, rows, stored(spark, classes, "paragraph-classes"))
     links = stored(spark, confirmed(first, texts, WIDTH, percent), "paragraph-links")
     roots = stored(spark, components(spark, links, "paragraph-one"), "paragraph-roots")
     more = stored(spark, unsettled(spark, first, roots, texts, WIDTH, percent), "paragraph-more")
     roots = stored(spark, components(spark, links.union(more), "paragraph-all"), "paragraph-final")
+    dropped(spark, texts, first)
 
     counted = rows.groupBy("class").agg(F.count("*").alias("n"))
     named = counted.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -344,6 +351,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80)
     kept = named.join(groups, "root").select("class", "root")
     found = rows.select("doc_id", "begin", "end", "at", "n_words", "line", "class").join(kept, "class")
     found = stored(spark, found, "paragraph-found")
+    dropped(spark, rows, named)
     # a piece close to the very line that it was cut from is no copy of it
     own = found.where("line < 0").select("doc_id", F.col("begin").alias("line"), "root")
     found = found.join(own, ["doc_id", "line", "root"], "left_anti")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +15,7 @@ from caseflow.session import work_dir
 
 BROADCAST_IDS = 250_000
 ARROW_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -34,17 +37,38 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is run in here gives its shuffle files back when it ends; the session's own choice is put back."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet to the shared work folder and read it back.
 
     This cuts lineage: a lost executor costs only the tasks that it was running. A stored table is
-    also computed once however often it is read.
+    also computed once however often it is read. Nothing reads the shuffles of the write again, so they go
+    with its end and not when the driver happens to collect its garbage.
     """
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads again, so that a long chain of steps does not keep all of them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id as a long and the text, null as empty; whatever else the table holds stays behind."""
     return df.select(

@@ -38,6 +38,7 @@ WORDS, WORD_REACH, WORD_GRAM, WORD_BYTES = 51, 38, 4, 8
 KINDS = [(LENGTH, CORE, STEP, 1), (WORDS * WORD_BYTES, (WORDS - WORD_REACH) * WORD_BYTES, WORD_REACH * WORD_BYTES // 2, WORD_BYTES)]
 BATCH = 4096
 MOST = 20_000
+NAME = ["_id", "_none", "tag"]
 CUT = ["n_removed", "n_spans", "kept_sha256", "n_repeated_words", "n_repeated_runs"]
 
 
@@ -220,11 +221,23 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 class _Symbols:
-    """The windows of one text, in bytes or in hashes of words, which are made when they are asked for."""
+    """The windows of one text, in bytes or in words, which are found when they are asked for."""
 
     def __init__(self, text: pa.Scalar):
         self.raw = memoryview(text.as_buffer())
         self.hashes: memoryview | None = None
+        self.bounds: tuple[list[int], list[int]] | None = None
+
+    def text(self, key: int, first: int, windows: int) -> bytes:
+        """The bytes of some windows in a row. Words go as they are: their hashes are longer and cannot be compressed."""
+        if not key & 1:
+            return self.cut(key, first, windows)
+        if self.bounds is None:
+            data = np.frombuffer(self.raw, np.uint8)
+            start, end, _ = words(data, np.array([0, len(data)]))
+            self.bounds = start.tolist(), end.tolist()
+        start, end = self.bounds
+        return bytes(self.raw[start[first] : end[first + windows + WORDS - 2]])
 
     def cut(self, key: int, first: int, windows: int = 1) -> bytes:
         """The symbols of some windows in a row, of the kind of the key."""
@@ -236,6 +249,19 @@ class _Symbols:
         return bytes(self.hashes[first * WORD_BYTES : (first + windows - 1 + WORDS) * WORD_BYTES])
 
 
+def _word_symbols(contexts: list[bytes]) -> list[bytes]:
+    """The hashes of each context's words."""
+    offsets = np.cumsum([0, *map(len, contexts)])
+    word_hash, bounds = word_hashes(np.frombuffer(b"".join(contexts), np.uint8), offsets)
+    bounds = np.append(bounds[: len(contexts)], len(word_hash)).tolist()
+    return [word_hash[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    """With doc_id as the two columns of ``NAME``, none of them null: groups of these are joined without a shuffle."""
+    return df.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "tag", *columns)
+
+
 def _context_rows(texts: DataFrame) -> DataFrame:
     """(doc_id, tag, key, packed, context): the text around every anchor that few enough others share."""
 
@@ -246,7 +272,7 @@ def _context_rows(texts: DataFrame) -> DataFrame:
                 few = ~found.values.field("many").to_numpy(zero_copy_only=False)
                 keys, packed = (found.values.field(c).to_numpy()[few] for c in ("key", "packed"))
                 _, first, last = _unpack(packed)
-                cut = [symbols.cut(k, a, b - a + 1) for k, a, b in zip(keys.tolist(), first.tolist(), last.tolist())]
+                cut = [symbols.text(k, a, b - a + 1) for k, a, b in zip(keys.tolist(), first.tolist(), last.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([doc_id.as_py()] * len(keys), pa.int64()),
@@ -274,6 +300,7 @@ def _matched(contexts: DataFrame) -> DataFrame:
             anchor, first, last = _unpack(np.array(packed, np.int64))
             runs = last - first + 1
             owners = np.array(tags, np.int64) if kind else None
+            texts = _word_symbols(texts) if kind else texts
             hit = repeated(list(texts), (anchor - first) * stride, runs, np.array(keys, np.int64).view(np.uint64), kind, owners)
             row, begin, end = _ranges(hit, first, runs, length // stride)
             yield pa.RecordBatch.from_arrays(
@@ -398,9 +425,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     place = F.xxhash64("tag", F.when(F.col("key").bitwiseAND(1) == 0, F.col("packed")))
     often = anchor_rows.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"))
     often = stored(spark, often.where("low <> high").select("key", (F.col("n") > MOST).alias("many")), "suffix-keys")
-    found = anchor_rows.join(small_side(often), "key").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("key", "packed", "many")).alias("found"))
-    first = copies.select(F.col("first_id").alias("_id"), F.col("tag").alias("_tag"), "digest")
-    found = found.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).drop("_id", "_tag")
+    found = _named(anchor_rows.join(small_side(often), "key"), "key", "packed", "many")
+    found = found.groupBy(*NAME).agg(F.collect_set(F.struct("key", "packed", "many")).alias("found"))
+    first = _named(copies.withColumnRenamed("first_id", "doc_id"), "digest")
+    found = found.join(first, NAME).select(F.when(~F.col("_none"), F.col("_id")).alias("doc_id"), "tag", "found", "digest")
     found = stored(spark, found, "suffix-found")
     ids = found.select(F.xxhash64("doc_id").alias("_hash")).distinct()
     texts = narrowed(rows.where("text IS NOT NULL").withColumn("_hash", F.xxhash64("doc_id")), ids, "_hash")
@@ -410,9 +438,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     spans = _matched(_context_rows(texts).select("key", "doc_id", "tag", "packed", "context"))
     spans = stored(spark, spans.union(_matched_many(spark, texts)), "suffix-spans")
-    spans = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("kind", "begin", "end")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans")
-    hit = texts.select("doc_id", "tag", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
+    spans = _named(spans, "kind", "begin", "end").groupBy(*NAME).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("spans"))
+    hit = _named(texts, "doc_id", "text").join(spans, NAME)
     cut = stored(spark, _cut(hit.select("doc_id", "tag", "text", "spans")).distinct(), "suffix-cut")
 
     copied = F.col("copies") > 1

@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from caseflow.llm import paragraph_dedup, shared
+from caseflow.llm import paragraph_dedup, shared, suffix_dedup
 
 
 def shuffle_files(spark):
@@ -40,3 +42,14 @@ def test_tables_of_paragraphs_go_when_they_have_done_their_work(spark):
     names = {p.name.rsplit("-", 1)[0] for p in set(work.iterdir()) - before}
     assert "paragraph-listed" in names
     assert not names & {"paragraph-rows", "paragraph-lines", "paragraph-texts", "paragraph-named"}
+
+
+def test_windows_of_words_travel_as_text():
+    text = "  ".join(f"Wort{i % 60}ä\n" for i in range(80))
+    symbols = suffix_dedup._Symbols(pa.scalar(text))
+    cuts = [(0, 3), (5, 1), (20, 10)]
+    sent = [symbols.text(1, first, windows) for first, windows in cuts]
+    assert all(s in text.encode() for s in sent)
+    assert suffix_dedup._word_symbols(sent) == [symbols.cut(1, first, windows) for first, windows in cuts]
+    assert [len(s) for s in suffix_dedup._word_symbols(sent)] == [(w + suffix_dedup.WORDS - 1) * 8 for _, w in cuts]
+    assert np.frombuffer(symbols.text(0, 2, 1), np.uint8).size == suffix_dedup.LENGTH

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm.grouping import suffix_array
-from caseflow.llm.shared import narrowed, small_side, stored
+from caseflow.llm.shared import dropped, narrowed, small_side, stored
 from caseflow.llm.textkernel import RangeHash, mix, run_hashes, slices, words
 
 LENGTH, REACH, GRAM, STEP = 400, 300, 16, 100
@@ -430,17 +430,22 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = _named(copies.withColumnRenamed("first_id", "doc_id"), "digest")
     found = found.join(first, NAME).select(F.when(~F.col("_none"), F.col("_id")).alias("doc_id"), "tag", "found", "digest")
     found = stored(spark, found, "suffix-found")
+    # the anchors are most of the bytes and have done their work
+    featured, known = known, stored(spark, known.select("doc_id", "tag", "digest", "n_bytes", "n_words"), "suffix-sizes")
+    dropped(spark, featured, often)
     ids = found.select(F.xxhash64("doc_id").alias("_hash")).distinct()
     texts = narrowed(rows.where("text IS NOT NULL").withColumn("_hash", F.xxhash64("doc_id")), ids, "_hash")
     texts = texts.select(F.col("doc_id").alias("_id"), "text")
     texts = texts.join(found, F.col("_id").eqNullSafe(F.col("doc_id"))).where(F.sha2(F.col("text").cast("binary"), 256) == F.lower(F.hex("digest")))
     texts = stored(spark, texts.select("doc_id", "tag", "text", "found"), "suffix-texts")
+    dropped(spark, found)
 
     spans = _matched(_context_rows(texts).select("key", "doc_id", "tag", "packed", "context"))
-    spans = stored(spark, spans.union(_matched_many(spark, texts)), "suffix-spans")
-    spans = _named(spans, "kind", "begin", "end").groupBy(*NAME).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("spans"))
+    matched = stored(spark, spans.union(_matched_many(spark, texts)), "suffix-spans")
+    spans = _named(matched, "kind", "begin", "end").groupBy(*NAME).agg(F.collect_list(F.struct("kind", "begin", "end")).alias("spans"))
     hit = _named(texts, "doc_id", "text").join(spans, NAME)
     cut = stored(spark, _cut(hit.select("doc_id", "tag", "text", "spans")).distinct(), "suffix-cut")
+    dropped(spark, texts, matched)
 
     copied = F.col("copies") > 1
     whole = copied & (F.col("n_bytes") >= LENGTH)

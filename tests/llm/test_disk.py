@@ -44,6 +44,19 @@ def test_tables_of_paragraphs_go_when_they_have_done_their_work(spark):
     assert not names & {"paragraph-rows", "paragraph-lines", "paragraph-texts", "paragraph-named"}
 
 
+def test_tables_of_anchors_go_when_they_have_done_their_work(spark):
+    work = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(work.iterdir())
+    line = " ".join(f"word{i}" for i in range(100))
+    docs = spark.createDataFrame([(i, f"own{i} {line} {i}") for i in range(3)] + [(3, "short"), (None, None)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark, docs).collect()}
+    assert {i: r.n_removed for i, r in found.items()} == {0: len(line) + 2, 1: len(line) + 2, 2: len(line) + 2, 3: 0, None: 0}
+    assert [found[i].repeats for i in (0, 3, None)] == [True, False, False]
+    names = {p.name.rsplit("-", 1)[0] for p in set(work.iterdir()) - before}
+    assert {"suffix-sizes", "suffix-copies", "suffix-cut"} <= names
+    assert not names & {"suffix-features", "suffix-keys", "suffix-found", "suffix-texts", "suffix-spans"}
+
+
 def test_windows_of_words_travel_as_text():
     text = "  ".join(f"Wort{i % 60}ä\n" for i in range(80))
     symbols = suffix_dedup._Symbols(pa.scalar(text))

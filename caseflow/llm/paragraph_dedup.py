@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.near_dedup import confirmed, signatures, unsettled
 from caseflow.llm.shared import components, documents, dropped, narrowed, small_side, stored
-from caseflow.llm.textkernel import RangeHash, lower_ascii, mix, run_hashes, shingles, slices, words
+from caseflow.llm.textkernel import RangeHash, by_row, lower_ascii, mix, run_hashes, shingles, slices, words
 
 WIDTH, BANDS, ROWS = 5, 7, 2
 LEAST, LONG, LEAST_PIECE, RADIUS = 20, 48, 10, 6
@@ -89,7 +89,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     spot = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + first[number]
     word = word[spot]
     hashes, of = shingles(word, number, WIDTH)
-    order = np.lexsort((hashes, of))
+    order = by_row(hashes, of)
     hashes, of = hashes[order], of[order]
     fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))
     hashes, of = hashes[fresh], of[fresh]
@@ -240,28 +240,60 @@ def _windows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, window bigint, at bigint, begin bigint, end bigint, cut boolean")
 
 
+def gaps(spans: tuple[np.ndarray, ...], listed: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """(span, begin, end, words) of what of the spans lies outside the listed stretches of their rows.
+
+    Both are (row, first word, word after the last, begin, end).
+    """
+    row, at, stop, begin, end = listed
+    width = 1 + max(stop.max(initial=0), spans[2].max(initial=0))
+    order = np.lexsort((at, row))
+    at, stop, begin, end = (row * width + at)[order], (row * width + stop)[order], begin[order], end[order]
+    # stretches that meet are one, which ends where the one that reaches furthest does
+    reached = np.maximum.accumulate(stop)
+    further = np.append(True, reached[1:] > reached[:-1])[: len(at)]
+    furthest = np.maximum.accumulate(np.where(further, np.arange(len(at)), 0))
+    head = np.flatnonzero(np.append(True, at[1:] > reached[:-1])[: len(at)])
+    tail = furthest[np.append(head[1:], len(at))[: len(head)] - 1]
+    at, begin, stop, end = at[head], begin[head], stop[tail], end[tail]
+
+    own_at, own_stop = spans[0] * width + spans[1], spans[0] * width + spans[2]
+    first = np.searchsorted(stop, own_at, "right")
+    met = np.maximum(0, np.searchsorted(at, own_stop) - first)
+    which = np.repeat(np.arange(len(met)), met + 1)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(met + 1) - met - 1, met + 1)
+    after, before = turn > 0, turn < met[which]
+    left, right = (first[which] + turn - 1)[after], (first[which] + turn)[before]
+    out = own_at[which], own_stop[which], spans[3][which], spans[4][which]
+    out[0][after], out[2][after] = stop[left], end[left]
+    out[1][before], out[3][before] = at[right], begin[right]
+    some = out[1] > out[0]
+    return which[some], out[2][some], out[3][some], (out[1] - out[0])[some]
+
+
 def _outside(spans: DataFrame) -> DataFrame:
-    """What of the spans lies outside the paragraphs listed in ``listed``."""
+    """What of a document's spans lies outside its paragraphs in ``listed``; what goes, outside those that go too."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                at, begin = x["at"], x["begin"]
-                for o in sorted(x.pop("listed") or (), key=lambda o: o["at"]):
-                    stop = o["at"] + o["n_words"]
-                    if stop <= at or o["at"] >= x["stop"] or (x["removed"] and not o["removed"]):
-                        continue
-                    if o["at"] > at:
-                        out.append(x | {"begin": begin, "end": o["begin"], "n_words": o["at"] - at})
-                    at, begin = stop, o["end"]
-                if at < x["stop"]:
-                    out.append(x | {"begin": begin, "n_words": x["stop"] - at})
-            yield pa.RecordBatch.from_pylist([{f: x[f] for f in fields.names} for x in out], fields)
-
-    fields = pa.schema(
-        [(f, pa.int64()) for f in ("doc_id", "begin", "end", "n_words", "component_id", "n_copies")] + [("removed", pa.bool_())]
-    )
+            (row, span), (listed_row, listed) = (_flat(batch.column(c)) for c in ("spans", "listed"))
+            own, known = (
+                [x, *(np.asarray(cells.field(c), np.int64) for c in ("at", "stop", "begin", "end"))]
+                for x, cells in ((row, span), (listed_row, listed))
+            )
+            goes, gone = (np.asarray(pc.cast(cells.field("removed"), pa.int8())) > 0 for cells in (span, listed))
+            for here, there in ((~goes, slice(None)), (goes, gone)):
+                which, begin, end, n_words = gaps(tuple(x[here] for x in own), tuple(x[there] for x in known))
+                of = np.flatnonzero(here)[which]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(row[of])),
+                        *(pa.array(x) for x in (begin, end, n_words)),
+                        *(span.field(c).take(pa.array(of)) for c in ("component_id", "n_copies", "removed")),
+                    ],
+                    ["doc_id", "begin", "end", "n_words", "component_id", "n_copies", "removed"],
+                )
+
     schema = "doc_id bigint, begin bigint, end bigint, n_words bigint, component_id bigint, n_copies bigint, removed boolean"
     return spans.mapInArrow(run, schema)
 
@@ -303,8 +335,11 @@ def _passages(spark: SparkSession, docs: DataFrame, listed: DataFrame) -> DataFr
     )
     spans = stored(spark, spans, "passage-spans")
     known = narrowed(listed, spans.select("doc_id").distinct(), "doc_id")
-    known = known.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n_words", "begin", "end", "removed")).alias("listed"))
-    return _outside(spans.join(known, "doc_id", "left"))
+    stretch = F.struct("at", (F.col("at") + F.col("n_words")).alias("stop"), "begin", "end", "removed")
+    known = known.groupBy("doc_id").agg(F.collect_set(stretch).alias("listed"))
+    # a document's spans go together, so that its paragraphs are read once and not once for each of them
+    own = F.struct("at", "stop", "begin", "end", "component_id", "n_copies", "removed")
+    return _outside(spans.groupBy("doc_id").agg(F.collect_list(own).alias("spans")).join(known, "doc_id", "left"))
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:

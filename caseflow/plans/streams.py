@@ -23,7 +23,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PIECES = 3
-ROWS_A_FILE = 500_000
+ROWS_A_FILE = 100_000
 
 
 def in_pieces(spark: SparkSession, df: DataFrame, order: Column, last: DataFrame | None = None) -> DataFrame:

@@ -20,12 +20,19 @@ BUCKET = "bucket"
 def stream_files(
     spark: SparkSession, path: str, glob: str = "*.parquet", max_files: int | None = None
 ) -> DataFrame:
-    """A folder of parquet files as a stream; the schema is read once, from the files there."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    """A folder of parquet files as a stream; the schema is read once, from the files there.
+
+    With ``max_files`` the order in which files are taken up matters. It is that of their times of change; files of one
+    clock tick go by name where the path is a pattern, and in no order where it is a folder.
+    """
+    there = spark.read.option("pathGlobFilter", glob).parquet(path)
+    reader = spark.readStream.schema(there.schema).option("pathGlobFilter", glob)
+    if not max_files:
+        return reader.parquet(path)
+    reader = reader.option("maxFilesPerTrigger", max_files)
+    folder = path.rstrip("/")
+    flat = all(f.rsplit("/", 2)[-2] == folder.rsplit("/", 1)[-1] for f in there.inputFiles())
+    return reader.parquet(f"{folder}/{glob}" if flat else path)
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

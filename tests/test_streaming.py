@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from functools import partialmethod
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -12,7 +15,7 @@ from pyspark.sql import types as T
 from caseflow.operators import correlate, memory, spans, usage
 from caseflow.plans import mapping
 from caseflow.sources import notifications
-from caseflow.streaming import jobs, tables
+from caseflow.streaming import jobs, nearest, tables
 from tests.conftest import SMALL
 
 HOUR = 3_600_000_000
@@ -77,6 +80,67 @@ def test_velocity(spark, tmp_path, pieces):
     assert versions.select("batch_id").distinct().count() > 3
 
 
+def one_after_the_other(folder, parts):
+    """Files whose times of change differ."""
+    folder.mkdir()
+    deliver(folder, parts)
+    for i in range(len(parts)):
+        os.utime(folder / f"{i:03d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(folder)
+
+
+def test_files_of_one_clock_tick_are_taken_up_by_name(spark, tmp_path):
+    """In any other order the rows of the earlier ones would come late."""
+    for i in range(12):
+        pq.write_table(pa.table({"n": [i]}), tmp_path / f"{i:03d}.parquet")
+        os.utime(tmp_path / f"{i:03d}.parquet", (1_700_000_000, 1_700_000_000))
+    got = []
+    tables.run_available(
+        tables.stream_files(spark, str(tmp_path), max_files=1), str(tmp_path / "out"), "append", lambda batch, _: got.append(batch.first().n))
+    assert got == list(range(12))
+
+
+@pytest.mark.parametrize("few", [0, 5])
+def test_many_keys_share_one_state(spark, tmp_path, pieces, monkeypatch, few):
+    """One entry of the state holds many keys, in blocks and row by row, and gives what one for each key gives."""
+    monkeypatch.setattr(nearest.Spec, "__init__", partialmethod(nearest.Spec.__init__, shares=3))
+    monkeypatch.setattr(nearest, "FEW_ROWS", few)
+    monkeypatch.setattr(nearest, "PACK_BYTES", 500)
+    source = tables.stream_files(spark, one_after_the_other(tmp_path / "source", pieces), max_files=1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = jobs.stream_span_pairs(spark, mapping.spans_from(source), str(tmp_path / "out"), 3000, delay_minutes=720, slot_us=SLOT, hot_rows=20)
+        same(got, spans.span_pairs(mapping.spans(spark, SMALL), 3000))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = spark.read.format("statestore").option("path", f"{tmp_path}/out/checkpoint").option("stateVarName", "waiting").load()
+    assert {r[0] for r in keys.select("key.share").distinct().collect()} == {0, 1, 2}
+
+
+def test_replies_of_one_time_go_by_kind_and_id(spark, tmp_path, monkeypatch):
+    """Many rows of few times, in two batches; rows without a time or behind the watermark are listed."""
+    monkeypatch.setattr(nearest, "FEW_ROWS", 3)
+    n = 400
+    at = [(1_000 + i // 200 * 500 + i * 7 % 5 * 10) * 60_000_000 for i in range(n)]
+    at[:4] = [None] * 4
+    at[396:] = [60_000_000] * 4
+    events = pa.table({
+        "event_id": [i * 13 % n for i in range(n)], "ts": pa.array(at, pa.timestamp("us")),
+        "user_id": pa.array([None if i % 11 == 0 else i % 3 for i in range(n)], pa.int64()),
+        "event_type": ["signup" if i % 2 else "click" for i in range(n)], "value": [1.0] * n, "props": [f'{{"k": {i % 7}}}' for i in range(n)],
+    })
+    source = one_after_the_other(tmp_path / "source", [events.slice(0, 200), events.slice(200)])
+    stream = tables.stream_files(spark, source, max_files=1)
+    challenges, replies = mapping.challenges_from(stream), mapping.replies_from(stream)
+    got = jobs.stream_step_up(spark, challenges, replies, str(tmp_path / "out"))
+    pq.write_table(events.slice(4, 392), tmp_path / "taken.parquet")
+    taken = spark.read.parquet(str(tmp_path / "taken.parquet"))
+    same(got, correlate.step_up_audit(mapping.challenges_from(taken), mapping.replies_from(taken)))
+    lost = jobs.rejected_answers(spark, challenges, replies, str(tmp_path / "out")).select("_id", "reason").collect()
+    ids = events["event_id"].to_pylist()
+    assert sorted(map(tuple, lost)) == sorted([(i, "no time") for i in ids[:4]] + [(i, "late") for i in ids[396:]])
+
+
 def test_rows_later_than_the_delay_are_listed(spark, tmp_path, pieces):
     """Nothing is lost: a row is answered, waits, or is listed as late."""
     places = mapping.locations(spark, SMALL)

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+$")
 _SIGN = re.compile(r"[0-9@+]")
-_TOKEN = re.compile(r"\S+")
+_SPACE = re.compile(r"\s")
 _PIECE = re.compile(r"[^\W_]+|(.)\1*", re.DOTALL)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -64,34 +66,49 @@ def _emails(text: str) -> list[Span]:
     return out
 
 
-def base_spans(text: str) -> dict[str, list[Span]]:
-    """The spans of the patterns, leftmost and non-overlapping for each kind; failing matches are dropped."""
+def base_spans(text: str, where: list[Span] | None = None) -> dict[str, list[Span]]:
+    """The spans of the patterns, leftmost and non-overlapping for each kind; failing matches are dropped.
+
+    ``where`` may give the text's stretches: no ip or card crosses the end of one.
+    """
     out: dict[str, list[Span]] = {"email": _emails(text) if "@" in text else [], "ip": [], "card": [], "phone": []}
-    out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
-    for m in _CARD.finditer(text):
-        found = _digits(m.group())
-        if 13 <= len(found) <= 19 and luhn(found):
-            out["card"].append(m.span())
+    for start, end in stretches(text) if where is None else where:
+        out["ip"] += [
+            m.span()
+            for m in _IP.finditer(text, start, end)
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))
+        ]
+        for m in _CARD.finditer(text, start, end):
+            found = _digits(m.group())
+            if 13 <= len(found) <= 19 and luhn(found):
+                out["card"].append(m.span())
     if "+" in text:
         out["phone"] = [m.span() for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
     return out
 
 
 def stretches(text: str) -> list[Span]:
-    """Runs of words that hold a digit, ``@`` or ``+``, one space apart."""
+    """Runs of words that hold a digit, ``@`` or ``+``, one space apart; other words are passed over."""
     out: list[Span] = []
-    if not _SIGN.search(text):
-        return out
-    for m in _TOKEN.finditer(text):
-        if _SIGN.search(m.group()):
-            start, end = m.span()
-            if out and out[-1][1] + 1 == start and text[start - 1] == " ":
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((start, end))
+    end = 0
+    while sign := _SIGN.search(text, end):
+        start = sign.start()
+        while start > end and not text[start - 1].isspace():
+            start -= 1
+        space = _SPACE.search(text, sign.end())
+        end = space.start() if space else len(text)
+        if out and out[-1][1] + 1 == start and text[start - 1] == " ":
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
     return out
 
 
+def signed(texts: pa.Array) -> pa.Array:
+    """Which texts hold a digit, ``@`` or ``+``, and so may hold a span; null ones do not."""
+    return pc.match_substring_regex(texts, _SIGN.pattern).fill_null(False)
+
+
 def shape(text: str) -> str:
     """What the features see: every digit as 9, every letter as a."""
     return "".join("9" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in text)
@@ -125,7 +142,7 @@ def segment_features(text: str, start: int, end: int, pieces: int) -> tuple[str,
     ]
     if re.fullmatch(r"9{1,3}(\.9{1,3}){3}", s):
         out.append("quad")
-    if re.fullmatch(r"9+([ -]?9+)*", s):
+    if re.fullmatch(r"9+([ -]9+)*", s):  # an optional separator would cut a run of digits in every possible way
         out.append(f"number{_bucket(digits, (7, 9, 13, 20))}")
     if re.fullmatch(r"9{3,6}([ -]9{3,6}){2,4}", s):
         out.append("grouped")
@@ -232,10 +249,14 @@ def _listed() -> list[tuple[str, list[tuple[int, int, int]]]]:
 
 def sample(text: str) -> list[tuple[str, str]]:
     """(shape, spans) of the stretches of a text that hold base spans and nothing doubtful."""
-    found = [(a, b, k) for k, kind in enumerate(KINDS) for a, b in base_spans(text)[kind]]
+    where = stretches(text)
+    base = base_spans(text, where)
+    found = sorted((a, b, k) for k, kind in enumerate(KINDS) for a, b in base[kind])
+    starts = [a for a, _, _ in found]
     out = []
-    for start, end in stretches(text):
-        own = sorted((a - start, b - start, k) for a, b, k in found if start <= a and b <= end)
+    for start, end in where:
+        begun = found[bisect_left(starts, start) : bisect_left(starts, end)]
+        own = [(a - start, b - start, k) for a, b, k in begun if b <= end]
         clear = all(x[1] <= y[0] for x, y in zip(own, own[1:]))
         rest = list(text[start:end])
         for a, b, _ in own:
@@ -291,12 +312,12 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Field:
 
     def run(batches):
         for batch in batches:
-            rows = {pair for text in batch.column(0).to_pylist() for pair in sample(text)}
+            texts = batch.column(0)
+            rows = {pair for text in texts.filter(signed(texts)).to_pylist() for pair in sample(text)}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(rows))], ["shape", "spans"])
 
-    signed = docs.where("text RLIKE '[0-9@+]'").select("text")
-    rows = signed.mapInArrow(run, "shape string, spans string").distinct()
+    rows = docs.select("text").mapInArrow(run, "shape string, spans string").distinct()
     taken = rows.orderBy(F.xxhash64("shape", "spans"), "shape", "spans").limit(size).collect()
     examples = [(r["shape"], [tuple(map(int, s.split(":"))) for s in r["spans"].split(",")]) for r in taken]
     return train(_listed() + examples)
@@ -304,12 +325,13 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Field:
 
 def find(text: str, field: Field) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Base spans, and all spans with what the field adds beside them."""
-    base = base_spans(text)
+    where = stretches(text)
+    base = base_spans(text, where)
     held = sorted(s for spans in base.values() for s in spans)
     every = {kind: list(spans) for kind, spans in base.items()}
     starts = np.array([a for a, _ in held])
     reach = np.maximum.accumulate([b for _, b in held]) if held else np.zeros(0)
-    for start, end in stretches(text):
+    for start, end in where:
         for a, b, k in field.decode(text[start:end]):
             a, b = a + start, b + start
             before = int(np.searchsorted(starts, b))  # base spans that begin before this one's end
@@ -337,19 +359,21 @@ def pii_spans(spark: SparkSession, docs: DataFrame, sample_size: int = SAMPLE) -
 
     def run(batches):
         field = Field(weights)
+        none = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            counts, digests, spans = [], [], []
-            for text in batch.column("text").to_pylist():
-                base, every = find(text, field) if text else ({k: [] for k in KINDS},) * 2
-                counts.append([len(base[k]) for k in KINDS])
-                digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                spans.append(_joined(every))
-            columns = np.array(counts, np.int64).reshape(-1, len(KINDS)).T
+            texts = batch.column("text")
+            held = signed(texts)
+            counts = np.zeros((len(KINDS), len(texts)), np.int64)
+            digests, spans = [none] * len(texts), [""] * len(texts)
+            for row, text in zip(np.flatnonzero(held), texts.filter(held).to_pylist()):
+                base, every = find(text, field)
+                counts[:, row] = [len(base[k]) for k in KINDS]
+                digests[row] = hashlib.sha256(_joined(base).encode()).hexdigest()
+                spans[row] = _joined(every)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
+                [batch.column("doc_id"), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
             )
 
-    signed = rows.select("doc_id", F.when(F.col("text").rlike("[0-9@+]"), F.col("text")).alias("text"))
     schema = ", ".join(["doc_id bigint", *(f"n_{k} bigint" for k in KINDS), "base_sha256 string", "spans string"])
-    return signed.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

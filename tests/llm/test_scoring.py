@@ -6,9 +6,11 @@ import hashlib
 import heapq
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,6 +152,48 @@ def test_pii_spans(spark, docs):
     assert pii.pii_spans(spark, docs.limit(0)).count() == 0 and pii.pii_spans(spark, docs).count() == len(ROWS)
 
 
+def test_a_run_of_digits_is_not_cut_in_every_way():
+    """The time of a stretch with digits and something behind them does not double with each digit."""
+
+    def took(digits):
+        start = time.process_time()
+        for _ in range(20):
+            pii.candidates("9" * digits + ".9 9.a")
+        return time.process_time() - start
+
+    took(10)
+    assert took(22) < 50 * took(10) + 0.1
+    _, segments = pii.candidates("9" * 60 + " " + "9" * 60 + ".9")
+    assert [any(f.startswith("number") for f in found) for _, _, found in segments] == [True, True, False, True, False, True]
+    spans = pii.train(pii._listed()).decode("4111111111111111 4111111111111111 a@b.cd")
+    assert [pii.KINDS[k] for *_, k in spans] == ["card", "card", "email"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="12@+.a -\t\n\xa0\u2003\x1c\u200b", max_size=40))
+def test_stretches_are_runs_of_words_with_signs(text):
+    words = [m.span() for m in re.finditer(r"\S+", text) if re.search("[0-9@+]", m.group())]
+    runs = []
+    for start, end in words:
+        if runs and runs[-1][1] == start - 1 and text[start - 1] == " ":
+            runs[-1] = (runs[-1][0], end)
+        else:
+            runs.append((start, end))
+    assert pii.stretches(text) == runs
+    assert pii.signed(pa.array([text, None])).to_pylist() == [bool(runs), False]
+
+
+def test_a_text_is_searched_once_for_its_sample(monkeypatch):
+    calls = []
+    plain = pii.base_spans
+    monkeypatch.setattr(pii, "base_spans", lambda *a: calls.append(a) or plain(*a))
+    text = "x 10.0.0.1 a@b.cd x +1 (212) 555-0123 x 4111111111111111 a@b.cd x 10.0.0.1.2 x 10.0.0.1"
+    assert pii.sample(text) == [
+        ("99.9.9.9 a@a.aa", "0:8:1,9:15:0"), ("+9 (999) 999-9999", "0:17:3"), ("9999999999999999 a@a.aa", "0:16:2,17:23:0"), ("99.9.9.9", "0:8:1"),
+    ]
+    assert len(calls) == 1
+
+
 # --- licences ---
 
 

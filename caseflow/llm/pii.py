@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
 SAMPLE = 400
 LONGEST_SAMPLE = 200
+SCORED = 1 << 16
 
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -157,17 +159,22 @@ def segment_features(text: str, start: int, end: int, pieces: int) -> tuple[str,
     return tuple(out)
 
 
+def _cut(text: str) -> tuple[list[Span], list[int]]:
+    """Pieces of a shape, and how many before each, and in all, hold a digit or ``@``."""
+    pieces = [m.span() for m in _PIECE.finditer(text)]
+    return pieces, list(accumulate(("9" in text[a:b] or text[a] == "@" for a, b in pieces), initial=0))
+
+
 def candidates(text: str) -> tuple[list[Span], list[tuple[int, int, tuple[str, ...]]]]:
     """Pieces of a shape, and the segments (first piece, end piece, features) that may be an entity."""
-    pieces = [m.span() for m in _PIECE.finditer(text)]
-    marks = np.concatenate([[0], np.cumsum([bool(_SIGN.search(text[a:b])) for a, b in pieces])]) if pieces else np.zeros(1)
+    pieces, marks = _cut(text)
     out = []
     for i, (a, _) in enumerate(pieces):
         if text[a] not in "9a+(":
             continue
         for j in range(i + 1, min(len(pieces), i + LONGEST) + 1):
             b = pieces[j - 1][1]
-            if text[b - 1] in "9a" and marks[j] > marks[i] and "9" in text[a:b] or "@" in text[a:b] and text[b - 1] in "9a":
+            if text[b - 1] in "9a" and marks[j] > marks[i]:
                 out.append((i, j, segment_features(text, a, b, j - i)))
     return pieces, out
 
@@ -178,27 +185,40 @@ class Field:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights
         self.known: dict[str, list[tuple[int, int, int]]] = {}
+        self.scored: dict[tuple[str, str, str], tuple[float, int]] = {}
 
     def _score(self, found: tuple[str, ...]) -> np.ndarray:
         none = np.zeros(len(KINDS))
         return sum((self.weights.get(f, none) for f in found), none)
 
+    def _best(self, text: str, start: int, end: int, pieces: int) -> tuple[float, int]:
+        """The best kind's score of a segment and that kind; what the features see of a segment is scored once."""
+        seen = text[max(0, start - 2) : start], text[start:end], text[end : end + 2]
+        if seen in self.scored:
+            return self.scored[seen]
+        scores = self._score(segment_features(text, start, end, pieces))
+        k = int(scores.argmax())
+        if end - start <= LONGEST_SAMPLE:
+            if len(self.scored) >= SCORED:
+                self.scored.clear()
+            self.scored[seen] = float(scores[k]), k
+        return float(scores[k]), k
+
     def decode(self, text: str) -> list[tuple[int, int, int]]:
         """The best segmentation of a stretch: (start, end, kind) of its entities."""
         text = shape(text)
         if text in self.known:
             return self.known[text]
-        pieces, segments = candidates(text)
-        ends: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i, j, found in segments:
-            ends.setdefault(j, []).append((i, self._score(found)))
+        pieces, marks = _cut(text)
         best, back = [0.0], [None]
-        for j in range(1, len(pieces) + 1):
+        for j, (_, b) in enumerate(pieces, 1):
             top, how = best[j - 1], None
-            for i, scores in ends.get(j, ()):
-                k = int(scores.argmax())
-                if best[i] + scores[k] > top:
-                    top, how = best[i] + scores[k], (i, k)
+            for i in range(max(0, j - LONGEST), j) if text[b - 1] in "9a" else ():
+                a = pieces[i][0]
+                if text[a] in "9a+(" and marks[j] > marks[i]:
+                    score, k = self._best(text, a, b, j - i)
+                    if best[i] + score > top:
+                        top, how = best[i] + score, (i, k)
             best.append(top)
             back.append(how)
         out, j = [], len(pieces)

@@ -169,6 +169,22 @@ def test_a_run_of_digits_is_not_cut_in_every_way():
     assert [pii.KINDS[k] for *_, k in spans] == ["card", "card", "email"]
 
 
+def test_like_segments_are_scored_once(monkeypatch):
+    calls = []
+    plain = pii.segment_features
+    field = pii.train(pii._listed(), rounds=2)
+    monkeypatch.setattr(pii, "segment_features", lambda *a: calls.append(a) or plain(*a))
+    field.decode("1234 567 " * 400 + "4111111111111111")
+    assert 0 < len(calls) < 500
+    for text in ("1234 567 1234 567", "(4111 1111 1111 1111)", "a@b.cd +1 (212) 555-0123 a@b.cd"):
+        shaped = pii.shape(text)
+        pieces, segments = pii.candidates(shaped)
+        for _ in range(2):
+            for i, j, found in segments:
+                scores = field._score(found)
+                assert field._best(shaped, pieces[i][0], pieces[j - 1][1], j - i) == (scores.max(), scores.argmax())
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.text(alphabet="12@+.a -\t\n\xa0\u2003\x1c\u200b", max_size=40))
 def test_stretches_are_runs_of_words_with_signs(text):

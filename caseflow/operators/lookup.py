@@ -280,7 +280,8 @@ def policy_search(policies: DataFrame, queries: DataFrame, k: int = 2, *, hot_ro
     """Policies whose title or summary contains a word of the query, else the first ``k`` policies.
 
     Blank queries are for ``validate.blank`` to turn away beforehand. The distinct words of all queries are looked
-    up once, in an index of substrings.
+    up once, in an index of substrings. The hits, ids and words only, are stored, since both the answers and the list
+    of queries without any need them.
     """
     words = queries.select(
         "query_id",
@@ -288,7 +289,7 @@ def policy_search(policies: DataFrame, queries: DataFrame, k: int = 2, *, hot_ro
     ).filter(F.col("word") != "")
     fields = F.array_compact(F.array(F.lower("title"), F.lower("summary")))
     texts = policies.select("policy_id", fields.alias("fields"))
-    found = substring_hits(texts, words, [], "policy_id", hot_rows=hot_rows)
+    found = _stored(substring_hits(texts, words, [], "policy_id", hot_rows=hot_rows), "policy-hits")
     places = policies.select("policy_id", "position")
     matched = words.join(found, "word").select("query_id", "policy_id").distinct().join(places, "policy_id")
     matched = matched.select("query_id", "policy_id", "position")
